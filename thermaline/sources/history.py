@@ -1,11 +1,319 @@
-"""Reading the history and weather tables (S-1 to S-3, S-26 scope)."""
+"""Reading, writing and maintaining the history table (S-1 to S-3, S-16 to S-26, S-30 to S-33)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+import re
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+
+from thermaline.functions.logic import num
+from thermaline.functions.roles import ALL_ROLES, NUMERIC_ROLES, history_schema
+
+C = F.col
+EQ, TS = "equipment_id", "timestamp_utc"
+PARTITIONS = ["building_id", EQ, "year", "month"]
+
+
+# --- reading ---------------------------------------------------------------------------------
+def read_history(spark: SparkSession, root: str, *, building: str | None = None, roles=None,
+                 start: str | None = None, end: str | None = None) -> DataFrame:
+    """S-1/S-2: `<root>/history/building_id=/equipment_id=/year=/month=`. The explicit schema
+    makes absent roles NULL and keeps partition keys as text; scope filters prune directories."""
+    df = spark.read.schema(history_schema(roles)).parquet(f"{root}/history")
+    return scope(df, building=building, start=start, end=end)
+
+
+def read_legacy(spark: SparkSession, root: str, *, roles=None) -> DataFrame:
+    """The older layout, `building=<id>/equipment=<id>/history.parquet`: identity is in the path."""
+    schema = T.StructType([f for f in history_schema(roles, partitioned=False).fields if f.name != EQ])
+    df = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(root)
+    return with_path_identity(df)
+
+
+def with_path_identity(df: DataFrame) -> DataFrame:
+    path = C("_metadata.file_path")
+    return df.select("*", F.regexp_extract(path, r"building=([^/]+)/", 1).alias("building_id"),
+                     F.regexp_extract(path, r"equipment=([^/]+)/", 1).alias(EQ))
+
+
+def scope(df: DataFrame, *, building: str | None = None, start: str | None = None, end: str | None = None) -> DataFrame:
+    """One building and a half-open time range. The range is also stated on the year and month
+    keys, which the files' statistics alone could not prune before listing."""
+    if building is not None:
+        df = df.where(C("building_id") == building)
+    ym = F.concat(C("year"), C("month")) if {"year", "month"} <= set(df.columns) else None
+    for text, after in ((start, True), (end, False)):
+        if text is None:
+            continue
+        t = F.lit(text).cast("timestamp")
+        df = df.where(C(TS) >= t if after else C(TS) < t)
+        if ym is not None:
+            key = re.sub("-", "", text)[:6]
+            df = df.where(ym >= key if after else ym <= key)
+    return df
 
 
 def weather_view(history: DataFrame) -> DataFrame:
     """Rows of weather stations inside the history table."""
-    eq = F.col("equipment_id")
+    eq = C(EQ)
     return history.where(eq.ilike("%weather%") | eq.ilike("%meteo%") | eq.ilike("%oat%"))
+
+
+def read_weather(spark: SparkSession, root: str, history: DataFrame | None = None) -> DataFrame | None:
+    """S-3: the sidecar table if there is one, else weather rows of the history, else None."""
+    try:
+        return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(f"{root}/weather")
+    except AnalysisException:
+        return None if history is None else weather_view(history)
+
+
+# --- writing ---------------------------------------------------------------------------------
+def with_partition_keys(df: DataFrame) -> DataFrame:
+    return df.withColumns({"year": F.date_format(TS, "yyyy"), "month": F.date_format(TS, "MM")})
+
+
+def write_history(df: DataFrame, root: str, *, mode: str = "append", max_rows_per_file: int = 2_000_000) -> None:
+    """S-18: immutable monthly parts sorted by time. REBALANCE gathers a partition's rows into
+    few files and lets AQE split a month of one busy equipment over several tasks."""
+    out = with_partition_keys(df).hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, TS)
+    (out.write.mode(mode).partitionBy(*PARTITIONS).option("compression", "snappy")
+        .option("maxRecordsPerFile", max_rows_per_file).option("partitionOverwriteMode", "dynamic")
+        .parquet(f"{root}/history"))
+
+
+def historian_stats(spark: SparkSession, root: str, *, small_bytes: int = 16 << 20) -> DataFrame:
+    """S-21: files, bytes, rows and small files per partition, from file metadata."""
+    df = spark.read.schema(history_schema([])).parquet(f"{root}/history")
+    files = df.groupBy(*PARTITIONS, C("_metadata.file_path").alias("file"), C("_metadata.file_size").alias("bytes")).agg(
+        F.count(F.lit(1)).alias("rows"))
+    return files.groupBy(*PARTITIONS).agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"),
+        F.count(F.when(C("bytes") < small_bytes, 1)).alias("small_files"))
+
+
+def _stage(spark: SparkSession, df: DataFrame, root: str) -> str:
+    """A written copy beside the data: the rewrite below must not read what it replaces."""
+    path = f"{root}/_staging/{uuid.uuid4().hex}"
+    df.write.partitionBy(*PARTITIONS).parquet(path)
+    return path
+
+
+def _replace_partitions(spark: SparkSession, df: DataFrame, root: str, max_rows: int = 2_000_000) -> None:
+    path = _stage(spark, df, root)
+    staged = spark.read.schema(df.schema).parquet(path).drop("year", "month")
+    write_history(staged, root, mode="overwrite", max_rows_per_file=max_rows)
+    _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def compact(spark: SparkSession, root: str, *, min_files: int = 8, building: str | None = None, roles=None) -> DataFrame:
+    """S-19: rewrite the partitions made of many small files. Returns what was rewritten."""
+    stats = historian_stats(spark, root).where(C("small_files") >= min_files)
+    stats = stats if building is None else stats.where(C("building_id") == building)
+    todo = spark.createDataFrame(stats.collect(), stats.schema)  # partition names only
+    if todo.isEmpty():
+        return todo
+    df = spark.read.schema(history_schema(roles)).parquet(f"{root}/history").join(
+        F.broadcast(todo.select(*PARTITIONS)), PARTITIONS, "left_semi")  # one row per partition directory
+    _replace_partitions(spark, df, root)
+    return todo
+
+
+def migrate_legacy(spark: SparkSession, legacy_root: str, root: str, *, dry_run: bool = True, roles=None) -> DataFrame:
+    """S-20: the older layout into the canonical one. Only path identity is trusted; rows
+    without it are reported and left alone."""
+    df = read_legacy(spark, legacy_root, roles=roles)
+    ok = (C("building_id") != "") & (C(EQ) != "") & C(TS).isNotNull()
+    report = df.groupBy("building_id", EQ).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(ok, 1)).alias("migrated"))
+    if not dry_run:
+        write_history(df.where(ok), root)
+    return report
+
+
+def purge_filter(*, building=None, equipment=None, before=None, after=None) -> Column:
+    cond = F.lit(True)
+    if building is not None:
+        cond = cond & (C("building_id") == building)
+    if equipment is not None:
+        cond = cond & C(EQ).isin(list(equipment))
+    if before is not None:
+        cond = cond & (C(TS) < F.lit(before).cast("timestamp"))
+    if after is not None:
+        cond = cond & (C(TS) >= F.lit(after).cast("timestamp"))
+    return cond
+
+
+def purge_preview(spark: SparkSession, root: str, **flt) -> DataFrame:
+    """S-22: rows that would go, per partition, and whether the partition would be empty."""
+    df = spark.read.schema(history_schema([])).parquet(f"{root}/history")
+    hit = F.count(F.when(purge_filter(**flt), 1))
+    return (df.groupBy(*PARTITIONS).agg(hit.alias("rows_purged"), (F.count(F.lit(1)) - hit).alias("rows_kept"))
+              .where(C("rows_purged") > 0))
+
+
+def purge(spark: SparkSession, root: str, *, roles=None, **flt) -> int:
+    """S-22: rewrite the affected partitions without the rows; drop those left empty."""
+    if not any(v is not None for v in flt.values()):
+        raise ValueError("purge needs at least one filter")
+    hits = purge_preview(spark, root, **flt)
+    rows = hits.collect()  # partition names and counts only
+    if not rows:
+        return 0
+    keep = spark.createDataFrame(rows, hits.schema).where("rows_kept > 0").select(*PARTITIONS)
+    if not keep.isEmpty():
+        df = spark.read.schema(history_schema(roles)).parquet(f"{root}/history")
+        df = df.join(F.broadcast(keep), PARTITIONS, "left_semi").where(~purge_filter(**flt))  # one row per directory
+        _replace_partitions(spark, df, root)
+    for r in rows:
+        if r["rows_kept"] == 0:
+            _delete(spark, f"{root}/history/" + "/".join(f"{k}={r[k]}" for k in PARTITIONS))
+    return sum(r["rows_purged"] for r in rows)
+
+
+# --- export, paging, SQL ---------------------------------------------------------------------
+def export_rows(df: DataFrame, roles, *, tz: str = "UTC") -> DataFrame:
+    """S-23: long form with UTC and local time as text."""
+    from thermaline.operators.align import wide_to_long
+    long = wide_to_long(df, roles)
+    f = "yyyy-MM-dd'T'HH:mm:ss"
+    return long.select(EQ, F.date_format(TS, f).alias("timestamp_utc"),
+                       F.date_format(F.from_utc_timestamp(TS, tz), f).alias("timestamp_local"), "role", "value")
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def export_faults(results: DataFrame, path: str, *, summary: bool = False) -> None:
+    """S-24."""
+    out = results.groupBy("rule_id", "status").agg(F.count(F.lit(1)).alias("n"), F.sum("fault_hours").alias("fault_hours")) \
+        if summary else results
+    export_csv(out, path)
+
+
+def page(df: DataFrame, order, *, offset: int = 0, limit: int = 100) -> DataFrame:
+    """S-25: a page of ordered rows."""
+    return df.orderBy(*order).offset(offset).limit(limit)
+
+
+class TooManyRows(ValueError):
+    pass
+
+
+def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
+    """S-25: refuse a result larger than `rows`; the probe stops at rows + 1."""
+    probe = df.limit(rows + 1)
+    if probe.count() > rows:
+        raise TooManyRows(f"more than {rows} rows")
+    return probe
+
+
+SQL_TABLES = {"history", "weather", "telemetry"}
+
+
+def run_sql(spark: SparkSession, text: str, tables: dict[str, DataFrame], args: dict | None = None) -> DataFrame:
+    """S-26: a user SELECT over the registered views. Anything but one SELECT over the given
+    tables is refused before Spark sees it."""
+    body = re.sub(r"--[^\n]*|/\*.*?\*/", " ", text, flags=re.S).strip().rstrip(";")
+    if not re.match(r"(?is)^(select|with)\b", body) or ";" in body:
+        raise ValueError("only a single SELECT is allowed")
+    bare = re.sub(r"'(?:[^']|'')*'", "''", body)
+    if re.search(r"(?i)\b(insert|update|delete|drop|create|alter|truncate|merge|grant|set|use|refresh|cache|load|call)\b", bare):
+        raise ValueError("statement is not read-only")
+    ctes = {m.lower() for m in re.findall(r"(?i)(?:\bwith|,)\s*([a-z_]\w*)\s+as\s*\(", bare)}
+    used = {m.lower().strip("`") for m in re.findall(r"(?i)\b(?:from|join)\s+([`a-z_][\w.`/]*)", bare)}
+    bad = used - ctes - {t.lower() for t in tables}
+    if bad:
+        raise ValueError(f"unknown table(s): {sorted(bad)}")
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(body, args or {})
+
+
+def read_jdbc(spark: SparkSession, url: str, *, query: str | None = None, table: str | None = None, limit: int | None = None,
+              partition_column: str | None = None, lower=None, upper=None, partitions: int = 16, **options) -> DataFrame:
+    """S-30: a read-only query or table, split on a numeric or time column when one is given."""
+    if (query is None) == (table is None):
+        raise ValueError("give either a query or a table")
+    if query is not None and not re.match(r"(?is)^\s*(select|with)\b", query):
+        raise ValueError("only SELECT is allowed")
+    source = f"({query.strip().rstrip(';')}) q" if query else table
+    r = spark.read.format("jdbc").option("url", url).option("dbtable", source).options(**options)
+    if partition_column:
+        r = (r.option("partitionColumn", partition_column).option("lowerBound", str(lower))
+              .option("upperBound", str(upper)).option("numPartitions", str(partitions)))
+    df = r.load()
+    return df.limit(limit) if limit else df
+
+
+# --- checks ----------------------------------------------------------------------------------
+def validate_building(history: DataFrame, mapped: DataFrame, *, required=("fan_cmd",)) -> DataFrame:
+    """S-16: per mapped equipment its rows, roles and errors. `mapped`: equipment_id, role."""
+    roles = mapped.groupBy(EQ).agg(F.collect_set("role").alias("roles"))
+    rows = history.groupBy(EQ).agg(F.count(F.lit(1)).alias("rows"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"))
+    j = roles.join(rows, EQ, "full_outer").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+    lacking = F.array_except(F.array(*[F.lit(r) for r in required]), F.coalesce("roles", F.array().cast("array<string>")))
+    return j.select(EQ, "rows", F.coalesce(F.size("roles"), F.lit(0)).alias("role_count"), F.array_sort(lacking).alias("missing"),
+                    F.when(C("rows") == 0, "error: no history").when(C("roles").isNull(), "error: no role map")
+                     .when(F.size(lacking) > 0, "warning: missing roles").otherwise("ok").alias("verdict"))
+
+
+def ingest_quality_gate(df: DataFrame, *, ts: str = TS, value: str = "value", keys=(EQ,), strict: bool = True) -> DataFrame:
+    """S-17: one row per check over an import: count of offenders and whether it blocks."""
+    dup = df.where(C(ts).isNotNull()).groupBy(*keys, ts).agg((F.count(F.lit(1)) - 1).alias("_d")).agg(
+        F.coalesce(F.sum("_d"), F.lit(0).cast("long")).alias("n")).select(F.lit("duplicate_timestamp").alias("check"), "n")
+    wide = df.agg(F.count(F.when(C(ts).isNull(), 1)).alias("bad_timestamp"), F.count(F.when(C(value).isNull(), 1)).alias("empty_value"),
+                  F.count(F.when(F.isnan(C(value)) | (F.abs(C(value)) == F.lit(float("inf"))), 1)).alias("not_finite"),
+                  F.count(F.when(C(keys[0]).isNull() | (F.trim(C(keys[0])) == ""), 1)).alias("no_identity"))
+    n = wide.unpivot([], list(wide.columns), "check", "n").unionByName(dup)
+    hard = ["bad_timestamp", "no_identity"] + (["duplicate_timestamp", "not_finite"] if strict else [])
+    return n.withColumn("blocks", (C("n") > 0) & C("check").isin(hard))
+
+
+def audit_package(history: DataFrame, mapped: DataFrame, *, trusted_start: str, feeds: DataFrame | None = None) -> DataFrame:
+    """S-31: mapped but absent columns, data before the trusted start (warning only), VAV to AHU
+    coverage, and a grade per building package: incomplete / degraded / ok, as one row."""
+    absent = mapped.where(~C("role").isin(history.columns)).agg(F.count(F.lit(1)).alias("absent_roles"))
+    span = history.agg(F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"),
+                       F.count(F.when(C(TS) < F.lit(trusted_start).cast("timestamp"), 1)).alias("before_trusted"))
+    out = absent.join(F.broadcast(span))  # one row each
+    vavs = history.where(F.upper(EQ).startswith("VAV")).select(EQ).distinct()
+    if feeds is not None:
+        known = history.select(C(EQ).alias("parent_ahu")).distinct().withColumn("_k", F.lit(1))
+        f = vavs.join(feeds.select(EQ, "parent_ahu"), EQ, "left").join(known, "parent_ahu", "left")
+        cover = f.agg((num(100) * F.count("_k") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("feed_coverage_pct"),
+                      F.count(F.when(C("parent_ahu").isNull(), 1)).alias("vavs_without_ahu"))
+        stale = feeds.select(EQ).distinct().join(history.select(EQ).distinct(), EQ, "left_anti").agg(
+            F.count(F.lit(1)).alias("stale_feeds"))
+        out = out.join(F.broadcast(cover)).join(F.broadcast(stale))  # one row each
+    else:
+        out = out.select("*", num(100).alias("feed_coverage_pct"), F.lit(0).alias("vavs_without_ahu"), F.lit(0).alias("stale_feeds"))
+    bad = (C("absent_roles") > 0) | (C("feed_coverage_pct") < num(50))
+    soft = (C("before_trusted") > 0) | (C("vavs_without_ahu") > 0) | (C("stale_feeds") > 0)
+    return out.withColumn("grade", F.when(bad, "incomplete").when(soft, "degraded").otherwise("ok"))
+
+
+# --- imported rows ---------------------------------------------------------------------------
+def with_lineage(df: DataFrame, raw_ts: str, parsed: Column) -> DataFrame:
+    """S-32: source file, position within the read, raw stamp and parse status on each row.
+    The position orders rows within a file split; it is not a line number."""
+    return df.select("*", C("_metadata.file_name").alias("source_file"), F.monotonically_increasing_id().alias("source_position"),
+                     C(raw_ts).alias("raw_timestamp"), F.when(parsed.isNull(), "failed").otherwise("ok").alias("parse_status"),
+                     F.lit(False).alias("fill_created"))
+
+
+def rows_to_dataset(long: DataFrame, root: str, *, building: str, roles=None) -> DataFrame:
+    """S-33: imported long rows into the history tree; returns the inferred grid per equipment."""
+    from thermaline.operators.align import interval_mode, long_to_wide
+    wide = long_to_wide(long.where(C(TS).isNotNull()), roles or NUMERIC_ROLES).withColumn("building_id", F.lit(building))
+    write_history(wide, root)
+    return interval_mode(wide).select(EQ, (C("interval_s") / num(60)).alias("grid_minutes"))
+
+
+KNOWN_ROLES = ALL_ROLES
