@@ -1,30 +1,10 @@
-"""Registered queries over the driver tables."""
+"""All registered queries over the driver tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
 from thermaline.operators import runner
 from thermaline.operators.rules import RULES
-from thermaline.sources import driver_tables as D
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-
-
-def query(name: str):
-    def add(fn: Query) -> Query:
-        QUERIES[name] = fn
-        return fn
-    return add
-
-
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Round doubles so that last-bit differences in summation order do not show."""
-    return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t == "double" else F.col(f"`{n}`")
-                       for n, t in df.dtypes])
+from thermaline.plans.base import QUERIES, Query, history, query, rounded, weather
 
 
 def rule_key(rule_id: str) -> str:
@@ -33,14 +13,19 @@ def rule_key(rule_id: str) -> str:
 
 def _rule_query(rule_id: str) -> Query:
     return lambda spark, d: rounded(runner.run_rule(
-        D.history(spark, d), rule_id, weather=D.weather(spark, d) if RULES[rule_id].weather else None))
+        history(spark, d), rule_id, weather=weather(spark, d) if RULES[rule_id].weather else None))
 
 
 for _id in RULES:
-    QUERIES[rule_key(_id)] = _rule_query(_id)
+    query(rule_key(_id))(_rule_query(_id))
 
 
 @query("rules_all")
 def rules_all(spark, d):
-    return rounded(runner.run_rules(D.history(spark, d), weather=D.weather(spark, d))
+    return rounded(runner.run_rules(history(spark, d), weather=weather(spark, d))
                    .select("equipment_id", "rule_id", "status", "fault_hours"))
+
+
+from thermaline.plans import queries_core  # noqa: E402,F401
+
+__all__ = ["QUERIES"]
