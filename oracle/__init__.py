@@ -1,8 +1,10 @@
 """SQL oracles by query name."""
 
+from oracle.analytics_sql import O as ANALYTICS
 from oracle.core_sql import O as CORE
 from oracle.rules_sql import all_rules_sql, rule_sql
 
 ORACLES: dict[str, str] = {"rule_" + k.lower().replace("-", "_"): v for k, v in rule_sql().items()}
 ORACLES["rules_all"] = all_rules_sql()
 ORACLES.update(CORE)
+ORACLES.update(ANALYTICS)

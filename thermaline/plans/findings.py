@@ -122,32 +122,40 @@ def assess(cand: DataFrame, *, comfort: DataFrame | None = None, spot: DataFrame
     related = d.groupBy(EQ).agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(~duct, 1)).alias("_plain"))
     d = d.join(related, EQ)
     others = F.when(duct, C("_all")).otherwise(C("_plain")) - 1
-    near = holds(pct >= num(95))
-    common = holds(C("peer_count") >= F.greatest(F.lit(5), F.floor(C("fleet_size") * num(0.4))))
-    bias = (rule == "VAV-5") & holds((C("damper_pct") <= num(5)) & (C("airflow") >= num(50)))
-    absent = (rule == "VAV-5") & holds((C("damper_pct") <= num(5)) & (C("airflow") < num(5)))
-    static_bad = duct & holds((C("fan_on_p50") > num(0)) & (C("fan_off_p50") >= F.greatest(num(1), num(2) * C("fan_on_p50"))))
-    cold = holds(C("mean_zone_t") < num(40))
-    telemetry = F.when(static_bad | bias, num(20)).otherwise(num(0))
-    corroboration = F.least(num(15), F.least(num(15), num(5) * others) + F.when(static_bad, num(10)).otherwise(num(0)))
-    chw = near & rule.startswith("CHW") & (telemetry < num(10))
-    temporal = F.coalesce(F.least(num(10), C("fault_hours") / num(200)), num(0))
-    score = (num(15) + num(15) + F.when(chw, num(5)).otherwise(num(10)) + telemetry + temporal + corroboration
-             + F.when(absent, num(-20)).otherwise(num(0)) + F.when(near, num(-5)).otherwise(num(0))
-             + F.when(common, num(-15)).otherwise(num(0)) + F.when(chw, num(-10)).otherwise(num(0)))
-    score = F.greatest(num(0), F.least(num(100), score))
-    graded = (F.when(score >= num(80), "STRONGLY_SUPPORTED").when(score >= num(60), "PROBABLE")
-               .when(score >= num(40), "INCONCLUSIVE").when(score >= num(20), "LIKELY_FALSE_POSITIVE").otherwise("DATA_QUALITY"))
+    # Each stage becomes a column before the next one reads it, which keeps the generated
+    # expressions small.
+    d = d.withColumns({
+        "_near": holds(pct >= num(95)),
+        "_common": holds(C("peer_count") >= F.greatest(F.lit(5), F.floor(C("fleet_size") * num(0.4)))),
+        "_bias": (rule == "VAV-5") & holds((C("damper_pct") <= num(5)) & (C("airflow") >= num(50))),
+        "_absent": (rule == "VAV-5") & holds((C("damper_pct") <= num(5)) & (C("airflow") < num(5))),
+        "_static": duct & holds((C("fan_on_p50") > num(0)) & (C("fan_off_p50") >= F.greatest(num(1), num(2) * C("fan_on_p50")))),
+        "_cold": holds(C("mean_zone_t") < num(40)), "_dead": rule.startswith("VAV-1") & holds(C("outlier")),
+        "_unmapped": C("missing_count") > 0, "_others": others})
+    near, common, absent, static_bad = C("_near"), C("_common"), C("_absent"), C("_static")
+    d = d.withColumns({
+        "_tele": F.when(static_bad | C("_bias"), num(20)).otherwise(num(0)),
+        "_corr": F.least(num(15), F.least(num(15), num(5) * C("_others")) + F.when(static_bad, num(10)).otherwise(num(0)))})
+    telemetry, corroboration = C("_tele"), C("_corr")
+    d = d.withColumn("_chw", near & rule.startswith("CHW") & (telemetry < num(10)))
+    points = (num(30) + F.when(C("_chw"), num(5)).otherwise(num(10)) + telemetry + corroboration
+              + F.coalesce(F.least(num(10), C("fault_hours") / num(200)), num(0))
+              + F.when(absent, num(-20)).otherwise(num(0)) + F.when(near, num(-5)).otherwise(num(0))
+              + F.when(common, num(-15)).otherwise(num(0)) + F.when(C("_chw"), num(-10)).otherwise(num(0)))
+    d = d.withColumn("_score", F.greatest(num(0), F.least(num(100), points)))
+    score = C("_score")
+    d = d.withColumn("_grade", F.when(score >= num(80), "STRONGLY_SUPPORTED").when(score >= num(60), "PROBABLE")
+                     .when(score >= num(40), "INCONCLUSIVE").when(score >= num(20), "LIKELY_FALSE_POSITIVE").otherwise("DATA_QUALITY"))
     weak = near & (telemetry < num(10)) & (corroboration < num(5))
-    dead = rule.startswith("VAV-1") & holds(C("outlier"))
-    cls = (F.when(cold | dead, "DATA_QUALITY").when(C("missing_count") > 0, "INCONCLUSIVE")
+    early = C("_cold") | C("_dead") | C("_unmapped")
+    cls = (F.when(C("_cold") | C("_dead"), "DATA_QUALITY").when(C("_unmapped"), "INCONCLUSIVE")
             .when(weak, F.when(score >= num(40), "INCONCLUSIVE").otherwise("LIKELY_FALSE_POSITIVE"))
             .when(absent & (telemetry <= num(0)), "LIKELY_FALSE_POSITIVE")
-            .when(near & (graded == "STRONGLY_SUPPORTED") & (telemetry < num(15)), "PROBABLE").otherwise(graded))
-    final = F.when(cold, num(5)).when(dead, num(15)).when(C("missing_count") > 0, num(25)).otherwise(score)
-    early = cold | dead | (C("missing_count") > 0)
+            .when(near & (C("_grade") == "STRONGLY_SUPPORTED") & (telemetry < num(15)), "PROBABLE").otherwise(C("_grade")))
+    final = F.when(C("_cold"), num(5)).when(C("_dead"), num(15)).when(C("_unmapped"), num(25)).otherwise(score)
     return d.withColumns({"score": F.round(final, 1), "classification": cls,
-                          "common_mode": F.when(early, F.lit(False)).otherwise(near | common)}).drop("_all", "_plain")
+                          "common_mode": F.when(early, F.lit(False)).otherwise(near | common)}).drop(
+        *[c for c in d.columns if c.startswith("_")])
 
 
 def cluster_key() -> Column:

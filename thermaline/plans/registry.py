@@ -26,6 +26,6 @@ def rules_all(spark, d):
                    .select("equipment_id", "rule_id", "status", "fault_hours"))
 
 
-from thermaline.plans import queries_core  # noqa: E402,F401
+from thermaline.plans import queries_analytics, queries_core  # noqa: E402,F401
 
 __all__ = ["QUERIES"]
