@@ -107,8 +107,8 @@ PCT = "(CASE WHEN oa_damper_pct > 1 THEN oa_damper_pct ELSE oa_damper_pct * 100
 ECP = (f"ep AS (SELECT equipment_id, timestamp_utc AS t, oa_t AS oat_f, rat AS rat_f, mat AS mat_f, {PCT} AS damper_fb_pct, oa_t - rat AS delta_or_f, mat - rat AS delta_mr_f, "
        f"CASE WHEN ABS(oa_t - rat) >= 10 THEN 1 ELSE 0 END AS identifiable, CASE WHEN ABS(oa_t - rat) >= 10 THEN GREATEST(-20, LEAST(120, 100 * (mat - rat) / (oa_t - rat))) END AS oa_frac_pct, "
        f"mat - (rat + {PCT} / 100 * (oa_t - rat)) AS mat_resid_f FROM history WHERE {FOFF} AND oa_t IS NOT NULL AND rat IS NOT NULL AND mat IS NOT NULL)")
-_e4 = ", ".join(f"{half_up(c, 4)} AS {c}" for c in ("oat_f", "rat_f", "mat_f", "damper_fb_pct", "delta_or_f", "delta_mr_f", "oa_frac_pct", "mat_resid_f"))
-O["economizer_points"] = f"WITH {B}, {ECP} SELECT equipment_id, {ts('t', 'timestamp_utc')}, identifiable, {_e4} FROM ep"
+_e6 = ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("oat_f", "rat_f", "mat_f", "damper_fb_pct", "delta_or_f", "delta_mr_f", "oa_frac_pct", "mat_resid_f"))
+O["economizer_points"] = f"WITH {B}, {ECP} SELECT equipment_id, {ts('t', 'timestamp_utc')}, identifiable, {_e6} FROM ep"
 O["economizer_top_points"] = (f"WITH {B}, {ECP} SELECT equipment_id, {ts('t', 'timestamp_utc')}, ROUND(oat_f, 6) AS oat_f, ROUND(rat_f, 6) AS rat_f, ROUND(mat_f, 6) AS mat_f FROM ep "
                               "ORDER BY identifiable DESC, t, equipment_id LIMIT 200")
 O["economizer_residuals"] = (f"WITH {B}, {ECP} SELECT equipment_id, ROUND(quantile_cont(mat_resid_f, 0.5), 6) AS median_mat_resid_f, ROUND(AVG(ABS(mat_resid_f)), 6) AS mat_resid_mae_f FROM ep "
@@ -300,7 +300,7 @@ STK = f"st AS (SELECT month, fuel, SUM(usage) AS usage, SUM({KB}) AS kbtu, MAX(d
 O["fuel_stacked"] = f"WITH {FU}, {STK} SELECT month, fuel, ROUND(usage, 2) AS usage, ROUND(kbtu, 2) AS kbtu, ROUND(dk, 2) AS demand_kw FROM st"
 O["fuel_intensity"] = (f"WITH {FU}, {STK} SELECT month, CAST(month[1:4] AS INT) AS year, CAST(month[6:7] AS INT) AS mon, fuel, ROUND(kbtu, 2) AS kbtu, ROUND(kbtu / (SELECT SUM(area) FROM buildings), 2) AS intensity_kbtu_ft2 FROM st")
 O["fuel_demand_grid"] = (f"WITH {FU} SELECT CAST(month[1:4] AS INT) AS year, " + ", ".join(
-    f"{half_up(f'MAX(demand_kw) FILTER (WHERE month[6:7] = {chr(39)}{m:02d}{chr(39)})', 4)} AS m{m:02d}" for m in range(1, 13)) + " FROM bills JOIN meters USING (meter_id) WHERE fuel = 'electricity' GROUP BY 1")
+    f"ROUND(MAX(demand_kw) FILTER (WHERE month[6:7] = '{m:02d}'), 6) AS m{m:02d}" for m in range(1, 13)) + " FROM bills JOIN meters USING (meter_id) WHERE fuel = 'electricity' GROUP BY 1")
 O["fuel_quality"] = (
     f"WITH {FU}, b AS (SELECT * FROM bills WHERE usage > 300000), q AS (SELECT meter_id, COUNT(*) AS c, MIN(month) AS a, MAX(month) AS z, list({MI.format('month')}) AS hv, 100.0::DOUBLE * COUNT(cost_usd) / COUNT(*) AS cc FROM b GROUP BY 1), "
     f"x AS (SELECT *, range({MI.format('a')}, {MI.format('z')} + 1) AS al FROM q) SELECT meter_id, c AS n_months, a AS span_start, z AS span_end, len(al)::INT AS expected_months, "
@@ -322,9 +322,9 @@ O["weather_bins"] = f"WITH {B}, {BINS} SELECT ROUND(temp_f, 6) AS temp_f, " + ",
 _ws = f"(0.621945::DOUBLE * {psat('temp_f')} / (14.696::DOUBLE - {psat('temp_f')}))"
 O["schedule_savings"] = (
     f"WITH {B}, {BINS}, bh AS (SELECT *, 0.24::DOUBLE * temp_f + {_ws} * (1061 + 0.444::DOUBLE * temp_f) AS ho, (shift1_h * 4 / 8 + shift2_h * 8 / 8 + shift3_h * 6 / 8) AS run FROM bn), "
-    "m AS (SELECT s_suppkey AS k, 5.0::DOUBLE + s_suppkey % 7 AS fk, 1000.0::DOUBLE + s_suppkey * 10 AS cfm, 1 - (13.0::DOUBLE * (5 + s_suppkey % 3)) / (18 * 7) AS cut FROM supplier), "
+    "m AS (SELECT s_suppkey AS k, 5.0::DOUBLE + s_suppkey % 7 AS fk, 1013.7::DOUBLE + s_suppkey * 11.3::DOUBLE AS cfm, 1 - (13.0::DOUBLE * (5 + s_suppkey % 3)) / (18 * 7) AS cut FROM supplier), "
     "x AS (SELECT k, cut, fk * SUM(run) AS fan, SUM(GREATEST(0, 1.08::DOUBLE * cfm * (55 - temp_f) / 1000) * run / 0.8::DOUBLE / 1000) AS heat, SUM(GREATEST(0, cfm * (ho - 23.2::DOUBLE) * 4.5::DOUBLE / 12000) * run * 0.9::DOUBLE) AS cool FROM m, bh GROUP BY k, cut, fk) "
-    "SELECT k AS measure_id, ROUND(cut, 6) AS hours_reduction_fraction, ROUND(fan * cut, 6) AS fan_savings_kwh, ROUND(heat * cut, 6) AS heating_savings_mmbtu, ROUND(heat * cut * 10, 6) AS heating_savings_therms, ROUND(cool * cut, 6) AS cooling_savings_kwh FROM x")
+    "SELECT k AS measure_id, ROUND(cut, 4) AS hours_reduction_fraction, ROUND(fan * cut, 4) AS fan_savings_kwh, ROUND(heat * cut, 4) AS heating_savings_mmbtu, ROUND(heat * cut * 10, 4) AS heating_savings_therms, ROUND(cool * cut, 4) AS cooling_savings_kwh FROM x")
 O["measure_savings"] = (
     "WITH m AS (SELECT s_suppkey AS k, s_suppkey % 9 AS kd, s_suppkey % 2 = 0 AS gas, ABS(s_acctbal) AS cost, 100.0::DOUBLE + s_suppkey AS a, 10.0::DOUBLE + s_suppkey % 5 AS b, 0.9::DOUBLE AS c, 0.7::DOUBLE AS d, 3.0::DOUBLE AS e, 2.0::DOUBLE AS f FROM supplier), "
     "s AS (SELECT *, CASE kd WHEN 0 THEN a * b * (POW(c, e) - POW(d, e)) WHEN 1 THEN a * (b - c) * d WHEN 3 THEN a * (b - c) WHEN 4 THEN CASE WHEN gas THEN 0 ELSE 1.08::DOUBLE * a * b * c / d / 3412.142::DOUBLE END "

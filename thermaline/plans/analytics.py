@@ -117,9 +117,9 @@ def motor_run_totals(table: DataFrame) -> DataFrame:
 
 
 # Name patterns of plant motors, first hit wins.
-MOTOR_PATTERNS = [("tower", "chiller", r"tower|ct[_-]?fan|cooling_tower"), ("pump", "boiler", r"hwp|hw_pump|boiler.*pump"),
-                  ("pump", "chiller", r"chwp|cwp|chw_pump|cw_pump|pump"), ("chiller", "chiller", r"chiller|compressor"),
-                  ("fan", "air", r"supply_fan|sf[_-]|fan")]
+MOTOR_PATTERNS = [("tower", "chiller", r"tower|ct[_-]?fan"), ("pump", "chiller", r"chwp|cwp|chw_pump|cw_pump"),
+                  ("pump", "boiler", r"hwp|hw_pump|boiler.*pump"), ("pump", "chiller", r"pump"),
+                  ("chiller", "chiller", r"chiller|compressor"), ("fan", "air", r"supply_fan|sf[_-]|fan")]
 
 
 def discover_plant_motors(points: DataFrame, *, column: str = "column") -> DataFrame:

@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from thermaline.plans.store import materialize
 from thermaline.sources import driver_tables as D
 
+__all__ = ["QUERIES", "Query", "history", "materialize", "query", "raw_history", "rounded", "stamp", "weather"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 

@@ -172,7 +172,10 @@ CLASS_RANK = {"STRONGLY_SUPPORTED": 5, "PROBABLE": 4, "DATA_QUALITY": 3, "INCONC
 
 
 def _rank(c: Column) -> Column:
-    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in CLASS_RANK.items() for x in kv]), c), F.lit(0))
+    out = F.lit(0)
+    for name, rank in CLASS_RANK.items():
+        out = F.when(c == name, rank).otherwise(out)
+    return out
 
 
 def clusters(assessed: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from thermaline.functions import weather as wx
 from thermaline.functions.logic import fan_on, holds, num
 from thermaline.operators import align, runner
 from thermaline.plans import analytics as A, findings as X, fuel as U
-from thermaline.plans.base import history, query, raw_history, rounded, stamp, weather
+from thermaline.plans.base import history, materialize, query, raw_history, rounded, stamp, weather
 from thermaline.sources import driver_tables as D
 
 C = F.col
@@ -130,7 +130,7 @@ def economizer_metrics(spark, d):
 @query("economizer_points")
 def economizer_points(spark, d):
     p = A.economizer_points(history(spark, d))
-    return rounded(p.withColumns({TS: F.date_format(TS, "yyyy-MM-dd HH:mm:ss"), "identifiable": C("identifiable").cast("int")}), 4)
+    return rounded(p.withColumns({TS: F.date_format(TS, "yyyy-MM-dd HH:mm:ss"), "identifiable": C("identifiable").cast("int")}))
 
 
 @query("economizer_top_points")
@@ -370,7 +370,7 @@ def fuel_intensity(spark, d):
 @query("fuel_demand_grid")
 def fuel_demand_grid(spark, d):
     b, m, _ = _fuel(spark, d)
-    return rounded(U.demand_grid(U.fuel_demand(b, m)), 4)
+    return rounded(U.demand_grid(U.fuel_demand(b, m)))
 
 
 @query("fuel_quality")
@@ -417,11 +417,11 @@ def _measures(spark, d):
 @query("schedule_savings")
 def schedule_savings(spark, d):
     s, k = _measures(spark, d)
-    m = s.select(k.alias("measure_id"), (num(5) + k % 7).cast("double").alias("fan_kw"), (num(1000) + k * num(10)).alias("oa_cfm"),
+    m = s.select(k.alias("measure_id"), (num(5) + k % 7).cast("double").alias("fan_kw"), (num(1013.7) + k * num(11.3)).alias("oa_cfm"),
                  num(0.8).alias("boiler_efficiency"), num(0.9).alias("kw_per_ton"), *[num(v).alias(c) for c, v in (
                      ("s1", 4.0), ("s2", 8.0), ("s3", 6.0), ("days", 7.0), ("p1", 2.0), ("p2", 8.0), ("p3", 3.0))],
                  (num(5) + k % 3).cast("double").alias("pdays"), num(55).alias("balance_f"), num(23.2).alias("supply_enthalpy"))
-    return rounded(U.schedule_savings(U.weather_bins(weather(spark, d), hours_per_sample=300 / 3600), m))
+    return rounded(U.schedule_savings(U.weather_bins(weather(spark, d), hours_per_sample=300 / 3600), m), 4)
 
 
 @query("measure_savings")
@@ -496,8 +496,9 @@ def worst_fault_day(spark, d):
 
 
 def _candidates(spark, d):
-    r = _results(spark, d, F_RULES).withColumn("fault_pct", num(100) * C("fault_samples") / C("samples"))
-    return X.candidates(r)
+    # Scoring reads the results several times, so they are written once, as the product does.
+    r = materialize(_results(spark, d, F_RULES))
+    return X.candidates(r.withColumn("fault_pct", num(100) * C("fault_samples") / C("samples")))
 
 
 @query("finding_candidates")
@@ -512,7 +513,7 @@ def _assessed(spark, d):
     on = holds(fan_on(False))
     static = h.groupBy(EQ).agg(F.percentile(F.when(~on, C("duct_static")), F.lit(0.5)).alias("fan_off_p50"),
                                F.percentile(F.when(on, C("duct_static")), F.lit(0.5)).alias("fan_on_p50"))
-    return X.assess(_candidates(spark, d), comfort=comfort, spot=spot, static=static)
+    return materialize(X.assess(_candidates(spark, d), comfort=comfort, spot=spot, static=static))
 
 
 @query("finding_scores")
