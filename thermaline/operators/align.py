@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermaline.functions.logic import epoch, num
+from thermaline.operators.confirm import median_delta
 from thermaline.operators.series import carry_backward, carry_forward, ordinal, with_series_columns
 
 C = F.col
@@ -276,9 +277,7 @@ def scan_health(df: DataFrame, *, keys=("equipment_id",), ts: str = TS, order: s
     seq = df.where(C(ts).isNotNull()).withColumn("_seq", F.timestamp_micros(C(order).cast("long") * F.lit(1_000_000)))
     seq = with_series_columns(seq, lambda w: {"_back": C(ts) < F.lag(ts).over(w)}, keys, "_seq", before=1, **kw)
     back = seq.groupBy(*keys).agg(F.count(F.when(C("_back"), 1)).alias("non_monotonic"))
-    med = with_series_columns(df.where(C(ts).isNotNull()).select(*keys, ts).distinct(),
-                              lambda w: {"_d": epoch(ts) - epoch(F.lag(ts).over(w))}, keys, ts, before=1, **kw)
-    med = med.groupBy(*keys).agg(F.percentile("_d", F.lit(0.5)).alias("median_delta_s"))
+    med = median_delta(df.where(C(ts).isNotNull()).select(*keys, ts).distinct(), keys, ts, out="median_delta_s", **kw)
     return a.join(back, list(keys), "left").join(med, list(keys), "left")
 
 

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from thermaline.functions.logic import epoch, holds, num
+from thermaline.operators.quantile import exact_median
 from thermaline.operators.series import (
     BLOCK, CORE, block_window, split_series, with_series_columns)
 
@@ -53,12 +54,11 @@ def sustain_then_confirm(df: DataFrame, raw: Column, sustain: int, n: int, **kw)
 
 
 def median_delta(df: DataFrame, keys=KEYS, ts: str = TS, *, out: str = "_median", **kw) -> DataFrame:
-    """Median sample spacing per series (distinct spacings are few, so the exact percentile
-    is cheap)."""
+    """Median sample spacing per series."""
     d = with_series_columns(df.select(*keys, ts),
                             lambda w: {"_d": epoch(ts) - epoch(F.lag(ts).over(w))},
                             keys, ts, before=1, **kw)
-    return d.groupBy(*keys).agg(F.percentile("_d", F.lit(0.5)).alias(out))
+    return df.select(*keys).distinct().join(exact_median(d, keys, "_d", out=out), list(keys), "left")
 
 
 def infer_poll(df: DataFrame, keys=KEYS, ts: str = TS, **kw) -> DataFrame:
