@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermaline.functions.logic import epoch, num
+from thermaline.functions.scalars import with_scalars
 from thermaline.operators.confirm import median_delta
 from thermaline.operators.series import carry_backward, carry_forward, ordinal, with_series_columns
 
@@ -106,7 +107,7 @@ def site_oat_with_fallback(df: DataFrame, role: str = "oa_t", lo: float = 40.0,
     by_ts = (df.where(ok).groupBy(TS)
                .agg(F.avg(F.when(wx, C(role))).alias("_wx"), F.avg(role).alias("_any")))
     have = df.where(ok & wx).agg((F.count(F.lit(1)) > 0).alias("_have"))
-    return (by_ts.join(F.broadcast(have))  # a single row
+    return (with_scalars(by_ts, have)
                  .select(TS, F.when(C("_have"), C("_wx")).otherwise(C("_any")).alias("oat_f"))
                  .where(C("oat_f").isNotNull()))
 

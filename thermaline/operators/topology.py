@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from thermaline.functions.logic import holds, num
+from thermaline.functions.scalars import with_scalars
 from thermaline.operators.runner import equipment_kind
 
 C = F.col
@@ -92,10 +93,10 @@ def is_mapped() -> Column:
 def model_coverage(points: DataFrame, equipment: DataFrame) -> DataFrame:
     n = F.count(F.lit(1))
     mapped = F.count(F.when(is_mapped(), 1))
-    return (points.agg(n.alias("point_count"), mapped.alias("mapped_points"),
-                       F.round(F.coalesce(F.try_divide(mapped * num(100), n), num(0)), 1).alias("model_score"))
-                  .withColumn("unmapped_points", C("point_count") - C("mapped_points"))
-                  .join(F.broadcast(equipment.agg(F.count_distinct("equip_id").alias("equipment_count")))))  # one row each
+    one = points.agg(n.alias("point_count"), mapped.alias("mapped_points"),
+                     F.round(F.coalesce(F.try_divide(mapped * num(100), n), num(0)), 1).alias("model_score"))
+    one = one.withColumn("unmapped_points", C("point_count") - C("mapped_points"))
+    return with_scalars(one, equipment.agg(F.count_distinct("equip_id").alias("equipment_count")))
 
 
 def source_coverage(points: DataFrame) -> DataFrame:

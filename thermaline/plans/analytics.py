@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from thermaline.functions.logic import any_of, epoch, fan_on, frac, holds, num, percent
 from thermaline.functions.roles import UNOCCUPIED_TOKENS, ensure_roles
+from thermaline.functions.scalars import with_scalars
 from thermaline.operators import align
 from thermaline.operators.confirm import forward_dt, median_delta
 from thermaline.operators.rules import RULES
@@ -443,7 +444,7 @@ def cohort_outlier(df: DataFrame, value: str, *, z: float = 2.5, out: str = "out
     statistics are a one-row aggregate."""
     s = df.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"), F.count(value).alias("_n"))
     flag = (C("_n") >= 3) & (C("_sd") > num(1e-9)) & (F.abs(C(value) - C("_mu")) / C("_sd") >= num(z))
-    return df.join(F.broadcast(s)).withColumn(out, holds(flag)).drop("_mu", "_sd", "_n")  # one row
+    return with_scalars(df, s).withColumn(out, holds(flag)).drop("_mu", "_sd", "_n")
 
 
 def occupied_for_rank(c: str = "occ_mode") -> Column:
@@ -530,7 +531,7 @@ def readings(df: DataFrame, columns, *, hours: float = 24.0, rolling_minutes: in
     """B-31: the last N hours relative to the newest sample, thinned to about `limit` rows per
     equipment, with an optional trailing mean."""
     last = df.agg(F.max(epoch(TS)).alias("_last"))
-    d = df.join(F.broadcast(last)).where(epoch(TS) >= C("_last") - num(hours * 3600)).select(EQ, TS, *columns)  # one row
+    d = with_scalars(df, last).where(epoch(TS) >= C("_last") - num(hours * 3600)).select(EQ, TS, *columns)
     if rolling_minutes:
         us = int(rolling_minutes * 60_000_000)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from thermaline.functions.logic import any_of, holds, num
+from thermaline.functions.scalars import with_scalars
 from thermaline.operators.confirm import runs
 from thermaline.operators.rules import RULES
 from thermaline.operators.runner import FAULT, equipment_kind
@@ -96,7 +97,7 @@ def candidates(results: DataFrame) -> DataFrame:
     f = results.where(C("status") == FAULT)
     peers = f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("peer_count"))
     fleet = f.where(F.upper(EQ).startswith("VAV")).agg(F.greatest(F.count_distinct(EQ), F.lit(1).cast("long")).alias("fleet_size"))
-    return (f.join(peers, "rule_id").join(F.broadcast(fleet))  # one row
+    return (with_scalars(f.join(peers, "rule_id"), fleet)
              .withColumns({"candidate_key": F.concat_ws("|", EQ, "rule_id"),
                            "system": equipment_system(equipment_kind(), C("rule_id"))}))
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from thermaline.functions.logic import num
+from thermaline.functions.scalars import with_scalars
 from thermaline.functions.weather import saturated_enthalpy_btu_lb
 
 C = F.col
@@ -70,9 +71,8 @@ def complete_windows(bills: DataFrame, months: int = 12) -> DataFrame:
     """F-1: the latest run of `months` consecutive months that every meter has billed, as rows
     (month). Runs are islands of month index minus row number over at most one row per month."""
     meters = bills.agg(F.count_distinct("meter_id").alias("_meters"))
-    common = (bills.groupBy("month").agg(F.count_distinct("meter_id").alias("_have"))
-                   .join(F.broadcast(meters)).where(C("_have") == C("_meters"))  # one row
-                   .withColumn("_i", month_index(C("month"))))
+    common = with_scalars(bills.groupBy("month").agg(F.count_distinct("meter_id").alias("_have")), meters)
+    common = common.where(C("_have") == C("_meters")).withColumn("_i", month_index(C("month")))
     by_month = Window.partitionBy(F.lit(1)).orderBy("_i")  # one row per calendar month
     runs = common.withColumn("_run", C("_i") - F.row_number().over(by_month))
     ends = (runs.groupBy("_run").agg(F.min("_i").alias("_lo"), F.max("_i").alias("_hi"))
@@ -139,7 +139,7 @@ def fuel_monthly(bills: DataFrame, meters: DataFrame, *, gap_fill: bool = False)
     if not gap_fill:
         return out
     ends = bills.agg(F.min(month_index(C("month"))).alias("_a"), F.max(month_index(C("month"))).alias("_b"))
-    grid = (m.join(F.broadcast(ends))  # one row
+    grid = (with_scalars(m, ends)
              .select("meter_id", "fuel", "unit", F.explode(F.sequence("_a", "_b")).alias("_i"))
              .select("meter_id", "fuel", "unit", month_text(C("_i")).alias("month")))
     missing = grid.join(bills.select("meter_id", "month"), ["meter_id", "month"], "left_anti")
@@ -156,7 +156,7 @@ def fuel_intensity(bills: DataFrame, meters: DataFrame, buildings: DataFrame, *,
     """F-5."""
     b = buildings if building is None else buildings.where(C("building_id") == building)
     area = b.agg(F.greatest(F.coalesce(F.sum("floor_area_ft2"), num(0)), num(1)).alias("area_ft2"))
-    return (fuel_stacked(bills, meters).join(F.broadcast(area))  # one row
+    return (with_scalars(fuel_stacked(bills, meters), area)
             .withColumns({"year": F.substring("month", 1, 4).cast("int"), "mon": F.substring("month", 6, 2).cast("int"),
                           "intensity_kbtu_ft2": C("kbtu") / C("area_ft2")}))
 
@@ -254,7 +254,7 @@ def schedule_savings(bins: DataFrame, measures: DataFrame) -> DataFrame:
     """
     table = bins.withColumn("h_out", saturated_enthalpy_btu_lb("temp_f")).agg(F.sort_array(F.collect_list(
         F.struct("temp_f", "shift1_h", "shift2_h", "shift3_h", "h_out"))).alias("_bins"))  # a few dozen bins
-    m = measures.join(F.broadcast(table))
+    m = with_scalars(measures, table)
     weekly = lambda p, d: (C(f"{p}1") + C(f"{p}2") + C(f"{p}3")) * C(d)
     cut = F.when(weekly("s", "days") > num(0), (weekly("s", "days") - weekly("p", "pdays")) / weekly("s", "days")).otherwise(num(0))
     run = lambda b: sum((b[f"shift{i}_h"] * C(f"s{i}") / num(8) * C("days") / num(7) for i in (2, 3)),

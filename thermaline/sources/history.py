@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 from thermaline.functions.logic import num
 from thermaline.functions.roles import ALL_ROLES, NUMERIC_ROLES, history_schema
+from thermaline.functions.scalars import with_scalars
 
 C = F.col
 EQ, TS = "equipment_id", "timestamp_utc"
@@ -282,7 +283,7 @@ def audit_package(history: DataFrame, mapped: DataFrame, *, trusted_start: str,
     absent = mapped.where(~C("role").isin(history.columns)).agg(F.count(F.lit(1)).alias("absent_roles"))
     span = history.agg(F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"),
                        F.count(F.when(C(TS) < F.lit(trusted_start).cast("timestamp"), 1)).alias("before_trusted"))
-    out = absent.join(F.broadcast(span))  # one row each
+    out = with_scalars(absent, span)
     vavs = history.where(F.upper(EQ).startswith("VAV")).select(EQ).distinct()
     if feeds is not None:
         known = history.select(C(EQ).alias("parent_ahu")).distinct().withColumn("_k", F.lit(1))
@@ -291,7 +292,7 @@ def audit_package(history: DataFrame, mapped: DataFrame, *, trusted_start: str,
                       F.count(F.when(C("parent_ahu").isNull(), 1)).alias("vavs_without_ahu"))
         stale = feeds.select(EQ).distinct().join(history.select(EQ).distinct(), EQ, "left_anti").agg(
             F.count(F.lit(1)).alias("stale_feeds"))
-        out = out.join(F.broadcast(cover)).join(F.broadcast(stale))  # one row each
+        out = with_scalars(with_scalars(out, cover), stale)
     else:
         out = out.select("*", num(100).alias("feed_coverage_pct"), F.lit(0).alias("vavs_without_ahu"), F.lit(0).alias("stale_feeds"))
     bad = (C("absent_roles") > 0) | (C("feed_coverage_pct") < num(50))
