@@ -322,7 +322,7 @@ O["weather_bins"] = f"WITH {B}, {BINS} SELECT ROUND(temp_f, 6) AS temp_f, " + ",
 _ws = f"(0.621945::DOUBLE * {psat('temp_f')} / (14.696::DOUBLE - {psat('temp_f')}))"
 O["schedule_savings"] = (
     f"WITH {B}, {BINS}, bh AS (SELECT *, 0.24::DOUBLE * temp_f + {_ws} * (1061 + 0.444::DOUBLE * temp_f) AS ho, (shift1_h * 4 / 8 + shift2_h * 8 / 8 + shift3_h * 6 / 8) AS run FROM bn), "
-    "m AS (SELECT s_suppkey AS k, 5.0::DOUBLE + s_suppkey % 7 AS fk, 1013.7::DOUBLE + s_suppkey * 11.3::DOUBLE AS cfm, 1 - (13.0::DOUBLE * (5 + s_suppkey % 3)) / (18 * 7) AS cut FROM supplier), "
+    "m AS (SELECT s_suppkey AS k, 5.0::DOUBLE + s_suppkey % 7 AS fk, 1013.7193::DOUBLE + s_suppkey * 11.3137::DOUBLE AS cfm, 1 - (13.0::DOUBLE * (5 + s_suppkey % 3)) / (18 * 7) AS cut FROM supplier), "
     "x AS (SELECT k, cut, fk * SUM(run) AS fan, SUM(GREATEST(0, 1.08::DOUBLE * cfm * (55 - temp_f) / 1000) * run / 0.8::DOUBLE / 1000) AS heat, SUM(GREATEST(0, cfm * (ho - 23.2::DOUBLE) * 4.5::DOUBLE / 12000) * run * 0.9::DOUBLE) AS cool FROM m, bh GROUP BY k, cut, fk) "
     "SELECT k AS measure_id, ROUND(cut, 4) AS hours_reduction_fraction, ROUND(fan * cut, 4) AS fan_savings_kwh, ROUND(heat * cut, 4) AS heating_savings_mmbtu, ROUND(heat * cut * 10, 4) AS heating_savings_therms, ROUND(cool * cut, 4) AS cooling_savings_kwh FROM x")
 O["measure_savings"] = (

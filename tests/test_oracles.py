@@ -51,3 +51,11 @@ def test_query(spark, con, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_registry_needs_no_session():
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = "import __spark_entry__ as e; assert len(e.queries()) > 200 and e.oracle_sql()"
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, timeout=120).returncode == 0

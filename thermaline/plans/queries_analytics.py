@@ -417,7 +417,7 @@ def _measures(spark, d):
 @query("schedule_savings")
 def schedule_savings(spark, d):
     s, k = _measures(spark, d)
-    m = s.select(k.alias("measure_id"), (num(5) + k % 7).cast("double").alias("fan_kw"), (num(1013.7) + k * num(11.3)).alias("oa_cfm"),
+    m = s.select(k.alias("measure_id"), (num(5) + k % 7).cast("double").alias("fan_kw"), (num(1013.7193) + k * num(11.3137)).alias("oa_cfm"),
                  num(0.8).alias("boiler_efficiency"), num(0.9).alias("kw_per_ton"), *[num(v).alias(c) for c, v in (
                      ("s1", 4.0), ("s2", 8.0), ("s3", 6.0), ("days", 7.0), ("p1", 2.0), ("p2", 8.0), ("p3", 3.0))],
                  (num(5) + k % 3).cast("double").alias("pdays"), num(55).alias("balance_f"), num(23.2).alias("supply_enthalpy"))
