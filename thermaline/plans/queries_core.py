@@ -13,33 +13,36 @@ from thermaline.sources import history as H
 
 C = F.col
 EQ, TS = "equipment_id", "timestamp_utc"
-HIGH = C("value") > num(60)
 ROLES4 = ["sat", "mat", "zone_t", "fan_cmd"]
-BATCH_RULES = ["FC1", "FC2", "FC13-SAT-HIGH", "AHU-SATDEV", "AHU-SIMUL", "ECON-1", "VAV-2", "VAV-5", "VAV-6", "CHW-1",
+BATCH_RULES = ["FC1", "FC2", "FC13-SAT-high()", "AHU-SATDEV", "AHU-SIMUL", "ECON-1", "VAV-2", "VAV-5", "VAV-6", "CHW-1",
                "CHW-3", "CW-OPT-1", "HP-1", "SV-RANGE", "TRIM-3", "MECH-OAT-1"]
 
 
+def high():
+    return C("value") > num(60)
+
+
 # --- framework -------------------------------------------------------------------------------
 @query("confirm_rows_raw")
 def confirm_rows_raw(spark, d):
-    c = confirm.confirm_rows(raw_history(spark, d), HIGH, 2, tiebreak=("event_id",))
+    c = confirm.confirm_rows(raw_history(spark, d), high(), 2, tiebreak=("event_id",))
     return c.groupBy(EQ).agg(F.count(F.when(C("confirmed"), 1)).alias("confirmed"), F.count(F.lit(1)).alias("samples"))
 
 
 @query("confirm_elapsed")
 def confirm_elapsed(spark, d):
-    c = confirm.confirm_elapsed(raw_history(spark, d), HIGH, 7200.0)
+    c = confirm.confirm_elapsed(raw_history(spark, d), high(), 7200.0)
     return c.groupBy(EQ).agg(F.count(F.when(C("confirmed"), 1)).alias("confirmed"))
 
 
 @query("elapsed_hours")
 def elapsed_hours(spark, d):
-    return rounded(confirm.elapsed_hours(raw_history(spark, d), HIGH), 4)
+    return rounded(confirm.elapsed_hours(raw_history(spark, d), high()), 4)
 
 
 @query("confirm_episodes")
 def confirm_episodes(spark, d):
-    e = confirm.confirm_episodes(raw_history(spark, d), HIGH, 1800.0)
+    e = confirm.confirm_episodes(raw_history(spark, d), high(), 1800.0)
     return rounded(e.select(EQ, stamp("start"), stamp("end"), "samples", "duration_s", C("open").cast("int").alias("open")), 3)
 
 
