@@ -83,6 +83,9 @@ def rules(text_col: str = "text") -> dict[str, Column]:
         "duplicate_lines": 100 * m["n_dup_lines"] > 30 * F.size(F.split(text, "\n")),
         "capitals": 100 * capitals > 60 * letters,
         "letters": 100 * letters < 60 * m["word_chars"],
+        "table_bars": 100 * (F.char_length(text) - F.char_length(F.translate(text, "|", ""))) > 20 * m["n_words"],
+        "stutter": let(words(text), lambda w: 100 * F.size(F.filter(F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))),
+                                                                                lambda a, b: a == b), lambda x: x)) > 30 * F.size(w)),
         "exclamations": 100 * (F.char_length(text) - F.char_length(F.translate(text, "!?", ""))) > 10 * m["word_chars"],
     }
 
@@ -138,12 +141,14 @@ m AS (SELECT doc_id, text, CAST(len(words) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
              length(regexp_replace(text, '\P{L}+', '', 'g')) AS letters, length(regexp_replace(text, '\P{Lu}+', '', 'g')) AS capitals,
-             length(regexp_replace(text, '[^!?]+', '', 'g')) AS marks, len(string_split(text, chr(10))) AS n_lines
+             length(regexp_replace(text, '[^!?]+', '', 'g')) AS marks,
+             length(regexp_replace(text, '[^|]+', '', 'g')) AS bars,
+             len(list_filter(list_zip(words[:-2], words[2:]), lambda x: x[1] = x[2])) AS pairs, len(string_split(text, chr(10))) AS n_lines
       FROM w LEFT JOIN rep USING (k)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 100 * n_symbols > 10 * word_chars OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 100 * n_dup_lines > 30 * n_lines OR 100 * capitals > 60 * letters OR 100 * letters < 60 * word_chars
-            OR 100 * marks > 10 * word_chars) AS kept
+            OR 100 * bars > 20 * n_words OR 100 * pairs > 30 * n_words OR 100 * marks > 10 * word_chars) AS kept
 FROM b
 """
