@@ -29,50 +29,49 @@ END_ID = 2
 #: Rows that one task numbers at most, on average.
 RANK_ROWS = 200_000
 #: Entries of a worker's memo of encoded words; it starts again when it is full.
-MEMO = 400_000
+MEMO = 800_000
 
 #: Cutting at single spaces leaves the pre-tokens of byte-level BPE as they are, unless a space has white space around it or the
 #: text holds the only special token.
 _UNSAFE = re.compile(r"\s \s|\s \Z|  |<\|endoftext\|>")
 
 
-class Encoder:
-    """Token ids of texts as little-endian unsigned 32-bit bytes, with a memo of space-separated words."""
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level BPE files write bytes: printable ones stand for themselves, the others follow from U+0100."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
+
+
+class Encoder(dict):
+    """Token ids of texts as little-endian unsigned 32-bit bytes; as a dict, the memo of the words after single spaces.
+
+    The tokenizer file is read by `tokenizers`, which also encodes texts that can't be cut at spaces. Words that the memo misses are
+    merged by `tiktoken` with the same vocabulary, whose ids are in the order of the merges.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        self.tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(map(letters.__getitem__, t)): i for t, i in self.tokenizer.get_vocab().items() if t not in special}
+        self.merge = tiktoken.Encoding("words", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def learn(self, parts: list[str]) -> None:
-        new = list({p for p in parts if p not in self.memo})
-        if not new:
-            return
-        if len(self.memo) + len(new) > MEMO:
-            self.memo.clear()
-            new = list(set(parts))
-        for part, got in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.memo[part] = np.asarray(got.ids, dtype="<u4").tobytes()
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMO:
+            self.clear()
+        ids = self[word] = np.array(self.merge(" " + word), dtype="<u4").tobytes()
+        return ids
 
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
         if _UNSAFE.search(text):
-            return self.whole(text)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         head, *rest = text.split(" ")
-        parts = [" " + p for p in rest]
-        if head:
-            parts.insert(0, head)
-        try:
-            return b"".join(map(self.memo.__getitem__, parts))
-        except KeyError:
-            self.learn(parts)
-            return b"".join(map(self.memo.__getitem__, parts))
+        return np.array(self.merge(head), dtype="<u4").tobytes() + b"".join(map(self.__getitem__, rest))
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:

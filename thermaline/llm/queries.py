@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from thermaline.llm import packing, quality
+from thermaline.llm import hashing_index, language, packing, pieces, privacy, quality, simhash, spans, substrings, toxicity
 from thermaline.llm.common import table
 
+
+def _documents(operator):
+    return lambda spark, sf: operator(table(spark, sf, "documents"))
+
+
 QUERIES = {
-    "op4_best_fit_packing": lambda spark, sf: packing.op4(table(spark, sf, "documents")),
-    "op10_quality_rules": lambda spark, sf: quality.op10(table(spark, sf, "documents")),
+    "op1_suffix_array_dedup": _documents(substrings.op1),
+    "op2_simhash_near_dedup": _documents(simhash.op2),
+    "op3_nearest_neighbours": lambda spark, sf: hashing_index.op3(table(spark, sf, "embeddings")),
+    "op4_best_fit_packing": _documents(packing.op4),
+    "op5_language_id": _documents(language.op5),
+    "op6_toxicity": lambda spark, sf: toxicity.op6(table(spark, sf, "documents"), table(spark, sf, "labels")),
+    "op7_sentencepiece": _documents(pieces.op7),
+    "op8_substring_dedup": _documents(spans.op8),
+    "op9_pii_surrogates": _documents(privacy.op9),
+    "op10_quality_rules": _documents(quality.op10),
 }
 
 ORACLES = {"op10_quality_rules": quality.OP10_SQL}
