@@ -26,8 +26,8 @@ from thermaline.llm.common import staged
 
 CAPACITY = 1024
 END_ID = 2
-#: Rows that one task numbers at most, on average.
-RANK_ROWS = 200_000
+#: Groups that the pieces of one length are dealt over, and pieces for each further group.
+RANK_SALTS, RANK_ROWS = 64, 20_000
 #: Entries of a worker's memo of encoded words; it starts again when it is full.
 MEMO = 800_000
 
@@ -176,7 +176,7 @@ def _slots(patterns: list, shift: int) -> dict[str, np.ndarray]:
 
 def ranked(rows: DataFrame, length: str, order: list[str], total: int) -> DataFrame:
     """`rank` from 0 within each length. Each length is dealt over salted groups, so a frequent length is no hot group."""
-    salts = max(1, -(-total // RANK_ROWS))
+    salts = RANK_SALTS + total // RANK_ROWS
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     sizes = salted.groupBy(length, "salt").agg(F.count("*").alias("n"))
     before = Window.partitionBy(length).orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)

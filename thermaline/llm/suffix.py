@@ -14,8 +14,8 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data), dtype="<u8", buffer=padded, strides=(1,)).copy()
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of `data` (uint8) sorted by their first `depth` bytes at least.
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """The suffixes of `data` (uint8) in order.
 
     Suffixes start sorted by eight bytes. Each round doubles the sorted length by sorting the groups of equal suffixes by the group
     number of what follows; suffixes that are alone in their group are never touched again.
@@ -34,7 +34,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     h = 8
     alone = new & np.concatenate([new[1:], [True]])
     open_ = np.flatnonzero(~alone)  # indexes into `order` of suffixes in groups of several
-    while h < depth and len(open_):
+    while len(open_):
         at = order[open_]
         own, follow = heads[open_], group[np.minimum(at + h, n)]
         by = np.lexsort((follow, own))
@@ -83,7 +83,7 @@ def kasai(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarray:
 
 def window_classes(data: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions in suffix order, class) of the valid positions; two have one class if their `width` bytes are equal."""
-    order = suffix_array(data, width)
+    order = suffix_array(data)
     label = np.cumsum(kasai(data, order, width) < width)
     kept = valid[order]
     return order[kept], label[kept]

@@ -219,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     packed = docs.select(F.col(id_col).alias("key"), pack(text_col).alias("packed"))
     packed = staged(packed.join(marks, "key").select(F.xxhash64("key").alias("order"), "packed", "toxic"))
     labelled = packed.mapInPandas(unpack, "text string, toxic int")
-    n_toxic, n_clean = packed.agg(F.count_if("toxic = 1"), F.count_if("toxic = 0")).first()
+    n_toxic, n_clean = packed.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n_toxic or not n_clean:
         return Judge(model, {}, None)
     evidence = _evidence(labelled, model)
@@ -254,12 +254,12 @@ def score(judge: Judge, text_col: str = "text"):
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` with held_out and score; labels of held-out documents are never read."""
+    """row (struct of the columns of `docs`), held_out and score; labels of held-out documents are never read."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
     judge = fit(docs, labels.where(~held_out).select("doc_id", "toxic"))
-    return docs.select("*", F.struct(held_out.alias("held_out"), score(judge).alias("score")).alias("toxicity"))
+    return docs.select(F.struct(*docs.columns).alias("row"), held_out.alias("held_out"), score(judge).alias("score"))
 
 
 def op6(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    out = scored(docs.select("doc_id", "text"), labels).select("doc_id", "toxicity.*")
+    out = scored(docs, labels).select("row.doc_id", "held_out", "score")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
