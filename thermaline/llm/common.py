@@ -34,6 +34,13 @@ def staged(df: DataFrame, *sort: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def hash_sample(df: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most `rows` rows of `df`, those of smallest key hash. Only hashes travel to find the bound, never the rows."""
+    order = F.xxhash64(*key)
+    last = df.select(order.alias("h")).orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    return df.where(F.lit(False) if last is None else order <= last).limit(rows)
+
+
 def let(value: Column, body) -> Column:
     """`body(value)` with `value` computed once a row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermaline.llm.common import staged
+from thermaline.llm.common import hash_sample, staged
 
 K = 20
 BITS = 128
@@ -169,7 +169,7 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id"
     total, asked, norm = clean.agg(F.count("*"), F.count_if("asks"), F.max(F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v)))).first()
     if not asked:
         return rows.sparkSession.createDataFrame([], schema)
-    sample = np.array([r["x"] for r in clean.select("x", F.xxhash64("id").alias("h")).orderBy("h", "x").limit(SAMPLE_ROWS).collect()])
+    sample = np.array([r["x"] for r in hash_sample(clean, SAMPLE_ROWS, "id").orderBy("id", "x").collect()])
     codes = learn(sample, norm, -(-bits // 64) * 64)
     set_radius(codes, sample, total, k, cover)
 

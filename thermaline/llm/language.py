@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -151,16 +152,19 @@ def _utf8(text: str | None) -> bytes:
     return (text or "").encode("utf-8", "surrogatepass")
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Network | None:
-    """Trains on at most `sample_docs` texts of each label, chosen by hash; windows are taken from all over a text."""
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null and length(text) > 0")
-    order = Window.partitionBy("label").orderBy(F.xxhash64("text"), "text")
-    # windows are cut before anything is collected: what reaches the driver is bounded in rows and bytes
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_docs: int = SAMPLE_DOCS) -> Network | None:
+    """Trains on about `sample_docs` texts of each label, those of smallest id hash; windows are taken from all over a text."""
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).alias("label"), F.xxhash64(id_col).alias("h"))
+    rows = rows.where("text is not null and label is not null and length(text) > 0")
+    # hashes alone find the bound of each label, and windows are cut before anything is collected
+    nth = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    last = rows.select("label", "h").withColumn("nth", nth).where(F.col("nth") <= sample_docs).groupBy("label").agg(F.max("h").alias("h")).collect()
+    if not last:
+        return None
     cut = F.pandas_udf(lambda texts: texts.map(_cuts), "array<binary>")
-    sample = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample_docs).select("label", cut("text").alias("cuts"))
+    taken = reduce(lambda a, b: a | b, [(F.col("label") == r["label"]) & (F.col("h") <= r["h"]) for r in last])
+    sample = rows.where(taken).limit(2 * sample_docs * len(last)).select("label", cut("text").alias("cuts"))
     got = sorted((r["label"], bytes(c)) for r in sample.collect() for c in r["cuts"])
-    if not got:
-        return None
     names = sorted({label for label, _ in got})
     return train(np.concatenate([windows_of(c) for _, c in got]), np.array([names.index(label) for label, _ in got]), names)
 

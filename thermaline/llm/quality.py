@@ -15,7 +15,7 @@ import time
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from thermaline.llm.common import let, staged, words
+from thermaline.llm.common import hash_sample, let, staged, words
 
 WINDOW = 8
 #: Documents on which cost and selectivity of the rules are estimated.
@@ -116,8 +116,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """id, text, measures and failed_rule of every document."""
     read = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     preds = rules()
-    # a hash orders the sample, so that it doesn't depend on how the rows lie in the files
-    sample = staged(read.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
+    sample = staged(hash_sample(read, sample_rows, "doc_id"))
     order = [name for name, _, _ in ordered(measures(sample), preds, sample_rows)]
     return cascade(measures(read), preds, order)
 

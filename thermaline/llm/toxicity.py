@@ -23,13 +23,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermaline.llm.common import staged
+from thermaline.llm.common import hash_sample, staged
 
 #: What a symbol may stand for. Fixed values.
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
               "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou"}
-#: Log costs of the channel: a symbol for its letter, a symbol for itself, a repeated letter dropped, a separator dropped.
-SUBSTITUTE, KEEP, DROP_REPEAT, DROP_GAP = -1.0, -4.0, -0.7, -0.2
+#: Log costs of the channel: a symbol for its letter, a symbol for itself, a repeated letter dropped, a separator or a symbol dropped.
+SUBSTITUTE, KEEP, DROP_REPEAT, DROP_GAP, DROP_SYMBOL = -1.0, -4.0, -0.7, -0.2, -6.0
 STEM = 5
 #: A lexicon entry needs so many different words before it and so much more frequency in toxic documents.
 MIN_EVIDENCE, MIN_LIFT = 4, 5.0
@@ -114,7 +114,7 @@ def decode(stretch: str, model: CharModel) -> str:
             if said.endswith(c) and c.isalpha():
                 ways.append(((a, b), score + DROP_REPEAT, said))
             if not c.isalnum():
-                ways.append(((a, b), score + DROP_GAP, said))
+                ways.append(((a, b), score + (DROP_GAP if c in " .-_" else DROP_SYMBOL), said))
             for state, value, reading in ways:
                 if state not in after or (value, reading) > after[state]:
                     after[state] = (value, reading)
@@ -217,7 +217,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
     packed = docs.select(F.col(id_col).alias("key"), pack(text_col).alias("packed"))
-    packed = staged(packed.join(marks, "key").select(F.xxhash64("key").alias("order"), "packed", "toxic"))
+    packed = staged(packed.join(marks, "key"))
     labelled = packed.mapInPandas(unpack, "text string, toxic int")
     n_toxic, n_clean = packed.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n_toxic or not n_clean:
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .where((F.col("toxic") >= MIN_EVIDENCE) & (lift >= MIN_LIFT)).select("feature", F.log(lift).alias("w"), "toxic")
              .orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "feature").limit(LEXICON))
     judge = Judge(model, {r["feature"]: float(r["w"]) for r in table.collect()}, None)
-    sample = packed.orderBy("order", "packed").limit(FIT_ROWS)
+    sample = hash_sample(packed, FIT_ROWS, "key")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Restorer(model)
