@@ -29,7 +29,7 @@ from thermaline.llm.common import hash_sample, staged
 LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i",
               "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou"}
 #: Log costs of the channel: a symbol for its letter, a symbol for itself, a repeated letter dropped, a separator or a symbol dropped.
-SUBSTITUTE, KEEP, DROP_REPEAT, DROP_GAP, DROP_SYMBOL = -1.0, -4.0, -0.7, -0.2, -6.0
+SUBSTITUTE, KEEP, DROP_REPEAT, DROP_GAP, DROP_SYMBOL = -1.0, -4.0, -0.7, -0.2, -12.0
 STEM = 5
 #: A lexicon entry needs so many different words before it and so much more frequency in toxic documents.
 MIN_EVIDENCE, MIN_LIFT = 4, 5.0
