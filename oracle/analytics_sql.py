@@ -96,7 +96,8 @@ def _bins(dev_where: str, oat: str) -> str:
 O["oat_bins"] = f"WITH {B}, " + _bins(f"WHERE {KIND.replace('equipment_id', 'h.equipment_id')} IN ('chiller', 'heatpump')",
                                       "SELECT timestamp_utc, AVG(oa_t) AS oat_f FROM history WHERE oa_t BETWEEN 40 AND 110 GROUP BY 1")
 O["oat_bins_weather_first"] = f"WITH {B}, " + _bins(
-    "", "SELECT timestamp_utc, AVG(oa_t) AS oat_f FROM history WHERE oa_t BETWEEN 40 AND 110 AND UPPER(equipment_id) LIKE '%WEATHER%' GROUP BY 1")
+    "", "SELECT timestamp_utc, AVG(oa_t) AS oat_f FROM history WHERE oa_t BETWEEN 40 AND 110 AND (UPPER(equipment_id) LIKE '%WEATHER%' "
+    "OR NOT EXISTS (SELECT 1 FROM history WHERE oa_t BETWEEN 40 AND 110 AND UPPER(equipment_id) LIKE '%WEATHER%')) GROUP BY 1")
 BW = ("b1 AS (SELECT timestamp_utc, AVG(oa_t) AS b FROM history WHERE oa_t IS NOT NULL GROUP BY 1), w1 AS (SELECT timestamp_utc, AVG(web_oa_t) AS w FROM history WHERE web_oa_t IS NOT NULL GROUP BY 1), "
       "bw AS (SELECT timestamp_utc, b, w, b - w AS dl FROM b1 JOIN w1 USING (timestamp_utc))")
 O["bas_vs_web"] = f"WITH {B}, {BW} SELECT {ts('timestamp_utc')}, ROUND(b, 6) AS bas_oat_f, ROUND(w, 6) AS web_oat_f, ROUND(dl, 6) AS delta_f FROM bw"
@@ -104,13 +105,13 @@ O["bas_vs_web_histogram"] = f"WITH {B}, {BW} SELECT FLOOR(dl)::DOUBLE AS delta_l
 O["economizer_metrics"] = (f"WITH {B} SELECT equipment_id, COUNT(*) FILTER (WHERE {FOFF}) AS n_fan_on, COUNT(*) FILTER (WHERE {FOFF} AND ABS(oa_t - rat) >= 10) AS n_identifiable, "
                            f"COUNT(oa_damper_pct) AS n_damper FROM history GROUP BY 1 HAVING COUNT(*) FILTER (WHERE {FOFF}) > 0")
 PCT = "(CASE WHEN oa_damper_pct > 1 THEN oa_damper_pct ELSE oa_damper_pct * 100 END)"
-ECP = (f"ep AS (SELECT equipment_id, timestamp_utc AS t, oa_t AS oat_f, rat AS rat_f, mat AS mat_f, {PCT} AS damper_fb_pct, oa_t - rat AS delta_or_f, mat - rat AS delta_mr_f, "
+ECP = (f"ep AS (SELECT building_id, equipment_id, timestamp_utc AS t, oa_t AS oat_f, rat AS rat_f, mat AS mat_f, {PCT} AS damper_fb_pct, oa_t - rat AS delta_or_f, mat - rat AS delta_mr_f, "
        f"CASE WHEN ABS(oa_t - rat) >= 10 THEN 1 ELSE 0 END AS identifiable, CASE WHEN ABS(oa_t - rat) >= 10 THEN GREATEST(-20, LEAST(120, 100 * (mat - rat) / (oa_t - rat))) END AS oa_frac_pct, "
        f"mat - (rat + {PCT} / 100 * (oa_t - rat)) AS mat_resid_f FROM history WHERE {FOFF} AND oa_t IS NOT NULL AND rat IS NOT NULL AND mat IS NOT NULL)")
 _e6 = ", ".join(f"ROUND({c}, 6) AS {c}" for c in ("oat_f", "rat_f", "mat_f", "damper_fb_pct", "delta_or_f", "delta_mr_f", "oa_frac_pct", "mat_resid_f"))
 O["economizer_points"] = f"WITH {B}, {ECP} SELECT equipment_id, {ts('t', 'timestamp_utc')}, identifiable, {_e6} FROM ep"
-O["economizer_top_points"] = (f"WITH {B}, {ECP} SELECT equipment_id, {ts('t', 'timestamp_utc')}, ROUND(oat_f, 6) AS oat_f, ROUND(rat_f, 6) AS rat_f, ROUND(mat_f, 6) AS mat_f FROM ep "
-                              "ORDER BY identifiable DESC, t, equipment_id LIMIT 200")
+O["economizer_top_points"] = (f"WITH {B}, {ECP} SELECT building_id, equipment_id, {ts('t', 'timestamp_utc')}, ROUND(oat_f, 6) AS oat_f, ROUND(rat_f, 6) AS rat_f, ROUND(mat_f, 6) AS mat_f FROM ep "
+                              "ORDER BY identifiable DESC, t, building_id, equipment_id LIMIT 200")
 O["economizer_residuals"] = (f"WITH {B}, {ECP} SELECT equipment_id, ROUND(quantile_cont(mat_resid_f, 0.5), 6) AS median_mat_resid_f, ROUND(AVG(ABS(mat_resid_f)), 6) AS mat_resid_mae_f FROM ep "
                              "WHERE identifiable = 1 AND mat_resid_f IS NOT NULL GROUP BY 1")
 O["economizer_points_per_equipment"] = (
@@ -188,8 +189,8 @@ O["five_number"] = (f"WITH {B}, r AS (SELECT equipment_id, {_five('zone_t')} FRO
                     "CASE WHEN ABS(av - (SELECT AVG(av) FROM r)) / (SELECT STDDEV_POP(av) FROM r) >= 1.5 THEN 1 ELSE 0 END AS outlier FROM r")
 O["by_fan_mode"] = (f"WITH {B}, m AS (SELECT equipment_id, duct_static AS v, UNNEST(['all', CASE WHEN {FOFF} THEN 'on' ELSE 'off' END]) AS mode FROM history WHERE duct_static IS NOT NULL), "
                     f"r AS (SELECT equipment_id, mode, {_five('v')} FROM m GROUP BY 1, 2) SELECT equipment_id, mode, {_f5} FROM r")
-O["inspect_page"] = (f"WITH {B} SELECT equipment_id, {ts('timestamp_utc')}, ROUND(sat, 6) AS sat, ROUND(mat, 6) AS mat FROM history h WHERE h.timestamp_utc >= TIMESTAMP '2024-01-01 06:00:00' "
-                     "ORDER BY h.timestamp_utc, equipment_id LIMIT 100")
+O["inspect_page"] = (f"WITH {B} SELECT building_id, equipment_id, {ts('timestamp_utc')}, ROUND(sat, 6) AS sat, ROUND(mat, 6) AS mat FROM history h WHERE h.timestamp_utc >= TIMESTAMP '2024-01-01 06:00:00' "
+                     "ORDER BY h.timestamp_utc, building_id, equipment_id LIMIT 100")
 O["descriptive_counts"] = f"WITH {B} SELECT equipment_id, COUNT(*) AS rows FROM history WHERE zone_t > 70 GROUP BY 1"
 O["dataset_time_span"] = f"WITH {RAW} SELECT {ts('MIN(timestamp_utc)', 'first_ts')}, {ts('MAX(timestamp_utc)', 'last_ts')}, ROUND(({sec('MAX(timestamp_utc)')} - {sec('MIN(timestamp_utc)')}) / 3600, 6) AS hours FROM raw"
 O["readings_window"] = (
@@ -199,8 +200,8 @@ O["readings_window"] = (
 O["evidence_availability"] = (f"WITH {B} SELECT equipment_id, CASE WHEN COUNT(oa_t) + COUNT(web_oa_t) > 0 THEN 1 ELSE 0 END AS has_oat, "
                               "CASE WHEN COUNT(chiller_status) + COUNT(compressor_status) + COUNT(chiller_cmd) + COUNT(chiller_amps) + COUNT(chiller_power) > 0 THEN 1 ELSE 0 END AS has_cooling_proof, COUNT(*) AS rows FROM history GROUP BY 1")
 O["cooling_eligibility"] = (
-    "WITH p AS (SELECT p_brand || '_' || (p_size % 7) AS equipment_id, MAX(CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END) AS pr, MAX(CASE WHEN p_type IN ('SMALL','MEDIUM') THEN 1 ELSE 0 END) AS su FROM part GROUP BY 1) "
-    "SELECT equipment_id, CASE WHEN pr = 1 AND su = 1 THEN 'high' WHEN pr = 1 OR su = 1 THEN 'medium' ELSE 'none' END AS confidence, GREATEST(pr, su) AS eligible FROM p")
+    "WITH p AS (SELECT 'B' || (p_partkey % 2 + 1) AS building_id, p_brand || '_' || (p_size % 7) AS equipment_id, MAX(CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END) AS pr, MAX(CASE WHEN p_type IN ('SMALL','MEDIUM') THEN 1 ELSE 0 END) AS su FROM part GROUP BY 1, 2) "
+    "SELECT building_id, equipment_id, CASE WHEN pr = 1 AND su = 1 THEN 'high' WHEN pr = 1 OR su = 1 THEN 'medium' ELSE 'none' END AS confidence, GREATEST(pr, su) AS eligible FROM p")
 O["metering_monthly"] = (
     f"WITH {B}, o AS (SELECT strftime(timestamp_utc, '%Y-%m') AS month, AVG(oa_t) AS t FROM history WHERE oa_t IS NOT NULL GROUP BY 1), "
     "m AS (SELECT equipment_id, strftime(timestamp_utc, '%Y-%m') AS month, AVG(elec_power) AS r, COUNT(*) AS c FROM history WHERE elec_power IS NOT NULL GROUP BY 1, 2) "
@@ -337,7 +338,7 @@ O["measure_savings"] = (
 FR = ["FC1", "FC2", "AHU-SATDEV", "VAV-4", "VAV-5", "VAV-AHU-LEAVE", "CHW-1", "CHW-3", "SV-RANGE", "AHU-DUCTHI", "HP-1"]
 RES = results(FR)
 SEV = "CASE WHEN rule_id LIKE 'CHW%' THEN 'critical' WHEN rule_id LIKE 'VAV%' THEN 'info' ELSE 'warning' END"
-REC = f"{RES}, rec AS (SELECT *, equipment_id || '|' || rule_id AS fault_id, 'confirmed' AS st, {SEV} AS sev FROM res WHERE fault_hours > 0)"
+REC = f"{RES}, rec AS (SELECT *, '@SITE@|' || equipment_id || '|' || rule_id AS fault_id, 'confirmed' AS st, {SEV} AS sev FROM res WHERE fault_hours > 0)"
 O["fault_summary"] = f"WITH {REC} SELECT 0::BIGINT AS raw_count, COUNT(*) AS confirmed_count, 0::BIGINT AS cleared_count, COUNT(*) AS active_count, COUNT(*) AS total_count FROM rec"
 O["fault_records_cleared"] = f"WITH {REC} SELECT fault_id, st AS status, sev AS severity FROM rec WHERE NOT (equipment_id LIKE 'VAV%' AND rule_id = 'VAV-5' AND equipment_id NOT LIKE '%1')"
 SF = f"{B}, fb AS (SELECT *, CASE WHEN {PREDICATES['AHU-SATDEV'][1]} THEN 1 ELSE 0 END AS f FROM history), fi AS ({islands('fb', 'f')}), fl AS (SELECT *, CASE WHEN f = 1 AND len >= 2 THEN 1 ELSE 0 END AS cf FROM fi)"
@@ -355,7 +356,7 @@ O["worst_fault_day"] = (f"WITH {SF}, dc AS (SELECT equipment_id, strftime(timest
 SYS = ("CASE WHEN kd = 'ahu' THEN 'AHU' WHEN kd = 'heatpump' THEN 'HP' WHEN kd = 'chiller' OR rule_id LIKE 'CHW%' THEN 'CHW' WHEN kd = 'boiler' THEN 'HW' WHEN kd = 'vav' OR rule_id LIKE 'VAV%' OR rule_id LIKE 'SV-%' THEN 'VAV' ELSE UPPER(kd) END")
 CAND = (f"{RES}, {B}, sm AS (SELECT equipment_id, COUNT(*) AS c FROM history GROUP BY 1), "
         f"c0 AS (SELECT res.equipment_id, rule_id, fault_hours, fault_hours * 12 / c * 100 AS fault_pct, {KIND.replace('equipment_id', 'res.equipment_id')} AS kd FROM res JOIN sm ON sm.equipment_id = res.equipment_id WHERE fault_hours > 0), "
-        f"cand AS (SELECT *, equipment_id || '|' || rule_id AS candidate_key, {SYS} AS system, COUNT(*) OVER (PARTITION BY rule_id) AS peer_count, (SELECT GREATEST(COUNT(DISTINCT equipment_id), 1) FROM c0 WHERE equipment_id LIKE 'VAV%') AS fleet_size FROM c0)")
+        f"cand AS (SELECT *, '@SITE@|' || equipment_id || '|' || rule_id AS candidate_key, {SYS} AS system, COUNT(*) OVER (PARTITION BY rule_id) AS peer_count, (SELECT GREATEST(COUNT(DISTINCT equipment_id), 1) FROM c0 WHERE equipment_id LIKE 'VAV%') AS fleet_size FROM c0)")
 O["finding_candidates"] = f"WITH {CAND} SELECT candidate_key, system, ROUND(fault_hours, 6) AS fault_hours, ROUND(fault_pct, 6) AS fault_pct, peer_count, fleet_size FROM cand"
 ASS = (f"{CAND}, cx AS (SELECT equipment_id, AVG(zone_t) AS mz, MIN(damper_pct) AS dp, MAX(zone_flow) AS af, quantile_cont(duct_static, 0.5) FILTER (WHERE NOT {FOFF}) AS fo, quantile_cont(duct_static, 0.5) FILTER (WHERE {FOFF}) AS fn FROM history GROUP BY 1), "
        "a1 AS (SELECT cand.*, mz, dp, af, fo, fn, rule_id IN ('AHU-DUCTHI','FC1') AS duct, fault_pct >= 95 AS near, peer_count >= GREATEST(5, FLOOR(fleet_size * 0.4)) AS common, COALESCE(mz < 40, FALSE) AS cold, "
@@ -370,8 +371,8 @@ ASS = (f"{CAND}, cx AS (SELECT equipment_id, AVG(zone_t) AS mz, MIN(damper_pct)
        f"ass AS (SELECT *, {half_up('CASE WHEN cold THEN 5 ELSE sc END', 1)} AS score, CASE WHEN cold THEN 'DATA_QUALITY' WHEN near AND tele < 10 AND corr < 5 THEN CASE WHEN sc >= 40 THEN 'INCONCLUSIVE' ELSE 'LIKELY_FALSE_POSITIVE' END "
        "WHEN absent AND tele <= 0 THEN 'LIKELY_FALSE_POSITIVE' WHEN near AND gr = 'STRONGLY_SUPPORTED' AND tele < 15 THEN 'PROBABLE' ELSE gr END AS classification, CASE WHEN cold THEN FALSE ELSE near OR common END AS cmode FROM a5)")
 O["finding_scores"] = f"WITH {ASS} SELECT candidate_key, score, classification, cmode::INT AS common_mode FROM ass"
-CL = ("cl AS (SELECT *, CASE WHEN classification = 'DATA_QUALITY' THEN 'dq|' || equipment_id || '|' || rule_id WHEN cmode AND rule_id LIKE 'VAV%' THEN 'common|' || rule_id WHEN cmode AND rule_id LIKE 'CHW%' THEN 'chw|' || rule_id "
-      "WHEN rule_id IN ('VAV-4','VAV-5','VAV-7','SV-RANGE') THEN 'vavflow|' || equipment_id ELSE 'solo|' || equipment_id || '|' || rule_id END AS cluster, "
+CL = ("cl AS (SELECT *, CASE WHEN classification = 'DATA_QUALITY' THEN 'dq|@SITE@|' || equipment_id || '|' || rule_id WHEN cmode AND rule_id LIKE 'VAV%' THEN 'common|@SITE@|' || rule_id WHEN cmode AND rule_id LIKE 'CHW%' THEN 'chw|@SITE@|' || rule_id "
+      "WHEN rule_id IN ('VAV-4','VAV-5','VAV-7','SV-RANGE') THEN 'vavflow|@SITE@|' || equipment_id ELSE 'solo|@SITE@|' || equipment_id || '|' || rule_id END AS cluster, "
       "CASE classification WHEN 'STRONGLY_SUPPORTED' THEN 5 WHEN 'PROBABLE' THEN 4 WHEN 'DATA_QUALITY' THEN 3 WHEN 'INCONCLUSIVE' THEN 2 WHEN 'LIKELY_FALSE_POSITIVE' THEN 1 ELSE 0 END AS rk FROM ass), "
       "cg AS (SELECT cluster, MAX(score) AS score, arg_max(classification, {'s': score, 'r': rk}) AS classification, COUNT(*) AS members, COUNT(DISTINCT equipment_id) AS equipment_count, COUNT(DISTINCT rule_id) AS rule_count, SUM(fault_hours) AS fault_hours "
       "FROM cl WHERE classification NOT IN ('LIKELY_FALSE_POSITIVE','NOT_ACTIONABLE') GROUP BY 1 HAVING arg_max(classification, {'s': score, 'r': rk}) <> 'DATA_QUALITY' OR MAX(score) >= 10)")

@@ -250,8 +250,8 @@ O["scan_health"] = (
     "b AS (SELECT *, CASE WHEN t < LAG(t) OVER (PARTITION BY equipment_id ORDER BY o) THEN 1 ELSE 0 END AS back FROM h), "
     "u AS (SELECT DISTINCT equipment_id, t FROM h), m AS (SELECT equipment_id, epoch(t) - epoch(LAG(t) OVER (PARTITION BY equipment_id ORDER BY t)) AS g FROM u), "
     "md AS (SELECT equipment_id, quantile_cont(g, 0.5) AS x FROM m GROUP BY 1) "
-    f"SELECT equipment_id, COUNT(*) AS samples, COUNT(*) - COUNT(DISTINCT t) AS duplicates, 0::BIGINT AS malformed, SUM(back)::BIGINT AS non_monotonic, "
-    f"ROUND(ANY_VALUE(x)::DOUBLE, 6) AS median_delta_s, {ts('MIN(t)', 'first_ts')}, {ts('MAX(t)', 'last_ts')} FROM b JOIN md USING (equipment_id) GROUP BY equipment_id")
+    f"SELECT CAST(CAST(equipment_id AS INT) % 2 AS VARCHAR) AS building_id, CAST(CAST(b.equipment_id AS INT) // 2 AS VARCHAR) AS equipment_id, COUNT(*) AS samples, COUNT(*) - COUNT(DISTINCT t) AS duplicates, 0::BIGINT AS malformed, SUM(back)::BIGINT AS non_monotonic, "
+    f"ROUND(ANY_VALUE(x)::DOUBLE, 6) AS median_delta_s, {ts('MIN(t)', 'first_ts')}, {ts('MAX(t)', 'last_ts')} FROM b JOIN md USING (equipment_id) GROUP BY b.equipment_id")
 O["localize_dst"] = (
     "WITH o AS (SELECT o_orderdate + INTERVAL 1 MINUTE * (o_orderkey % 240) AS wall FROM orders), "
     "u AS (SELECT wall, (wall AT TIME ZONE 'America/Chicago') AS g FROM o), "
@@ -286,7 +286,7 @@ O["validate_building"] = (
 _ex = " UNION ALL ".join(f"SELECT equipment_id, timestamp_utc AS t, '{r}' AS role, {r} AS value FROM history WHERE {r} IS NOT NULL" for r in ("sat", "mat"))
 O["export_history"] = (f"WITH {B}, l AS ({_ex}) SELECT equipment_id, strftime(t, '%Y-%m-%dT%H:%M:%S') AS timestamp_utc, "
                        "strftime((t AT TIME ZONE 'UTC') AT TIME ZONE 'America/Chicago', '%Y-%m-%dT%H:%M:%S') AS timestamp_local, role, ROUND(value, 6) AS value FROM l")
-O["page_of_rows"] = f"WITH {RAW} SELECT equipment_id, event_id, ROUND(value, 6) AS value FROM raw ORDER BY event_id LIMIT 25 OFFSET 40"
+O["page_of_rows"] = f"WITH {RAW} SELECT building_id, equipment_id, event_id, ROUND(value, 6) AS value FROM raw ORDER BY event_id LIMIT 25 OFFSET 40"
 O["sql_over_views"] = f"WITH {B} SELECT equipment_id, COUNT(*) AS n, ROUND(AVG(sat), 6) AS mean_sat FROM history WHERE sat > 80 GROUP BY 1"
 
 # --- sensors ---------------------------------------------------------------------------------
@@ -436,6 +436,6 @@ O["suggest_roles"] = ("SELECT CASE WHEN p_name LIKE '%ring%' THEN 'sat' WHEN p_n
 O["resolve_roles"] = ("SELECT CASE p_partkey % 7 WHEN 0 THEN 'sat' WHEN 1 THEN 'fan_cmd' WHEN 2 THEN 'oa_t' WHEN 3 THEN 'zone_t' WHEN 4 THEN 'chw_supply_t' WHEN 5 THEN 'steam_flow' ELSE 'sat' END AS role, "
                       "COUNT(*) AS n FROM part GROUP BY 1")
 O["pick_best_column"] = (
-    "WITH c AS (SELECT DISTINCT p_brand AS equipment_id, 'sat' AS role, CASE p_size % 4 WHEN 0 THEN 'dat_x_1_' || p_size WHEN 1 THEN 'discharge_air_temp_f' WHEN 2 THEN 'dat_y_' || p_size ELSE 'DAT_2_' || p_size END AS \"column\", "
-    "CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 100 WHEN 2 THEN 60 ELSE 5 END AS score FROM part), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY equipment_id, role ORDER BY score DESC, \"column\") AS rn FROM c) "
-    "SELECT equipment_id, role, \"column\", score FROM r WHERE rn = 1")
+    "WITH c AS (SELECT DISTINCT 'B' || (p_partkey % 2 + 1) AS building_id, p_brand AS equipment_id, 'sat' AS role, CASE p_size % 4 WHEN 0 THEN 'dat_x_1_' || p_size WHEN 1 THEN 'discharge_air_temp_f' WHEN 2 THEN 'dat_y_' || p_size ELSE 'DAT_2_' || p_size END AS \"column\", "
+    "CASE p_size % 4 WHEN 0 THEN 10 WHEN 1 THEN 100 WHEN 2 THEN 60 ELSE 5 END AS score FROM part), r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY building_id, equipment_id, role ORDER BY score DESC, \"column\") AS rn FROM c) "
+    "SELECT building_id, equipment_id, role, \"column\", score FROM r WHERE rn = 1")

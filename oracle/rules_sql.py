@@ -24,9 +24,9 @@ def n15(x):
     return f"(CASE WHEN {x} >= 1.5 THEN {x} / CAST(100 AS DOUBLE) ELSE {x} END)"
 
 
-def fan(default="TRUE"):
+def fan(default="TRUE", command="0.01"):
     return (f"(CASE WHEN fan_status IS NOT NULL THEN fan_status > 0.05 "
-            f"WHEN fan_cmd IS NOT NULL THEN {n('fan_cmd')} > 0.01 ELSE {default} END)")
+            f"WHEN fan_cmd IS NOT NULL THEN {n('fan_cmd')} > {command} ELSE {default} END)")
 
 
 ENERGIZED = (f"(CASE WHEN fan_status IS NOT NULL THEN fan_status > 0.05 WHEN fan_cmd IS NOT NULL THEN {n('fan_cmd')} > 0.01 "
@@ -102,7 +102,7 @@ PREDICATES = {
     "VAV-6": (3, f"COALESCE(clg_available, 1) > 0.05 AND oa_t < 65 AND {n('reheat_valve_pct')} > 0.25"),
     "VAV-REHEAT": (3, f"{fan()} AND {FLOW} AND {n('reheat_valve_pct')} > 0.3 AND vav_discharge_t - vav_inlet_t < 3"),
     "VAV-AHU-LEAVE": (3, f"{fan()} AND {FLOW} AND ABS(vav_discharge_t - ahu_sat) > 8"),
-    "RESET-1": (3, f"{fan()} AND ABS(sat_sp - (CAST(52 AS DOUBLE) + CAST(0.25 AS DOUBLE) * (oa_t - 65))) > 3"),
+    "RESET-1": (3, f"{fan(command='0.05')} AND ABS(sat_sp - (CAST(52 AS DOUBLE) + CAST(0.25 AS DOUBLE) * (oa_t - 65))) > 3"),
     "CHW-1": (3, f"{CHILLER} AND chw_return_t - chw_supply_t < 4"),
     "CHW-2": (1, f"{hydro()} AND {n('chw_pump_cmd')} >= 0.87 AND chw_dp < chw_dp_sp - CAST(2.2 AS DOUBLE)"),
     "CHW-3": (1, f"{hydro()} AND ABS(chw_supply_t - chw_supply_sp) > 2.2"),
@@ -202,7 +202,8 @@ def special() -> dict[str, str]:
         f"win AS (SELECT *, COUNT(o) {fr} AS cnt, SUM(COALESCE(ABS(sd), 0)) {fr} AS tv, MAX(o) {fr} - MIN(o) {fr} AS span, SUM(turn) {fr} AS turns FROM d2), "
         f"base AS (SELECT equipment_id, timestamp_utc, {raw_of(f'{fan()} AND COALESCE(loop_enabled, 1) > 0.05 AND o IS NOT NULL AND cnt >= 10 AND span >= 20 AND tv >= 500 AND tv / (2 * NULLIF(span, 0)) >= 2.5 AND turns >= 4')} AS raw FROM win)"
         + tail(1))
-    mode = (f"CASE WHEN fan_cmd IS NULL OR {n('fan_cmd')} < 0.05 THEN 0 WHEN {n('clg_valve_pct')} > 0.1 THEN 3 "
+    speed = f"CASE WHEN fan_status IS NOT NULL THEN CASE WHEN fan_status > 0.05 THEN 1 ELSE 0 END ELSE {n('fan_cmd')} END"
+    mode = (f"CASE WHEN COALESCE({speed}, 0) < 0.05 THEN 0 WHEN {n('clg_valve_pct')} > 0.1 THEN 3 "
             f"WHEN {n('oa_damper_pct')} > 0.5 THEN 2 ELSE 1 END")
     cnt = " OR ".join(f"SUM(CASE WHEN entry = 1 AND m = {k} THEN 1 ELSE 0 END) OVER (PARTITION BY equipment_id, hr) > 5" for k in (1, 2, 3))
     out["FC4"] = (f"WITH {b}, md AS (SELECT *, date_trunc('hour', timestamp_utc) AS hr, {mode} AS m FROM history), "

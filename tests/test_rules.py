@@ -14,7 +14,7 @@ def hist(spark, rows, step=300, eq="AHU_1", **const):
     cols = sorted({k for r in rows for k in r} | set(const))
     data = [(eq, T0 + dt.timedelta(seconds=step * i), *[({**const, **r}).get(c) for c in cols]) for i, r in enumerate(rows)]
     typ = lambda c: "string" if c == "occ_mode" else "double"
-    return spark.createDataFrame(data, "equipment_id string, timestamp_utc timestamp, " + ", ".join(f"{c} {typ(c)}" for c in cols))
+    return spark.createDataFrame(data, "equipment_id string, timestamp_utc timestamp, " + ", ".join(f"{c} {typ(c)}" for c in cols)).withColumn("building_id", F.lit("B1"))
 
 
 def hours(df):

@@ -26,7 +26,7 @@ def frame(seed, hot=600):
 @pytest.fixture(scope="module", params=[1, 2, 3])
 def case(request, spark):
     pdf = frame(request.param)
-    df = (spark.createDataFrame(pdf).withColumn("timestamp_utc", F.timestamp_seconds("sec"))
+    df = (spark.createDataFrame(pdf).withColumn("building_id", F.lit("B1")).withColumn("timestamp_utc", F.timestamp_seconds("sec"))
           .withColumn("reading", F.when(~C("hole"), C("v"))))
     return pdf, df
 

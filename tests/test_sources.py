@@ -85,7 +85,7 @@ def test_migrate_and_weather(spark, workdir):
 
 
 def test_sql_guard(spark):
-    h = spark.createDataFrame([("a", 1.0)], "equipment_id string, sat double")
+    h = spark.createDataFrame([("a", 1.0)], "equipment_id string, sat double").withColumn("building_id", F.lit("B1"))
     ok = H.run_sql(spark, "WITH x AS (SELECT * FROM history) SELECT count(*) AS n FROM x WHERE equipment_id <> 'drop table'", {"history": h})
     assert ok.first()["n"] == 1
     for bad in ("DROP TABLE history", "SELECT 1; SELECT 2", "SELECT * FROM secrets", "SELECT * FROM parquet.`/etc/x`",
@@ -108,8 +108,8 @@ def test_localize_chicago(spark):
 
 def test_append_merge_and_drift(spark):
     t = dt.datetime(2024, 1, 1)
-    a = spark.createDataFrame([("e", t, 1.0), ("e", t + dt.timedelta(hours=1), 2.0)], "equipment_id string, timestamp_utc timestamp, sat double")
-    b = spark.createDataFrame([("e", t, 9.0)], a.schema)
+    a = spark.createDataFrame([("e", t, 1.0), ("e", t + dt.timedelta(hours=1), 2.0)], "equipment_id string, timestamp_utc timestamp, sat double").withColumn("building_id", F.lit("B1"))
+    b = spark.createDataFrame([("e", t, 9.0, "B1")], a.schema)
     assert sorted(r["sat"] for r in align.append_merge(a, b).collect()) == [2.0, 9.0]
     assert align.append_report(a, b).first().asDict() == {"rows_in": 1, "rows_new": 0, "rows_overwritten": 1}
     with pytest.raises(align.SchemaDrift):

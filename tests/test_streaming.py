@@ -76,19 +76,19 @@ def test_rolling_afdd_writes_latest_results(spark, workdir):
     run_all(live.persist(rows, out, f"{workdir}/cp1", once=True))
     schema = H.read_history(spark, out, roles=roles).schema
     run_all(live.rolling_afdd(rows, f"{out}/history", f"{workdir}/res", ["FC7"], f"{workdir}/cp2", schema=schema))
-    res = live.latest_results(spark.read.parquet(f"{workdir}/res")).collect()
+    res = live.latest_results(spark, f"{workdir}/res").collect()
     assert [(r["equipment_id"], r["rule_id"], r["fault_samples"]) for r in res] == [("AHU_1", "FC7", 11)]
 
 
 def test_live_confirmation_equals_batch(spark, workdir):
-    flags = [(f"AHU_{k}", "FC1", T0 + dt.timedelta(minutes=5 * i), bool((i * 7 + k) % 5)) for k in range(3) for i in range(40)]
-    batch = spark.createDataFrame(flags, "equipment_id string, rule_id string, timestamp_utc timestamp, raw_fault boolean")
+    flags = [("B1", f"AHU_{k}", "FC1", T0 + dt.timedelta(minutes=5 * i), bool((i * 7 + k) % 5)) for k in range(3) for i in range(40)]
+    batch = spark.createDataFrame(flags, "building_id string, equipment_id string, rule_id string, timestamp_utc timestamp, raw_fault boolean")
     # Out of order inside and across files, within the lateness bound.
     order = sorted(range(40), key=lambda i: i ^ 1)
     for n, lo in enumerate(range(0, 40, 10)):
-        part = [f for f in flags if order.index(int((f[2] - T0).total_seconds() // 300)) // 10 == n]
+        part = [f for f in flags if order.index(int((f[3] - T0).total_seconds() // 300)) // 10 == n]
         spark.createDataFrame(part[::-1], batch.schema).coalesce(1).write.mode("append").parquet(f"{workdir}/in")
-    far = [("AHU_0", "end", T0 + dt.timedelta(days=2), False)]
+    far = [("B1", "AHU_0", "end", T0 + dt.timedelta(days=2), False)]
     spark.createDataFrame(far, batch.schema).coalesce(1).write.mode("append").parquet(f"{workdir}/in")
     stream = spark.readStream.schema(batch.schema).parquet(f"{workdir}/in")
     q = (live.confirm_stream(stream, 3, delay="1 hour").writeStream.format("parquet").option("path", f"{workdir}/out")
@@ -100,7 +100,7 @@ def test_live_confirmation_equals_batch(spark, workdir):
 
 
 def test_stream_means_equal_batch(spark, workdir):
-    rows = spark.range(200).select(F.concat(F.lit("E"), (C("id") % 3).cast("string")).alias("equipment_id"),
+    rows = spark.range(200).select(F.concat(F.lit("E"), (C("id") % 3).cast("string")).alias("equipment_id"), F.lit("B1").alias("building_id"),
                                    F.timestamp_seconds(1_704_067_200 + C("id") * 47).alias("timestamp_utc"), (C("id") * 1.5).alias("v"))
     rows.coalesce(1).write.parquet(f"{workdir}/in")
     q = (live.stream_means(spark.readStream.schema(rows.schema).parquet(f"{workdir}/in"), ["v"]).writeStream.format("memory").queryName("means")

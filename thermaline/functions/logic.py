@@ -56,8 +56,8 @@ def smaller(a, b) -> Column:
 
 
 # Proof ladders: the first mapped signal decides, `default` when none is mapped.
-def fan_on(default: bool | None = True) -> Column:
-    return F.coalesce(F.col("fan_status") > num(0.05), frac("fan_cmd") > num(0.01),
+def fan_on(default: bool | None = True, *, command: float = 0.01) -> Column:
+    return F.coalesce(F.col("fan_status") > num(0.05), frac("fan_cmd") > num(command),
                       F.lit(default).cast("boolean"))
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+#: A series is one equipment of one building: ids repeat from building to building.
+SITE, EQ, TS = "building_id", "equipment_id", "timestamp_utc"
+ID = (SITE, EQ)
+
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # The sensor roles a history table may carry.

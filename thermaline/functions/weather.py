@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from thermaline.functions.roles import ID, SITE, TS
 from thermaline.functions.logic import col, num
 
 C = F.col
@@ -50,12 +51,12 @@ def saturated_enthalpy_btu_lb(t_f) -> Column:
     return enthalpy_btu_lb(t_f, humidity_ratio(t_f, F.lit(1.0)))
 
 
-def merge_weather(history: DataFrame, weather: DataFrame, *, ts: str = "timestamp_utc") -> DataFrame:
+def merge_weather(history: DataFrame, weather: DataFrame, *, ts: str = TS) -> DataFrame:
     """J-11: web readings by timestamp where the row lacks them, derived dew point and wet
     bulb, and the effective OAT: web when there is one, else BAS."""
-    w = weather.groupBy(ts).agg(F.max("web_oa_t").alias("_t"), F.max("web_oa_h").alias("_h"),
+    w = weather.groupBy(SITE, ts).agg(F.max("web_oa_t").alias("_t"), F.max("web_oa_h").alias("_h"),
                                 F.max("web_oa_dp").alias("_dp"))
-    h = history.join(w, ts, "left")
+    h = history.join(w, [SITE, ts], "left")
 
     def old(c):
         return C(c) if c in history.columns else F.lit(None).cast("double")
@@ -77,7 +78,7 @@ def weather_source_metrics(df: DataFrame) -> DataFrame:
     """B-33: which OAT was used, and how far BAS and web differ, per equipment."""
     diff = F.abs(C("oa_t") - C("web_oa_t"))
     n = F.count(F.lit(1))
-    return effective_oat(df).groupBy("equipment_id").agg(
+    return effective_oat(df).groupBy(*ID).agg(
         (F.count(F.when(C("oa_t_source") == "web", 1)) / n).alias("web_share"),
         (F.count(F.when(C("oa_t_source") == "bas", 1)) / n).alias("bas_share"),
         F.avg(diff).alias("mean_abs_diff_f"), F.max(diff).alias("max_abs_diff_f"))

@@ -6,13 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.logic import epoch, num
-from thermaline.functions.scalars import with_scalars
 from thermaline.operators.confirm import median_delta
 from thermaline.operators.series import carry_backward, carry_forward, ordinal, with_series_columns
 
 C = F.col
-TS = "timestamp_utc"
 
 
 # --- joins -----------------------------------------------------------------------------------
@@ -93,28 +92,28 @@ def join_resampled_hourly(left: DataFrame, right: DataFrame, value_cols, cols, *
 
 
 def site_reading_by_time(df: DataFrame, role: str, *, where: Column | None = None, out: str = "oat_f",
-                         by=(TS,)) -> DataFrame:
-    """J-12 right side: site mean of a reading per timestamp."""
+                         by=(SITE, TS)) -> DataFrame:
+    """J-12 right side: a building's mean of a reading per timestamp."""
     ok = C(role).isNotNull() if where is None else C(role).isNotNull() & where
     return df.where(ok).groupBy(*by).agg(F.avg(role).alias(out))
 
 
 def site_oat_with_fallback(df: DataFrame, role: str = "oa_t", lo: float = 40.0, hi: float = 110.0) -> DataFrame:
     """J-13: mean OAT of weather equipment per timestamp; of all equipment when no weather
-    equipment has a usable reading at all. The test for "at all" is one global aggregate row."""
+    equipment of the building has a usable reading at all."""
     ok = C(role).between(lo, hi)
-    wx = C("equipment_id").ilike("%weather%")
-    by_ts = (df.where(ok).groupBy(TS)
+    wx = C(EQ).ilike("%weather%")
+    by_ts = (df.where(ok).groupBy(SITE, TS)
                .agg(F.avg(F.when(wx, C(role))).alias("_wx"), F.avg(role).alias("_any")))
-    have = df.where(ok & wx).agg((F.count(F.lit(1)) > 0).alias("_have"))
-    return (with_scalars(by_ts, have)
-                 .select(TS, F.when(C("_have"), C("_wx")).otherwise(C("_any")).alias("oat_f"))
+    have = df.where(ok & wx).groupBy(SITE).agg(F.lit(True).alias("_have"))
+    return (by_ts.join(have, SITE, "left")
+                 .select(SITE, TS, F.when(C("_have"), C("_wx")).otherwise(C("_any")).alias("oat_f"))
                  .where(C("oat_f").isNotNull()))
 
 
 def bas_vs_web(df: DataFrame, bas: str = "oa_t", web: str = "web_oa_t") -> DataFrame:
     """J-14/B-14: site mean of BAS and web OAT per timestamp and their difference."""
-    return (df.groupBy(TS).agg(F.avg(bas).alias("bas_oat_f"), F.avg(web).alias("web_oat_f"))
+    return (df.groupBy(SITE, TS).agg(F.avg(bas).alias("bas_oat_f"), F.avg(web).alias("web_oat_f"))
               .where(C("bas_oat_f").isNotNull() & C("web_oat_f").isNotNull())
               .withColumn("delta_f", C("bas_oat_f") - C("web_oat_f")))
 
@@ -126,17 +125,17 @@ def _mark(df, cols, names):
               .withColumns({c: F.coalesce(C(c), C(n)) for c, n in zip(cols, names)}).drop(*names))
 
 
-def fill_forward(df: DataFrame, cols, *, keys=("equipment_id",), ts: str = TS, **kw) -> DataFrame:
+def fill_forward(df: DataFrame, cols, *, keys=ID, ts: str = TS, **kw) -> DataFrame:
     names = [f"_f_{c}" for c in cols]
     return _mark(carry_forward(df, cols, keys, ts, out=names, **kw), cols, names)
 
 
-def fill_backward(df: DataFrame, cols, *, keys=("equipment_id",), ts: str = TS, **kw) -> DataFrame:
+def fill_backward(df: DataFrame, cols, *, keys=ID, ts: str = TS, **kw) -> DataFrame:
     names = [f"_f_{c}" for c in cols]
     return _mark(carry_backward(df, cols, keys, ts, out=names, **kw), cols, names)
 
 
-def fill_linear(df: DataFrame, cols, *, keys=("equipment_id",), ts: str = TS, tiebreak=(), **kw) -> DataFrame:
+def fill_linear(df: DataFrame, cols, *, keys=ID, ts: str = TS, tiebreak=(), **kw) -> DataFrame:
     """J-8: straight line by row position between the readings around an interior gap."""
     d = ordinal(df, keys, ts, name="_row", tiebreak=tiebreak, **kw)
     pts = [f"_pt_{c}" for c in cols]
@@ -167,13 +166,13 @@ def apply_fill(df: DataFrame, policy: str, cols, **kw) -> DataFrame:
 
 
 # --- shape -----------------------------------------------------------------------------------
-def wide_to_long(df: DataFrame, roles, *, ids=("equipment_id", TS)) -> DataFrame:
+def wide_to_long(df: DataFrame, roles, *, ids=(*ID, TS)) -> DataFrame:
     """S-9: one row per reading; empty readings are dropped."""
     return (df.select(*ids, *[C(r).cast("double").alias(r) for r in roles])
               .unpivot(list(ids), list(roles), "role", "value").where(C("value").isNotNull()))
 
 
-def long_to_wide(df: DataFrame, roles, *, ids=("equipment_id", TS), role: str = "role", value: str = "value",
+def long_to_wide(df: DataFrame, roles, *, ids=(*ID, TS), role: str = "role", value: str = "value",
                  order: str | None = None) -> DataFrame:
     """S-9: one row per (equipment, timestamp); a later reading replaces an earlier one.
     Roles are listed, so no extra pass is needed to find the pivot values."""
@@ -187,7 +186,7 @@ class SchemaDrift(ValueError):
     pass
 
 
-def append_merge(existing: DataFrame, incoming: DataFrame, *, keys=("equipment_id", TS), order: str | None = None) -> DataFrame:
+def append_merge(existing: DataFrame, incoming: DataFrame, *, keys=(*ID, TS), order: str | None = None) -> DataFrame:
     """S-10: upsert by key, the incoming batch wins; extra or missing columns are an error."""
     extra, missing = set(incoming.columns) - set(existing.columns), set(existing.columns) - set(incoming.columns)
     if extra or missing:
@@ -197,7 +196,7 @@ def append_merge(existing: DataFrame, incoming: DataFrame, *, keys=("equipment_i
     return latest_per(both, list(keys), ["_batch", *tie]).drop("_batch").select(*existing.columns)
 
 
-def append_report(existing: DataFrame, incoming: DataFrame, *, keys=("equipment_id", TS)) -> DataFrame:
+def append_report(existing: DataFrame, incoming: DataFrame, *, keys=(*ID, TS)) -> DataFrame:
     """Rows in, new and overwritten, as one row."""
     known = existing.select(*keys).distinct().withColumn("_known", F.lit(1))
     inc = incoming.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).join(known, list(keys), "left")
@@ -212,7 +211,7 @@ def append_files(batches) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), batches)
 
 
-def downsample_mean(df: DataFrame, cols, *, seconds: int = 300, keys=("equipment_id",), ts: str = TS) -> DataFrame:
+def downsample_mean(df: DataFrame, cols, *, seconds: int = 300, keys=ID, ts: str = TS) -> DataFrame:
     """S-28: means on a fixed grid."""
     w = F.window(C(ts), f"{seconds} seconds")["start"]
     return df.groupBy(*keys, w.alias(ts)).agg(*[F.avg(c).alias(c) for c in cols])
@@ -223,13 +222,13 @@ def localize(df: DataFrame, local: str, tz: str, *, ambiguous: str = "first", ou
     """S-12: local wall time to UTC with a status.
 
     A wall time is unambiguous when exactly one UTC instant maps back to it. Candidates are
-    the conversion Spark gives and its neighbours one hour away, so no transition table has
+    the conversion Spark gives and its neighbours at the shifts zones use (an hour, or half of one), so no transition table has
     to be shipped. gap: no instant maps back; ambiguous: two do.
     """
     wall = C(local)
     guess = F.to_utc_timestamp(wall, tz)
-    cands = [guess + F.expr(f"INTERVAL {h} HOURS") for h in (-1, 0, 1)]
-    hits = F.array_sort(F.filter(F.array(*cands), lambda c: F.from_utc_timestamp(c, tz) == wall))
+    cands = [guess + F.expr(f"INTERVAL {h} MINUTES") for h in (-60, -30, 0, 30, 60)]
+    hits = F.array_sort(F.filter(F.array_distinct(F.array(*cands)), lambda c: F.from_utc_timestamp(c, tz) == wall))
     df = df.withColumn("_hits", hits)
     n = F.size("_hits")
     pick = F.element_at("_hits", 1 if ambiguous == "first" else -1)
@@ -246,7 +245,7 @@ def parse_wall_time(c, formats=TIME_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_timestamp(C(c) if isinstance(c, str) else c, F.lit(f)) for f in formats])
 
 
-def interval_mode(df: DataFrame, *, keys=("equipment_id",), ts: str = TS, tiebreak=(), **kw) -> DataFrame:
+def interval_mode(df: DataFrame, *, keys=ID, ts: str = TS, tiebreak=(), **kw) -> DataFrame:
     """S-13: most frequent positive spacing per series; the smaller one on a tie."""
     d = with_series_columns(df.select(*keys, ts, *tiebreak),
                             lambda w: {"_d": epoch(ts) - epoch(F.lag(ts).over(w))}, keys, ts, before=1,
@@ -255,7 +254,7 @@ def interval_mode(df: DataFrame, *, keys=("equipment_id",), ts: str = TS, tiebre
     return n.groupBy(*keys).agg(F.max_by("_d", F.struct(C("_n"), -C("_d"))).alias("interval_s"))
 
 
-def timestamp_profile(df: DataFrame, *, keys=("equipment_id",), ts: str = TS, status: str | None = None, **kw) -> DataFrame:
+def timestamp_profile(df: DataFrame, *, keys=ID, ts: str = TS, status: str | None = None, **kw) -> DataFrame:
     """S-13: rows, duplicates, failures by status and the inferred interval per series."""
     per_ts = df.groupBy(*keys, ts).agg(
         F.count(F.lit(1)).alias("_n"),
@@ -267,7 +266,7 @@ def timestamp_profile(df: DataFrame, *, keys=("equipment_id",), ts: str = TS, st
     return out.join(interval_mode(df.where(C(ts).isNotNull()), keys=keys, ts=ts, **kw), list(keys), "left")
 
 
-def scan_health(df: DataFrame, *, keys=("equipment_id",), ts: str = TS, order: str, **kw) -> DataFrame:
+def scan_health(df: DataFrame, *, keys=ID, ts: str = TS, order: str, **kw) -> DataFrame:
     """S-14: samples, duplicate and out-of-order stamps in ingest order, median spacing, span."""
     dup = df.groupBy(*keys, ts).agg(F.count(F.lit(1)).alias("_n"))
     a = dup.groupBy(*keys).agg(F.sum("_n").alias("samples"),

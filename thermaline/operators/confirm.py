@@ -6,13 +6,13 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from thermaline.functions.roles import ID, TS
 from thermaline.functions.logic import epoch, holds, num
 from thermaline.operators.quantile import exact_median
 from thermaline.operators.series import (
     BLOCK, CORE, block_window, split_series, with_series_columns)
 
-KEYS = ("equipment_id",)
-TS = "timestamp_utc"
+KEYS = ID
 
 
 def confirm_row_count(confirm_seconds: float, poll_seconds: float) -> int:

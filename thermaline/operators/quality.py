@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from thermaline.functions.roles import ID
 from thermaline.functions.logic import holds, num
 
 C = F.col
@@ -44,7 +45,7 @@ def reason(role: Column, value: Column) -> Column:
              .when(holds((x < lo) | (x > hi)), "OUT_OF_RANGE"))
 
 
-def assess_quality(df: DataFrame, roles, *, keys=("equipment_id",)) -> DataFrame:
+def assess_quality(df: DataFrame, roles, *, keys=ID) -> DataFrame:
     """A-19: per role and reason the sample counts, valid coverage and confidence. One scan:
     roles are unpivoted and aggregated, with the per-row reason as a plain expression."""
     long = (df.select(*keys, *[C(r).cast("string").alias(r) for r in roles])
@@ -66,7 +67,7 @@ def apply_normalized(df: DataFrame, roles) -> DataFrame:
     return df.withColumns({r: F.when(reason(F.lit(r), C(r).cast("string")).isNull(), C(r)) for r in roles})
 
 
-def compare_results(a: DataFrame, b: DataFrame, *, keys=("rule_id", "equipment_id"), metric: str = "fault_hours",
+def compare_results(a: DataFrame, b: DataFrame, *, keys=("rule_id", *ID), metric: str = "fault_hours",
                     tol: float = 0.5) -> DataFrame:
     """A-23: key-wise parity of two result sets: pass, fail, or present on one side only."""
     keys = list(keys)

@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, Window, functions as F
 
+from thermaline.functions.roles import EQ, ID
 from thermaline.functions.logic import (
     any_of, chiller_proof, energized, epoch, fan_on, frac, frac15, holds, hydronic_on, num,
     percent, present, smaller, unoccupied, unoccupied_or_zero)
@@ -163,7 +164,7 @@ rule("VAV-7", VAV, "zone_flow", "min_flow_sp " + FAN, 900, raw=_vav7_raw, steps=
 
 # --- air handlers ---------------------------------------------------------------------------
 rule("OAT-METEO", AHU, "oa_t", "web_oa_t", 900, pct=True, weather=True,
-     params={"oat_err": (5.0, 2.0, 20.0)}, where=lambda: C("equipment_id").startswith("AHU"),
+     params={"oat_err": (5.0, 2.0, 20.0)}, where=lambda: C(EQ).startswith("AHU"),
      raw=lambda p: F.abs(C("oa_t") - F.coalesce(C("web_oa_t"), C("wx_oa_t"))) > P(p, "oat_err"))
 rule("FC1", AHU, "duct_static duct_static_sp fan_cmd", FAN, 300,
      params={"eps_dsp": (0.12, 0.0, 0.5), "eps_vfd_spd": (0.13, 0.0, 0.5)},
@@ -178,7 +179,7 @@ rule("FC3", AHU, "mat oa_t rat fan_cmd", FAN, 600,
 
 
 def _os_mode() -> Column:
-    fan = frac("fan_cmd")
+    fan = F.coalesce((C("fan_status") > num(0.05)).cast("double"), frac("fan_cmd"))
     return (F.when(fan.isNull() | (fan < num(0.05)), 0).when(frac("clg_valve_pct") > num(0.1), 3)
             .when(frac("oa_damper_pct") > num(0.5), 2).otherwise(1))
 
@@ -188,7 +189,7 @@ def _fc4_steps(p, w):
     # ordering by the hour with a zero-width range frame covers exactly the rows of that hour.
     prev = F.lag("_fc4_mode").over(w)
     entered = holds((C("_fc4_mode") != F.lit(0)) & (C("_fc4_mode") != prev))
-    hour = Window.partitionBy("equipment_id", "_block").orderBy("_fc4_hour").rangeBetween(0, 0)
+    hour = Window.partitionBy(*ID, "_block").orderBy("_fc4_hour").rangeBetween(0, 0)
     return [{"_fc4_mode": _os_mode(), "_fc4_hour": F.expr("unix_micros(timestamp_utc) div 3600000000")},
             {"_fc4_in": F.when(entered, C("_fc4_mode"))},
             {f"_fc4_n{m}": F.count(F.when(C("_fc4_in") == F.lit(m), 1)).over(hour) for m in (1, 2, 3)}]
@@ -289,7 +290,7 @@ rule("VLV-1", AHU, "clg_valve_pct sat sat_sp mat", FAN, 900,
 rule("RESET-1", AHU, "sat_sp oa_t", FAN, 900,
      params={"reset_err_f": (3.0, 0.5, 10.0), "reset_sat_at_65": (52.0, 45.0, 65.0),
              "reset_slope": (0.25, 0.05, 1.0), "reset_oat_ref": (65.0, 50.0, 80.0)},
-     raw=lambda p: fan_on() & (F.abs(C("sat_sp") - (P(p, "reset_sat_at_65") + P(p, "reset_slope")
+     raw=lambda p: fan_on(command=0.05) & (F.abs(C("sat_sp") - (P(p, "reset_sat_at_65") + P(p, "reset_slope")
                                                       * (C("oa_t") - P(p, "reset_oat_ref")))) > P(p, "reset_err_f")))
 rule("TRIM-1", AHU, "duct_static", "duct_static_sp static_reset_request " + FAN, 1800,
      params={"duct_hi": (1.35, 0.5, 3.0), "request_lo": (1.0, 0.0, 10.0)},

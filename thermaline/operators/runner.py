@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.logic import frac, holds, num
 from thermaline.functions.roles import ensure_roles
 from thermaline.operators.confirm import streak
@@ -19,7 +20,6 @@ from thermaline.operators.rules import RULES, Rule
 from thermaline.operators.series import block_window, core_rows, split_series
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 PASS, FAULT, ERROR = "PASS", "FAULT", "ERROR"
 MISSING, OFF = "SKIPPED_MISSING_ROLES", "SKIPPED_EQUIPMENT_OFF"
 NOT_APPLICABLE = "NOT_APPLICABLE_EQUIPMENT_TYPE"
@@ -58,9 +58,9 @@ WX = ("oa_t", "web_oa_t", "web_oa_dp")
 
 
 def weather_by_time(weather: DataFrame) -> DataFrame:
-    """J-10: one row per timestamp, MAX of each reading."""
+    """J-10: one row per building and timestamp, MAX of each reading."""
     w = ensure_roles(weather, WX)
-    return w.groupBy(TS).agg(*[F.max(r).alias(f"wx_{r}") for r in WX])
+    return w.groupBy(SITE, TS).agg(*[F.max(r).alias(f"wx_{r}") for r in WX])
 
 
 def attach_weather(history: DataFrame, weather: DataFrame | None) -> DataFrame:
@@ -68,7 +68,7 @@ def attach_weather(history: DataFrame, weather: DataFrame | None) -> DataFrame:
     the planner decides from its measured size."""
     if weather is None:
         return ensure_roles(history, []).withColumns({f"wx_{r}": F.lit(None).cast("double") for r in WX})
-    return history.join(weather_by_time(weather), TS, "left")
+    return history.join(weather_by_time(weather), [SITE, TS], "left")
 
 
 # --- annotation ------------------------------------------------------------------------------
@@ -103,8 +103,9 @@ def annotate(history: DataFrame, jobs: list[Job], weather: DataFrame | None = No
     if any(j.rule.weather for j in jobs):
         df = attach_weather(df, weather)
     back = max([j.rule.lookback(j.p) + j.rule.confirm_rows(j.p) for j in jobs], default=1)
-    s = split_series(df, (EQ,), TS, before=back + before_extra + 2, **kw)
-    w = block_window((EQ,), TS, tiebreak)
+    s = split_series(df, ID, TS, before=back + before_extra + 2, **kw)
+    # Equal stamps are ordered by their readings, so the answer doesn't depend on how rows arrive.
+    w = block_window(ID, TS, tiebreak or _needed([j.rule for j in jobs]))
     levels: list[dict] = [{"_rn": F.row_number().over(w)}]
     for j in jobs:
         for i, step in enumerate(j.rule.steps(j.p, w) if j.rule.steps else []):
@@ -142,13 +143,13 @@ def run_rule(history: DataFrame, rule_id: str, *, weather: DataFrame | None = No
     j = _job(rule_id, poll, params)
     lacking = missing_roles(j.rule, history.columns)
     if lacking:
-        return (history.select(EQ).distinct()
-                .select(EQ, F.lit(MISSING).alias("status"), F.lit(", ".join(lacking)).alias("missing")))
+        return (history.select(*ID).distinct()
+                .select(*ID, F.lit(MISSING).alias("status"), F.lit(", ".join(lacking)).alias("missing")))
     df = history
     if j.rule.where is not None:
         df = df.where(j.rule.where())
     if j.rule.aggs:
-        return df.groupBy(EQ).agg(*[c.alias(n) for n, c in j.rule.aggs(j.p).items()])
+        return df.groupBy(*ID).agg(*[c.alias(n) for n, c in j.rule.aggs(j.p).items()])
     a = annotate(df, [j], weather, tiebreak=tiebreak, **kw)
     n = F.sum(C(j.done).cast("int"))
     out = [fault_hours(n, j.p, j.rule).alias("fault_hours")]
@@ -157,7 +158,7 @@ def run_rule(history: DataFrame, rule_id: str, *, weather: DataFrame | None = No
     if rule_id == "CHW-NOLOAD-1":
         seen = F.max(C("building_zone_load_satisfied").isNotNull() | C("building_ahu_load_satisfied").isNotNull())
         out.append(F.when(~seen, MISSING).when(n > 0, FAULT).otherwise(PASS).alias("status"))
-    return a.groupBy(EQ).agg(*out)
+    return a.groupBy(*ID).agg(*out)
 
 
 def fault_hours(n: Column, p: dict, rule: Rule) -> Column:
@@ -174,10 +175,10 @@ def confirmed_series(history: DataFrame, rule_id: str, *, weather: DataFrame | N
     a = annotate(df, [j], weather, **kw)
     done = C(j.done)
     if j.rule.keep is not None:
-        share = df.groupBy(EQ).agg(holds(j.rule.keep(j.p)).alias("_keep"))
-        a = a.join(share, EQ)
+        share = df.groupBy(*ID).agg(holds(j.rule.keep(j.p)).alias("_keep"))
+        a = a.join(share, list(ID))
         done = done & C("_keep")
-    return a.select(EQ, TS, *columns, C(j.raw).alias("raw_fault"), done.alias("confirmed"))
+    return a.select(*ID, TS, *columns, C(j.raw).alias("raw_fault"), done.alias("confirmed"))
 
 
 def rule_series(history: DataFrame, rule_id: str, **kw) -> DataFrame:
@@ -193,9 +194,9 @@ def confirmable(rule_ids=None) -> list[str]:
 
 
 def run_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | None = None, poll: float = 300.0,
-              params: Mapping[str, Mapping] | None = None, tiebreak=(), **kw) -> DataFrame:
-    """A-16: every rule in one pass, as rows (equipment_id, rule_id, status, fault_hours,
-    fault_samples, samples). Rules whose required roles are absent yield skip rows. A rule
+              params: Mapping[str, Mapping] | None = None, tiebreak=(), counted: Column | None = None, **kw) -> DataFrame:
+    """A-16: every rule in one pass, as rows (building_id, equipment_id, rule_id, status, fault_hours,
+    fault_samples, samples). Only rows for which `counted` holds count; the others lead in. Rules whose required roles are absent yield skip rows. A rule
     that drops rows inside a series needs its own ordering and gets its own pass."""
     params = params or {}
     jobs = [_job(i, poll, params.get(i)) for i in confirmable(rule_ids)]
@@ -207,11 +208,11 @@ def run_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
         df = history
         if group[0].rule.drops_rows:
             df = df.where(group[0].rule.where())
-        parts.append(_run_pass(df, group, weather, tiebreak, poll, **kw))
+        parts.append(_run_pass(df, group, weather, tiebreak, poll, counted, **kw))
     if skipped:
         ids = F.array(*[F.lit(j.rule.id) for j in skipped])
-        parts.append(history.select(EQ).distinct().select(
-            EQ, F.explode(ids).alias("rule_id"), F.lit(MISSING).alias("status"),
+        parts.append(history.select(*ID).distinct().select(
+            *ID, F.explode(ids).alias("rule_id"), F.lit(MISSING).alias("status"),
             F.lit(None).cast("double").alias("fault_hours"),
             F.lit(None).cast("long").alias("fault_samples"), F.lit(None).cast("long").alias("samples")))
     out = parts[0]
@@ -220,8 +221,15 @@ def run_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
     return out
 
 
-def _run_pass(df, jobs, weather, tiebreak, poll, **kw) -> DataFrame:
+def lead_in_rows(rule_ids=None, *, poll: float = 300.0, params: Mapping[str, Mapping] | None = None) -> int:
+    """Rows that the rules may look back on, their confirmation included."""
+    jobs = [_job(i, poll, (params or {}).get(i)) for i in confirmable(rule_ids)]
+    return 2 + max((j.rule.lookback(j.p) + j.rule.confirm_rows(j.p) for j in jobs), default=0)
+
+
+def _run_pass(df, jobs, weather, tiebreak, poll, counted=None, **kw) -> DataFrame:
     a = annotate(df, jobs, weather, tiebreak=tiebreak, **kw)
+    a = a if counted is None else a.where(counted)
     aggs = []
     for j in jobs:
         n = F.sum(C(j.done).cast("long"))
@@ -230,10 +238,10 @@ def _run_pass(df, jobs, weather, tiebreak, poll, **kw) -> DataFrame:
         if j.rule.where is not None and not j.rule.drops_rows:
             n = F.when(F.max(holds(j.rule.where())), n)
         aggs.append(n.alias(j.rule.id))
-    wide = a.groupBy(EQ).agg(F.count(F.lit(1)).alias("samples"), *aggs)
-    return (wide.unpivot([EQ, "samples"], [f"`{j.rule.id}`" for j in jobs], "rule_id", "fault_samples")
+    wide = a.groupBy(*ID).agg(F.count(F.lit(1)).alias("samples"), *aggs)
+    return (wide.unpivot([*ID, "samples"], [f"`{j.rule.id}`" for j in jobs], "rule_id", "fault_samples")
                 .where(C("fault_samples").isNotNull())
-                .select(EQ, C("rule_id"),
+                .select(*ID, C("rule_id"),
                         F.when(C("fault_samples") > 0, FAULT).otherwise(PASS).alias("status"),
                         (C("fault_samples") * num(poll) / num(3600)).alias("fault_hours"),
                         C("fault_samples"), C("samples")))
@@ -291,56 +299,58 @@ def fan_gate() -> Column:
 
 
 def gate(rule_id: str, p: Mapping | None = None) -> Column | None:
-    """Active mask of a rule before any startup delay; None for ungated rules. A NULL mask
-    means no proof signal is mapped."""
+    """Active mask of a rule before any startup delay; None for rules without a gate. A NULL mask
+    means no proof signal is mapped: the equipment is not gated at all, but for water flow,
+    which must be proven."""
     kind = GATES.get(rule_id, ("always", 0))[0]
     pump = _first_mapped(PUMP_PROOF + PUMP_COMMAND, None)
+    fan = fan_gate()
     if kind == "always":
         return None
     if kind == "fan_running":
-        return F.coalesce(fan_gate(), F.lit(True))
+        return fan
     if kind == "hydronic_flow":
-        return pump
+        return F.coalesce(pump, F.lit(False))
     if kind == "compressor":
-        return _first_mapped(COMPRESSOR_PROOF, F.lit(True))
+        return _first_mapped(COMPRESSOR_PROOF, None)
     if kind == "control_loop":
         loop = F.when(_has("loop_enabled"), holds(signal_on("loop_enabled"))).otherwise(True)
-        return F.coalesce(fan_gate(), F.lit(True)) & loop
+        return F.when(fan.isNotNull(), fan & loop)
     if kind == "equipment_energized" or rule_id == "SV-FLATLINE":
-        return F.coalesce(fan_gate(), pump, _first_mapped(COMPRESSOR_PROOF, F.lit(True)))
-    fan = F.coalesce(fan_gate(), F.lit(True))
+        return F.coalesce(fan, pump, _first_mapped(COMPRESSOR_PROOF, None))
     if rule_id == "VAV-1":
         occ = F.lower("occ_mode").isin("occupied", "1", "true", "on")
-        return F.when(_has("occ_mode"), holds(occ) & fan).otherwise(fan)
+        return F.when(_has("occ_mode"), holds(occ) & F.coalesce(fan, F.lit(True))).otherwise(fan)
     if rule_id == "DMP-1":
-        return F.when(_has("oa_damper_pct"), fan | holds(frac("oa_damper_pct") > num(0.01))).otherwise(fan)
+        return F.when(_has("oa_damper_pct"), F.coalesce(fan, F.lit(True)) | holds(frac("oa_damper_pct") > num(0.01))).otherwise(fan)
     if rule_id == "AHU-DUCTHI":
         live = holds(F.abs(C("duct_static")) > num((p or {}).get("pressure_on_min", 0.2)))
-        return F.when(_has("duct_static"), F.coalesce(fan_gate(), F.lit(False)) | live).otherwise(fan)
+        return F.when(_has("duct_static"), F.coalesce(fan, F.lit(False)) | live).otherwise(fan)
     return fan
 
 
 def role_presence(history: DataFrame, roles) -> DataFrame:
     """Per equipment: whether each role has any reading, and its share of samples."""
-    return history.groupBy(EQ).agg(
+    return history.groupBy(*ID).agg(
         *[(F.count(r) > 0).alias(f"_has_{r}") for r in roles],
         *[(F.count(r) / F.count(F.lit(1))).alias(f"_cov_{r}") for r in roles])
 
 
 def run_batch(history: DataFrame, rule_ids=None, *, weather: DataFrame | None = None, poll: float = 300.0,
-              params: Mapping[str, Mapping] | None = None, gates: bool = True, min_coverage: float = 0.5,
+              params: Mapping[str, Mapping] | None = None, gates: bool = True, min_coverage: float = 0.5, min_active_pct: float = 5.0,
               kind: Column | None = None, tiebreak=(), **kw) -> DataFrame:
     """A-17: status per (equipment, rule) from applicability, role coverage, gates and faults.
 
     not applicable -> missing roles -> no proof -> equipment off -> FAULT / PASS. Rows where
-    a required role is covered below `min_coverage` are flagged, not skipped.
+    a required role is covered below `min_coverage` are flagged, not skipped; equipment active for
+    under `min_active_pct` of its samples is off.
     """
     from thermaline.operators.confirm import confirm_row_count
     params = params or {}
     jobs = [_job(i, poll, params.get(i)) for i in confirmable(rule_ids)]
     roles = list(dict.fromkeys([*_needed([j.rule for j in jobs]), *GATE_ROLES]))
     df = ensure_roles(history, roles)
-    df = df.join(role_presence(df, roles), EQ)
+    df = df.join(role_presence(df, roles), list(ID))
     masks, active, delays = {}, {}, {}
     for j in jobs:
         g = gate(j.rule.id, j.p) if gates else None
@@ -350,8 +360,8 @@ def run_batch(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
             active[j.rule.id] = C(f"a{j.rule.tag}")
 
     def gate_steps(w):
-        return [{f"g{RULES[i].tag}": holds(g) for i, g in masks.items()},
-                {f"a{RULES[i].tag}": streak(C(f"g{RULES[i].tag}"), C("_rn"), w) >= F.lit(delays[i])
+        return [{f"g{RULES[i].tag}": g for i, g in masks.items()},
+                {f"a{RULES[i].tag}": C(f"g{RULES[i].tag}").isNull() | (streak(holds(C(f"g{RULES[i].tag}")), C("_rn"), w) >= F.lit(delays[i]))
                  for i in masks}]
 
     a = annotate(df, jobs, weather, tiebreak=tiebreak, gates=active, gate_steps=gate_steps,
@@ -366,7 +376,7 @@ def run_batch(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
         aggs.append(n.alias(f"n{t}"))
         aggs.append((F.sum(C(f"a{t}").cast("long")) if j.rule.id in masks
                      else F.count(F.lit(1))).alias(f"t{t}"))
-    wide = a.groupBy(EQ).agg(F.count(F.lit(1)).alias("samples"), *aggs).withColumn(
+    wide = a.groupBy(*ID).agg(F.count(F.lit(1)).alias("samples"), *aggs).withColumn(
         "kind", equipment_kind() if kind is None else kind)
 
     def verdict(j: Job) -> Column:
@@ -379,16 +389,16 @@ def run_batch(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
             proof = [_has(x) for x in PUMP_PROOF + PUMP_COMMAND]
             out = out.when(~F.greatest(*proof), MISSING)
         if r.id in masks:
-            out = out.when(C(f"t{t}") == 0, OFF)
+            out = out.when(num(100) * C(f"t{t}") < num(min_active_pct) * C("samples"), OFF)
         out = out.when(C(f"n{t}") > 0, FAULT).otherwise(PASS)
         low = F.least(*cov, num(1)) < num(min_coverage) if cov else F.lit(False)
         return F.struct(F.lit(r.id).alias("rule_id"), out.alias("status"), C(f"n{t}").alias("fault_samples"),
                         C(f"t{t}").alias("active_samples"), low.alias("quality_below_minimum"))
 
-    rows = wide.select(EQ, "kind", "samples", F.explode(F.array(*[verdict(j) for j in jobs])).alias("v"))
+    rows = wide.select(*ID, "kind", "samples", F.explode(F.array(*[verdict(j) for j in jobs])).alias("v"))
     ran = C("v.status").isin(FAULT, PASS)
     return rows.select(
-        EQ, "kind", C("v.rule_id").alias("rule_id"), C("v.status").alias("status"),
+        *ID, "kind", C("v.rule_id").alias("rule_id"), C("v.status").alias("status"),
         F.when(ran, C("v.fault_samples") * num(poll) / num(3600)).otherwise(num(0)).alias("fault_hours"),
         F.when(ran, F.coalesce(num(100) * F.try_divide(C("v.fault_samples"), C("v.active_samples")), num(0)))
          .otherwise(num(0)).alias("fault_pct"),
@@ -417,7 +427,7 @@ def mode_stable(history: DataFrame, delay_minutes: float, *, poll: float = 300.0
         df.withColumn("op_state", state),
         lambda w: [{"_chg": holds(C("op_state") != F.lag("op_state").over(w))},
                    {"mode_stable": ~F.max("_chg").over(w.rowsBetween(1 - n, 0))}],
-        (EQ,), TS, before=n + 1, **kw).drop("_chg")
+        ID, TS, before=n + 1, **kw).drop("_chg")
 
 
 # --- user rules (A-21, A-22) -----------------------------------------------------------------
@@ -441,18 +451,18 @@ def custom_rule(history: DataFrame, predicate, *, params: Mapping[str, float] |
     return confirm(history, predicate, confirm_rows, **kw)
 
 
-def custom_mask(history: DataFrame, fn, columns, *, target_rows: int | None = None, before: int = 0) -> DataFrame:
+def custom_mask(history: DataFrame, fn, columns, *, before: int, target_rows: int | None = None) -> DataFrame:
     """A user Python mask: fn(pandas frame ordered by time) -> booleans. It sees one block of
-    a series plus `before` earlier rows, never a whole long series."""
-    s = split_series(history.select(EQ, TS, *columns), (EQ,), TS, before=before, target_rows=target_rows)
+    a series plus the `before` earlier rows that the mask looks back on."""
+    s = split_series(history.select(*ID, TS, *columns), ID, TS, before=before, target_rows=target_rows)
 
     def apply(pdf):
         pdf = pdf.sort_values(TS)
         pdf["fault_raw"] = [bool(v) for v in fn(pdf)]
-        return pdf.loc[pdf["_core"], [EQ, TS, "fault_raw"]]
+        return pdf.loc[pdf["_core"], [*ID, TS, "fault_raw"]]
 
-    return s.groupBy(EQ, "_block").applyInPandas(
-        apply, f"{EQ} string, {TS} timestamp, fault_raw boolean")
+    return s.groupBy(*ID, "_block").applyInPandas(
+        apply, f"{SITE} string, {EQ} string, {TS} timestamp, fault_raw boolean")
 
 
 def rolling_zscore(history: DataFrame, role: str, *, rows: int = 12, limit: float = 3.0, **kw) -> DataFrame:
@@ -463,7 +473,7 @@ def rolling_zscore(history: DataFrame, role: str, *, rows: int = 12, limit: floa
         roll = w.rowsBetween(1 - rows, 0)
         return {"zscore": F.try_divide(C(role) - F.avg(role).over(roll), F.stddev_samp(role).over(roll))}
 
-    return with_series_columns(history, make, (EQ,), TS, before=rows, **kw).withColumn(
+    return with_series_columns(history, make, ID, TS, before=rows, **kw).withColumn(
         "fault_raw", holds(F.abs("zscore") > num(limit)))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from thermaline.functions.roles import ID, TS
 from thermaline.functions.logic import any_of, energized, epoch, frac, holds, num, percent
 from thermaline.functions.roles import ensure_roles
 from thermaline.operators import rules as R
@@ -12,7 +13,6 @@ from thermaline.operators.runner import role_presence
 from thermaline.operators.series import BLOCK, core_rows, split_series, with_series_columns
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 
 STATE_ROLES = ["fan_status", "fan_cmd", "pump_status", "chw_pump_status", "chiller_status", "compressor_status",
                "chw_pump_cmd", "clg_valve_pct", "htg_valve_pct", "oa_damper_pct", "reheat_valve_pct"]
@@ -25,7 +25,7 @@ def detect_operating_state(df: DataFrame, *, transition_minutes: int = 20, **kw)
     running. Equipment without any proof signal is unknown.
     """
     d = ensure_roles(df, STATE_ROLES)
-    d = d.join(role_presence(d, STATE_ROLES), EQ)
+    d = d.join(role_presence(d, STATE_ROLES), list(ID))
     has = lambda r: C(f"_has_{r}")
     command = lambda r: holds(frac(r) > num(0.05))
     proof = lambda r: holds(C(r) > num(0.5))
@@ -37,7 +37,7 @@ def detect_operating_state(df: DataFrame, *, transition_minutes: int = 20, **kw)
     moves = ["clg_valve_pct", "htg_valve_pct", "oa_damper_pct", "reheat_valve_pct"]
 
     def make(w):
-        recent = Window.partitionBy(EQ, BLOCK).orderBy("_t").rangeBetween(-win, 0)
+        recent = Window.partitionBy(*ID, BLOCK).orderBy("_t").rangeBetween(-win, 0)
         z = lambda r: F.coalesce(frac(r), num(0))
         was = F.lag("_on").over(w)
         return [{"_start": C("_on") & ~F.coalesce(was, F.lit(False)),
@@ -45,21 +45,21 @@ def detect_operating_state(df: DataFrame, *, transition_minutes: int = 20, **kw)
                  "_move": any_of(F.abs(z(r) - F.lag(z(r)).over(w)) > num(0.05) for r in moves)},
                 {f"_r{e}": F.max(e).over(recent) for e in ("_start", "_stop", "_move")}]
 
-    s = with_series_columns(d, make, (EQ,), TS, before=1, before_seconds=win / 1e6, **kw)
+    s = with_series_columns(d, make, ID, TS, before=1, before_seconds=win / 1e6, **kw)
     state = (F.when(~C("_known"), "UNKNOWN_STATE").when(C("_r_stop"), "SHUTDOWN_TRANSIENT")
               .when(C("_r_start"), "STARTUP_TRANSIENT").when(~C("_on"), "OFF")
               .when(C("_r_move"), "STARTUP_TRANSIENT").otherwise("RUNNING_STEADY"))
     return s.select(*df.columns, state.alias("op_state"))
 
 
-RATE_KEYS = (EQ, "role")
+RATE_KEYS = (*ID, "role")
 
 
 def readings(df: DataFrame, roles, *keep) -> DataFrame:
     """One row per (equipment, role, timestamp), empty readings included: a gap in the
     readings interrupts a rate."""
-    return (df.select(EQ, TS, *keep, *[C(r).cast("double").alias(r) for r in roles])
-              .unpivot([EQ, TS, *keep], list(roles), "role", "value"))
+    return (df.select(*ID, TS, *keep, *[C(r).cast("double").alias(r) for r in roles])
+              .unpivot([*ID, TS, *keep], list(roles), "role", "value"))
 
 
 def compute_rates(long: DataFrame, *, sample_seconds: float = 300.0, max_gap_hours: float = 2.0,
@@ -203,7 +203,7 @@ def sweep_flags(df: DataFrame, *, params: dict | None = None, poll: float = 300.
         "SV-STALE": held & (C("_stale") <= num(p["SV-STALE"]["stale_tol"])),
     }
     s = s.withColumns({k: holds(v) for k, v in flags.items()})
-    return s.select(EQ, TS, "role", "value", *[f"`{k}`" for k in flags])
+    return s.select(*ID, TS, "role", "value", *[f"`{k}`" for k in flags])
 
 
 def sweep_evidence(df: DataFrame, *, params: dict | None = None, poll: float = 300.0, **kw) -> DataFrame:
@@ -211,9 +211,9 @@ def sweep_evidence(df: DataFrame, *, params: dict | None = None, poll: float = 3
     offending values and when they occurred."""
     flags = sweep_flags(df, params=params, poll=poll, **kw)
     pairs = [F.struct(F.lit(r).alias("rule_id"), C(f"`{r}`").alias("raw")) for r in SWEEP_RULES]
-    long = flags.select(EQ, TS, "role", "value", F.explode(F.array(*pairs)).alias("f")).select(
-        EQ, TS, "role", "value", "f.rule_id", "f.raw")
-    keys = (EQ, "role", "rule_id")
+    long = flags.select(*ID, TS, "role", "value", F.explode(F.array(*pairs)).alias("f")).select(
+        *ID, TS, "role", "value", "f.rule_id", "f.raw")
+    keys = (*ID, "role", "rule_id")
     n = R.RULES["SV-RANGE"].confirm_rows(R.RULES["SV-RANGE"].settings(poll))
     c = confirm_rows(long, C("raw"), n, keys=keys, **kw)
     hit = C("confirmed")
@@ -225,7 +225,7 @@ def sweep_evidence(df: DataFrame, *, params: dict | None = None, poll: float = 3
 
 def sensor_fault_matrix(evidence: DataFrame) -> DataFrame:
     """B-19: hours per sensor with one column per rule."""
-    return evidence.groupBy(EQ, "role").agg(
+    return evidence.groupBy(*ID, "role").agg(
         *[F.coalesce(F.sum(F.when(C("rule_id") == r, C("fault_hours"))), num(0)).alias(r.lower().replace("-", "_"))
           for r in SWEEP_RULES], F.sum("fault_hours").alias("total_hours"))
 

@@ -9,13 +9,22 @@ limit stay in a single block and pay only for the count.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from thermaline.functions.roles import ID
+
 BUCKET_SECONDS = 86_400
 TARGET_ROWS = 500_000
 BLOCK, CORE, BUCKET = "_block", "_core", "_bucket"
 
 
+def reach(bucket_seconds: int, before_seconds: float) -> int:
+    """The bucket, lengthened to whole hours that hold the time look-back."""
+    return max(bucket_seconds, 3600 * math.ceil(before_seconds / 3600))
+
+
 def time_bucket(ts: str, seconds: int = BUCKET_SECONDS) -> Column:
     return F.expr(f"unix_micros({ts}) div {int(seconds) * 1_000_000}")
 
@@ -28,10 +37,11 @@ def block_map(df: DataFrame, keys, ts: str, *, before: int, after: int, before_s
     consecutive blocks together hold more than `target_rows` rows, hence a look-back of up
     to `target_rows` rows never reaches past the second neighbour.
     """
-    if max(before, after) > target_rows:
-        raise ValueError("look-back longer than a block: raise target_rows")
-    if before_seconds > bucket_seconds or bucket_seconds % 3600:
-        raise ValueError("buckets must be whole hours and at least as long as the time look-back")
+    if bucket_seconds % 3600:
+        raise ValueError("buckets must be whole hours")
+    # Blocks and buckets grow with the look-back, so any look-back is exact.
+    target_rows = max(target_rows, before, after)
+    bucket_seconds = reach(bucket_seconds, before_seconds)
     by_time = Window.partitionBy(*keys).orderBy(BUCKET)
     whole = Window.partitionBy(*keys)
     n = (df.groupBy(*keys, time_bucket(ts, bucket_seconds).alias(BUCKET))
@@ -75,7 +85,7 @@ def block_map(df: DataFrame, keys, ts: str, *, before: int, after: int, before_s
              .select(*keys, BUCKET, F.col("_s.b").cast("long").alias(BLOCK), F.col("_s.c").alias(CORE)))
 
 
-def split_series(df: DataFrame, keys=("equipment_id",), ts: str = "timestamp_utc", *,
+def split_series(df: DataFrame, keys=ID, ts: str = "timestamp_utc", *,
                  before: int = 0, after: int = 0, before_seconds: float = 0.0,
                  bucket_seconds: int = BUCKET_SECONDS,
                  target_rows: int | None = None) -> DataFrame:
@@ -91,7 +101,7 @@ def split_series(df: DataFrame, keys=("equipment_id",), ts: str = "timestamp_utc
         before = max(before, 1)
     m = block_map(df, keys, ts, before=before, after=after, before_seconds=before_seconds,
                   bucket_seconds=bucket_seconds, target_rows=target)
-    out = df.withColumn(BUCKET, time_bucket(ts, bucket_seconds)).join(m, [*keys, BUCKET], "left")
+    out = df.withColumn(BUCKET, time_bucket(ts, reach(bucket_seconds, before_seconds))).join(m, [*keys, BUCKET], "left")
     return (out.withColumns({BLOCK: F.coalesce(F.col(BLOCK), F.lit(0).cast("long")),
                              CORE: F.coalesce(F.col(CORE), F.lit(True))})
                .drop(BUCKET))
@@ -101,7 +111,7 @@ def _target_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("thermaline.series.targetRows", str(TARGET_ROWS)))
 
 
-def block_window(keys=("equipment_id",), ts: str = "timestamp_utc", tiebreak=()) -> WindowSpec:
+def block_window(keys=ID, ts: str = "timestamp_utc", tiebreak=()) -> WindowSpec:
     return Window.partitionBy(*keys, BLOCK).orderBy(ts, *tiebreak)
 
 
@@ -109,7 +119,7 @@ def core_rows(df: DataFrame) -> DataFrame:
     return df.where(F.col(CORE)).drop(BLOCK, CORE)
 
 
-def with_series_columns(df: DataFrame, make, keys=("equipment_id",), ts: str = "timestamp_utc", *,
+def with_series_columns(df: DataFrame, make, keys=ID, ts: str = "timestamp_utc", *,
                         before: int = 0, after: int = 0, before_seconds: float = 0.0,
                         tiebreak=(), **kw) -> DataFrame:
     """Add window columns. `make(window)` returns a dict of columns, or a list of dicts
@@ -126,7 +136,7 @@ def _bucketed(df, keys, ts, seconds):
     return df.withColumn(BUCKET, time_bucket(ts, seconds)), list(keys)
 
 
-def carry_forward(df: DataFrame, cols, keys=("equipment_id",), ts: str = "timestamp_utc", *,
+def carry_forward(df: DataFrame, cols, keys=ID, ts: str = "timestamp_utc", *,
                   out=None, tiebreak=(), bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Last non-null value at or before each row, however far back it lies.
 
@@ -136,7 +146,7 @@ def carry_forward(df: DataFrame, cols, keys=("equipment_id",), ts: str = "timest
     return _carry(df, cols, keys, ts, out, tiebreak, bucket_seconds, forward=True)
 
 
-def carry_backward(df: DataFrame, cols, keys=("equipment_id",), ts: str = "timestamp_utc", *,
+def carry_backward(df: DataFrame, cols, keys=ID, ts: str = "timestamp_utc", *,
                    out=None, tiebreak=(), bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """Next non-null value at or after each row."""
     return _carry(df, cols, keys, ts, out, tiebreak, bucket_seconds, forward=False)
@@ -167,7 +177,7 @@ def _carry(df, cols, keys, ts, out, tiebreak, seconds, *, forward):
                   .drop(BUCKET, *[f"_p{i}" for i in range(len(cols))]))
 
 
-def ordinal(df: DataFrame, keys=("equipment_id",), ts: str = "timestamp_utc", *, name: str = "_row",
+def ordinal(df: DataFrame, keys=ID, ts: str = "timestamp_utc", *, name: str = "_row",
             total: str | None = None, tiebreak=(), bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
     """1-based row position within each series (and the series length), without sorting a
     whole series in one task: bucket offsets come from a running count over buckets."""

@@ -4,15 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.logic import holds, num
 from thermaline.functions.scalars import with_scalars
 from thermaline.operators.runner import equipment_kind
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 
 
-def infer_parent(vavs: DataFrame, ahus: DataFrame, *, scope=()) -> DataFrame:
+def infer_parent(vavs: DataFrame, ahus: DataFrame, *, scope=(SITE,)) -> DataFrame:
     """T-1: the first AHU (by id) whose id occurs inside the VAV id, else the scope's only AHU.
 
     "Occurs inside" becomes an equi-join: every substring of the short VAV id is a candidate
@@ -26,35 +26,32 @@ def infer_parent(vavs: DataFrame, ahus: DataFrame, *, scope=()) -> DataFrame:
     a = ahus.select(*scope, C(EQ).alias("ahu_id"), up.alias("_k")).distinct()
     hits = (v.select(*scope, EQ, F.explode(F.array_distinct(pieces)).alias("_k"))
              .join(a, [*scope, "_k"]).groupBy(*scope, EQ).agg(F.min("ahu_id").alias("_hit")))
-    key = scope or ["_all"]
-    a1 = a if scope else a.withColumn("_all", F.lit(0))
-    only = a1.groupBy(*key).agg(F.min("ahu_id").alias("_one"), F.count_distinct("ahu_id").alias("_n"))
-    v1 = v if scope else v.withColumn("_all", F.lit(0))
-    return (v1.join(only, key, "left").join(hits, [*scope, EQ], "left")
+    only = a.groupBy(*scope).agg(F.min("ahu_id").alias("_one"), F.count_distinct("ahu_id").alias("_n"))
+    return (v.join(only, scope, "left").join(hits, [*scope, EQ], "left")
               .select(*scope, EQ, F.coalesce(C("_hit"), F.when(C("_n") == 1, C("_one"))).alias("parent_ahu")))
 
 
 def attach_parent_sat(history: DataFrame, feeds: DataFrame, *, sat: str = "sat") -> DataFrame:
     """T-2: the parent AHU's discharge temperature on each VAV row, at the same timestamp.
     `feeds`: equipment_id, parent_ahu."""
-    f = feeds.where(C("parent_ahu").isNotNull()).select(EQ, "parent_ahu")
-    src = history.groupBy(C(EQ).alias("parent_ahu"), TS).agg(F.max(sat).alias("_parent_sat"))
+    f = feeds.where(C("parent_ahu").isNotNull()).select(*ID, "parent_ahu")
+    src = history.groupBy(SITE, C(EQ).alias("parent_ahu"), TS).agg(F.max(sat).alias("_parent_sat"))
     rows, own = history, F.lit(None).cast("double")
     if "ahu_sat" in history.columns:
         rows, own = history.withColumnRenamed("ahu_sat", "_own"), C("_own")
-    return (rows.join(f, EQ, "left").join(src, ["parent_ahu", TS], "left")
+    return (rows.join(f, list(ID), "left").join(src, [SITE, "parent_ahu", TS], "left")
                 .withColumn("ahu_sat", F.coalesce(C("_parent_sat"), own)).drop("_parent_sat", "_own"))
 
 
 def load_satisfaction(history: DataFrame, *, comfort=(70.0, 75.0), sat_band: float = 2.0,
                       kind: Column | None = None) -> DataFrame:
-    """T-3: per timestamp, whether every zone with a reading is in the comfort band and every
+    """T-3: per building and timestamp, whether every zone with a reading is in the comfort band and every
     AHU with both readings is within the band of its setpoint; NULL without evidence."""
     k = equipment_kind() if kind is None else kind
     lo, hi = min(comfort), max(comfort)
     zone = k.isin("vav", "zone") & C("zone_t").isNotNull()
     air = (k == "ahu") & C("sat").isNotNull() & C("sat_sp").isNotNull()
-    return history.groupBy(TS).agg(
+    return history.groupBy(SITE, TS).agg(
         F.min(F.when(zone, C("zone_t").between(lo, hi))).alias("zones_ok"),
         F.min(F.when(air, F.abs(C("sat") - C("sat_sp")) <= num(abs(sat_band)))).alias("ahus_ok"))
 
@@ -64,7 +61,7 @@ def attach_load_satisfaction(history: DataFrame, **kw) -> DataFrame:
     flags = load_satisfaction(history, **kw)
     is_chiller = equipment_kind() == "chiller"
     names = {"building_zone_load_satisfied": "zones_ok", "building_ahu_load_satisfied": "ahus_ok"}
-    out = history.join(flags, TS, "left")
+    out = history.join(flags, [SITE, TS], "left")
     # A column exists for the whole site as soon as any contributor does; without a valid
     # sample at a timestamp the flag is "not satisfied", never satisfied.
     return out.withColumns({
@@ -75,8 +72,8 @@ def attach_load_satisfaction(history: DataFrame, **kw) -> DataFrame:
 
 def invert_feeds(feeds: DataFrame, *, parent: str = "parent_ahu") -> DataFrame:
     """T-4: children per parent. A parent feeds tens of boxes; the list is per parent only."""
-    return (feeds.where(C(parent).isNotNull() & C(EQ).isNotNull()).select(parent, EQ).distinct()
-                 .groupBy(parent).agg(F.array_sort(F.collect_list(EQ)).alias("children"),
+    return (feeds.where(C(parent).isNotNull() & C(EQ).isNotNull()).select(SITE, parent, EQ).distinct()
+                 .groupBy(SITE, parent).agg(F.array_sort(F.collect_list(EQ)).alias("children"),
                                       F.count(F.lit(1)).alias("child_count")))
 
 
@@ -136,25 +133,25 @@ def list_by_site(equipment: DataFrame, points: DataFrame) -> DataFrame:
 def role_map_gap(mapped: DataFrame, rules: DataFrame) -> DataFrame:
     """T-7: per equipment and applicable rule the required roles it lacks.
     `mapped`: equipment_id, kind, role; `rules`: rule_id, kind, required (array)."""
-    have = mapped.groupBy(EQ, "kind").agg(F.collect_set("role").alias("have"))
+    have = mapped.groupBy(*ID, "kind").agg(F.collect_set("role").alias("have"))
     return (have.join(rules, "kind")
                 .withColumn("missing", F.array_sort(F.array_except("required", "have")))
-                .select(EQ, "kind", "rule_id", "missing", F.size("missing").alias("missing_count")))
+                .select(*ID, "kind", "rule_id", "missing", F.size("missing").alias("missing_count")))
 
 
-def candidate_columns(gaps: DataFrame, columns: DataFrame, *, limit: int = 8) -> DataFrame:
+def candidate_columns(gaps: DataFrame, columns: DataFrame, *, limit: int | None = None) -> DataFrame:
     """T-7: for each missing role the columns of the same equipment that look like it.
     5 points for the whole role name inside the column name, 1 per token."""
-    need = gaps.select(EQ, F.explode("missing").alias("role")).distinct()
+    need = gaps.select(*ID, F.explode("missing").alias("role")).distinct()
     plain = lambda c: F.regexp_replace(F.lower(c), "[-_]", "")
     role = F.regexp_replace(C("role"), "_pct", "")
     tokens = F.filter(F.split(role, "_"), lambda t: t != "")
-    j = need.join(columns.select(EQ, "column").distinct(), EQ)
+    j = need.join(columns.select(*ID, "column").distinct(), list(ID))
     score = (F.when(plain("column").contains(F.regexp_replace(role, "_", "")), 5).otherwise(0)
              + F.aggregate(tokens, F.lit(0), lambda acc, t: acc + F.when(plain("column").contains(t), 1).otherwise(0)))
-    w = Window.partitionBy(EQ, "role").orderBy(F.desc("score"), "column")
-    return (j.withColumn("score", score).where("score > 0")
-             .withColumn("rank", F.row_number().over(w)).where(C("rank") <= limit))
+    w = Window.partitionBy(*ID, "role").orderBy(F.desc("score"), "column")
+    ranked = j.withColumn("score", score).where("score > 0").withColumn("rank", F.row_number().over(w))
+    return ranked if limit is None else ranked.where(C("rank") <= limit)
 
 
 # --- role naming (S-6 to S-8) ----------------------------------------------------------------
@@ -246,7 +243,7 @@ def column_score(role: Column, column: Column) -> Column:
 
 def pick_best_column(columns: DataFrame) -> DataFrame:
     """S-7: `columns` has equipment_id, role, column; the best-scoring one per role stays."""
-    w = Window.partitionBy(EQ, "role").orderBy(F.desc("score"), "column")
+    w = Window.partitionBy(*ID, "role").orderBy(F.desc("score"), "column")
     return (columns.withColumn("score", column_score(C("role"), C("column")))
                    .withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn"))
 

@@ -6,9 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.logic import any_of, epoch, fan_on, frac, holds, num, percent
 from thermaline.functions.roles import UNOCCUPIED_TOKENS, ensure_roles
-from thermaline.functions.scalars import with_scalars
 from thermaline.operators import align
 from thermaline.operators.confirm import forward_dt, median_delta
 from thermaline.operators.rules import RULES
@@ -16,7 +16,6 @@ from thermaline.operators.runner import FAULT, PASS, equipment_kind
 from thermaline.operators.series import ordinal, with_series_columns
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 GAP = 900.0  # seconds; longest interval one sample may stand for
 
 
@@ -54,7 +53,7 @@ def cooling_eligibility(points: DataFrame) -> DataFrame:
     kinds = F.collect_set("kind")
     primary = F.arrays_overlap(kinds, F.array(*[F.lit(k) for k in ("status", "command")]))
     support = F.arrays_overlap(kinds, F.array(*[F.lit(k) for k in ("amps", "power")]))
-    return points.groupBy(EQ).agg(
+    return points.groupBy(*ID).agg(
         F.when(primary & support, "high").when(primary | support, "medium").otherwise("none").alias("confidence"),
         (primary | support).alias("eligible"))
 
@@ -63,11 +62,11 @@ def cooling_eligibility(points: DataFrame) -> DataFrame:
 def runtime_hours(df: DataFrame, on: Column, *, max_gap: float = GAP, ts: str = TS, **kw) -> DataFrame:
     """B-1: on-hours, coverage of the span and sample counts per equipment, in one pass."""
     d = with_series_columns(df.withColumn("_on", holds(on)), lambda w: {"_next": F.lead(epoch(ts)).over(w)},
-                            (EQ,), ts, after=1, **kw)
+                            ID, ts, after=1, **kw)
     dt = F.greatest(num(0), F.least(C("_next") - epoch(ts), num(max_gap)))
     dt = F.when(C("_next").isNotNull(), dt)
     span = F.max(epoch(ts)) - F.min(epoch(ts))
-    return d.groupBy(EQ).agg(
+    return d.groupBy(*ID).agg(
         (F.coalesce(F.sum(F.when(C("_on"), dt)), num(0)) / num(3600)).alias("run_hours"),
         F.when(span > num(0), num(100) * F.sum(dt) / span).otherwise(num(0)).alias("coverage_pct"),
         F.count(F.lit(1)).alias("samples"), F.count(F.when(C("_on"), 1)).alias("on_samples"),
@@ -81,10 +80,10 @@ def site_oat(df: DataFrame, role: str = "oa_t") -> DataFrame:
 def runtime_weekly(df: DataFrame, on: Column, *, max_gap: float = GAP, oat: str = "oa_t", **kw) -> DataFrame:
     """B-2: run hours per equipment and week, mean site OAT while on."""
     d = with_series_columns(df.withColumn("_on", holds(on)), lambda w: {"_next": F.lead(epoch(TS)).over(w)},
-                            (EQ,), TS, after=1, **kw).where(C("_next").isNotNull())
+                            ID, TS, after=1, **kw).where(C("_next").isNotNull())
     dt = F.greatest(num(0), F.least(C("_next") - epoch(TS), num(max_gap)))
-    d = d.drop("oat_f").join(site_oat(df, oat), TS, "left")
-    return d.groupBy(EQ, F.date_format(F.date_trunc("week", TS), "yyyy-MM-dd").alias("week")).agg(
+    d = d.drop("oat_f").join(site_oat(df, oat), [SITE, TS], "left")
+    return d.groupBy(*ID, F.date_format(F.date_trunc("week", TS), "yyyy-MM-dd").alias("week")).agg(
         (F.sum(F.when(C("_on"), dt).otherwise(num(0))) / num(3600)).alias("run_hours"),
         F.avg(F.when(C("_on"), C("oat_f"))).alias("avg_oat_f")).where(C("run_hours") > num(0))
 
@@ -101,7 +100,7 @@ def motor_run_hours(df: DataFrame, *, poll: float = 300.0) -> DataFrame:
     long = align.wide_to_long(df, sig).withColumn("on", F.when(C("value") > num(1.5), C("value") / num(100))
                                                   .otherwise(C("value")) > num(0.05))
     kind = F.create_map(*[F.lit(x) for kv in MOTOR_SIGNALS.items() for x in kv])
-    return long.groupBy(EQ, C("role").alias("signal")).agg(
+    return long.groupBy(*ID, C("role").alias("signal")).agg(
         F.count(F.lit(1)).alias("samples"), F.count(F.when(C("on"), 1)).alias("on_samples"),
         (F.count(F.when(C("on"), 1)) * num(poll) / num(3600)).alias("run_hours"),
     ).withColumn("motor_kind", F.element_at(kind, C("signal")))
@@ -109,12 +108,12 @@ def motor_run_hours(df: DataFrame, *, poll: float = 300.0) -> DataFrame:
 
 def motor_run_totals(table: DataFrame) -> DataFrame:
     """Fan, pump and total hours; a status replaces the command of the same motor."""
-    by_eq = Window.partitionBy(EQ)
+    by_eq = Window.partitionBy(*ID)
     signals = F.collect_set("signal").over(by_eq)  # at most a handful of signals per equipment
     drop = any_of((C("signal") == c) & F.array_contains("_s", s) for c, s in REDUNDANT.items())
     t = table.withColumn("_s", signals).where(~drop)
     fan, pump = (F.coalesce(F.sum(F.when(C("motor_kind") == k, C("run_hours"))), num(0)) for k in ("fan", "pump"))
-    return t.agg(fan.alias("fan_hours"), pump.alias("pump_hours"), (fan + pump).alias("total_hours"))
+    return t.groupBy(SITE).agg(fan.alias("fan_hours"), pump.alias("pump_hours"), (fan + pump).alias("total_hours"))
 
 
 # Name patterns of plant motors, first hit wins.
@@ -139,13 +138,13 @@ def _numeric_stats():
 
 
 def long_readings(df: DataFrame, roles) -> DataFrame:
-    return df.select(EQ, *[C(r).cast("double").alias(r) for r in roles]).unpivot([EQ], list(roles), "role", "value")
+    return df.select(*ID, *[C(r).cast("double").alias(r) for r in roles]).unpivot([*ID], list(roles), "role", "value")
 
 
 def sensor_health(df: DataFrame, roles, *, min_n: int = 5, eps: float = 1e-9) -> DataFrame:
     """B-5: every role's statistics from one scan and one aggregation; roles an equipment
     never reports are left out."""
-    s = long_readings(df, roles).groupBy(EQ, "role").agg(*_numeric_stats()).where(C("n_finite") > 0)
+    s = long_readings(df, roles).groupBy(*ID, "role").agg(*_numeric_stats()).where(C("n_finite") > 0)
     return s.withColumns({
         "coverage_pct": num(100) * C("n_finite") / C("n"), "missingness": num(1) - C("n_finite") / C("n"),
         "flatline": (C("n_finite") > min_n) & (C("std") <= num(eps))})
@@ -155,7 +154,7 @@ def sensor_stats(df: DataFrame, roles, *, fan_state: str = "all") -> DataFrame:
     """B-6."""
     on = fan_on(False)
     d = df if fan_state == "all" else df.where(on if fan_state == "on" else ~on)
-    return long_readings(d, roles).groupBy(EQ, "role").agg(*_numeric_stats()).where(C("n_finite") > 0)
+    return long_readings(d, roles).groupBy(*ID, "role").agg(*_numeric_stats()).where(C("n_finite") > 0)
 
 
 SETPOINT_ROLES = ["sat_sp", "zone_t_sp", "chw_supply_sp", "duct_static_sp", "min_flow_sp"]
@@ -173,10 +172,10 @@ def setpoints(df: DataFrame, roles=None, *, exact: bool = False) -> DataFrame:
     exact median keeps every distinct value of a group in memory."""
     roles = [r for r in (roles or SETPOINT_ROLES) if r in df.columns]
     d = df.withColumn("_occ", occupied())
-    long = d.select(EQ, "_occ", *roles).unpivot([EQ, "_occ"], roles, "role", "value")
+    long = d.select(*ID, "_occ", *roles).unpivot([*ID, "_occ"], roles, "role", "value")
     med = (lambda c: F.percentile(c, F.lit(0.5))) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
     occ, un = F.when(C("_occ"), C("value")), F.when(~C("_occ"), C("value"))
-    return long.groupBy(EQ, "role").agg(
+    return long.groupBy(*ID, "role").agg(
         med(occ).alias("median_occupied"), med(un).alias("median_unoccupied"), med(C("value")).alias("median_all"),
         F.count(occ).alias("n_occupied"), F.count(un).alias("n_unoccupied"))
 
@@ -184,8 +183,8 @@ def setpoints(df: DataFrame, roles=None, *, exact: bool = False) -> DataFrame:
 def diurnal(df: DataFrame, roles) -> DataFrame:
     """B-8."""
     d = df.withColumns({"hour": F.hour(TS), "fan_state": F.when(fan_on(False), "on").otherwise("off")})
-    long = d.select(EQ, "hour", "fan_state", *roles).unpivot([EQ, "hour", "fan_state"], list(roles), "role", "value")
-    return long.where(C("value").isNotNull()).groupBy(EQ, "role", "hour", "fan_state").agg(
+    long = d.select(*ID, "hour", "fan_state", *roles).unpivot([*ID, "hour", "fan_state"], list(roles), "role", "value")
+    return long.where(C("value").isNotNull()).groupBy(*ID, "role", "hour", "fan_state").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
 
 
@@ -193,16 +192,16 @@ def diurnal(df: DataFrame, roles) -> DataFrame:
 def schedule_hours(df: DataFrame, *, max_gap: float = GAP, **kw) -> DataFrame:
     """B-9: occupied, unoccupied and covered hours over the rows that report a mode."""
     d = with_series_columns(df.where(C("occ_mode").isNotNull()).withColumn("_occ", holds(occupied())),
-                            lambda w: {"_next": F.lead(epoch(TS)).over(w)}, (EQ,), TS, after=1, **kw)
+                            lambda w: {"_next": F.lead(epoch(TS)).over(w)}, ID, TS, after=1, **kw)
     d = d.where(C("_next").isNotNull()).withColumn("dt", F.greatest(num(0), F.least(C("_next") - epoch(TS), num(max_gap))))
     h = lambda c: F.sum(c) / num(3600)
-    return d.groupBy(EQ).agg(
+    return d.groupBy(*ID).agg(
         h(F.when(C("_occ"), C("dt")).otherwise(num(0))).alias("occupied_hours"),
         h(F.when(~C("_occ"), C("dt")).otherwise(num(0))).alias("unoccupied_hours"), h("dt").alias("coverage_hours"),
         F.count(F.when(C("_occ"), 1)).alias("occupied_samples"), F.count(F.lit(1)).alias("total_samples"))
 
 
-def after_hours_fan(fan: DataFrame, occ: DataFrame, *, on=(EQ,), max_gap: float = GAP, **kw) -> DataFrame:
+def after_hours_fan(fan: DataFrame, occ: DataFrame, *, on=ID, max_gap: float = GAP, **kw) -> DataFrame:
     """B-10: fan-on hours while the occupancy in force is false. Before the first occupancy
     sample the first one counts. `fan`: keys, ts, fan_on; `occ`: keys, ts, occupied."""
     keys = list(on)
@@ -240,8 +239,8 @@ def fill_occ_mode(df: DataFrame, week=OFFICE_WEEK, *, tz: str = "UTC") -> DataFr
     """Attach a mode from the calendar to equipment that reports none at all."""
     mask = F.when(occupied_mask(C(TS), week, tz=tz), "occupied").otherwise("unoccupied")
     d = ensure_roles(df, ["occ_mode"])
-    has = d.groupBy(EQ).agg((F.count("occ_mode") > 0).alias("_has"))
-    return d.join(has, EQ).withColumn("occ_mode", F.when(C("_has"), C("occ_mode")).otherwise(mask)).drop("_has")
+    has = d.groupBy(*ID).agg((F.count("occ_mode") > 0).alias("_has"))
+    return d.join(has, list(ID)).withColumn("occ_mode", F.when(C("_has"), C("occ_mode")).otherwise(mask)).drop("_has")
 
 
 def day_type(df: DataFrame, holidays: DataFrame | None = None, *, ts: str = TS) -> DataFrame:
@@ -259,39 +258,39 @@ def oat_bins(df: DataFrame, on: Column, *, devices: Column | None = None, oat: D
              max_gap: float = GAP, width: float = 5.0, **kw) -> DataFrame:
     """B-13: run hours per OAT bin, per device, summed over devices, and with any device on.
 
-    The any-device series has one row per timestamp: it is aggregated first and treated as
+    The any-device series has one row per building and timestamp: it is aggregated first and treated as
     one more series, so the site-wide LEAD is cut into blocks like any other.
     """
     oat = site_oat(df.where(C("oa_t").between(40.0, 110.0))) if oat is None else oat
     src = df if devices is None else df.where(devices)
-    dev = src.select(EQ, TS, holds(on).alias("_on")).join(oat, TS, "left")
-    site = (dev.where(C("oat_f").isNotNull()).groupBy(TS)
+    dev = src.select(*ID, TS, holds(on).alias("_on")).join(oat, [SITE, TS], "left")
+    site = (dev.where(C("oat_f").isNotNull()).groupBy(SITE, TS)
                .agg(F.max("_on").alias("_on"), F.max("oat_f").alias("oat_f")).withColumn(EQ, F.lit("ANY")))
 
     def binned(d):
-        d = with_series_columns(d, lambda w: {"_next": F.lead(epoch(TS)).over(w)}, (EQ,), TS, after=1, **kw)
+        d = with_series_columns(d, lambda w: {"_next": F.lead(epoch(TS)).over(w)}, ID, TS, after=1, **kw)
         dt = F.greatest(num(0), F.least(C("_next") - epoch(TS), num(max_gap)))
         return (d.where(C("_on") & C("oat_f").isNotNull() & C("_next").isNotNull())
-                 .groupBy(EQ, (F.floor(C("oat_f") / num(width)).cast("double") * num(width)).alias("bin_lo"))
+                 .groupBy(*ID, (F.floor(C("oat_f") / num(width)).cast("double") * num(width)).alias("bin_lo"))
                  .agg((F.sum(dt) / num(3600)).alias("hours")))
 
     each = binned(dev)
-    total = each.groupBy("bin_lo").agg(F.sum("hours").alias("hours")).select(
-        F.lit("ALL").alias(EQ), "bin_lo", "hours", F.lit("aggregate_device_hours").alias("series_kind"))
+    total = each.groupBy(SITE, "bin_lo").agg(F.sum("hours").alias("hours")).select(
+        SITE, F.lit("ALL").alias(EQ), "bin_lo", "hours", F.lit("aggregate_device_hours").alias("series_kind"))
     return (each.withColumn("series_kind", F.lit("individual_device"))
                 .unionByName(total).unionByName(binned(site).withColumn("series_kind", F.lit("aggregate_active_hours"))))
 
 
 def bas_vs_web_histogram(df: DataFrame) -> DataFrame:
     """B-14: counts of the site BAS minus web difference in 1 degF steps."""
-    return (align.bas_vs_web(df).groupBy(F.floor("delta_f").cast("double").alias("delta_lo"))
+    return (align.bas_vs_web(df).groupBy(SITE, F.floor("delta_f").cast("double").alias("delta_lo"))
                  .agg(F.count(F.lit(1)).alias("n")))
 
 
 def economizer_metrics(df: DataFrame, *, dt_min: float = 10.0) -> DataFrame:
     """B-16."""
     on = holds(fan_on(False))
-    return df.groupBy(EQ).agg(
+    return df.groupBy(*ID).agg(
         F.count(F.when(on, 1)).alias("n_fan_on"),
         F.count(F.when(on & (F.abs(C("oa_t") - C("rat")) >= num(dt_min)), 1)).alias("n_identifiable"),
         F.count("oa_damper_pct").alias("n_damper")).where(C("n_fan_on") > 0)
@@ -303,27 +302,28 @@ def economizer_points(df: DataFrame, *, dt_min: float = 10.0) -> DataFrame:
     damper, d_or, d_mr = percent("oa_damper_pct"), C("oa_t") - C("rat"), C("mat") - C("rat")
     known = F.abs(d_or) >= num(dt_min)
     oa = F.greatest(num(-20), F.least(num(120), num(100) * F.try_divide(d_mr, d_or)))
-    return d.select(EQ, TS, C("oa_t").alias("oat_f"), C("rat").alias("rat_f"), C("mat").alias("mat_f"),
+    return d.select(*ID, TS, C("oa_t").alias("oat_f"), C("rat").alias("rat_f"), C("mat").alias("mat_f"),
                     damper.alias("damper_fb_pct"), d_or.alias("delta_or_f"), d_mr.alias("delta_mr_f"),
                     known.alias("identifiable"), F.when(known, oa).alias("oa_frac_pct"),
                     (C("mat") - (C("rat") + damper / num(100) * d_or)).alias("mat_resid_f"))
 
 
-def economizer_top_points(df: DataFrame, *, limit: int = 1000, dt_min: float = 10.0) -> DataFrame:
-    """The identifiable points first, then by time: a top-k report."""
-    return economizer_points(df, dt_min=dt_min).orderBy(F.desc("identifiable"), TS, EQ).limit(limit)
+def economizer_top_points(df: DataFrame, *, limit: int | None = None, dt_min: float = 10.0) -> DataFrame:
+    """The identifiable points first, then by time; the first `limit` if asked for."""
+    p = economizer_points(df, dt_min=dt_min).orderBy(F.desc("identifiable"), TS, *ID)
+    return p if limit is None else p.limit(limit)
 
 
 def economizer_residuals(df: DataFrame, *, dt_min: float = 10.0, exact: bool = False) -> DataFrame:
     """Median and mean absolute mixed-air residual of the identifiable points."""
     p = economizer_points(df, dt_min=dt_min).where(C("identifiable") & C("mat_resid_f").isNotNull())
     med = F.percentile("mat_resid_f", F.lit(0.5)) if exact else F.percentile_approx("mat_resid_f", 0.5, 10000)
-    return p.groupBy(EQ).agg(med.alias("median_mat_resid_f"), F.avg(F.abs("mat_resid_f")).alias("mat_resid_mae_f"))
+    return p.groupBy(*ID).agg(med.alias("median_mat_resid_f"), F.avg(F.abs("mat_resid_f")).alias("mat_resid_mae_f"))
 
 
 def economizer_points_per_equipment(df: DataFrame, *, per_equipment: int, dt_min: float = 10.0, **kw) -> DataFrame:
     """Every k-th point of an equipment that has more than the report's size, k from its count."""
-    p = ordinal(economizer_points(df, dt_min=dt_min), (EQ,), TS, name="_row", total="_total", **kw)
+    p = ordinal(economizer_points(df, dt_min=dt_min), ID, TS, name="_row", total="_total", **kw)
     step = F.greatest(F.lit(1), F.floor(C("_total") / per_equipment))
     return p.where((C("_total") <= per_equipment) | ((C("_row") - 1) % step == 0)).drop("_row", "_total")
 
@@ -343,11 +343,11 @@ def economizer_weather_summary(df: DataFrame, *, damper_hi=0.9, damper_winter=0.
         "winter_economizing_hours": holds(t < num(freeze)) & (damper > num(damper_winter)),
     }
     d = df.where(equipment_kind().isin("ahu", "chiller", "heatpump"))
-    per_ts = d.groupBy(EQ, TS).agg(*[F.max(holds(m)).alias(k) for k, m in masks.items()],
+    per_ts = d.groupBy(*ID, TS).agg(*[F.max(holds(m)).alias(k) for k, m in masks.items()],
                                    F.count(F.when(t.isNotNull() & dp.isNotNull(), 1)).alias("_wx"),
                                    F.count(F.lit(1)).alias("_n"))
     dt = forward_dt(per_ts, nominal=nominal, **kw)
-    return dt.groupBy(EQ).agg(
+    return dt.groupBy(*ID).agg(
         *[(F.sum(F.when(C(k), C("dt")).otherwise(num(0))) / num(3600)).alias(k) for k in masks],
         (F.sum("_wx") / F.sum("_n")).alias("weather_coverage"))
 
@@ -388,7 +388,7 @@ def health_matrix(results: DataFrame, matrix: str) -> DataFrame:
     if kinds:
         d = d.where(equipment_kind().isin(list(kinds)))
     d = d.withColumn("_flag", tri_state(C("status"), C("fault_hours")))
-    wide = d.groupBy(EQ).agg(
+    wide = d.groupBy(*ID).agg(
         *[F.max(F.when(C("rule_id") == r, C("_flag"))).alias(f"f_{r}") for r in dict.fromkeys(ids)],
         *[F.max(F.when(C("rule_id") == r, C("fault_hours"))).alias(f"h_{r}") for r in dict.fromkeys(ids)])
     out = {}
@@ -396,7 +396,7 @@ def health_matrix(results: DataFrame, matrix: str) -> DataFrame:
         out[k] = F.coalesce(*[C(f"`f_{r}`") for r in rules])
         hours = F.coalesce(*[F.when(C(f"`f_{r}`").isNotNull(), C(f"`h_{r}`")) for r in rules])
         out[f"{k}_fault_h"] = F.when(out[k].isNotNull(), F.coalesce(hours, num(0)))
-    wide = wide.select(EQ, *[c.alias(k) for k, c in out.items()])
+    wide = wide.select(*ID, *[c.alias(k) for k, c in out.items()])
     n = len(flags)
     hit = reduce(lambda a, b: a + b, [F.coalesce(C(k).cast("int"), F.lit(0)) for k in flags])
     known = reduce(lambda a, b: a + b, [C(k).isNotNull().cast("int") for k in flags])
@@ -414,37 +414,36 @@ BROKEN_BOX_RULES = ["VAV-3", "VAV-4", "VAV-5", "VAV-7", "VAV-REHEAT", "VAV-AHU-L
 def vav_health(df: DataFrame, results: DataFrame, *, comfort=(70.0, 75.0), poll: float = 300.0) -> DataFrame:
     """B-20: comfort, full-open and broken-box dimensions per VAV; `?/3` while any is unknown."""
     hours = lambda cond: F.count(F.when(cond, 1)) * num(poll) / num(3600)
-    base = df.where(C(EQ).startswith("VAV")).groupBy(EQ).agg(
+    base = df.where(C(EQ).startswith("VAV")).groupBy(*ID).agg(
         (F.count("zone_t") / F.count(F.lit(1))).alias("zone_cov"),
         (F.count("damper_pct") / F.count(F.lit(1))).alias("damper_cov"),
         hours(~C("zone_t").between(*comfort)).alias("comfort_fail_h"),
         hours(frac("damper_pct") >= num(0.975)).alias("full_open_h"),
         (F.count(F.lit(1)) * num(poll) / num(3600)).alias("span_h"))
-    bad = results.where(C("rule_id").isin(BROKEN_BOX_RULES)).groupBy(EQ).agg(
-        F.max(holds(tri_state(C("status"), C("fault_hours")))).alias("_broken"),
+    bad = results.where(C("rule_id").isin(BROKEN_BOX_RULES)).groupBy(*ID).agg(
+        F.max(tri_state(C("status"), C("fault_hours"))).alias("_broken"),
         F.coalesce(F.sum(F.when(C("status") == FAULT, C("fault_hours"))), num(0)).alias("broken_fault_h"))
-    j = base.join(bad, EQ, "left")
+    j = base.join(bad, list(ID), "left")
     dims = {
         "poor_zone": F.when(C("zone_cov") >= num(0.01), C("comfort_fail_h") > num(0.01)),
         "rogue_damper": F.when((C("damper_cov") >= num(0.01)) & (C("span_h") >= num(20)),
                                num(100) * F.try_divide(C("full_open_h"), C("span_h")) >= num(95)),
-        "broken_box": F.coalesce(C("_broken"), F.lit(False)),
+        "broken_box": C("_broken"),  # unknown without an evaluable result
     }
     j = j.withColumns(dims)
     known = reduce(lambda a, b: a + b, [C(k).isNotNull().cast("int") for k in dims])
     hit = reduce(lambda a, b: a + b, [F.coalesce(C(k).cast("int"), F.lit(0)) for k in dims])
-    return j.select(EQ, "comfort_fail_h", "full_open_h", "span_h", F.coalesce("broken_fault_h", num(0)).alias("broken_fault_h"),
+    return j.select(*ID, "comfort_fail_h", "full_open_h", "span_h", F.coalesce("broken_fault_h", num(0)).alias("broken_fault_h"),
                     *dims, hit.alias("dimensions_hit"),
                     F.when(known < 3, "?/3").otherwise(F.concat(hit.cast("string"), F.lit("/3"))).alias("score_label"))
 
 
 # --- review ----------------------------------------------------------------------------------
 def cohort_outlier(df: DataFrame, value: str, *, z: float = 2.5, out: str = "outlier") -> DataFrame:
-    """Flag rows far from the mean of all rows; needs three rows and some spread. The cohort
-    statistics are a one-row aggregate."""
-    s = df.agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"), F.count(value).alias("_n"))
+    """Flag rows far from the mean of their building's rows; needs three rows and some spread."""
+    s = df.groupBy(SITE).agg(F.avg(value).alias("_mu"), F.stddev_pop(value).alias("_sd"), F.count(value).alias("_n"))
     flag = (C("_n") >= 3) & (C("_sd") > num(1e-9)) & (F.abs(C(value) - C("_mu")) / C("_sd") >= num(z))
-    return with_scalars(df, s).withColumn(out, holds(flag)).drop("_mu", "_sd", "_n")
+    return df.join(s, SITE).withColumn(out, holds(flag)).drop("_mu", "_sd", "_n")
 
 
 def occupied_for_rank(c: str = "occ_mode") -> Column:
@@ -458,7 +457,7 @@ def zone_comfort_rank(df: DataFrame, *, comfort=(70.0, 75.0), occupied_only: boo
     d = df.where(C("zone_t").isNotNull())
     if occupied_only and "occ_mode" in df.columns:
         d = d.where(occupied_for_rank())
-    r = d.groupBy(EQ).agg(
+    r = d.groupBy(*ID).agg(
         F.count(F.lit(1)).alias("n_samples"), F.count(F.when(C("zone_t") < num(comfort[0]), 1)).alias("n_below"),
         F.count(F.when(C("zone_t") > num(comfort[1]), 1)).alias("n_above"), F.avg("zone_t").alias("mean_zone_t"))
     r = r.withColumn("fail_pct", num(100) * (C("n_below") + C("n_above")) / C("n_samples"))
@@ -471,13 +470,15 @@ def ahu_reset_evidence(df: DataFrame) -> DataFrame:
     for r in ("sat_sp", "duct_static_sp"):
         aggs += [(num(100) * F.count(r) / F.count(F.lit(1))).alias(f"{r}_coverage_pct"),
                  (F.max(r) - F.min(r)).alias(f"{r}_span"), F.count_distinct(F.round(r, 2)).alias(f"{r}_levels")]
-    return df.where(equipment_kind() == "ahu").groupBy(EQ).agg(*aggs)
+    return df.where(equipment_kind() == "ahu").groupBy(*ID).agg(*aggs)
 
 
-def timeseries(df: DataFrame, role: str, *, limit: int = 2000, **kw) -> DataFrame:
-    """B-24: first, last and every k-th reading of each equipment, k = ceil(n / limit)."""
-    d = ordinal(df.where(C(role).isNotNull()).select(EQ, TS, C(role).alias("value_f")), (EQ,), TS, name="_row",
-                total="_total", **kw)
+def timeseries(df: DataFrame, role: str, *, limit: int | None = None, **kw) -> DataFrame:
+    """B-24: all readings; with a limit the first, last and every k-th of each equipment, k = ceil(n / limit)."""
+    d = df.where(C(role).isNotNull()).select(*ID, TS, C(role).alias("value_f"))
+    if limit is None:
+        return d
+    d = ordinal(d, ID, TS, name="_row", total="_total", **kw)
     k = F.expr(f"(_total + {int(limit)} - 1) div {int(limit)}")
     keep = (C("_row") == 1) | (C("_row") == C("_total")) | (C("_row") % k == 0)
     return d.where(keep).drop("_row", "_total")
@@ -485,13 +486,13 @@ def timeseries(df: DataFrame, role: str, *, limit: int = 2000, **kw) -> DataFram
 
 def oat_scatter(df: DataFrame, role: str, *, driver: str | None = None) -> DataFrame:
     """B-25: a role against the site OAT of the same timestamp, with an optional second driver."""
-    site = df.groupBy(TS).agg(F.avg("oa_t").alias("oat_f"), F.avg(driver or "oa_t").alias("driver_f"))
-    out = df.select(EQ, TS, C(role).alias("y_f")).where(C("y_f").isNotNull()).join(site, TS)
+    site = df.groupBy(SITE, TS).agg(F.avg("oa_t").alias("oat_f"), F.avg(driver or "oa_t").alias("driver_f"))
+    out = df.select(*ID, TS, C(role).alias("y_f")).where(C("y_f").isNotNull()).join(site, [SITE, TS])
     out = out.where(C("oat_f").isNotNull())
     return out if driver else out.drop("driver_f")
 
 
-def five_number(df: DataFrame, value: str, *, by=(EQ,), z: float = 2.5, exact: bool = False, outliers: bool = True) -> DataFrame:
+def five_number(df: DataFrame, value: str, *, by=ID, z: float = 2.5, exact: bool = False, outliers: bool = True) -> DataFrame:
     """B-26/B-27: distribution per group; quartiles are approximate unless asked otherwise."""
     q = [F.lit(x) for x in (0.25, 0.5, 0.75)]
     quart = F.percentile(value, F.array(*q)) if exact else F.percentile_approx(value, [0.25, 0.5, 0.75], 10000)
@@ -506,42 +507,45 @@ def five_number(df: DataFrame, value: str, *, by=(EQ,), z: float = 2.5, exact: b
 def by_mode(df: DataFrame, value: str, on: Column, *, exact: bool = False) -> DataFrame:
     """B-27: the distribution for all samples, and for on and off separately."""
     modes = F.array(F.lit("all"), F.when(on, F.lit("on")).otherwise(F.lit("off")))
-    d = df.where(C(value).isNotNull()).select(EQ, C(value), F.explode(modes).alias("mode"))
-    return five_number(d, value, by=(EQ, "mode"), exact=exact, outliers=False)
+    d = df.where(C(value).isNotNull()).select(*ID, C(value), F.explode(modes).alias("mode"))
+    return five_number(d, value, by=(*ID, "mode"), exact=exact, outliers=False)
 
 
-def inspect(df: DataFrame, equipment, columns, *, limit: int = 500, after=None, before=None) -> DataFrame:
+def inspect(df: DataFrame, equipment, columns, *, limit: int | None = None, after=None, before=None) -> DataFrame:
     """B-28: a page of raw columns; the filters reach the scan."""
     d = df.where(C(EQ).isin(list(equipment))) if equipment else df
     d = d.where(C(TS) >= F.lit(after)) if after is not None else d
     d = d.where(C(TS) <= F.lit(before)) if before is not None else d
-    return d.select(EQ, TS, *columns).orderBy(TS, EQ).limit(limit)
+    d = d.select(*ID, TS, *columns).orderBy(TS, *ID)
+    return d if limit is None else d.limit(limit)
 
 
 def descriptive_counts(df: DataFrame, where: Column | None = None) -> DataFrame:
-    return (df if where is None else df.where(where)).groupBy(EQ).agg(F.count(F.lit(1)).alias("rows"))
+    return (df if where is None else df.where(where)).groupBy(*ID).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def dataset_time_span(df: DataFrame) -> DataFrame:
-    return df.agg(F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"),
+    return df.groupBy(SITE).agg(F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"),
                   ((F.max(epoch(TS)) - F.min(epoch(TS))) / num(3600)).alias("hours"))
 
 
-def readings(df: DataFrame, columns, *, hours: float = 24.0, rolling_minutes: int | None = None, limit: int = 4000, **kw) -> DataFrame:
-    """B-31: the last N hours relative to the newest sample, thinned to about `limit` rows per
-    equipment, with an optional trailing mean."""
-    last = df.agg(F.max(epoch(TS)).alias("_last"))
-    d = with_scalars(df, last).where(epoch(TS) >= C("_last") - num(hours * 3600)).select(EQ, TS, *columns)
+def readings(df: DataFrame, columns, *, hours: float = 24.0, rolling_minutes: int | None = None, limit: int | None = None, **kw) -> DataFrame:
+    """B-31: the last N hours relative to the building's newest sample, with an optional trailing
+    mean; thinned to about `limit` rows per equipment if a limit is given."""
+    last = df.groupBy(SITE).agg(F.max(epoch(TS)).alias("_last"))
+    d = df.join(last, SITE).where(epoch(TS) >= C("_last") - num(hours * 3600)).select(*ID, TS, *columns)
     if rolling_minutes:
         us = int(rolling_minutes * 60_000_000)
 
         def make(_w):
-            w = Window.partitionBy(EQ, "_block").orderBy("_t").rangeBetween(-us, 0)
+            w = Window.partitionBy(*ID, "_block").orderBy("_t").rangeBetween(-us, 0)
             return {f"{c}_avg": F.avg(c).over(w) for c in columns}
 
-        d = with_series_columns(d.withColumn("_t", F.unix_micros(TS)), make, (EQ,), TS,
+        d = with_series_columns(d.withColumn("_t", F.unix_micros(TS)), make, ID, TS,
                                 before_seconds=rolling_minutes * 60.0, **kw).drop("_t")
-    d = ordinal(d, (EQ,), TS, name="_row", total="_total", **kw)
+    if limit is None:
+        return d
+    d = ordinal(d, ID, TS, name="_row", total="_total", **kw)
     k = F.greatest(F.lit(1), F.expr(f"(_total + {int(limit)} - 1) div {int(limit)}"))
     return d.where((C("_row") == 1) | (C("_row") == C("_total")) | (C("_row") % k == 0)).drop("_row", "_total")
 
@@ -550,7 +554,7 @@ def evidence_availability(df: DataFrame) -> DataFrame:
     """B-42: whether OAT and cooling proof exist with data."""
     have = set(df.columns)
     seen = lambda *rs: reduce(lambda a, b: a | b, [F.count(r) > 0 for r in rs if r in have] or [F.lit(False)])
-    return df.groupBy(EQ).agg(seen("oa_t", "web_oa_t").alias("has_oat"),
+    return df.groupBy(*ID).agg(seen("oa_t", "web_oa_t").alias("has_oat"),
                               seen("chiller_status", "compressor_status", "chiller_cmd", "chiller_amps", "chiller_power")
                               .alias("has_cooling_proof"), F.count(F.lit(1)).alias("rows"))
 
@@ -560,9 +564,9 @@ def metering_monthly(df: DataFrame, role: str, *, cooling: bool = True, base: fl
     """B-34: mean rate per equipment and month with the month's mean OAT, energy by sample
     count at five minutes, and degree days of that mean."""
     month = F.date_format(TS, "yyyy-MM").alias("month")
-    oat = df.where(C("oa_t").isNotNull()).groupBy(month).agg(F.avg("oa_t").alias("avg_oat_f"))
-    m = df.where(C(role).isNotNull()).groupBy(EQ, month).agg(F.avg(role).alias("avg_rate"), F.count(F.lit(1)).alias("n_samples"))
-    j = m.join(oat, "month", "left")
+    oat = df.where(C("oa_t").isNotNull()).groupBy(SITE, month).agg(F.avg("oa_t").alias("avg_oat_f"))
+    m = df.where(C(role).isNotNull()).groupBy(*ID, month).agg(F.avg(role).alias("avg_rate"), F.count(F.lit(1)).alias("n_samples"))
+    j = m.join(oat, [SITE, "month"], "left")
     t = F.coalesce(C("avg_oat_f"), num(65))
     gap = t - num(base) if cooling else num(base) - t
     days = F.greatest(C("n_samples") * num(5) / num(1440), num(1))
@@ -574,12 +578,12 @@ def integrate_rate_monthly(df: DataFrame, role: str, *, cap_factor: float = 20.0
     """B-35: rate times hours since the previous sample, capped at 20 median spacings; the
     first sample counts one median."""
     med = median_delta(df, **kw)
-    d = with_series_columns(df.select(EQ, TS, C(role).alias("rate")),
-                            lambda w: {"_d": epoch(TS) - F.lag(epoch(TS)).over(w)}, (EQ,), TS, before=1, **kw)
-    d = d.join(med, EQ, "left")
+    d = with_series_columns(df.select(*ID, TS, C(role).alias("rate")),
+                            lambda w: {"_d": epoch(TS) - F.lag(epoch(TS)).over(w)}, ID, TS, before=1, **kw)
+    d = d.join(med, list(ID), "left")
     m = F.when(C("_median") > num(0), C("_median")).otherwise(num(300))
     sec = F.greatest(num(0), F.least(F.coalesce(C("_d"), m), m * num(cap_factor)))
-    return d.groupBy(EQ, F.date_format(TS, "yyyy-MM").alias("month")).agg(
+    return d.groupBy(*ID, F.date_format(TS, "yyyy-MM").alias("month")).agg(
         F.coalesce(F.sum(C("rate") * sec / num(3600)), num(0)).alias("energy"), F.count("rate").alias("n_samples"),
         F.avg("rate").alias("mean_rate"), F.max("rate").alias("max_rate")).where(C("n_samples") > 0)
 
@@ -613,7 +617,7 @@ PRESETS = {
 }
 
 
-def preset(name: str, df: DataFrame, *, results: DataFrame | None = None, limit: int = 2000) -> DataFrame:
+def preset(name: str, df: DataFrame, *, results: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """B-32: a named review, routed to the operator behind it."""
     chart, role, kinds = PRESETS[name]
     d = df if kinds is None else df.where(equipment_kind().isin(list(kinds)))
@@ -624,15 +628,15 @@ def preset(name: str, df: DataFrame, *, results: DataFrame | None = None, limit:
     if chart == "vav_health":
         return vav_health(d, results)
     if chart == "scatter":
-        return oat_scatter(df, role).join(d.select(EQ).distinct(), EQ, "left_semi")
+        return oat_scatter(df, role).join(d.select(*ID).distinct(), list(ID), "left_semi")
     if chart == "series":
         return timeseries(d, role, limit=limit)
     if chart in ("metering", "metering_gas"):
-        return metering_monthly(df, role, cooling=chart == "metering").join(d.select(EQ).distinct(), EQ, "left_semi")
+        return metering_monthly(df, role, cooling=chart == "metering").join(d.select(*ID).distinct(), list(ID), "left_semi")
     if chart == "weekly":
-        return runtime_weekly(df, plant_on(df.columns)).join(d.select(EQ).distinct(), EQ, "left_semi")
+        return runtime_weekly(df, plant_on(df.columns)).join(d.select(*ID).distinct(), list(ID), "left_semi")
     if chart == "econ":
-        return economizer_points(d).select(EQ, TS, role)
+        return economizer_points(d).select(*ID, TS, role)
     if chart == "bins":
         return oat_bins(df, cooling_on(df.columns), devices=equipment_kind().isin(list(kinds)))
     return align.bas_vs_web(df)
@@ -645,7 +649,7 @@ def preset_coverage(df: DataFrame, names=None) -> DataFrame:
     aggs = []
     for i, (_n, _chart, role, kinds) in enumerate(items):
         hit = C(role).isNotNull() & (kind.isin(list(kinds)) if kinds else F.lit(True))
-        aggs += [F.count_distinct(F.when(hit, C(EQ))).alias(f"s{i}"), F.count(F.when(hit, 1)).alias(f"r{i}")]
+        aggs += [F.count_distinct(F.when(hit, F.struct(*ID))).alias(f"s{i}"), F.count(F.when(hit, 1)).alias(f"r{i}")]
     wide = df.agg(*aggs)
     rows = F.array(*[F.struct(F.lit(n).alias("preset"), C(f"s{i}").alias("series"), C(f"r{i}").alias("rows"),
                               F.when(C(f"r{i}") == 0, F.lit(f"no {role} data")).alias("reason"))
@@ -655,12 +659,12 @@ def preset_coverage(df: DataFrame, names=None) -> DataFrame:
 
 def clustering_features(df: DataFrame, roles, results: DataFrame) -> DataFrame:
     """B-38: one wide row per equipment: role statistics and fault hours per rule."""
-    stats = df.groupBy(EQ).agg(*[f(r).alias(f"{r}__{n}") for r in roles for n, f in
+    stats = df.groupBy(*ID).agg(*[f(r).alias(f"{r}__{n}") for r in roles for n, f in
                                  (("mean", F.avg), ("std", F.stddev_pop), ("min", F.min), ("max", F.max))])
-    faults = results.groupBy(EQ).agg(*[
+    faults = results.groupBy(*ID).agg(*[
         F.coalesce(F.sum(F.when(C("rule_id") == r, C("fault_hours"))), num(0)).alias(f"fault__{r.lower().replace('-', '_')}")
         for r in RULES if RULES[r].aggs is None])
-    return stats.join(faults, EQ, "left")
+    return stats.join(faults, list(ID), "left")
 
 
 def analytics_dump(df: DataFrame, results: DataFrame, out: str) -> dict[str, str]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.logic import any_of, holds, num
 from thermaline.functions.scalars import with_scalars
 from thermaline.operators.confirm import runs
@@ -11,7 +12,6 @@ from thermaline.operators.rules import RULES
 from thermaline.operators.runner import FAULT, equipment_kind
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 
 
 # --- lifecycle -------------------------------------------------------------------------------
@@ -20,7 +20,7 @@ def fault_records(results: DataFrame, clears: DataFrame | None = None, *, now: C
     sample was confirmed, raw otherwise. A cleared fault stays hidden until its snooze ends.
     `results`: equipment_id, rule_id, raw_samples, fault_samples, severity, first_seen, last_seen."""
     r = results.where((C("raw_samples") > 0) | (C("fault_samples") > 0)).withColumns({
-        "fault_id": F.concat_ws("|", EQ, "rule_id"),
+        "fault_id": F.concat_ws("|", *ID, "rule_id"),
         "status": F.when(C("fault_samples") > 0, "confirmed").otherwise("raw")})
     if clears is None:
         return r
@@ -30,33 +30,34 @@ def fault_records(results: DataFrame, clears: DataFrame | None = None, *, now: C
 
 def fault_summary(records: DataFrame) -> DataFrame:
     n = lambda *s: F.count(F.when(C("status").isin(*s), 1))
-    return records.agg(n("raw").alias("raw_count"), n("confirmed").alias("confirmed_count"), n("cleared").alias("cleared_count"),
+    return records.groupBy(SITE).agg(n("raw").alias("raw_count"), n("confirmed").alias("confirmed_count"), n("cleared").alias("cleared_count"),
                        n("raw", "confirmed").alias("active_count"), F.count(F.lit(1)).alias("total_count"))
 
 
 def fault_trend(flags: DataFrame, raw: str = "raw_fault") -> DataFrame:
     """H-2: raw fault samples per day."""
-    return (flags.where(C(raw)).groupBy(F.date_format(TS, "yyyy-MM-dd").alias("day"))
+    return (flags.where(C(raw)).groupBy(SITE, F.date_format(TS, "yyyy-MM-dd").alias("day"))
                  .agg(F.count(F.lit(1)).alias("raw_fault_samples")))
 
 
-def top_faulted(records: DataFrame, *, k: int = 10) -> DataFrame:
-    """H-3."""
-    n = records.where(C("status") != "cleared").groupBy(EQ).agg(F.count(F.lit(1)).alias("fault_count"))
-    return n.orderBy(F.desc("fault_count"), EQ).limit(k)
+def top_faulted(records: DataFrame, *, k: int | None = None) -> DataFrame:
+    """H-3: equipment by open faults; the first k if asked for."""
+    n = records.where(C("status") != "cleared").groupBy(*ID).agg(F.count(F.lit(1)).alias("fault_count"))
+    n = n.orderBy(F.desc("fault_count"), *ID)
+    return n if k is None else n.limit(k)
 
 
 def fault_families(records: DataFrame) -> DataFrame:
     """H-4: open faults per rule with the worst severity as a traffic light."""
     rank = F.when(C("severity") == "critical", 3).when(C("severity") == "warning", 2).otherwise(1)
-    g = records.where(C("status") != "cleared").groupBy(C("rule_id").alias("family")).agg(
+    g = records.where(C("status") != "cleared").groupBy(SITE, C("rule_id").alias("family")).agg(
         F.count(F.lit(1)).alias("fault_count"), F.max(rank).alias("_w"), F.count_distinct(EQ).alias("equipment_count"))
-    return g.select("family", "fault_count", "equipment_count",
+    return g.select(SITE, "family", "fault_count", "equipment_count",
                     F.when(C("_w") == 3, "critical").when(C("_w") == 2, "warning").otherwise("info").alias("worst"),
                     F.when(C("_w") == 3, "red").when(C("_w") == 2, "yellow").otherwise("green").alias("traffic"))
 
 
-def stats_in_and_out_of_fault(flags: DataFrame, role: str, *, flag: str = "confirmed", keys=(EQ,)) -> DataFrame:
+def stats_in_and_out_of_fault(flags: DataFrame, role: str, *, flag: str = "confirmed", keys=ID) -> DataFrame:
     """H-5."""
     bad, ok = F.when(C(flag), C(role)), F.when(~C(flag), C(role))
     return flags.groupBy(*keys).agg(
@@ -69,7 +70,7 @@ def sparse_intervals(flags: DataFrame, flag: str = "confirmed", **kw) -> DataFra
     return runs(flags, C(flag), **kw)
 
 
-def worst_fault_day(flags: DataFrame, flag: str = "confirmed", *, keys=(EQ,)) -> DataFrame:
+def worst_fault_day(flags: DataFrame, flag: str = "confirmed", *, keys=ID) -> DataFrame:
     """H-7: the day with most fault samples, the earliest on a tie."""
     d = flags.where(C(flag)).groupBy(*keys, F.to_date(TS).alias("day")).agg(F.count(F.lit(1)).alias("samples"))
     return d.groupBy(*keys).agg(F.max_by(F.struct("day", "samples"), F.struct(C("samples"), -F.unix_date("day"))).alias("m")).select(
@@ -95,10 +96,11 @@ def candidates(results: DataFrame) -> DataFrame:
     Peer counts are aggregated and joined back, so a rule that fires everywhere is not one
     window partition."""
     f = results.where(C("status") == FAULT)
-    peers = f.groupBy("rule_id").agg(F.count(F.lit(1)).alias("peer_count"))
-    fleet = f.where(F.upper(EQ).startswith("VAV")).agg(F.greatest(F.count_distinct(EQ), F.lit(1).cast("long")).alias("fleet_size"))
-    return (with_scalars(f.join(peers, "rule_id"), fleet)
-             .withColumns({"candidate_key": F.concat_ws("|", EQ, "rule_id"),
+    peers = f.groupBy(SITE, "rule_id").agg(F.count(F.lit(1)).alias("peer_count"))
+    fleet = f.where(F.upper(EQ).startswith("VAV")).groupBy(SITE).agg(F.count_distinct(EQ).alias("_fleet"))
+    return (f.join(peers, [SITE, "rule_id"]).join(fleet, SITE, "left")
+             .withColumn("fleet_size", F.coalesce("_fleet", F.lit(1).cast("long"))).drop("_fleet")
+             .withColumns({"candidate_key": F.concat_ws("|", *ID, "rule_id"),
                            "system": equipment_system(equipment_kind(), C("rule_id"))}))
 
 
@@ -113,15 +115,15 @@ def assess(cand: DataFrame, *, comfort: DataFrame | None = None, spot: DataFrame
     for t, cols in ((comfort, ("mean_zone_t", "outlier")), (spot, ("damper_pct", "airflow")),
                     (static, ("fan_off_p50", "fan_on_p50"))):
         if t is not None:
-            d = d.join(t.select(EQ, *cols), EQ, "left")
+            d = d.join(t.select(*ID, *cols), list(ID), "left")
         else:
             d = d.withColumns({c: F.lit(None).cast("boolean" if c == "outlier" else "double") for c in cols})
     if "missing_count" not in d.columns:
         d = d.withColumn("missing_count", F.lit(0))
     rule, pct = C("rule_id"), C("fault_pct")
     duct = rule.isin(DUCT_STATIC_RULES)
-    related = d.groupBy(EQ).agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(~duct, 1)).alias("_plain"))
-    d = d.join(related, EQ)
+    related = d.groupBy(*ID).agg(F.count(F.lit(1)).alias("_all"), F.count(F.when(~duct, 1)).alias("_plain"))
+    d = d.join(related, list(ID))
     others = F.when(duct, C("_all")).otherwise(C("_plain")) - 1
     # Each stage becomes a column before the next one reads it, which keeps the generated
     # expressions small.
@@ -161,12 +163,12 @@ def assess(cand: DataFrame, *, comfort: DataFrame | None = None, spot: DataFrame
 
 def cluster_key() -> Column:
     rule, eq = C("rule_id"), C(EQ)
-    return (F.when(rule == "FAN-OFF-STATIC", F.concat_ws("|", F.lit("static"), eq))
-             .when(C("classification") == "DATA_QUALITY", F.concat_ws("|", F.lit("dq"), eq, rule))
-             .when(C("common_mode") & rule.startswith("VAV"), F.concat_ws("|", F.lit("common"), rule))
-             .when(C("common_mode") & rule.startswith("CHW"), F.concat_ws("|", F.lit("chw"), rule))
-             .when(rule.isin(FLOW_FAMILY), F.concat_ws("|", F.lit("vavflow"), eq))
-             .otherwise(F.concat_ws("|", F.lit("solo"), eq, rule)))
+    return (F.when(rule == "FAN-OFF-STATIC", F.concat_ws("|", F.lit("static"), SITE, eq))
+             .when(C("classification") == "DATA_QUALITY", F.concat_ws("|", F.lit("dq"), SITE, eq, rule))
+             .when(C("common_mode") & rule.startswith("VAV"), F.concat_ws("|", F.lit("common"), SITE, rule))
+             .when(C("common_mode") & rule.startswith("CHW"), F.concat_ws("|", F.lit("chw"), SITE, rule))
+             .when(rule.isin(FLOW_FAMILY), F.concat_ws("|", F.lit("vavflow"), SITE, eq))
+             .otherwise(F.concat_ws("|", F.lit("solo"), SITE, eq, rule)))
 
 
 CLASS_RANK = {"STRONGLY_SUPPORTED": 5, "PROBABLE": 4, "DATA_QUALITY": 3, "INCONCLUSIVE": 2, "LIKELY_FALSE_POSITIVE": 1}
@@ -184,18 +186,18 @@ def clusters(assessed: DataFrame) -> DataFrame:
     counted, not collected: an epidemic may cover the whole fleet."""
     a = assessed.where(~C("classification").isin("LIKELY_FALSE_POSITIVE", "NOT_ACTIONABLE")).withColumn("cluster", cluster_key())
     best = F.struct("score", _rank(C("classification")), F.lit(0))
-    g = a.groupBy("cluster").agg(
+    g = a.groupBy(SITE, "cluster").agg(
         F.max("score").alias("score"), F.max_by("classification", best).alias("classification"),
         F.count(F.lit(1)).alias("members"), F.count_distinct(EQ).alias("equipment_count"),
         F.count_distinct("rule_id").alias("rule_count"), F.sum("fault_hours").alias("fault_hours"))
     return g.where((C("classification") != "DATA_QUALITY") | (C("score") >= num(10)))
 
 
-def prioritize(assessed: DataFrame, *, k: int = 7) -> DataFrame:
-    """The top findings: by class, then score."""
-    return (clusters(assessed).orderBy(F.desc(_rank(C("classification"))), F.desc("score"), "cluster").limit(k)
-            .withColumn("priority", F.row_number().over(
-                Window.partitionBy(F.lit(1)).orderBy(F.desc(_rank(C("classification"))), F.desc("score"), "cluster"))))  # k rows
+def prioritize(assessed: DataFrame, *, k: int | None = None) -> DataFrame:
+    """The findings of each building by class, then score; the first k if asked for."""
+    order = Window.partitionBy(SITE).orderBy(F.desc(_rank(C("classification"))), F.desc("score"), "cluster")
+    ranked = clusters(assessed).withColumn("priority", F.row_number().over(order))
+    return ranked if k is None else ranked.where(C("priority") <= k)
 
 
 def suppressed(assessed: DataFrame, top: DataFrame) -> DataFrame:
@@ -218,12 +220,12 @@ def fault_inventory(assessed: DataFrame, top: DataFrame) -> DataFrame:
     j = a.join(keep, "cluster", "left")
     live = ~C("classification").isin("LIKELY_FALSE_POSITIVE", "NOT_ACTIONABLE")
     inside = F.coalesce(C("_in"), F.lit(False)) & live
-    return j.select(EQ, "rule_id", "system", "fault_hours", "candidate_key", inside.alias("in_priority"),
+    return j.select(*ID, "rule_id", "system", "fault_hours", "candidate_key", inside.alias("in_priority"),
                     F.when(~inside, F.when(~live, C("classification")).otherwise("not_in_priority_pack")).alias("suppressed_reason"))
 
 
 def inventory_rollup(inventory: DataFrame, by: str = "rule_id") -> DataFrame:
-    return inventory.groupBy(by).agg(F.count(F.lit(1)).alias("fault_count"), F.sum("fault_hours").alias("fault_hours"),
+    return inventory.groupBy(SITE, by).agg(F.count(F.lit(1)).alias("fault_count"), F.sum("fault_hours").alias("fault_hours"),
                                      F.count(F.when(C("in_priority"), 1)).alias("in_priority"))
 
 
@@ -252,9 +254,10 @@ def status_counts(results: DataFrame, *by) -> DataFrame:
     return results.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_fault_hours(results: DataFrame, by: str, *, k: int = 10) -> DataFrame:
+def top_fault_hours(results: DataFrame, by: str, *, k: int | None = None) -> DataFrame:
     f = results.where(C("status") == FAULT).groupBy(by).agg(F.sum("fault_hours").alias("fault_hours"))
-    return f.orderBy(F.desc("fault_hours"), by).limit(k)
+    f = f.orderBy(F.desc("fault_hours"), by)
+    return f if k is None else f.limit(k)
 
 
 def tuning_delta(baseline: DataFrame, tuned: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions import weather as wx
 from thermaline.functions.logic import fan_on, holds, num
 from thermaline.operators import align, runner
@@ -12,7 +13,6 @@ from thermaline.plans.base import history, materialize, query, raw_history, roun
 from thermaline.sources import driver_tables as D
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 HEALTH_ROLES = ["sat", "mat", "zone_t", "chw_supply_t", "chiller_power", "clg_available"]
 
 
@@ -81,15 +81,15 @@ def schedule_hours(spark, d):
 @query("after_hours_fan")
 def after_hours_fan(spark, d):
     h = history(spark, d)
-    occ = h.where(C("occ_mode").isNotNull()).select(EQ, TS, A.occupied().alias("occupied"))
-    return rounded(A.after_hours_fan(h.select(EQ, TS, holds(fan_on(False)).alias("fan_on")), occ))
+    occ = h.where(C("occ_mode").isNotNull()).select(*ID, TS, A.occupied().alias("occupied"))
+    return rounded(A.after_hours_fan(h.select(*ID, TS, holds(fan_on(False)).alias("fan_on")), occ))
 
 
 @query("occupied_mask")
 def occupied_mask(spark, d):
     week = [(True, 420, 1080)] * 4 + [(True, 1200, 300), (False, 0, 0), (True, 540, 720)]
     h = raw_history(spark, d).withColumn("occ", A.occupied_mask(C(TS), week, tz="America/Chicago"))
-    return h.groupBy(EQ).agg(F.count(F.when(C("occ"), 1)).alias("occupied"), F.count(F.lit(1)).alias("samples"))
+    return h.groupBy(*ID).agg(F.count(F.when(C("occ"), 1)).alias("occupied"), F.count(F.lit(1)).alias("samples"))
 
 
 @query("day_type")
@@ -114,7 +114,7 @@ def oat_bins_weather_first(spark, d):
 
 @query("bas_vs_web")
 def bas_vs_web(spark, d):
-    return rounded(align.bas_vs_web(history(spark, d)).select(stamp(TS), "bas_oat_f", "web_oat_f", "delta_f"))
+    return rounded(align.bas_vs_web(history(spark, d)).select(SITE, stamp(TS), "bas_oat_f", "web_oat_f", "delta_f"))
 
 
 @query("bas_vs_web_histogram")
@@ -136,7 +136,7 @@ def economizer_points(spark, d):
 @query("economizer_top_points")
 def economizer_top_points(spark, d):
     p = A.economizer_top_points(history(spark, d), limit=200)
-    return rounded(p.select(EQ, stamp(TS), "oat_f", "rat_f", "mat_f"))
+    return rounded(p.select(*ID, stamp(TS), "oat_f", "rat_f", "mat_f"))
 
 
 @query("economizer_residuals")
@@ -147,7 +147,7 @@ def economizer_residuals(spark, d):
 @query("economizer_points_per_equipment")
 def economizer_points_per_equipment(spark, d):
     p = A.economizer_points_per_equipment(history(spark, d), per_equipment=60)
-    return rounded(p.select(EQ, stamp(TS), "delta_or_f"))
+    return rounded(p.select(*ID, stamp(TS), "delta_or_f"))
 
 
 @query("economizer_weather_summary")
@@ -194,13 +194,13 @@ def ahu_reset_evidence(spark, d):
 
 @query("timeseries_thinned")
 def timeseries_thinned(spark, d):
-    return rounded(A.timeseries(history(spark, d), "zone_t", limit=50).select(EQ, stamp(TS), "value_f"))
+    return rounded(A.timeseries(history(spark, d), "zone_t", limit=50).select(*ID, stamp(TS), "value_f"))
 
 
 @query("oat_scatter")
 def oat_scatter(spark, d):
     s = A.oat_scatter(history(spark, d), "sat_sp", driver="web_oa_t")
-    return rounded(s.select(EQ, stamp(TS), "y_f", "oat_f", "driver_f"))
+    return rounded(s.select(*ID, stamp(TS), "y_f", "oat_f", "driver_f"))
 
 
 @query("five_number")
@@ -217,7 +217,7 @@ def by_fan_mode(spark, d):
 @query("inspect_page")
 def inspect_page(spark, d):
     p = A.inspect(history(spark, d), None, ["sat", "mat"], limit=100, after="2024-01-01 06:00:00")
-    return rounded(p.select(EQ, stamp(TS), "sat", "mat"))
+    return rounded(p.select(*ID, stamp(TS), "sat", "mat"))
 
 
 @query("descriptive_counts")
@@ -227,26 +227,26 @@ def descriptive_counts(spark, d):
 
 @query("dataset_time_span")
 def dataset_time_span(spark, d):
-    return rounded(A.dataset_time_span(raw_history(spark, d)).select(stamp("first_ts"), stamp("last_ts"), "hours"))
+    return rounded(A.dataset_time_span(raw_history(spark, d)).select(SITE, stamp("first_ts"), stamp("last_ts"), "hours"))
 
 
 @query("readings_window")
 def readings_window(spark, d):
     r = A.readings(history(spark, d), ["sat"], hours=12.0, rolling_minutes=30, limit=40)
-    return rounded(r.select(EQ, stamp(TS), "sat", "sat_avg"))
+    return rounded(r.select(*ID, stamp(TS), "sat", "sat_avg"))
 
 
 @query("evidence_availability")
 def evidence_availability(spark, d):
     e = A.evidence_availability(history(spark, d))
-    return e.select(EQ, C("has_oat").cast("int").alias("has_oat"), C("has_cooling_proof").cast("int").alias("has_cooling_proof"), "rows")
+    return e.select(*ID, C("has_oat").cast("int").alias("has_oat"), C("has_cooling_proof").cast("int").alias("has_cooling_proof"), "rows")
 
 
 @query("cooling_eligibility")
 def cooling_eligibility(spark, d):
     kind = (F.when(C("p_type") == "ECONOMY", "status").when(C("p_type") == "SMALL", "amps").when(C("p_type") == "MEDIUM", "power")
              .when(C("p_type") == "PROMO", "valve").otherwise("pump"))
-    p = D.table(spark, d, "part").select(F.concat_ws("_", "p_brand", (C("p_size") % 7).cast("string")).alias(EQ), kind.alias("kind"))
+    p = D.table(spark, d, "part").select(F.expr("concat('B', p_partkey % 2 + 1)").alias(SITE), F.concat_ws("_", "p_brand", (C("p_size") % 7).cast("string")).alias(EQ), kind.alias("kind"))
     e = A.cooling_eligibility(p)
     return e.withColumn("eligible", C("eligible").cast("int"))
 
@@ -275,7 +275,7 @@ def degree_days(spark, d):
 def psychrometrics(spark, d):
     h = history(spark, d).where(C("oa_h").between(5, 99))
     w = wx.humidity_ratio("oa_t", C("oa_h") / num(100))
-    return rounded(h.groupBy(EQ).agg(F.avg(wx.dew_point_f("oa_t", "oa_h")).alias("dew_point_f"), F.avg(wx.wet_bulb_f("oa_t", "oa_h")).alias("wet_bulb_f"),
+    return rounded(h.groupBy(*ID).agg(F.avg(wx.dew_point_f("oa_t", "oa_h")).alias("dew_point_f"), F.avg(wx.wet_bulb_f("oa_t", "oa_h")).alias("wet_bulb_f"),
                                      F.avg(wx.enthalpy_btu_lb("oa_t", w)).alias("enthalpy_btu_lb")))
 
 
@@ -283,7 +283,7 @@ def psychrometrics(spark, d):
 def merge_weather(spark, d):
     w = weather(spark, d).withColumn("web_oa_h", C("oa_h"))
     m = wx.merge_weather(history(spark, d).drop("web_wb_t"), w)
-    return rounded(m.groupBy(EQ, "oa_t_source").agg(F.count(F.lit(1)).alias("n"), F.avg("oa_t_effective").alias("mean_oat"),
+    return rounded(m.groupBy(*ID, "oa_t_source").agg(F.count(F.lit(1)).alias("n"), F.avg("oa_t_effective").alias("mean_oat"),
                                                    F.avg("web_oa_dp").alias("mean_dp"), F.avg("web_wb_t").alias("mean_wb")))
 
 
@@ -295,7 +295,7 @@ def weather_source_metrics(spark, d):
 @query("clustering_features")
 def clustering_features(spark, d):
     f = A.clustering_features(history(spark, d), ["sat", "zone_t"], _results(spark, d, ["FC1", "VAV-5"]))
-    return rounded(f.select(EQ, *[f"{r}__{s}" for r in ("sat", "zone_t") for s in ("mean", "std", "min", "max")], "fault__fc1", "fault__vav_5"))
+    return rounded(f.select(*ID, *[f"{r}__{s}" for r in ("sat", "zone_t") for s in ("mean", "std", "min", "max")], "fault__fc1", "fault__vav_5"))
 
 
 @query("preset_coverage")
@@ -305,7 +305,7 @@ def preset_coverage(spark, d):
 
 @query("preset_zone_temps")
 def preset_zone_temps(spark, d):
-    return A.preset("zone_temps", history(spark, d)).select(EQ, "n", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+    return A.preset("zone_temps", history(spark, d)).select(*ID, "n", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
 
 
 # --- fuel ------------------------------------------------------------------------------------
@@ -458,8 +458,8 @@ def fault_summary(spark, d):
 
 @query("fault_records_cleared")
 def fault_records_cleared(spark, d):
-    eq = history(spark, d).where(runner.equipment_kind() == "vav").select(EQ).distinct()
-    clears = eq.select(F.concat_ws("|", EQ, F.lit("VAV-5")).alias("fault_id"), F.when(C(EQ).endswith("1"), F.lit("2024-01-15 00:00:00"))
+    eq = history(spark, d).where(runner.equipment_kind() == "vav").select(*ID).distinct()
+    clears = eq.select(F.concat_ws("|", *ID, F.lit("VAV-5")).alias("fault_id"), F.when(C(EQ).endswith("1"), F.lit("2024-01-15 00:00:00"))
                        .otherwise("2024-03-01 00:00:00").cast("timestamp").alias("snooze_until"))
     return _records(spark, d, clears).select("fault_id", "status", "severity")
 
@@ -471,7 +471,7 @@ def fault_trend(spark, d):
 
 @query("top_faulted")
 def top_faulted(spark, d):
-    return X.top_faulted(_records(spark, d))
+    return X.top_faulted(_records(spark, d), k=10)
 
 
 @query("fault_families")
@@ -487,7 +487,7 @@ def stats_in_and_out_of_fault(spark, d):
 @query("fault_intervals")
 def fault_intervals(spark, d):
     i = X.sparse_intervals(_flags(spark, d))
-    return i.select(EQ, stamp("start"), stamp("end"), "samples", C("open").cast("int").alias("open"))
+    return i.select(*ID, stamp("start"), stamp("end"), "samples", C("open").cast("int").alias("open"))
 
 
 @query("worst_fault_day")
@@ -508,10 +508,10 @@ def finding_candidates(spark, d):
 
 def _assessed(spark, d):
     h = history(spark, d)
-    comfort = h.groupBy(EQ).agg(F.avg("zone_t").alias("mean_zone_t"), F.lit(False).alias("outlier"))
-    spot = h.groupBy(EQ).agg(F.min("damper_pct").alias("damper_pct"), F.max("zone_flow").alias("airflow"))
+    comfort = h.groupBy(*ID).agg(F.avg("zone_t").alias("mean_zone_t"), F.lit(False).alias("outlier"))
+    spot = h.groupBy(*ID).agg(F.min("damper_pct").alias("damper_pct"), F.max("zone_flow").alias("airflow"))
     on = holds(fan_on(False))
-    static = h.groupBy(EQ).agg(F.percentile(F.when(~on, C("duct_static")), F.lit(0.5)).alias("fan_off_p50"),
+    static = h.groupBy(*ID).agg(F.percentile(F.when(~on, C("duct_static")), F.lit(0.5)).alias("fan_off_p50"),
                                F.percentile(F.when(on, C("duct_static")), F.lit(0.5)).alias("fan_on_p50"))
     return materialize(X.assess(_candidates(spark, d), comfort=comfort, spot=spot, static=static))
 
@@ -528,13 +528,13 @@ def finding_clusters(spark, d):
 
 @query("finding_priority")
 def finding_priority(spark, d):
-    return rounded(X.prioritize(_assessed(spark, d)).select("priority", "cluster", "score", "classification", "members"))
+    return rounded(X.prioritize(_assessed(spark, d), k=7).select(SITE, "priority", "cluster", "score", "classification", "members"))
 
 
 @query("fault_inventory")
 def fault_inventory(spark, d):
     a = _assessed(spark, d)
-    i = X.fault_inventory(a, X.prioritize(a))
+    i = X.fault_inventory(a, X.prioritize(a, k=7))
     return rounded(X.inventory_rollup(i))
 
 

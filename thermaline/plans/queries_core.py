@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions import roles as roles_mod
 from thermaline.functions.logic import num
 from thermaline.operators import align, confirm, quality, runner, sensors, topology
@@ -12,7 +13,6 @@ from thermaline.sources import driver_tables as D
 from thermaline.sources import history as H
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 ROLES4 = ["sat", "mat", "zone_t", "fan_cmd"]
 BATCH_RULES = ["FC1", "FC2", "FC13-SAT-HIGH", "AHU-SATDEV", "AHU-SIMUL", "ECON-1", "VAV-2", "VAV-5", "VAV-6", "CHW-1",
                "CHW-3", "CW-OPT-1", "HP-1", "SV-RANGE", "TRIM-3", "MECH-OAT-1"]
@@ -26,13 +26,13 @@ def high():
 @query("confirm_rows_raw")
 def confirm_rows_raw(spark, d):
     c = confirm.confirm_rows(raw_history(spark, d), high(), 2, tiebreak=("event_id",))
-    return c.groupBy(EQ).agg(F.count(F.when(C("confirmed"), 1)).alias("confirmed"), F.count(F.lit(1)).alias("samples"))
+    return c.groupBy(*ID).agg(F.count(F.when(C("confirmed"), 1)).alias("confirmed"), F.count(F.lit(1)).alias("samples"))
 
 
 @query("confirm_elapsed")
 def confirm_elapsed(spark, d):
     c = confirm.confirm_elapsed(raw_history(spark, d), high(), 7200.0)
-    return c.groupBy(EQ).agg(F.count(F.when(C("confirmed"), 1)).alias("confirmed"))
+    return c.groupBy(*ID).agg(F.count(F.when(C("confirmed"), 1)).alias("confirmed"))
 
 
 @query("elapsed_hours")
@@ -43,13 +43,13 @@ def elapsed_hours(spark, d):
 @query("confirm_episodes")
 def confirm_episodes(spark, d):
     e = confirm.confirm_episodes(raw_history(spark, d), high(), 1800.0)
-    return rounded(e.select(EQ, stamp("start"), stamp("end"), "samples", "duration_s", C("open").cast("int").alias("open")), 3)
+    return rounded(e.select(*ID, stamp("start"), stamp("end"), "samples", "duration_s", C("open").cast("int").alias("open")), 3)
 
 
 @query("forward_dt_hours")
 def forward_dt_hours(spark, d):
     f = confirm.forward_dt(raw_history(spark, d), cap=3600.0)
-    return rounded(f.groupBy(EQ).agg((F.sum("dt") / num(3600)).alias("hours"), F.max("dt").alias("longest_s")), 4)
+    return rounded(f.groupBy(*ID).agg((F.sum("dt") / num(3600)).alias("hours"), F.max("dt").alias("longest_s")), 4)
 
 
 @query("hours_under_mask")
@@ -60,7 +60,7 @@ def hours_under_mask(spark, d):
 @query("startup_delay")
 def startup_delay(spark, d):
     s = confirm.startup_delay(history(spark, d), C("fan_status") > num(0.05), 600.0, 300.0)
-    return s.groupBy(EQ).agg(F.count(F.when(C("active"), 1)).alias("active_samples"))
+    return s.groupBy(*ID).agg(F.count(F.when(C("active"), 1)).alias("active_samples"))
 
 
 @query("infer_poll")
@@ -71,44 +71,44 @@ def infer_poll(spark, d):
 @query("confirmed_series_fc1")
 def confirmed_series_fc1(spark, d):
     s = runner.rule_series(history(spark, d), "FC1")
-    return rounded(s.select(EQ, stamp(TS), "duct_static", "duct_static_sp", "fan_cmd", C("raw_fault").cast("int").alias("raw_fault"),
+    return rounded(s.select(*ID, stamp(TS), "duct_static", "duct_static_sp", "fan_cmd", C("raw_fault").cast("int").alias("raw_fault"),
                             C("confirmed").cast("int").alias("confirmed")))
 
 
 @query("mode_stable")
 def mode_stable(spark, d):
     m = runner.mode_stable(history(spark, d), 15.0)
-    return m.groupBy(EQ, "op_state").agg(F.count(F.when(C("mode_stable"), 1)).alias("stable"), F.count(F.lit(1)).alias("samples"))
+    return m.groupBy(*ID, "op_state").agg(F.count(F.when(C("mode_stable"), 1)).alias("stable"), F.count(F.lit(1)).alias("samples"))
 
 
 @query("run_batch_statuses")
 def run_batch_statuses(spark, d):
     return rounded(runner.run_batch(history(spark, d), BATCH_RULES, weather=weather(spark, d)).select(
-        EQ, "kind", "rule_id", "status", "fault_hours", "fault_pct", "active_samples"))
+        *ID, "kind", "rule_id", "status", "fault_hours", "fault_pct", "active_samples"))
 
 
 @query("simple_rule")
 def simple_rule(spark, d):
     s = runner.simple_rule(history(spark, d), "sat", ">", 90.0)
-    return s.groupBy(EQ).agg(F.count(F.when(C("fault_raw"), 1)).alias("fault_samples"))
+    return s.groupBy(*ID).agg(F.count(F.when(C("fault_raw"), 1)).alias("fault_samples"))
 
 
 @query("custom_rule")
 def custom_rule(spark, d):
     c = runner.custom_rule(history(spark, d), "sat - sat_sp > ${margin} and fan_status > 0.5D", params={"margin": 10}, confirm_rows=3)
-    return c.groupBy(EQ).agg(F.count(F.when(C("confirmed"), 1)).alias("confirmed"))
+    return c.groupBy(*ID).agg(F.count(F.when(C("confirmed"), 1)).alias("confirmed"))
 
 
 @query("custom_mask_python")
 def custom_mask_python(spark, d):
-    m = runner.custom_mask(history(spark, d), lambda pdf: (pdf["sat"] > 90) & (pdf["fan_cmd"].fillna(0) > 10), ["sat", "fan_cmd"])
-    return m.groupBy(EQ).agg(F.count(F.when(C("fault_raw"), 1)).alias("fault_samples"))
+    m = runner.custom_mask(history(spark, d), lambda pdf: (pdf["sat"] > 90) & (pdf["fan_cmd"].fillna(0) > 10), ["sat", "fan_cmd"], before=0)
+    return m.groupBy(*ID).agg(F.count(F.when(C("fault_raw"), 1)).alias("fault_samples"))
 
 
 @query("rolling_zscore")
 def rolling_zscore(spark, d):
     z = runner.rolling_zscore(history(spark, d), "elec_power", rows=12, limit=2.0)
-    return rounded(z.groupBy(EQ).agg(F.count(F.when(C("fault_raw"), 1)).alias("fault_samples"), F.max("zscore").alias("max_z")), 4)
+    return rounded(z.groupBy(*ID).agg(F.count(F.when(C("fault_raw"), 1)).alias("fault_samples"), F.max("zscore").alias("max_z")), 4)
 
 
 @query("assess_quality")
@@ -119,22 +119,22 @@ def assess_quality(spark, d):
 @query("apply_normalized")
 def apply_normalized(spark, d):
     n = quality.apply_normalized(history(spark, d), ["hw_supply_t", "damper_pct", "chw_return_t"])
-    return n.groupBy(EQ).agg(*[F.count(r).alias(f"n_{r}") for r in ("hw_supply_t", "damper_pct", "chw_return_t")])
+    return n.groupBy(*ID).agg(*[F.count(r).alias(f"n_{r}") for r in ("hw_supply_t", "damper_pct", "chw_return_t")])
 
 
 @query("compare_results")
 def compare_results(spark, d):
     h = history(spark, d)
     runs = [runner.run_rules(h, ["FC1", "AHU-SATDEV", "VAV-5"], params={"AHU-SATDEV": {"sat_dev_err": e}}).select(
-        EQ, "rule_id", "fault_hours") for e in (5.0, 9.0)]
+        *ID, "rule_id", "fault_hours") for e in (5.0, 9.0)]
     return rounded(quality.compare_summary(quality.compare_results(*runs)))
 
 
 # --- alignment -------------------------------------------------------------------------------
 def _sides(spark, d):
     h = raw_history(spark, d)
-    left = h.where(C("event_type") == "view").select(EQ, TS, "event_id", C("value").alias("left_value"))
-    right = h.where(C("event_type") == "purchase").select(EQ, TS, C("value").alias("right_value"))
+    left = h.where(C("event_type") == "view").select(*ID, TS, "event_id", C("value").alias("left_value"))
+    right = h.where(C("event_type") == "purchase").select(*ID, TS, C("value").alias("right_value"))
     return left, right
 
 
@@ -142,36 +142,36 @@ def _sides(spark, d):
 def join_exact_hour(spark, d):
     left, right = _sides(spark, d)
     hour = lambda x: x.withColumns({"raw_ts": C(TS), TS: F.date_trunc("hour", TS)})
-    j = align.join_exact(hour(left), hour(right), ["right_value"], on=[EQ], right_order=("raw_ts",))
+    j = align.join_exact(hour(left), hour(right), ["right_value"], on=ID, right_order=("raw_ts",))
     return rounded(j.select("event_id", "left_value", "right_value"))
 
 
 @query("join_asof_previous")
 def join_asof_previous(spark, d):
     left, right = _sides(spark, d)
-    return rounded(align.join_asof_previous(left, right, ["right_value"], on=[EQ]).select("event_id", "left_value", "right_value"))
+    return rounded(align.join_asof_previous(left, right, ["right_value"], on=ID).select("event_id", "left_value", "right_value"))
 
 
 @query("join_floor_hour")
 def join_floor_hour(spark, d):
     left, right = _sides(spark, d)
-    j = align.join_floor_hour(left.drop(EQ), right.drop(EQ), ["right_value"])
+    j = align.join_floor_hour(left, right.drop(EQ), ["right_value"], on=[SITE])
     return rounded(j.select("event_id", "left_value", "right_value"))
 
 
 @query("join_weather_15m")
 def join_weather_15m(spark, d):
     left, _ = _sides(spark, d)
-    w = weather(spark, d).select(TS, "oa_t", "oa_h")
-    return rounded(align.join_weather_15m(left, w, ["oa_t", "oa_h"]).select("event_id", "oa_t", "oa_h"))
+    w = weather(spark, d).select(SITE, TS, "oa_t", "oa_h")
+    return rounded(align.join_weather_15m(left, w, ["oa_t", "oa_h"], on=[SITE]).select("event_id", "oa_t", "oa_h"))
 
 
 @query("resample_kw_hourly")
 def resample_kw_hourly(spark, d):
     left, _ = _sides(spark, d)
-    w = weather(spark, d).select(TS, "oa_t")
-    j = align.join_resampled_hourly(left.select(TS, "left_value"), w, ["left_value"], ["oa_t"])
-    return rounded(j.select(stamp(TS), F.round("left_value", 3).alias("left_value"), "oa_t"))
+    w = weather(spark, d).select(SITE, TS, "oa_t")
+    j = align.join_resampled_hourly(left.select(SITE, TS, "left_value"), w, ["left_value"], ["oa_t"], on=[SITE])
+    return rounded(j.select(SITE, stamp(TS), F.round("left_value", 3).alias("left_value"), "oa_t"))
 
 
 def _gappy(spark, d):
@@ -192,37 +192,37 @@ for _p in ("forward", "backward", "linear", "constant"):
 @query("site_oat_by_ts")
 def site_oat_by_ts(spark, d):
     h = history(spark, d)
-    j = h.join(align.site_reading_by_time(h, "oa_t"), TS, "left")
-    return rounded(j.groupBy(EQ).agg(F.avg(C("oa_t") - C("oat_f")).alias("mean_offset"), F.count("oat_f").alias("n")))
+    j = h.join(align.site_reading_by_time(h, "oa_t"), [SITE, TS], "left")
+    return rounded(j.groupBy(*ID).agg(F.avg(C("oa_t") - C("oat_f")).alias("mean_offset"), F.count("oat_f").alias("n")))
 
 
 @query("site_oat_with_fallback")
 def site_oat_with_fallback(spark, d):
-    return rounded(align.site_oat_with_fallback(history(spark, d)).select(stamp(TS), "oat_f"))
+    return rounded(align.site_oat_with_fallback(history(spark, d)).select(SITE, stamp(TS), "oat_f"))
 
 
 @query("weather_equi_join")
 def weather_equi_join(spark, d):
     j = runner.attach_weather(history(spark, d), weather(spark, d))
-    return rounded(j.groupBy(EQ).agg(F.avg("wx_oa_t").alias("mean_wx"), F.count("wx_web_oa_t").alias("n_web")))
+    return rounded(j.groupBy(*ID).agg(F.avg("wx_oa_t").alias("mean_wx"), F.count("wx_web_oa_t").alias("n_web")))
 
 
 # --- shape, ingest checks --------------------------------------------------------------------
 @query("wide_to_long")
 def wide_to_long(spark, d):
     l = align.wide_to_long(history(spark, d), ROLES4)
-    return rounded(l.groupBy(EQ, "role").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
+    return rounded(l.groupBy(*ID, "role").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")), 4)
 
 
 @query("long_to_wide")
 def long_to_wide(spark, d):
     h = raw_history(spark, d).withColumns({"role": C("event_type"), TS: F.date_trunc("hour", TS)})
     w = align.long_to_wide(h, ["view", "click", "purchase"], order="event_id")
-    return rounded(w.select(EQ, stamp(TS), "view", "click", "purchase"))
+    return rounded(w.select(*ID, stamp(TS), "view", "click", "purchase"))
 
 
 def _batches(spark, d):
-    h = raw_history(spark, d).withColumn(TS, F.date_trunc("day", TS)).select(EQ, TS, "value", "event_id", "event_type")
+    h = raw_history(spark, d).withColumn(TS, F.date_trunc("day", TS)).select(*ID, TS, "value", "event_id", "event_type")
     new = h.where(C("event_type").isin("purchase", "error")).withColumn("value", C("value") * num(2))
     return h.where(~C("event_type").isin("purchase", "error")), new
 
@@ -230,7 +230,7 @@ def _batches(spark, d):
 @query("append_merge")
 def append_merge(spark, d):
     m = align.append_merge(*_batches(spark, d), order="event_id")
-    return rounded(m.select(EQ, stamp(TS), "value", "event_id"))
+    return rounded(m.select(*ID, stamp(TS), "value", "event_id"))
 
 
 @query("append_report")
@@ -242,34 +242,34 @@ def append_report(spark, d):
 def append_files(spark, d):
     a, b = _batches(spark, d)
     u = align.append_files([a, b.drop("event_type")])
-    return rounded(u.groupBy(EQ).agg(F.count(F.lit(1)).alias("n"), F.count("event_type").alias("typed"), F.sum("value").alias("total")), 4)
+    return rounded(u.groupBy(*ID).agg(F.count(F.lit(1)).alias("n"), F.count("event_type").alias("typed"), F.sum("value").alias("total")), 4)
 
 
 @query("downsample_mean")
 def downsample_mean(spark, d):
     m = align.downsample_mean(raw_history(spark, d), ["value"], seconds=21600)
-    return rounded(m.select(EQ, stamp(TS), "value"))
+    return rounded(m.select(*ID, stamp(TS), "value"))
 
 
 @query("metric_to_imperial")
 def metric_to_imperial(spark, d):
-    m = roles_mod.metric_to_imperial(history(spark, d).select(EQ, TS, "oa_t", "duct_static", "zone_flow", "chw_dp"))
-    return rounded(m.groupBy(EQ).agg(*[F.avg(c).alias(c) for c in ("oa_t", "duct_static", "zone_flow", "chw_dp")]))
+    m = roles_mod.metric_to_imperial(history(spark, d).select(*ID, TS, "oa_t", "duct_static", "zone_flow", "chw_dp"))
+    return rounded(m.groupBy(*ID).agg(*[F.avg(c).alias(c) for c in ("oa_t", "duct_static", "zone_flow", "chw_dp")]))
 
 
 @query("timestamp_profile")
 def timestamp_profile(spark, d):
     h = raw_history(spark, d).withColumn(TS, F.date_trunc("hour", TS))
     p = align.timestamp_profile(h)
-    return rounded(p.select(EQ, "n_rows", "duplicates", stamp("first_ts"), stamp("last_ts"), "interval_s"))
+    return rounded(p.select(*ID, "n_rows", "duplicates", stamp("first_ts"), stamp("last_ts"), "interval_s"))
 
 
 @query("scan_health")
 def scan_health(spark, d):
-    h = D.table(spark, d, "orders").select((C("o_custkey") % 50).cast("string").alias(EQ), C("o_orderdate").cast("timestamp").alias(TS),
+    h = D.table(spark, d, "orders").select((C("o_custkey") % 2).cast("string").alias(SITE), F.expr("cast(o_custkey % 50 div 2 as string)").alias(EQ), C("o_orderdate").cast("timestamp").alias(TS),
                                            "o_orderkey")
     s = align.scan_health(h, order="o_orderkey")
-    return rounded(s.select(EQ, "samples", "duplicates", "malformed", "non_monotonic", "median_delta_s", stamp("first_ts"), stamp("last_ts")))
+    return rounded(s.select(*ID, "samples", "duplicates", "malformed", "non_monotonic", "median_delta_s", stamp("first_ts"), stamp("last_ts")))
 
 
 @query("localize_dst")
@@ -303,19 +303,22 @@ def ingest_quality_gate(spark, d):
 
 @query("audit_package")
 def audit_package(spark, d):
-    h = history(spark, d)
-    mapped = h.select(EQ).distinct().select(EQ, F.explode(F.array(F.lit("sat"), F.lit("steam_flow"))).alias("role"))
-    feeds = topology.infer_parent(h.where(runner.equipment_kind() == "vav"), h.where(runner.equipment_kind() == "ahu"))
-    a = H.audit_package(h, mapped, trusted_start="2024-01-02 00:00:00", feeds=feeds)
-    return rounded(a.select("absent_roles", "before_trusted", "feed_coverage_pct", "vavs_without_ahu", "stale_feeds", "grade"))
+    def package(building):
+        h = history(spark, d).where(C(SITE) == building)
+        mapped = h.select(*ID).distinct().select(*ID, F.explode(F.array(F.lit("sat"), F.lit("steam_flow"))).alias("role"))
+        feeds = topology.infer_parent(h.where(runner.equipment_kind() == "vav"), h.where(runner.equipment_kind() == "ahu"))
+        return H.audit_package(h, mapped, trusted_start="2024-01-02 00:00:00", feeds=feeds).withColumn(SITE, F.lit(building))
+
+    a = package("B1").unionByName(package("B2"))
+    return rounded(a.select(SITE, "absent_roles", "before_trusted", "feed_coverage_pct", "vavs_without_ahu", "stale_feeds", "grade"))
 
 
 @query("validate_building")
 def validate_building(spark, d):
     h = history(spark, d)
-    mapped = align.wide_to_long(h, ["fan_cmd", "sat"]).select(EQ, "role").distinct().where(C(EQ) != "METER_1")
+    mapped = align.wide_to_long(h, ["fan_cmd", "sat"]).select(*ID, "role").distinct().where(C(EQ) != "METER_1")
     v = H.validate_building(h, mapped)
-    return v.select(EQ, "rows", "role_count", F.concat_ws(",", "missing").alias("missing"), "verdict")
+    return v.select(*ID, "rows", "role_count", F.concat_ws(",", "missing").alias("missing"), "verdict")
 
 
 @query("export_history")
@@ -326,40 +329,40 @@ def export_history(spark, d):
 
 @query("page_of_rows")
 def page_of_rows(spark, d):
-    return rounded(H.page(raw_history(spark, d).select(EQ, "event_id", "value"), ["event_id"], offset=40, limit=25))
+    return rounded(H.page(raw_history(spark, d).select(*ID, "event_id", "value"), ["event_id"], offset=40, limit=25))
 
 
 @query("sql_over_views")
 def sql_over_views(spark, d):
-    q = ("WITH hot AS (SELECT equipment_id, sat FROM history WHERE sat > :lim) "
-         "SELECT equipment_id, COUNT(*) AS n, ROUND(AVG(sat), 6) AS mean_sat FROM hot GROUP BY equipment_id")
+    q = ("WITH hot AS (SELECT building_id, equipment_id, sat FROM history WHERE sat > :lim) "
+         "SELECT building_id, equipment_id, COUNT(*) AS n, ROUND(AVG(sat), 6) AS mean_sat FROM hot GROUP BY building_id, equipment_id")
     return H.run_sql(spark, q, {"history": history(spark, d)}, {"lim": 80.0})
 
 
 # --- sensors ---------------------------------------------------------------------------------
 @query("operating_state")
 def operating_state(spark, d):
-    return sensors.detect_operating_state(history(spark, d)).groupBy(EQ, "op_state").agg(F.count(F.lit(1)).alias("n"))
+    return sensors.detect_operating_state(history(spark, d)).groupBy(*ID, "op_state").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("compute_rates")
 def compute_rates(spark, d):
     r = sensors.compute_rates(sensors.readings(history(spark, d), ["sat", "zone_t"]))
-    return rounded(r.groupBy(EQ, "role").agg(*[F.sum(c).alias(c) for c in (
+    return rounded(r.groupBy(*ID, "role").agg(*[F.sum(c).alias(c) for c in (
         "instantaneous_rate", "rate_5min", "rate_15min", "rate_60min", "robust_slope_15min")]), 3)
 
 
 @query("evaluate_points")
 def evaluate_points(spark, d):
     e = sensors.evaluate_points(history(spark, d), ["zone_t", "sat", "duct_static"])
-    return rounded(e.select(EQ, "role", "maximum_rate", "violation_count", "violation_minutes", "sample_count", "data_coverage",
+    return rounded(e.select(*ID, "role", "maximum_rate", "violation_count", "violation_minutes", "sample_count", "data_coverage",
                             stamp("first_violation"), stamp("last_violation")), 4)
 
 
 @query("sweep_evidence")
 def sweep_evidence(spark, d):
     e = sensors.sweep_evidence(history(spark, d))
-    return rounded(e.select(EQ, "role", "rule_id", "fault_samples", "fault_hours", "fault_min", "fault_max", "fault_mean",
+    return rounded(e.select(*ID, "role", "rule_id", "fault_samples", "fault_hours", "fault_min", "fault_max", "fault_mean",
                             stamp("first_fault"), stamp("last_fault")))
 
 
@@ -388,13 +391,13 @@ def infer_parent(spark, d):
 def attach_parent_sat(spark, d):
     j = topology.attach_parent_sat(history(spark, d), _feeds(spark, d))
     j = j.where(C(EQ).startswith("VAV"))
-    return rounded(j.groupBy(EQ).agg(F.avg("ahu_sat").alias("mean_parent_sat"), F.count("ahu_sat").alias("n")))
+    return rounded(j.groupBy(*ID).agg(F.avg("ahu_sat").alias("mean_parent_sat"), F.count("ahu_sat").alias("n")))
 
 
 @query("load_satisfaction")
 def load_satisfaction(spark, d):
     s = topology.load_satisfaction(history(spark, d), comfort=(60.0, 85.0), sat_band=40.0)
-    return s.select(stamp(TS), C("zones_ok").cast("int").alias("zones_ok"), C("ahus_ok").cast("int").alias("ahus_ok"))
+    return s.select(SITE, stamp(TS), C("zones_ok").cast("int").alias("zones_ok"), C("ahus_ok").cast("int").alias("ahus_ok"))
 
 
 @query("chw_noload_from_topology")
@@ -406,7 +409,7 @@ def chw_noload_from_topology(spark, d):
 @query("invert_feeds")
 def invert_feeds(spark, d):
     i = topology.invert_feeds(_feeds(spark, d))
-    return i.select("parent_ahu", F.concat_ws(",", "children").alias("children"), "child_count")
+    return i.select(SITE, "parent_ahu", F.concat_ws(",", "children").alias("children"), "child_count")
 
 
 def _model(spark, d):
@@ -467,11 +470,11 @@ def role_map_gap(spark, d):
     from thermaline.operators.rules import RULES
     h = history(spark, d)
     mapped = align.wide_to_long(h, ["sat", "mat", "rat", "oa_t", "fan_cmd", "zone_t", "damper_pct", "zone_flow", "chw_supply_t"])
-    mapped = mapped.select(EQ, "role").distinct().withColumn("kind", runner.equipment_kind())
+    mapped = mapped.select(*ID, "role").distinct().withColumn("kind", runner.equipment_kind())
     rules = spark.createDataFrame([(i, k, list(r.required)) for i, r in RULES.items() if r.required for k in r.kinds],
                                   "rule_id string, kind string, required array<string>")
     g = topology.role_map_gap(mapped, rules).where(C("missing_count") > 0)
-    return g.select(EQ, "rule_id", F.concat_ws(",", "missing").alias("missing"), "missing_count")
+    return g.select(*ID, "rule_id", F.concat_ws(",", "missing").alias("missing"), "missing_count")
 
 
 PART_PATTERNS = [("sat", ["small ring", "ring"]), ("fan_cmd", ["gear"]), ("zone_t", ["widget", "gizmo"]), ("mat", ["red", "blue"])]
@@ -495,7 +498,7 @@ def resolve_roles(spark, d):
 def pick_best_column(spark, d):
     cols = ["dat_x_1", "discharge_air_temp_f", "dat_y", "DAT_2"]
     p = D.table(spark, d, "part").select(
-        C("p_brand").alias(EQ), F.lit("sat").alias("role"),
+        F.expr("concat('B', p_partkey % 2 + 1)").alias(SITE), C("p_brand").alias(EQ), F.lit("sat").alias("role"),
         F.concat(F.element_at(F.array(*[F.lit(c) for c in cols]), (C("p_size") % 4).cast("int") + 1),
                  F.when(C("p_size") % 4 == 1, "").otherwise(F.concat(F.lit("_"), C("p_size").cast("string")))).alias("column"))
     return topology.pick_best_column(p.distinct())

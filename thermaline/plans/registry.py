@@ -23,7 +23,7 @@ for _id in RULES:
 @query("rules_all")
 def rules_all(spark, d):
     return rounded(runner.run_rules(history(spark, d), weather=weather(spark, d))
-                   .select("equipment_id", "rule_id", "status", "fault_hours"))
+                   .select("building_id", "equipment_id", "rule_id", "status", "fault_hours"))
 
 
 from thermaline.plans import queries_analytics, queries_core  # noqa: E402,F401

@@ -2,23 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoint into the folder of `spark.checkpoint.dir`, which the cluster shares, so lost
-    executors do not force a recomputation. A local session without that setting gets a folder
-    of its own; a cluster without it keeps the plan as it is."""
+    """Checkpoint into `spark.checkpoint.dir`, else beside the warehouse: both are folders that the cluster shares, so lost
+    executors do not force a recomputation."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared:
-            sc.setCheckpointDir(shared)
-        elif sc.master.startswith("local"):
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-        else:
-            return df
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint()

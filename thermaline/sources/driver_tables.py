@@ -76,12 +76,11 @@ BITS = {
 HUNT = "(seq {div} 48) % 4 = 1"   # outputs swing on every sample
 FROZEN = "(seq {div} 48) % 4 = 3"  # every level holds still
 
-KIND = """CASE WHEN eq < 6 THEN 'AHU_' || CAST(eq + 1 AS {s})
-     WHEN eq < 14 THEN 'VAV_AHU_' || CAST((eq - 6) % 4 + 1 AS {s}) || '_' || CAST(eq - 5 AS {s})
-     WHEN eq < 16 THEN 'ZONE_' || CAST(eq - 13 AS {s})
-     WHEN eq < 18 THEN 'CHILLER_' || CAST(eq - 15 AS {s})
-     WHEN eq < 19 THEN 'BOILER_1' WHEN eq < 20 THEN 'COOLING_TOWER_1'
-     WHEN eq < 22 THEN 'HEATPUMP_' || CAST(eq - 19 AS {s})
+# Even and odd numbers are two buildings that use the same equipment ids.
+KIND = """CASE WHEN eq < 6 THEN 'AHU_' || CAST(eq {d} 2 + 1 AS {s})
+     WHEN eq < 14 THEN 'VAV_AHU_' || CAST((eq - 6) {d} 2 % 2 + 1 AS {s}) || '_' || CAST((eq - 6) {d} 2 + 1 AS {s})
+     WHEN eq < 16 THEN 'ZONE_1' WHEN eq < 18 THEN 'CHILLER_1'
+     WHEN eq < 19 THEN 'BOILER_1' WHEN eq < 20 THEN 'COOLING_TOWER_1' WHEN eq < 22 THEN 'HEATPUMP_1'
      WHEN eq < 23 THEN 'METER_1' ELSE 'WEATHER_1' END"""
 
 
@@ -114,7 +113,7 @@ def _columns(div: str, string: str) -> dict[str, str]:
     cols["occ_mode"] = (f"CASE WHEN event_type = 'signup' THEN NULL WHEN (seq {div} 24) % 3 = 1 THEN ' Unoccupied' "
                         f"WHEN (seq {div} 24) % 3 = 2 THEN '0' ELSE 'occupied' END")
     return {"building_id": f"CASE WHEN eq % 2 = 0 THEN 'B1' ELSE 'B2' END",
-            "equipment_id": KIND.format(s=string), **cols}
+            "equipment_id": KIND.format(s=string, d=div), **cols}
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,14 +141,14 @@ WEATHER_WHERE = ("(equipment_id ILIKE '%weather%' OR equipment_id ILIKE '%meteo%
 
 
 def raw_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Irregular samples: one series per user, event values as the sensor."""
+    """Irregular samples: one series per user, in two buildings with the same ids; event values as the sensor."""
     return spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr(
-        "concat('EQ_', cast(user_id as string)) AS equipment_id",
+        "concat('B', cast(user_id % 2 + 1 as string)) AS building_id", "concat('EQ_', cast(user_id div 2 as string)) AS equipment_id",
         "cast(ts as timestamp) AS timestamp_utc", "event_id", "value", "event_type",
         "event_type <> 'error' AS is_on")
 
 
-RAW_HISTORY_SQL = ("SELECT 'EQ_' || CAST(user_id AS VARCHAR) AS equipment_id, ts AS timestamp_utc, event_id, "
+RAW_HISTORY_SQL = ("SELECT 'B' || CAST(user_id % 2 + 1 AS VARCHAR) AS building_id, 'EQ_' || CAST(user_id // 2 AS VARCHAR) AS equipment_id, ts AS timestamp_utc, event_id, "
                    "value, event_type, event_type <> 'error' AS is_on FROM events")
 
 

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.logic import num
 from thermaline.functions.roles import ALL_ROLES, NUMERIC_ROLES, history_schema
 from thermaline.functions.scalars import with_scalars
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 PARTITIONS = ["building_id", EQ, "year", "month"]
 
 
@@ -94,35 +95,80 @@ def historian_stats(spark: SparkSession, root: str, *, small_bytes: int = 16 <<
         F.count(F.when(C("bytes") < small_bytes, 1)).alias("small_files"))
 
 
-def _stage(spark: SparkSession, df: DataFrame, root: str) -> str:
-    """A written copy beside the data: the rewrite below must not read what it replaces."""
-    path = f"{root}/_staging/{uuid.uuid4().hex}"
-    df.write.partitionBy(*PARTITIONS).parquet(path)
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def _publish(spark: SparkSession, staged: str, root: str, prefix: str) -> None:
+    """Move the staged files into the tree under names that start with `prefix`."""
+    fs, top = _fs(spark, staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = fs.listFiles(top, True)
+    while files.hasNext():
+        f = files.next().getPath()
+        if f.getName().startswith("part-"):
+            folder = f"{root}/history" + f.getParent().toUri().getPath()[len(top.toUri().getPath()):]
+            fs.mkdirs(path(folder))
+            fs.rename(f, path(f"{folder}/{prefix}-{f.getName()}"))
+
+
+def _stage(df: DataFrame, root: str, name: str) -> str:
+    """A written copy beside the data, by partition; the rewrite must not read what it replaces."""
+    path = f"{root}/_staging/{name}"
+    df.hint("rebalance", *PARTITIONS).sortWithinPartitions(*PARTITIONS, TS).write.mode("overwrite").partitionBy(*PARTITIONS).parquet(path)
     return path
 
 
-def _replace_partitions(spark: SparkSession, df: DataFrame, root: str, max_rows: int = 2_000_000) -> None:
-    path = _stage(spark, df, root)
-    staged = spark.read.schema(df.schema).parquet(path).drop("year", "month")
-    write_history(staged, root, mode="overwrite", max_rows_per_file=max_rows)
-    _delete(spark, path)
+def replace_batch(df: DataFrame, root: str, batch: str) -> None:
+    """Put a batch's rows into the tree; files of an earlier try of the same batch go first."""
+    spark = df.sparkSession
+    staged = _stage(with_partition_keys(df), root, batch)
+    fs, top = _fs(spark, f"{root}/history")
+    old = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/history/*/*/*/*/{batch}-part-*"))
+    for f in old or []:
+        fs.delete(f.getPath(), False)
+    _publish(spark, staged, root, batch)
+    _delete(spark, staged)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def _rewrite(spark: SparkSession, df: DataFrame, files: DataFrame, root: str) -> None:
+    """Replace exactly the files that were read by `df`; rows appended meanwhile are in other files and
+    stay. `files`: one column `file`, which is walked, not collected."""
+    name = uuid.uuid4().hex
+    listed = f"{root}/_staging/{name}-files"
+    files.write.parquet(listed)
+    staged = _stage(df, root, name)
+    _publish(spark, staged, root, name)
+    for row in spark.read.parquet(listed).toLocalIterator():
+        _delete(spark, row["file"])
+    _delete(spark, staged)
+    _delete(spark, listed)
+
+
+def _with_file(spark: SparkSession, root: str, roles) -> DataFrame:
+    return spark.read.schema(history_schema(roles)).parquet(f"{root}/history").withColumn("_file", C("_metadata.file_path"))
 
 
 def compact(spark: SparkSession, root: str, *, min_files: int = 8, building: str | None = None, roles=None) -> DataFrame:
     """S-19: rewrite the partitions made of many small files. Returns what was rewritten."""
     stats = historian_stats(spark, root).where(C("small_files") >= min_files)
-    stats = stats if building is None else stats.where(C("building_id") == building)
-    todo = spark.createDataFrame(stats.collect(), stats.schema)  # partition names only
+    stats = stats if building is None else stats.where(C(SITE) == building)
+    todo = f"{root}/_staging/{uuid.uuid4().hex}-partitions"
+    stats.write.parquet(todo)  # also fixes what is rewritten, whatever is appended meanwhile
+    todo = spark.read.parquet(todo)
     if todo.isEmpty():
         return todo
-    df = spark.read.schema(history_schema(roles)).parquet(f"{root}/history").join(
-        F.broadcast(todo.select(*PARTITIONS)), PARTITIONS, "left_semi")  # one row per partition directory
-    _replace_partitions(spark, df, root)
+    rows = _with_file(spark, root, roles).join(todo.select(*PARTITIONS), PARTITIONS, "left_semi")
+    fixed = f"{root}/_staging/{uuid.uuid4().hex}-fixed"
+    rows.select(C("_file").alias("file")).distinct().write.parquet(fixed)
+    files = spark.read.parquet(fixed)
+    _rewrite(spark, rows.join(files, C("_file") == C("file"), "left_semi").drop("_file"), files, root)
     return todo
 
 
@@ -162,19 +208,16 @@ def purge(spark: SparkSession, root: str, *, roles=None, **flt) -> int:
     """S-22: rewrite the affected partitions without the rows; drop those left empty."""
     if not any(v is not None for v in flt.values()):
         raise ValueError("purge needs at least one filter")
-    hits = purge_preview(spark, root, **flt)
-    rows = hits.collect()  # partition names and counts only
-    if not rows:
-        return 0
-    keep = spark.createDataFrame(rows, hits.schema).where("rows_kept > 0").select(*PARTITIONS)
-    if not keep.isEmpty():
-        df = spark.read.schema(history_schema(roles)).parquet(f"{root}/history")
-        df = df.join(F.broadcast(keep), PARTITIONS, "left_semi").where(~purge_filter(**flt))  # one row per directory
-        _replace_partitions(spark, df, root)
-    for r in rows:
-        if r["rows_kept"] == 0:
-            _delete(spark, f"{root}/history/" + "/".join(f"{k}={r[k]}" for k in PARTITIONS))
-    return sum(r["rows_purged"] for r in rows)
+    hit = purge_filter(**flt)
+    rows = _with_file(spark, root, roles)
+    fixed = f"{root}/_staging/{uuid.uuid4().hex}-fixed"
+    rows.where(hit).groupBy(C("_file").alias("file")).agg(F.count(F.lit(1)).alias("n")).write.parquet(fixed)
+    files = spark.read.parquet(fixed)
+    gone = files.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if gone:
+        kept = rows.join(files, C("_file") == C("file"), "left_semi").where(~hit).drop("_file")
+        _rewrite(spark, kept, files.select("file"), root)
+    return gone
 
 
 # --- export, paging, SQL ---------------------------------------------------------------------
@@ -183,7 +226,7 @@ def export_rows(df: DataFrame, roles, *, tz: str = "UTC") -> DataFrame:
     from thermaline.operators.align import wide_to_long
     long = wide_to_long(df, roles)
     f = "yyyy-MM-dd'T'HH:mm:ss"
-    return long.select(EQ, F.date_format(TS, f).alias("timestamp_utc"),
+    return long.select(*ID, F.date_format(TS, f).alias("timestamp_utc"),
                        F.date_format(F.from_utc_timestamp(TS, tz), f).alias("timestamp_local"), "role", "value")
 
 
@@ -198,7 +241,7 @@ def export_faults(results: DataFrame, path: str, *, summary: bool = False) -> No
     export_csv(out, path)
 
 
-def page(df: DataFrame, order, *, offset: int = 0, limit: int = 100) -> DataFrame:
+def page(df: DataFrame, order, *, limit: int, offset: int = 0) -> DataFrame:
     """S-25: a page of ordered rows."""
     return df.orderBy(*order).offset(offset).limit(limit)
 
@@ -207,7 +250,7 @@ class TooManyRows(ValueError):
     pass
 
 
-def bounded(df: DataFrame, rows: int = 10_000) -> DataFrame:
+def bounded(df: DataFrame, rows: int) -> DataFrame:
     """S-25: refuse a result larger than `rows`; the probe stops at rows + 1."""
     probe = df.limit(rows + 1)
     if probe.count() > rows:
@@ -256,22 +299,22 @@ def read_jdbc(spark: SparkSession, url: str, *, query: str | None = None, table:
 # --- checks ----------------------------------------------------------------------------------
 def validate_building(history: DataFrame, mapped: DataFrame, *, required=("fan_cmd",)) -> DataFrame:
     """S-16: per mapped equipment its rows, roles and errors. `mapped`: equipment_id, role."""
-    roles = mapped.groupBy(EQ).agg(F.collect_set("role").alias("roles"))
-    rows = history.groupBy(EQ).agg(F.count(F.lit(1)).alias("rows"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"))
-    j = roles.join(rows, EQ, "full_outer").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
+    roles = mapped.groupBy(*ID).agg(F.collect_set("role").alias("roles"))
+    rows = history.groupBy(*ID).agg(F.count(F.lit(1)).alias("rows"), F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"))
+    j = roles.join(rows, list(ID), "full_outer").withColumn("rows", F.coalesce("rows", F.lit(0).cast("long")))
     lacking = F.array_except(F.array(*[F.lit(r) for r in required]), F.coalesce("roles", F.array().cast("array<string>")))
-    return j.select(EQ, "rows", F.coalesce(F.size("roles"), F.lit(0)).alias("role_count"), F.array_sort(lacking).alias("missing"),
+    return j.select(*ID, "rows", F.coalesce(F.size("roles"), F.lit(0)).alias("role_count"), F.array_sort(lacking).alias("missing"),
                     F.when(C("rows") == 0, "error: no history").when(C("roles").isNull(), "error: no role map")
                      .when(F.size(lacking) > 0, "warning: missing roles").otherwise("ok").alias("verdict"))
 
 
-def ingest_quality_gate(df: DataFrame, *, ts: str = TS, value: str = "value", keys=(EQ,), strict: bool = True) -> DataFrame:
+def ingest_quality_gate(df: DataFrame, *, ts: str = TS, value: str = "value", keys=ID, strict: bool = True) -> DataFrame:
     """S-17: one row per check over an import: count of offenders and whether it blocks."""
     dup = df.where(C(ts).isNotNull()).groupBy(*keys, ts).agg((F.count(F.lit(1)) - 1).alias("_d")).agg(
         F.coalesce(F.sum("_d"), F.lit(0).cast("long")).alias("n")).select(F.lit("duplicate_timestamp").alias("check"), "n")
     wide = df.agg(F.count(F.when(C(ts).isNull(), 1)).alias("bad_timestamp"), F.count(F.when(C(value).isNull(), 1)).alias("empty_value"),
                   F.count(F.when(F.isnan(C(value)) | (F.abs(C(value)) == F.lit(float("inf"))), 1)).alias("not_finite"),
-                  F.count(F.when(C(keys[0]).isNull() | (F.trim(C(keys[0])) == ""), 1)).alias("no_identity"))
+                  F.count(F.when(reduce(lambda a, b: a | b, [C(k).isNull() | (F.trim(C(k)) == "") for k in keys]), 1)).alias("no_identity"))
     n = wide.unpivot([], list(wide.columns), "check", "n").unionByName(dup)
     hard = ["bad_timestamp", "no_identity"] + (["duplicate_timestamp", "not_finite"] if strict else [])
     return n.withColumn("blocks", (C("n") > 0) & C("check").isin(hard))
@@ -284,13 +327,13 @@ def audit_package(history: DataFrame, mapped: DataFrame, *, trusted_start: str,
     span = history.agg(F.min(TS).alias("first_ts"), F.max(TS).alias("last_ts"),
                        F.count(F.when(C(TS) < F.lit(trusted_start).cast("timestamp"), 1)).alias("before_trusted"))
     out = with_scalars(absent, span)
-    vavs = history.where(F.upper(EQ).startswith("VAV")).select(EQ).distinct()
+    vavs = history.where(F.upper(EQ).startswith("VAV")).select(*ID).distinct()
     if feeds is not None:
-        known = history.select(C(EQ).alias("parent_ahu")).distinct().withColumn("_k", F.lit(1))
-        f = vavs.join(feeds.select(EQ, "parent_ahu"), EQ, "left").join(known, "parent_ahu", "left")
+        known = history.select(SITE, C(EQ).alias("parent_ahu")).distinct().withColumn("_k", F.lit(1))
+        f = vavs.join(feeds.select(*ID, "parent_ahu"), list(ID), "left").join(known, [SITE, "parent_ahu"], "left")
         cover = f.agg((num(100) * F.count("_k") / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("feed_coverage_pct"),
                       F.count(F.when(C("parent_ahu").isNull(), 1)).alias("vavs_without_ahu"))
-        stale = feeds.select(EQ).distinct().join(history.select(EQ).distinct(), EQ, "left_anti").agg(
+        stale = feeds.select(*ID).distinct().join(history.select(*ID).distinct(), list(ID), "left_anti").agg(
             F.count(F.lit(1)).alias("stale_feeds"))
         out = with_scalars(with_scalars(out, cover), stale)
     else:
@@ -314,7 +357,7 @@ def rows_to_dataset(long: DataFrame, root: str, *, building: str, roles=None) ->
     from thermaline.operators.align import interval_mode, long_to_wide
     wide = long_to_wide(long.where(C(TS).isNotNull()), roles or NUMERIC_ROLES).withColumn("building_id", F.lit(building))
     write_history(wide, root)
-    return interval_mode(wide).select(EQ, (C("interval_s") / num(60)).alias("grid_minutes"))
+    return interval_mode(wide).select(*ID, (C("interval_s") / num(60)).alias("grid_minutes"))
 
 
 KNOWN_ROLES = ALL_ROLES

@@ -9,11 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.roles import STRING_COLUMNS
-from thermaline.sources.history import PARTITIONS, with_partition_keys
+from thermaline.sources.history import replace_batch
 
 C = F.col
-EQ, TS = "equipment_id", "timestamp_utc"
 
 ENVELOPE = T.StructType([
     T.StructField("schema", T.StringType()), T.StructField("message_id", T.StringType()),
@@ -86,10 +86,15 @@ def drop_repeats(env: DataFrame, *, delay: str = "24 hours") -> DataFrame:
 
 
 def persist(rows: DataFrame, root: str, checkpoint: str, *, every: str = "60 seconds", once: bool = False):
-    """X-2/X-3: append to the monthly tree; the checkpoint is the progress marker."""
-    out = with_partition_keys(rows.where(C(TS).isNotNull() & ~C("duplicate_role")).drop("message_id", "edge_id", "duplicate_role"))
-    w = (out.writeStream.format("parquet").partitionBy(*PARTITIONS).option("checkpointLocation", checkpoint)
-         .option("path", f"{root}/history").outputMode("append"))
+    """X-2/X-3: append to the monthly tree that the batch writers use. The checkpoint is the progress
+    marker; a replayed micro-batch replaces the files it wrote before. Rows of envelopes that name a
+    role twice go to `<root>/rejects`, by batch."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        bad = C("duplicate_role") | C(TS).isNull()
+        batch.where(bad).write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
+        replace_batch(batch.where(~bad).drop("message_id", "edge_id", "duplicate_role"), root, f"stream{batch_id}")
+
+    w = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
 
 
@@ -98,9 +103,9 @@ def telemetry_watermark(history: DataFrame) -> DataFrame:
     return history.groupBy("building_id").agg(F.max(TS).alias("watermark"))
 
 
-def rolling_window(history: DataFrame, *, hours: float = 24.0, lead_in_hours: float = 3.0) -> DataFrame:
-    """The last `hours` of each building up to its newest stamp, with enough lead-in for the
-    widest rolling window plus confirmation. `_core` marks rows inside the window."""
+def rolling_window(history: DataFrame, *, hours: float = 24.0, lead_in_hours: float) -> DataFrame:
+    """The last `hours` of each building up to its newest stamp, with a lead-in. `in_window` marks
+    rows inside the window."""
     mark = telemetry_watermark(history)
     h = history.join(mark, "building_id")
     sec = lambda x: F.expr(f"INTERVAL {int(x * 3600)} SECONDS")
@@ -108,36 +113,43 @@ def rolling_window(history: DataFrame, *, hours: float = 24.0, lead_in_hours: fl
              .withColumn("in_window", C(TS) > C("watermark") - sec(hours)).drop("watermark"))
 
 
-def rolling_rules(history: DataFrame, rule_ids, *, weather: DataFrame | None = None, hours: float = 24.0,
-                  lead_in_hours: float = 3.0, poll: float = 300.0, **kw) -> DataFrame:
-    """X-5/X-8: rules over the rolling window; samples of the lead-in confirm but do not count."""
-    from thermaline.operators.runner import annotate, _job
-    jobs = [_job(r, poll, None) for r in rule_ids]
-    a = annotate(rolling_window(history, hours=hours, lead_in_hours=lead_in_hours), jobs, weather, **kw).where(C("in_window"))
-    wide = a.groupBy(EQ).agg(*[F.sum(C(j.done).cast("long")).alias(j.rule.id) for j in jobs])
-    return wide.unpivot([EQ], [f"`{j.rule.id}`" for j in jobs], "rule_id", "fault_samples").withColumn(
-        "fault_hours", C("fault_samples") * F.lit(poll) / F.lit(3600.0))
+def rolling_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | None = None, hours: float = 24.0,
+                  poll: float = 300.0, params=None, **kw) -> DataFrame:
+    """X-5/X-8: rules over the rolling window, by the same pass as in batch. The lead-in follows the
+    rules' parameters; its samples confirm but do not count."""
+    from thermaline.operators.runner import lead_in_rows, run_rules
+    lead = lead_in_rows(rule_ids, poll=poll, params=params) * poll / 3600.0
+    window = rolling_window(history, hours=hours, lead_in_hours=lead)
+    return run_rules(window, rule_ids, weather=weather, poll=poll, params=params, counted=C("in_window"), **kw)
 
 
 def rolling_afdd(rows: DataFrame, history_path: str, results_path: str, rule_ids, checkpoint: str, *, schema: T.StructType,
-                 hours: float = 24.0, once: bool = True):
-    """X-5/X-7: after each micro-batch re-evaluate the window of the buildings that received
-    data, late rows included, and replace their results."""
+                 hours: float = 24.0, poll: float = 300.0, params=None, once: bool = True):
+    """X-5/X-7: after each micro-batch re-evaluate the window of the buildings that received data, late
+    rows included, and replace their results. Only the months that a window can reach are read."""
+    from thermaline.operators.runner import lead_in_rows
+    reach = hours * 3600 + lead_in_rows(rule_ids, poll=poll, params=params) * poll
+
     def evaluate(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        touched = batch.select("building_id").distinct()
-        h = spark.read.schema(schema).parquet(history_path).join(touched, "building_id", "left_semi")
-        res = rolling_rules(h, rule_ids, hours=hours).withColumn("batch_id", F.lit(batch_id))
-        res.write.mode("append").parquet(results_path)
+        newest = batch.groupBy(SITE).agg(F.max(TS).alias("_newest"))
+        first = newest.agg(F.min("_newest")).first()[0]
+        if first is None:
+            return
+        h = spark.read.schema(schema).parquet(history_path)
+        since = F.lit(first) - F.expr(f"INTERVAL {int(reach)} SECONDS")
+        h = h.where((C(TS) > since) & (F.concat("year", "month") >= F.date_format(since, "yyyyMM")))
+        h = h.join(newest.select(SITE), SITE, "left_semi")
+        res = rolling_rules(h, rule_ids, hours=hours, poll=poll, params=params)
+        (res.write.mode("overwrite").partitionBy(SITE).option("partitionOverwriteMode", "dynamic").parquet(results_path))
 
     w = rows.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="60 minutes")).start()
 
 
-def latest_results(results: DataFrame) -> DataFrame:
-    """The newest evaluation per (equipment, rule)."""
-    return results.groupBy(EQ, "rule_id").agg(F.max_by(F.struct("fault_samples", "fault_hours"), "batch_id").alias("r")).select(
-        EQ, "rule_id", "r.*")
+def latest_results(spark: SparkSession, results_path: str) -> DataFrame:
+    """The newest evaluation of each building's rules."""
+    return spark.read.parquet(results_path)
 
 
 def backfill_chunks(spark: SparkSession, start: str, end: str, hours: int, *, pad_hours: float = 3.0) -> DataFrame:
@@ -151,7 +163,7 @@ def backfill_chunks(spark: SparkSession, start: str, end: str, hours: int, *, pa
 
 # --- live confirmation (X-8) -----------------------------------------------------------------
 CONFIRM_SCHEMA = T.StructType([
-    T.StructField(EQ, T.StringType()), T.StructField("rule_id", T.StringType()), T.StructField(TS, T.TimestampType()),
+    T.StructField(SITE, T.StringType()), T.StructField(EQ, T.StringType()), T.StructField("rule_id", T.StringType()), T.StructField(TS, T.TimestampType()),
     T.StructField("streak", T.LongType()), T.StructField("confirmed", T.BooleanType())])
 
 
@@ -183,7 +195,7 @@ class ConfirmProcessor(StatefulProcessor):
             self.waiting.removeKey((due,))
             n = (self.streak.get()[0] if self.streak.exists() else 0) + 1 if raw else 0
             self.streak.update((n,))
-            yield pd.DataFrame({EQ: [key[0]], "rule_id": [key[1]], TS: [pd.Timestamp(due, unit="ms")],
+            yield pd.DataFrame({SITE: [key[0]], EQ: [key[1]], "rule_id": [key[2]], TS: [pd.Timestamp(due, unit="ms")],
                                 "streak": [n], "confirmed": [n >= self.rows]})
 
     def close(self) -> None:
@@ -193,7 +205,7 @@ class ConfirmProcessor(StatefulProcessor):
 def confirm_stream(flags: DataFrame, rows: int, *, delay: str = "10 minutes") -> DataFrame:
     """X-8: equipment_id, rule_id, timestamp_utc, raw_fault in; the online form of row
     confirmation out. Needs the RocksDB state store."""
-    return (flags.withWatermark(TS, delay).groupBy(EQ, "rule_id")
+    return (flags.withWatermark(TS, delay).groupBy(*ID, "rule_id")
             .transformWithStateInPandas(ConfirmProcessor(rows), outputStructType=CONFIRM_SCHEMA, outputMode="Append",
                                         timeMode="EventTime"))
 
@@ -201,11 +213,11 @@ def confirm_stream(flags: DataFrame, rows: int, *, delay: str = "10 minutes") ->
 # --- windowed aggregates on a stream (X-9) ---------------------------------------------------
 def stream_means(rows: DataFrame, cols, *, seconds: int = 300, delay: str = "10 minutes") -> DataFrame:
     w = F.window(TS, f"{seconds} seconds")
-    return (rows.withWatermark(TS, delay).groupBy(EQ, w.alias("w")).agg(*[F.avg(c).alias(c) for c in cols])
-                .select(EQ, C("w.start").alias(TS), *cols))
+    return (rows.withWatermark(TS, delay).groupBy(*ID, w.alias("w")).agg(*[F.avg(c).alias(c) for c in cols])
+                .select(*ID, C("w.start").alias(TS), *cols))
 
 
 def stream_hourly_counts(rows: DataFrame, flag: Column, *, delay: str = "10 minutes") -> DataFrame:
     """Tumbling hourly counts, as the operating-state rule needs them."""
-    return (rows.withWatermark(TS, delay).groupBy(EQ, F.window(TS, "1 hour").alias("w"))
-                .agg(F.count(F.when(flag, 1)).alias("n")).select(EQ, C("w.start").alias("clock_hour"), "n"))
+    return (rows.withWatermark(TS, delay).groupBy(*ID, F.window(TS, "1 hour").alias("w"))
+                .agg(F.count(F.when(flag, 1)).alias("n")).select(*ID, C("w.start").alias("clock_hour"), "n"))
