@@ -90,8 +90,8 @@ PUMPS = ["pump_status", "chw_pump_status", "chiller_status", "compressor_status"
          "chiller_power", "chw_flow", "chw_pump_cmd"]
 COMP = ["compressor_status", "fan_status", "fan_cmd"]
 FANG = f"CASE WHEN has_fan_status THEN {on('fan_status')} WHEN has_fan_cmd THEN {on('fan_cmd')} WHEN has_zone_flow THEN COALESCE(zone_flow > 50, FALSE) ELSE NULL END"
-GATE_SQL = {"fan": f"COALESCE({FANG}, TRUE)", "hydro": f"COALESCE({first_mapped(PUMPS, 'NULL')}, FALSE)", "comp": first_mapped(COMP, "TRUE"),
-            "energized": f"COALESCE({FANG}, {first_mapped(PUMPS, 'NULL')}, {first_mapped(COMP, 'TRUE')})"}
+GATE_SQL = {"fan": FANG, "hydro": f"COALESCE({first_mapped(PUMPS, 'NULL')}, FALSE)", "comp": first_mapped(COMP, "NULL"),
+            "energized": f"COALESCE({FANG}, {first_mapped(PUMPS, 'NULL')}, {first_mapped(COMP, 'NULL')})"}
 # rule: gate, delay rows at 300 s
 BATCH = {"FC1": ("fan", 1), "FC2": ("fan", 2), "FC13-SAT-HIGH": ("fan", 2), "AHU-SATDEV": ("fan", 2), "AHU-SIMUL": ("fan", 1),
          "ECON-1": ("fan", 2), "VAV-2": (None, 0), "VAV-5": ("fan", 1), "VAV-6": ("fan", 1), "CHW-1": ("hydro", 3), "CHW-3": ("hydro", 2),
@@ -111,11 +111,11 @@ def _batch() -> str:
         cov = " OR ".join(f"MIN(cov_{x}) <= 0" for x in req) or "FALSE"
         covs = "".join(f", COUNT({x}) OVER (PARTITION BY equipment_id) AS cov_{x}" for x in req)
         hydro = f"WHEN NOT MAX(CASE WHEN {' OR '.join('has_' + p for p in PUMPS)} THEN 1 ELSE 0 END)::BOOLEAN THEN 'SKIPPED_MISSING_ROLES'" if gate == "hydro" else ""
-        off = "WHEN SUM(act) = 0 THEN 'SKIPPED_EQUIPMENT_OFF'" if gate else ""
+        off = "WHEN 100.0 * SUM(act) < 5 * COUNT(*) THEN 'SKIPPED_EQUIPMENT_OFF'" if gate else ""
         kinds = ", ".join(f"'{k}'" for k in RULES[r].kinds)
         parts.append(
-            f"(WITH g AS (SELECT *{covs}, CASE WHEN {g} THEN 1 ELSE 0 END AS ga, CASE WHEN {pred} THEN 1 ELSE 0 END AS rw FROM h), "
-            f"ig AS ({islands('g', 'ga')}), act AS (SELECT * EXCLUDE (sid, len, fresh), CASE WHEN ga = 1 AND len >= {max(1, delay)} THEN 1 ELSE 0 END AS act FROM ig), "
+            f"(WITH g AS (SELECT *{covs}, ({g}) IS NULL AS free, CASE WHEN {g} THEN 1 ELSE 0 END AS ga, CASE WHEN {pred} THEN 1 ELSE 0 END AS rw FROM h), "
+            f"ig AS ({islands('g', 'ga')}), act AS (SELECT * EXCLUDE (sid, len, fresh), CASE WHEN free OR (ga = 1 AND len >= {max(1, delay)}) THEN 1 ELSE 0 END AS act FROM ig), "
             f"f AS (SELECT *, rw * act AS f FROM act), i AS ({islands('f', 'f')}), "
             f"s AS (SELECT equipment_id, SUM(CASE WHEN f = 1 AND len >= {rows} THEN 1 ELSE 0 END) AS nf, SUM(act) AS na, "
             f"CASE WHEN {KIND.replace('equipment_id', 'ANY_VALUE(equipment_id)')} NOT IN ({kinds}) THEN 'NOT_APPLICABLE_EQUIPMENT_TYPE' WHEN {cov} THEN 'SKIPPED_MISSING_ROLES' {hydro} {off} "
