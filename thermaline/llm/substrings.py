@@ -6,8 +6,8 @@ same one. Documents are never compared in pairs:
 1. *Regions.* Each string of `width` bytes has one anchor, its rightmost least-hashed 32-byte gram. Strings that follow each other and
    share their anchor form a region of up to 2 * width bytes. Equal strings have equal anchors, so only regions with equal anchor
    grams can hold equal strings. A region is known by 128 bits of two hashes (anchor gram, whole content).
-2. *Pre-aggregation.* A region whose content occurs earlier is removed whole. Copies within a batch are settled there, so a passage
-   that very many documents share leaves each batch once.
+2. *Pre-aggregation.* A region whose content occurs earlier is removed whole. Copies among the documents at hand are settled there, so
+   a passage that very many documents share leaves them once.
 3. *Shards.* Where an anchor gram has several contents, the first region of each content goes to a shard of bounded size. There a
    suffix array (Larsson-Sadakane, Kasai) over the shard's regions finds the equal strings.
 4. *Merging.* Only an anchor gram that exceeds a shard is split over several; the sorted strings of its shards are then looked up in
@@ -36,6 +36,8 @@ GRAM = 32
 SHARD_ROWS = 8_192
 #: Bytes that are hashed at once; positions must fit the low bits of a key.
 _BLOCK_BITS = 20
+#: Characters of the documents whose regions are held at once, unless one document has more.
+_SLICE = 6_000_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 
 
@@ -113,20 +115,24 @@ def _blocks(texts: list[bytes], width: int) -> Iterator[tuple[list[tuple[int, in
 
 
 def anchored(docs: DataFrame, width: int) -> DataFrame:
-    """(akey, rkey, did, at) of all regions; at = th16 << 40 | start << 8 | strings. rkey is null where an earlier region of the batch
-    has the same content: it is decided."""
+    """(akey, rkey, did, at) of all regions; at = th16 << 40 | start << 8 | strings. rkey is null where an earlier region at hand has
+    the same content: it is decided."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             batch = batch.sort_values(["did", "th"], kind="stable")
-            did, th = batch["did"].to_numpy(np.int64), batch["th"].to_numpy(np.int64)
-            out = []
-            for slices, data, edges in _blocks([_utf8(t) for t in batch["text"]], width):
-                akey, rkey, who, start, strings = regions(data, edges, width)
-                text, low = np.array(slices, np.int64)[who].T if len(who) else (who, who)
-                out.append((akey, rkey, did[text], (th[text] << 40) | ((start + low) << 8) | strings))
-            if not out:
-                continue
+            part = batch["text"].str.len().fillna(0).cumsum() // _SLICE  # what is held at once follows text, not rows
+            for _, rows in batch.groupby(part.to_numpy(), sort=True):
+                yield from found(rows)
+
+    def found(batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        did, th = batch["did"].to_numpy(np.int64), batch["th"].to_numpy(np.int64)
+        out = []
+        for slices, data, edges in _blocks([_utf8(t) for t in batch["text"]], width):
+            akey, rkey, who, start, strings = regions(data, edges, width)
+            text, low = np.array(slices, np.int64)[who].T if len(who) else (who, who)
+            out.append((akey, rkey, did[text], (th[text] << 40) | ((start + low) << 8) | strings))
+        if out:
             rows = pd.DataFrame(dict(zip(("akey", "rkey", "did", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
             rows = rows.drop_duplicates(["did", "at"])
             known = rows.duplicated(["akey", "rkey"])
