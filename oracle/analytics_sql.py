@@ -169,7 +169,7 @@ O["zone_comfort_rank"] = (
     "COUNT(*) FILTER (WHERE zone_t > 75) AS n_above, AVG(zone_t) AS mz, 100.0::DOUBLE * COUNT(*) FILTER (WHERE zone_t < 70 OR zone_t > 75) / COUNT(*) AS fp FROM f GROUP BY 1) "
     "SELECT equipment_id, n_samples, n_below, n_above, ROUND(mz, 6) AS mean_zone_t, ROUND(fp, 6) AS fail_pct, CASE WHEN ABS(fp - (SELECT AVG(fp) FROM r)) / (SELECT STDDEV_POP(fp) FROM r) >= 1.2 THEN 1 ELSE 0 END AS outlier FROM r")
 O["ahu_reset_evidence"] = (f"WITH {B} SELECT equipment_id, " + ", ".join(
-    f"ROUND(100.0::DOUBLE * COUNT({r}) / COUNT(*), 6) AS {r}_coverage_pct, ROUND(MAX({r}) - MIN({r}), 6) AS {r}_span" for r in ("sat_sp", "duct_static_sp"))
+    f"ROUND(100.0::DOUBLE * COUNT({r}) / COUNT(*), 6) AS {r}_coverage_pct, ROUND(MAX({r}) - MIN({r}), 6) AS {r}_span, COUNT(DISTINCT ROUND({r}, 2)) AS {r}_levels" for r in ("sat_sp", "duct_static_sp"))
     + " FROM history WHERE equipment_id LIKE 'AHU%' GROUP BY 1")
 THIN = "(i = 1 OR i = c OR i % ((c + {0} - 1) // {0}) = 0)"
 O["timeseries_thinned"] = (
@@ -248,14 +248,17 @@ _cf = ", ".join(f"ROUND({f}({r}), 6) AS {r}__{nm}" for r in ("sat", "zone_t") fo
 _rs = rule_sql()
 O["clustering_features"] = (f"WITH {B}, s AS (SELECT equipment_id, {_cf} FROM history GROUP BY 1) SELECT s.*, a.fault_hours AS fault__fc1, b.fault_hours AS fault__vav_5 FROM s JOIN ({_rs['FC1']}) a USING (equipment_id) "
                             f"JOIN ({_rs['VAV-5']}) b USING (equipment_id)")
+_cool = " OR ".join(f"{c} IS NOT NULL" for c in ("chiller_status", "compressor_status", "chiller_cmd", "chiller_amps", "chiller_power"))
+_motor = " OR ".join(f"{c} IS NOT NULL" for c in ("fan_status", "fan_cmd", "pump_status", "chw_pump_status", "chw_pump_cmd", "tower_fan_cmd"))
+_need = {"vav_health": ("(zone_t IS NOT NULL OR damper_pct IS NOT NULL)", "zone or damper"), "weekly": (f"({_motor} OR {_cool})", "motor signal"), "bins": (f"({_cool})", "cooling proof"),
+         "bas_web": ("oa_t IS NOT NULL AND web_oa_t IS NOT NULL", "oa_t and web_oa_t"), "econ": (f"{FOFF} AND oa_t IS NOT NULL AND rat IS NOT NULL AND mat IS NOT NULL", "oa_t, rat and mat")}
 _pc = []
 for _n, (_c, _r, _k) in PRESETS.items():
-    if _r is None or _r in ("delta_or_f", "mat_resid_f", "oat_f"):
-        continue
-    _w2 = f"{_r} IS NOT NULL" + (f" AND {KIND} IN ({', '.join(repr(x) for x in _k)})" if _k else "")
-    _pc.append(f"SELECT '{_n}' AS preset, COUNT(DISTINCT CASE WHEN {_w2} THEN equipment_id END) AS series, COUNT(*) FILTER (WHERE {_w2}) AS rows, CASE WHEN COUNT(*) FILTER (WHERE {_w2}) = 0 THEN 'no {_r} data' END AS reason FROM history")
+    _q, _word = _need.get(_c, (f"{_r} IS NOT NULL", _r))
+    _w2 = _q + (f" AND {KIND} IN ({', '.join(repr(x) for x in _k)})" if _k else "")
+    _pc.append(f"SELECT '{_n}' AS preset, COUNT(DISTINCT CASE WHEN {_w2} THEN equipment_id END) AS series, COUNT(*) FILTER (WHERE {_w2}) AS rows, CASE WHEN COUNT(*) FILTER (WHERE {_w2}) = 0 THEN 'no {_word} data' END AS reason FROM history")
 O["preset_coverage"] = f"WITH {B} " + " UNION ALL ".join(_pc)
-O["preset_zone_temps"] = f"WITH {B} SELECT equipment_id, COUNT(zone_t) AS n, ROUND(MIN(zone_t), 6) AS min, ROUND(MAX(zone_t), 6) AS max FROM history WHERE {KIND} IN ('vav', 'zone') AND zone_t IS NOT NULL GROUP BY 1"
+O["preset_zone_temps"] = f"WITH {B}, r AS (SELECT equipment_id, {_five('zone_t')} FROM history WHERE {KIND} IN ('vav', 'zone') AND zone_t IS NOT NULL GROUP BY 1) SELECT equipment_id, {_f5} FROM r"
 
 # --- fuel ------------------------------------------------------------------------------------
 FU = ("bills AS (SELECT 'M' || c_nationkey AS meter_id, strftime(o_orderdate, '%Y-%m') AS month, SUM(o_totalprice) AS usage, SUM(CASE WHEN o_orderstatus <> 'P' THEN o_totalprice * 0.1::DOUBLE END) AS cost_usd, "

@@ -72,8 +72,13 @@ def join_floor_hour(left: DataFrame, right: DataFrame, cols, *, on=(), ts: str =
     """J-3/J-4: as-of on whole hours; within an hour the last right row counts."""
     hour = F.date_trunc("hour", C(ts))
     r = right.where(C(ts).isNotNull()).withColumn("_raw_ts", C(ts)).withColumn(ts, hour)
-    return join_asof_previous(left, r, cols, on=on, ts=ts, left_ts=hour,
-                              right_order=("_raw_ts", *right_order), **kw)
+    # Only the hours that occur go through the ordered stream; the rows join on their hour.
+    hours = left.where(C(ts).isNotNull()).select(*on, hour.alias(ts)).distinct()
+    at = join_asof_previous(hours.withColumn("_found", F.lit(True)), r.withColumn("_r_hit", F.lit(True)), [*cols, "_r_hit"], on=on, ts=ts,
+                            right_order=("_raw_ts", *right_order), **kw)
+    at = at.select(*on, C(ts).alias("_hour"), *[C(c).alias("_r_" + c) for c in cols], C("_r_hit").alias("_hit"))
+    out = left.withColumn("_hour", hour).join(at, [*on, "_hour"], "left").drop("_hour")
+    return overwrite(out, cols, F.coalesce(C("_hit"), F.lit(False))).drop("_hit")
 
 
 join_weather_15m = join_floor_hour

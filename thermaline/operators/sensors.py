@@ -8,7 +8,7 @@ from thermaline.functions.roles import ID, TS
 from thermaline.functions.logic import any_of, energized, epoch, frac, holds, num, percent
 from thermaline.functions.roles import ensure_roles
 from thermaline.operators import rules as R
-from thermaline.operators.confirm import confirm_elapsed, confirm_rows, runs
+from thermaline.operators.confirm import confirm_elapsed, runs, streak
 from thermaline.operators.runner import role_presence
 from thermaline.operators.series import BLOCK, core_rows, split_series, with_series_columns
 
@@ -171,7 +171,7 @@ SWEEP_ROLES = list(R.SPIKE_LIMITS)
 
 
 def sweep_flags(df: DataFrame, *, params: dict | None = None, poll: float = 300.0, **kw) -> DataFrame:
-    """V-4, per sample: one confirmed flag per sensor-validation rule and role."""
+    """V-4, per sample and role: a raw and a confirmed flag per sensor-validation rule."""
     p = {r: R.RULES[r].settings(poll, **(params or {}).get(r, {})) for r in SWEEP_RULES}
     d = ensure_roles(df, [*SWEEP_ROLES, "fan_status", "fan_cmd", "pump_status", "chw_pump_cmd", "chiller_status"])
     long = readings(d.withColumn("_live", energized()), SWEEP_ROLES, "_live")
@@ -193,7 +193,7 @@ def sweep_flags(df: DataFrame, *, params: dict | None = None, poll: float = 300.
             return F.when(F.count("value").over(roll) >= n, F.max("value").over(roll) - F.min("value").over(roll))
         return {"_step": F.abs(C("value") - F.lag("value").over(w)), "_flat": span(flat_n), "_stale": span(stale_n)}
 
-    s = with_series_columns(long, make, RATE_KEYS, TS, before=max(flat_n, stale_n) + 1, **kw)
+    n = R.RULES["SV-RANGE"].confirm_rows(p["SV-RANGE"])
     lo, hi = by_role({r: b[0] for r, b in bounds.items()}), by_role({r: b[1] for r, b in bounds.items()})
     spike = by_role({r: v * p["SV-SPIKE"]["spike_scale"] for r, v in R.SPIKE_LIMITS.items()})
     flags = {
@@ -202,25 +202,29 @@ def sweep_flags(df: DataFrame, *, params: dict | None = None, poll: float = 300.
         "SV-FLATLINE": C("_live") & held & (C("_flat") <= num(p["SV-FLATLINE"]["flatline_tol"])),
         "SV-STALE": held & (C("_stale") <= num(p["SV-STALE"]["stale_tol"])),
     }
-    s = s.withColumns({k: holds(v) for k, v in flags.items()})
-    return s.select(*ID, TS, "role", "value", *[f"`{k}`" for k in flags])
+
+    def steps(w):
+        return [{**make(w), "_rn": F.row_number().over(w)}, {k: holds(v) for k, v in flags.items()},
+                {f"confirmed {k}": streak(C(f"`{k}`"), C("_rn"), w) >= F.lit(n) for k in flags}]
+
+    s = with_series_columns(long, steps, RATE_KEYS, TS, before=max(flat_n, stale_n) + n + 1, **kw)
+    return s.select(*ID, TS, "role", "value", *[f"`{k}`" for k in flags], *[f"`confirmed {k}`" for k in flags])
 
 
 def sweep_evidence(df: DataFrame, *, params: dict | None = None, poll: float = 300.0, **kw) -> DataFrame:
     """V-4: per equipment, role and rule the confirmed samples and hours, the range of the
     offending values and when they occurred."""
     flags = sweep_flags(df, params=params, poll=poll, **kw)
-    pairs = [F.struct(F.lit(r).alias("rule_id"), C(f"`{r}`").alias("raw")) for r in SWEEP_RULES]
-    long = flags.select(*ID, TS, "role", "value", F.explode(F.array(*pairs)).alias("f")).select(
-        *ID, TS, "role", "value", "f.rule_id", "f.raw")
-    keys = (*ID, "role", "rule_id")
-    n = R.RULES["SV-RANGE"].confirm_rows(R.RULES["SV-RANGE"].settings(poll))
-    c = confirm_rows(long, C("raw"), n, keys=keys, **kw)
-    hit = C("confirmed")
-    return (c.where(hit).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("fault_samples"), (F.count(F.lit(1)) * num(poll) / num(3600)).alias("fault_hours"),
-        F.avg("value").alias("fault_mean"), F.min("value").alias("fault_min"), F.max("value").alias("fault_max"),
-        F.min(TS).alias("first_fault"), F.max(TS).alias("last_fault")))
+    aggs = []
+    for r in SWEEP_RULES:
+        hit, v = C(f"`confirmed {r}`"), F.when(C(f"`confirmed {r}`"), C("value"))
+        t = F.when(hit, C(TS))
+        aggs.append(F.struct(F.lit(r).alias("rule_id"), F.count(F.when(hit, 1)).alias("fault_samples"), (F.count(F.when(hit, 1)) * num(poll) / num(3600)).alias("fault_hours"),
+                             F.avg(v).alias("fault_mean"), F.min(v).alias("fault_min"), F.max(v).alias("fault_max"), F.min(t).alias("first_fault"),
+                             F.max(t).alias("last_fault")).alias(r))
+    wide = flags.groupBy(*RATE_KEYS).agg(*aggs)
+    return (wide.select(*RATE_KEYS, F.explode(F.array(*[C(f"`{r}`") for r in SWEEP_RULES])).alias("e")).select(*RATE_KEYS, "e.*")
+                .where(C("fault_samples") > 0))
 
 
 def sensor_fault_matrix(evidence: DataFrame) -> DataFrame:

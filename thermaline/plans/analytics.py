@@ -11,6 +11,7 @@ from thermaline.functions.logic import any_of, epoch, fan_on, frac, holds, num,
 from thermaline.functions.roles import UNOCCUPIED_TOKENS, ensure_roles
 from thermaline.operators import align
 from thermaline.operators.confirm import forward_dt, median_delta
+from thermaline.operators.quantile import exact_median, exact_quantiles
 from thermaline.operators.rules import RULES
 from thermaline.operators.runner import FAULT, PASS, equipment_kind
 from thermaline.operators.series import ordinal, with_series_columns
@@ -116,6 +117,8 @@ def motor_run_totals(table: DataFrame) -> DataFrame:
     return t.groupBy(SITE).agg(fan.alias("fan_hours"), pump.alias("pump_hours"), (fan + pump).alias("total_hours"))
 
 
+COOLING_SIGNALS = ("chiller_status", "compressor_status", "chiller_cmd", "chiller_amps", "chiller_power")
+
 # Name patterns of plant motors, first hit wins.
 MOTOR_PATTERNS = [("tower", "chiller", r"tower|ct[_-]?fan"), ("pump", "chiller", r"chwp|cwp|chw_pump|cw_pump"),
                   ("pump", "boiler", r"hwp|hw_pump|boiler.*pump"), ("pump", "chiller", r"pump"),
@@ -167,17 +170,19 @@ def occupied(c: str = "occ_mode") -> Column:
             .otherwise(~F.lower(F.trim(C(c))).isin(UNOCCUPIED_TOKENS))
 
 
-def setpoints(df: DataFrame, roles=None, *, exact: bool = False) -> DataFrame:
-    """B-7: medians while occupied, unoccupied and overall. Approximate by default, since an
-    exact median keeps every distinct value of a group in memory."""
+def setpoints(df: DataFrame, roles=None) -> DataFrame:
+    """B-7: medians while occupied, unoccupied and overall."""
     roles = [r for r in (roles or SETPOINT_ROLES) if r in df.columns]
     d = df.withColumn("_occ", occupied())
     long = d.select(*ID, "_occ", *roles).unpivot([*ID, "_occ"], roles, "role", "value")
-    med = (lambda c: F.percentile(c, F.lit(0.5))) if exact else (lambda c: F.percentile_approx(c, 0.5, 10000))
     occ, un = F.when(C("_occ"), C("value")), F.when(~C("_occ"), C("value"))
-    return long.groupBy(*ID, "role").agg(
-        med(occ).alias("median_occupied"), med(un).alias("median_unoccupied"), med(C("value")).alias("median_all"),
-        F.count(occ).alias("n_occupied"), F.count(un).alias("n_unoccupied"))
+    keys = [*ID, "role"]
+    # each reading stands for all samples, and for those of its mode
+    both = long.select(*keys, "value", F.explode(F.array_compact(F.array(F.lit("all"), F.when(C("_occ"), "occupied").when(~C("_occ"), "unoccupied")))).alias("mode"))
+    m = exact_median(both, [*keys, "mode"], "value", out="m").groupBy(*keys).agg(
+        *[F.max(F.when(C("mode") == k, C("m"))).alias(f"median_{k}") for k in ("occupied", "unoccupied", "all")])
+    n = long.groupBy(*keys).agg(F.count(occ).alias("n_occupied"), F.count(un).alias("n_unoccupied"))
+    return n.join(m, keys, "left").select(*keys, "median_occupied", "median_unoccupied", "median_all", "n_occupied", "n_unoccupied")
 
 
 def diurnal(df: DataFrame, roles) -> DataFrame:
@@ -314,11 +319,11 @@ def economizer_top_points(df: DataFrame, *, limit: int | None = None, dt_min: fl
     return p if limit is None else p.limit(limit)
 
 
-def economizer_residuals(df: DataFrame, *, dt_min: float = 10.0, exact: bool = False) -> DataFrame:
+def economizer_residuals(df: DataFrame, *, dt_min: float = 10.0) -> DataFrame:
     """Median and mean absolute mixed-air residual of the identifiable points."""
     p = economizer_points(df, dt_min=dt_min).where(C("identifiable") & C("mat_resid_f").isNotNull())
-    med = F.percentile("mat_resid_f", F.lit(0.5)) if exact else F.percentile_approx("mat_resid_f", 0.5, 10000)
-    return p.groupBy(*ID).agg(med.alias("median_mat_resid_f"), F.avg(F.abs("mat_resid_f")).alias("mat_resid_mae_f"))
+    mae = p.groupBy(*ID).agg(F.avg(F.abs("mat_resid_f")).alias("mat_resid_mae_f"))
+    return exact_median(p, ID, "mat_resid_f", out="median_mat_resid_f").join(mae, list(ID))
 
 
 def economizer_points_per_equipment(df: DataFrame, *, per_equipment: int, dt_min: float = 10.0, **kw) -> DataFrame:
@@ -492,23 +497,21 @@ def oat_scatter(df: DataFrame, role: str, *, driver: str | None = None) -> DataF
     return out if driver else out.drop("driver_f")
 
 
-def five_number(df: DataFrame, value: str, *, by=ID, z: float = 2.5, exact: bool = False, outliers: bool = True) -> DataFrame:
-    """B-26/B-27: distribution per group; quartiles are approximate unless asked otherwise."""
-    q = [F.lit(x) for x in (0.25, 0.5, 0.75)]
-    quart = F.percentile(value, F.array(*q)) if exact else F.percentile_approx(value, [0.25, 0.5, 0.75], 10000)
+def five_number(df: DataFrame, value: str, *, by=ID, z: float = 2.5, outliers: bool = True) -> DataFrame:
+    """B-26/B-27: distribution per group."""
     s = df.where(C(value).isNotNull()).groupBy(*by).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"),
-        F.min(value).alias("min"), F.max(value).alias("max"), quart.alias("_q"))
-    s = s.select(*by, "n", "mean", "std", "min", C("_q")[0].alias("p25"), C("_q")[1].alias("p50"),
-                 C("_q")[2].alias("p75"), "max")
+        F.min(value).alias("min"), F.max(value).alias("max"))
+    s = s.join(exact_quantiles(df, by, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}), list(by)).select(
+        *by, "n", "mean", "std", "min", "p25", "p50", "p75", "max")
     return cohort_outlier(s, "mean", z=z) if outliers else s
 
 
-def by_mode(df: DataFrame, value: str, on: Column, *, exact: bool = False) -> DataFrame:
+def by_mode(df: DataFrame, value: str, on: Column) -> DataFrame:
     """B-27: the distribution for all samples, and for on and off separately."""
     modes = F.array(F.lit("all"), F.when(on, F.lit("on")).otherwise(F.lit("off")))
     d = df.where(C(value).isNotNull()).select(*ID, C(value), F.explode(modes).alias("mode"))
-    return five_number(d, value, by=(*ID, "mode"), exact=exact, outliers=False)
+    return five_number(d, value, by=(*ID, "mode"), outliers=False)
 
 
 def inspect(df: DataFrame, equipment, columns, *, limit: int | None = None, after=None, before=None) -> DataFrame:
@@ -642,18 +645,25 @@ def preset(name: str, df: DataFrame, *, results: DataFrame | None = None, limit:
     return align.bas_vs_web(df)
 
 
+def preset_evidence(name: str, df: DataFrame) -> tuple[Column, str]:
+    """Rows that a preset can show, and what it needs in words."""
+    chart, role, kinds = PRESETS[name]
+    have = lambda *rs: reduce(lambda a, b: a | b, [C(r).isNotNull() for r in rs if r in df.columns] or [F.lit(False)])
+    need = {"vav_health": (have("zone_t", "damper_pct"), "zone or damper"), "weekly": (have(*MOTOR_SIGNALS, *COOLING_SIGNALS), "motor signal"),
+            "bins": (have(*COOLING_SIGNALS), "cooling proof"), "bas_web": (have("oa_t") & have("web_oa_t"), "oa_t and web_oa_t"),
+            "econ": (holds(fan_on(False)) & have("oa_t") & have("rat") & have("mat"), "oa_t, rat and mat")}
+    rows, words = need.get(chart) or (have(role), role)
+    return (rows & equipment_kind().isin(list(kinds)) if kinds else rows), words
+
+
 def preset_coverage(df: DataFrame, names=None) -> DataFrame:
-    """B-39: series, rows and why a preset has nothing to show, all presets in one aggregation."""
-    kind = equipment_kind()
-    items = [(n, *PRESETS[n]) for n in (names or PRESETS) if PRESETS[n][1] in df.columns]
-    aggs = []
-    for i, (_n, _chart, role, kinds) in enumerate(items):
-        hit = C(role).isNotNull() & (kind.isin(list(kinds)) if kinds else F.lit(True))
-        aggs += [F.count_distinct(F.when(hit, F.struct(*ID))).alias(f"s{i}"), F.count(F.when(hit, 1)).alias(f"r{i}")]
-    wide = df.agg(*aggs)
+    """B-39: series and rows of every preset, and why one has nothing to show. Rows are counted per
+    equipment first, so no raw row is multiplied."""
+    items = [(n, *preset_evidence(n, ensure_roles(df, ["fan_status", "fan_cmd"]))) for n in (names or PRESETS)]
+    per = ensure_roles(df, ["fan_status", "fan_cmd"]).groupBy(*ID).agg(*[F.count(F.when(hit, 1)).alias(f"r{i}") for i, (_, hit, _) in enumerate(items)])
+    wide = per.agg(*[f.alias(f"{k}{i}") for i in range(len(items)) for k, f in (("s", F.count(F.when(C(f"r{i}") > 0, 1))), ("r", F.coalesce(F.sum(f"r{i}"), F.lit(0))))])
     rows = F.array(*[F.struct(F.lit(n).alias("preset"), C(f"s{i}").alias("series"), C(f"r{i}").alias("rows"),
-                              F.when(C(f"r{i}") == 0, F.lit(f"no {role} data")).alias("reason"))
-                     for i, (n, _c, role, _k) in enumerate(items)])
+                              F.when(C(f"r{i}") == 0, F.lit(f"no {words} data")).alias("reason")) for i, (n, _, words) in enumerate(items)])
     return wide.select(F.explode(rows).alias("p")).select("p.*")
 
 

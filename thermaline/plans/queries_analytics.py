@@ -8,6 +8,7 @@ from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions import weather as wx
 from thermaline.functions.logic import fan_on, holds, num
 from thermaline.operators import align, runner
+from thermaline.operators.quantile import exact_median
 from thermaline.plans import analytics as A, findings as X, fuel as U
 from thermaline.plans.base import history, materialize, query, raw_history, rounded, stamp, weather
 from thermaline.sources import driver_tables as D
@@ -64,7 +65,7 @@ def sensor_stats_fan_on(spark, d):
 
 @query("setpoints")
 def setpoints(spark, d):
-    return rounded(A.setpoints(history(spark, d), ["sat_sp", "duct_static_sp", "min_flow_sp"], exact=True))
+    return rounded(A.setpoints(history(spark, d), ["sat_sp", "duct_static_sp", "min_flow_sp"]))
 
 
 @query("diurnal")
@@ -141,7 +142,7 @@ def economizer_top_points(spark, d):
 
 @query("economizer_residuals")
 def economizer_residuals(spark, d):
-    return rounded(A.economizer_residuals(history(spark, d), exact=True))
+    return rounded(A.economizer_residuals(history(spark, d)))
 
 
 @query("economizer_points_per_equipment")
@@ -189,7 +190,7 @@ def zone_comfort_rank(spark, d):
 
 @query("ahu_reset_evidence")
 def ahu_reset_evidence(spark, d):
-    return rounded(A.ahu_reset_evidence(history(spark, d)).drop("sat_sp_levels", "duct_static_sp_levels"))
+    return rounded(A.ahu_reset_evidence(history(spark, d)))
 
 
 @query("timeseries_thinned")
@@ -205,13 +206,13 @@ def oat_scatter(spark, d):
 
 @query("five_number")
 def five_number(spark, d):
-    f = A.five_number(history(spark, d), "zone_t", z=1.5, exact=True)
+    f = A.five_number(history(spark, d), "zone_t", z=1.5)
     return rounded(f.withColumn("outlier", C("outlier").cast("int")))
 
 
 @query("by_fan_mode")
 def by_fan_mode(spark, d):
-    return rounded(A.by_mode(history(spark, d), "duct_static", holds(fan_on(False)), exact=True))
+    return rounded(A.by_mode(history(spark, d), "duct_static", holds(fan_on(False))))
 
 
 @query("inspect_page")
@@ -305,7 +306,7 @@ def preset_coverage(spark, d):
 
 @query("preset_zone_temps")
 def preset_zone_temps(spark, d):
-    return A.preset("zone_temps", history(spark, d)).select(*ID, "n", F.round("min", 6).alias("min"), F.round("max", 6).alias("max"))
+    return rounded(A.preset("zone_temps", history(spark, d)).drop("outlier"))
 
 
 # --- fuel ------------------------------------------------------------------------------------
@@ -511,8 +512,8 @@ def _assessed(spark, d):
     comfort = h.groupBy(*ID).agg(F.avg("zone_t").alias("mean_zone_t"), F.lit(False).alias("outlier"))
     spot = h.groupBy(*ID).agg(F.min("damper_pct").alias("damper_pct"), F.max("zone_flow").alias("airflow"))
     on = holds(fan_on(False))
-    static = h.groupBy(*ID).agg(F.percentile(F.when(~on, C("duct_static")), F.lit(0.5)).alias("fan_off_p50"),
-                               F.percentile(F.when(on, C("duct_static")), F.lit(0.5)).alias("fan_on_p50"))
+    static = exact_median(h.withColumn("on", on), [*ID, "on"], "duct_static", out="m").groupBy(*ID).agg(
+        F.max(F.when(~C("on"), C("m"))).alias("fan_off_p50"), F.max(F.when(C("on"), C("m"))).alias("fan_on_p50"))
     return materialize(X.assess(_candidates(spark, d), comfort=comfort, spot=spot, static=static))
 
 
