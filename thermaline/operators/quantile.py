@@ -27,7 +27,7 @@ def exact_quantiles(df: DataFrame, keys, value: str, quantiles: dict[str, float]
     below = [F.when(C("_v") > C("_q")[2 * i + 1], C("_q")[2 * i + 1]).otherwise(num("-inf")) for i in range(len(names))]
     zone = F.greatest(*below) if len(below) > 1 else below[0]
     place = F.when(held, F.struct(C("_v").alias("v"), F.lit(0).alias("z"))).otherwise(F.struct(zone.alias("v"), F.lit(1).alias("z")))
-    n = d.join(b, keys).select(*keys, "_n", place.alias("_x")).groupBy(*keys, "_n", "_x").agg(
+    n = d.join(b, keys).select(*keys, "_n", "_v", place.alias("_x")).groupBy(*keys, "_n", "_x").agg(
         F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_first"), F.max("_v").alias("_last"))
     upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
     n = n.withColumn("_cum", upto)
