@@ -149,7 +149,7 @@ def test_obfuscated_words_are_restored(spark):
     reader = toxicity.Restorer(model)
     for written in ("1d10t", "i d i o t", "idiiiiiot", "!d!ot", "i.d.i.o.t", "id10t", "i-d-i-o-t"):
         assert "idiot" in reader.words(f"the {written} and"), written
-    assert reader.restore("the clean words of 42 days, and a@b stay.") .startswith("the clean words of 42 days, and ")
+    assert reader.words("The clean words of 42 days, and stay.") == ["the", "clean", "words", "of", "days", "and", "stay"]
 
 
 @pytest.fixture(scope="module")

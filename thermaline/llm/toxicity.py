@@ -16,7 +16,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,8 @@ MIN_EVIDENCE, MIN_LIFT = 4, 5.0
 #: Entries of the lexicon, the strongest first, and documents that the regression is fitted on, at most.
 LEXICON, FIT_ROWS = 20_000, 50_000
 
+#: Characters whose trigrams are counted at once, and tokens that a worker remembers.
+_COUNTED, _MEMO = 2_000_000, 400_000
 _ALPHABET = "^abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ0"
 _SIZE = len(_ALPHABET) + 1  # the last symbol is any other letter
 _SYMBOL = {c: i for i, c in enumerate(_ALPHABET)}
@@ -44,6 +46,8 @@ _MARKS = re.escape("".join(c for c in LOOKALIKES if not c.isdigit()))
 _SPREAD = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?!\w)")
 _MIXED = re.compile(rf"(?<![\w{_MARKS}])(?=[\w{_MARKS}]*[^\W\d_][\w{_MARKS}]*)(?:[{_MARKS}\d]+[^\W\d_]|[^\W\d_]+[{_MARKS}\d]+[^\W\d_])[\w{_MARKS}]*|\w*([^\W\d_])\1\1\w*")
 _WORDS = re.compile(r"[^\W\d_]+")
+_TRIPLE = re.compile(r"(.)\1\1")
+_APART = re.compile(r"(?<!\S)\S[.\-_*]?\s\S[.\-_*]?\s\S[.\-_*]?(?!\S)")
 
 
 @dataclass
@@ -86,11 +90,11 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(_SIZE**3, np.int64)
         for batch in batches:
-            for text in batch["text"]:
-                if text:
-                    s = symbols(f"  {text.lower()} ")
-                    code = ((s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:])[(s[1:-1] > 0) | (s[2:] > 0)]
-                    np.add.at(total, code, 1)
+            texts = batch["text"].dropna()
+            for _, part in texts.groupby((texts.str.len().cumsum() // _COUNTED).to_numpy()):
+                s = symbols(f"  {'  '.join(part).lower()} ")
+                code = ((s[:-2] * _SIZE + s[1:-1]) * _SIZE + s[2:])[(s[1:-1] > 0) | (s[2:] > 0)]
+                total += np.bincount(code, minlength=len(total))
         hit = np.flatnonzero(total)
         yield pd.DataFrame({"code": hit, "n": total[hit]})
 
@@ -122,26 +126,32 @@ def decode(stretch: str, model: CharModel) -> str:
     return max((score + log[a, b, 0], said) for (a, b), (score, said) in beam.items())[1]
 
 
-@dataclass
-class Restorer:
-    """Reads texts with the obfuscated stretches decoded; remembers stretches up to a bound."""
+class Restorer(dict):
+    """Reads texts with the obfuscated stretches decoded. As a dict it remembers the words of tokens (runs without white space); a token
+    without look-alikes, tripled letters or letters set apart has one path and is read as it is."""
 
-    model: CharModel
-    memo: dict[str, str] = field(default_factory=dict)
+    def __init__(self, model: CharModel):
+        self.model = model
 
-    def read(self, stretch: str) -> str:
-        if stretch not in self.memo:
-            if len(self.memo) > 200_000:
-                self.memo.clear()
-            self.memo[stretch] = decode(stretch, self.model)
-        return self.memo[stretch]
+    def restore(self, stretch: str) -> str:
+        stretch = _SPREAD.sub(lambda m: decode(m.group(), self.model), stretch)
+        return _MIXED.sub(lambda m: decode(m.group(), self.model), stretch)
 
-    def restore(self, text: str) -> str:
-        text = _SPREAD.sub(lambda m: self.read(m.group()), text)
-        return _MIXED.sub(lambda m: self.read(m.group()), text)
+    def __missing__(self, token: str) -> list[str]:
+        if len(self) >= _MEMO:
+            self.clear()
+        found = self[token] = _WORDS.findall(token if token.isalpha() and not _TRIPLE.search(token) else self.restore(token))
+        return found
+
+    def tokens(self, text: str | None) -> list[str]:
+        """Tokens of a text; letters that white space sets apart are read together first."""
+        text = (text or "").lower()
+        if _APART.search(text):
+            text = _SPREAD.sub(lambda m: decode(m.group(), self.model), text)
+        return text.split()
 
     def words(self, text: str | None) -> list[str]:
-        return _WORDS.findall(self.restore(text.lower())) if text else []
+        return [w for t in self.tokens(text) for w in self[t]]
 
 
 def _features(word: str) -> tuple[str, ...]:
@@ -156,11 +166,11 @@ def _evidence(labelled: DataFrame, model: CharModel) -> DataFrame:
         for batch in batches:
             clean, toxic = Counter(), set()
             for text, bad in zip(batch["text"], batch["toxic"], strict=True):
-                words = reader.words(text)
                 if bad:
+                    words = reader.words(text)
                     toxic.update((f, before) for before, w in zip(["", *words], words, strict=False) for f in _features(w))
                 else:
-                    clean.update({f for w in set(words) for f in _features(w)})
+                    clean.update({f for t in set(reader.tokens(text)) for w in reader[t] for f in _features(w)})
             yield pd.DataFrame([(f, None, n) for f, n in clean.items()] + [(f, b, 0) for f, b in toxic], columns=["feature", "before", "clean"])
 
     return labelled.mapInPandas(run, "feature string, before string, clean long")
@@ -174,11 +184,19 @@ class Judge:
     weights: dict[str, float]
     beta: np.ndarray | None
 
-    def hits(self, words: list[str]) -> list[float]:
-        seen = {f: self.weights[f] for w in set(words) for f in _features(w) if f in self.weights}
-        own = [max(self.weights.get(f, 0.0) for f in _features(w)) for w in words] if seen else []
-        n = sum(1 for x in own if x)
-        return [sum(seen.values()), max(seen.values(), default=0.0), float(len(seen)), n / math.sqrt(len(words) + 1)]
+    def hits(self, reader: Restorer, known: dict[str, dict[str, float]], text: str | None) -> list[float]:
+        """The regression's inputs for a text. `known` remembers the entries of tokens."""
+        tokens, seen, n = reader.tokens(text), {}, 0
+        for token in tokens:
+            found = known.get(token)
+            if found is None:
+                if len(known) >= _MEMO:
+                    known.clear()
+                found = known[token] = {f: self.weights[f] for w in reader[token] for f in _features(w) if f in self.weights}
+            if found:
+                seen |= found
+                n += 1
+        return [sum(seen.values()), max(seen.values(), default=0.0), float(len(seen)), n / math.sqrt(len(tokens) + 1)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.beta is None:
@@ -232,9 +250,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = hash_sample(packed, FIT_ROWS, "key")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = Restorer(model)
+        reader, known = Restorer(model), {}
         for b in unpack(batches):
-            yield pd.DataFrame({"x": [judge.hits(reader.words(t)) for t in b["text"]], "toxic": b["toxic"]})
+            yield pd.DataFrame({"x": [judge.hits(reader, known, t) for t in b["text"]], "toxic": b["toxic"]})
 
     rows = sample.select("packed", "toxic").mapInPandas(measure, "x array<double>, toxic int").collect()
     judge.beta = regress(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
@@ -246,9 +264,9 @@ def score(judge: Judge, text_col: str = "text"):
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader = Restorer(judge.model)
+        reader, known = Restorer(judge.model), {}
         for texts in batches:
-            yield pd.Series(judge.score(np.array([judge.hits(reader.words(t)) for t in texts]).reshape(len(texts), 4)))
+            yield pd.Series(judge.score(np.array([judge.hits(reader, known, t) for t in texts]).reshape(len(texts), 4)))
 
     return run(text_col)
 
