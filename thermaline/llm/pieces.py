@@ -18,6 +18,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +31,7 @@ from thermaline.llm.common import staged
 SPACE = "▁"
 #: Characters of a chunk; longer documents are scanned in parallel.
 CHUNK = 16_384
-MEMO = 400_000
+MEMO = 600_000
 #: Less than every sum of scores.
 _NONE = -(2**62)
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -51,28 +52,35 @@ class Model:
         self.known = {self.pieces[i]: (round(sp.get_score(i)), i) for i in usable}
         self.byte = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.is_byte[i]}
         self.unknown = min(s for s, _ in self.known.values()) - 10
+        #: Score of each piece, and None for what only begins a longer one.
+        self.table: dict[str, int | None] = {p[:k]: None for p in self.known for k in range(1, len(p))} | {p: s for p, (s, _) in self.known.items()}
         self.longest = max(map(len, self.known))
         if any(SPACE in p.lstrip(SPACE) for p in self.known):
             raise ValueError("pieces that go beyond a word are not supported")
         self.memo: dict[str, tuple[bytes, int]] = {}
 
-    def edges(self, text: str, at: int) -> Iterator[tuple[int, int]]:
-        """(length, score) of the pieces that start at a place; a character without one is unknown."""
-        single = self.known.get(text[at])
-        yield 1, single[0] if single else self.unknown
-        for n in range(2, min(self.longest, len(text) - at) + 1):
-            hit = self.known.get(text[at:at + n])
-            if hit:
-                yield n, hit[0]
-
     def forward(self, text: str, entry: list[int], stop: int) -> tuple[list[int], list[int]]:
-        """Best score and first best start of the last piece at each place; pieces start before `stop`. entry: scores at the first places."""
-        best, back = entry + [_NONE] * (len(text) + 1 - len(entry)), [-1] * (len(text) + 1)
-        for at in range(min(stop, len(text))):
-            if (own := best[at]) > _NONE:
-                for n, score in self.edges(text, at):
-                    if own + score > best[at + n]:
-                        best[at + n], back[at + n] = own + score, at
+        """Best score and first best start of the last piece at each place; pieces start before `stop`. entry: scores at the first
+        places. A character that is no piece is unknown."""
+        size, table, unknown = len(text), self.table, self.unknown
+        best, back = entry + [_NONE] * (size + 1 - len(entry)), [-1] * (size + 1)
+        for at in range(min(stop, size)):
+            own = best[at]
+            if own == _NONE:
+                continue
+            score = table.get(text[at])
+            value = own + (unknown if score is None else score)
+            if value > best[at + 1]:
+                best[at + 1], back[at + 1] = value, at
+            for end in range(at + 2, size + 1):
+                score = table.get(text[at:end], 1)  # scores are never above 0
+                if score is None:
+                    continue
+                if score == 1:
+                    break
+                value = own + score
+                if value > best[end]:
+                    best[end], back[end] = value, at
         return best, back
 
     def ids(self, text: str, cuts: list[int]) -> list[int]:
@@ -87,7 +95,7 @@ class Model:
         got = self.memo.get(text)
         if got is None:
             best, back = self.forward(text, [0], len(text))
-            got = np.array(self.ids(text, trace(back, len(text))), "<u4").tobytes(), best[len(text)]
+            got = array("I", self.ids(text, trace(back, len(text)))).tobytes(), best[len(text)]
             if len(self.memo) >= MEMO:
                 self.memo.clear()
             if len(text) < 64:
