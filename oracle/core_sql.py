@@ -126,6 +126,17 @@ def _batch() -> str:
 
 
 O["run_batch_statuses"] = _batch()
+def _tuned() -> str:
+    r = rule_sql()
+    limit = "(CASE WHEN equipment_id = 'AHU_1' AND building_id = 'B2' THEN 2 WHEN building_id = 'B2' THEN 9 ELSE 7 END)"
+    rows = "(CASE WHEN building_id = 'B1' THEN 3 ELSE 6 END)"
+    sat = r["AHU-SATDEV"].replace("ABS(sat - sat_sp) > 5", f"ABS(sat - sat_sp) > {limit}")
+    fc2 = r["FC2"].replace("base AS (SELECT equipment_id,", "base AS (SELECT building_id, equipment_id,").replace("len >= 2", f"len >= {rows}")
+    return " UNION ALL ".join(f"SELECT equipment_id, '{i}' AS rule_id, CASE WHEN fault_hours > 0 THEN 'FAULT' ELSE 'PASS' END AS status, fault_hours FROM ({q})"
+                              for i, q in (("FC2", fc2), ("AHU-SATDEV", sat), ("FC1", r["FC1"])))
+
+
+O["rules_tuned_by_layer"] = _tuned()
 O["simple_rule"] = f"WITH {B} SELECT equipment_id, SUM(CASE WHEN sat > 90 THEN 1 ELSE 0 END)::BIGINT AS fault_samples FROM history GROUP BY 1"
 O["custom_rule"] = (
     f"WITH {B}, b AS (SELECT equipment_id, timestamp_utc, CASE WHEN sat - sat_sp > 10 AND fan_status > 0.5 THEN 1 ELSE 0 END AS f FROM history), i AS ({islands('b', 'f')}) "

@@ -68,7 +68,8 @@ def rule(id, kinds, required, optional="", confirm=0, *, raw=None, params=None,
 
 
 def P(p, name):
-    return num(p[name])
+    """A parameter: a number, or a column where it differs from equipment to equipment."""
+    return p[name] if isinstance(p[name], Column) else num(p[name])
 
 
 AHU, VAV, CHILLER = "ahu", "vav", "chiller"

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.logic import frac, holds, num
 from thermaline.functions.roles import ensure_roles
+from thermaline.functions.scalars import with_scalars
 from thermaline.operators.confirm import streak
 from thermaline.operators.rules import RULES, Rule
 from thermaline.operators.series import block_window, core_rows, split_series
@@ -35,6 +36,35 @@ def effective_params(rule_id: str, *layers: Mapping | None, poll: float = 300.0)
     return RULES[rule_id].settings(poll, **merged)
 
 
+def attach_tuning(history: DataFrame, tuning: DataFrame) -> tuple[DataFrame, dict[str, dict]]:
+    """A-15 as data: `tuning` has building_id, equipment_id, rule_id, name, value. A row with both ids holds for that equipment, one
+    with the building only for all of it, one without ids everywhere; the closest layer wins, the rule's default fills the rest, and
+    values are clamped to the parameter's range.
+
+    Returns the history with a column per tuned parameter and, by rule, its parameters as (column, largest value). The join is on the
+    series key; the parameter table has one row per series. Names are read from the table, one row per parameter."""
+    known = {r: RULES[r].settings() for r in RULES}
+    rows = tuning.groupBy("rule_id", "name").agg(F.max("value").alias("most")).collect()
+    out: dict[str, dict] = {}
+    for r in rows:
+        if r["name"] not in known.get(r["rule_id"], {}) or r["name"] == "poll":
+            raise KeyError(f"{r['rule_id']}: unknown parameter {r['name']}")
+    pick = lambda r: F.max(F.when((C("rule_id") == r["rule_id"]) & (C("name") == r["name"]), C("value")))
+    cols = [f"_p{i}" for i in range(len(rows))]
+    layer = lambda where, keys, tag: tuning.where(where).groupBy(*keys).agg(*[pick(r).alias(c + tag) for r, c in zip(rows, cols)])
+    own, site = C(EQ).isNotNull() & C(SITE).isNotNull(), C(EQ).isNull() & C(SITE).isNotNull()
+    everywhere = tuning.where(C(EQ).isNull() & C(SITE).isNull()).agg(*[pick(r).alias(c + "g") for r, c in zip(rows, cols)])
+    series = history.select(*ID).distinct().join(layer(own, ID, "e"), list(ID), "left").join(layer(site, [SITE], "s"), SITE, "left")
+    series = with_scalars(series, everywhere)
+    for r, c in zip(rows, cols):
+        rule, name = RULES[r["rule_id"]], r["name"]
+        lo, hi = rule.params[name][1:] if name in rule.params else (0.0, float("inf"))
+        value = F.coalesce(C(c + "e"), C(c + "s"), C(c + "g"), num(known[rule.id][name]))
+        series = series.withColumn(c, F.greatest(num(lo), F.least(num(hi), value)))
+        out.setdefault(rule.id, {})[name] = (C(c), min(max(float(r["most"]), known[rule.id][name], lo), hi))
+    return history.join(series.select(*ID, *cols), list(ID)), out
+
+
 # --- equipment kinds -------------------------------------------------------------------------
 # Id patterns, first hit wins.
 KIND_PATTERNS = [
@@ -85,6 +115,25 @@ def _needed(rules) -> list[str]:
 class Job:
     rule: Rule
     p: dict
+    tuned: dict | None = None  # name -> (column, largest value)
+
+    @property
+    def predicate_params(self) -> dict:
+        """Parameters of the raw predicate. Sizes of windows are numbers: the predicate's columns can differ by equipment."""
+        return self.p | {k: c for k, (c, _) in (self.tuned or {}).items()}
+
+    @property
+    def rows(self) -> Column:
+        """Rows to confirm."""
+        if "confirm_seconds" not in (self.tuned or {}):
+            return F.lit(self.rule.confirm_rows(self.p))
+        n = F.greatest(F.lit(1), F.ceil(self.tuned["confirm_seconds"][0] / num(max(self.p["poll"], 1.0))))
+        return n + F.lit(self.rule.extra_rows(self.p))
+
+    @property
+    def look_back(self) -> int:
+        most = self.p | {k: m for k, (_, m) in (self.tuned or {}).items()}
+        return max(self.rule.lookback(self.p) + self.rule.confirm_rows(x) for x in (self.p, most))
 
     @property
     def raw(self):
@@ -102,7 +151,7 @@ def annotate(history: DataFrame, jobs: list[Job], weather: DataFrame | None = No
     df = ensure_roles(history, _needed([j.rule for j in jobs]))
     if any(j.rule.weather for j in jobs):
         df = attach_weather(df, weather)
-    back = max([j.rule.lookback(j.p) + j.rule.confirm_rows(j.p) for j in jobs], default=1)
+    back = max([j.look_back for j in jobs], default=1)
     s = split_series(df, ID, TS, before=back + before_extra + 2, **kw)
     # Equal stamps are ordered by their readings, so the answer doesn't depend on how rows arrive.
     w = block_window(ID, TS, tiebreak or _needed([j.rule for j in jobs]))
@@ -120,14 +169,14 @@ def annotate(history: DataFrame, jobs: list[Job], weather: DataFrame | None = No
     gates = gates or {}
     raws = {}
     for j in jobs:
-        raw = j.rule.raw(j.p)
+        raw = j.rule.raw(j.predicate_params)
         if j.rule.where is not None and not j.rule.drops_rows:
             raw = raw & j.rule.where()
         if j.rule.id in gates:
             raw = raw & gates[j.rule.id]
         raws[j.raw] = holds(raw)
     s = s.withColumns(raws)
-    s = s.withColumns({j.done: streak(C(j.raw), C("_rn"), w) >= F.lit(j.rule.confirm_rows(j.p)) for j in jobs})
+    s = s.withColumns({j.done: streak(C(j.raw), C("_rn"), w) >= j.rows for j in jobs})
     return core_rows(s)
 
 
@@ -194,12 +243,17 @@ def confirmable(rule_ids=None) -> list[str]:
 
 
 def run_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | None = None, poll: float = 300.0,
-              params: Mapping[str, Mapping] | None = None, tiebreak=(), counted: Column | None = None, **kw) -> DataFrame:
+              params: Mapping[str, Mapping] | None = None, tiebreak=(), counted: Column | None = None, tuning: DataFrame | None = None, **kw) -> DataFrame:
     """A-16: every rule in one pass, as rows (building_id, equipment_id, rule_id, status, fault_hours,
-    fault_samples, samples). Only rows for which `counted` holds count; the others lead in. Rules whose required roles are absent yield skip rows. A rule
+    fault_samples, samples). Only rows for which `counted` holds count; the others lead in.
+    `tuning`: parameters by building and equipment, see `attach_tuning`; those that size a window keep one value. Rules whose required roles are absent yield skip rows. A rule
     that drops rows inside a series needs its own ordering and gets its own pass."""
     params = params or {}
     jobs = [_job(i, poll, params.get(i)) for i in confirmable(rule_ids)]
+    if tuning is not None:
+        history, tuned = attach_tuning(history, tuning)
+        for j in jobs:
+            j.tuned = tuned.get(j.rule.id)
     ready = [j for j in jobs if not missing_roles(j.rule, history.columns)]
     skipped = [j for j in jobs if missing_roles(j.rule, history.columns)]
     passes = [[j for j in ready if not j.rule.drops_rows]] + [[j] for j in ready if j.rule.drops_rows]

@@ -87,6 +87,14 @@ def run_batch_statuses(spark, d):
         *ID, "kind", "rule_id", "status", "fault_hours", "fault_pct", "active_samples"))
 
 
+@query("rules_tuned_by_layer")
+def rules_tuned_by_layer(spark, d):
+    rows = [(None, None, "FC2", "confirm_seconds", 1800.0), ("B2", None, "AHU-SATDEV", "sat_dev_err", 9.0), ("B2", "AHU_1", "AHU-SATDEV", "sat_dev_err", 2.0),
+            (None, None, "AHU-SATDEV", "sat_dev_err", 7.0), ("B1", None, "FC2", "confirm_seconds", 900.0)]
+    tuning = spark.createDataFrame(rows, "building_id string, equipment_id string, rule_id string, name string, value double")
+    return rounded(runner.run_rules(history(spark, d), ["FC2", "AHU-SATDEV", "FC1"], tuning=tuning).select(*ID, "rule_id", "status", "fault_hours"))
+
+
 @query("simple_rule")
 def simple_rule(spark, d):
     s = runner.simple_rule(history(spark, d), "sat", ">", 90.0)
