@@ -33,8 +33,8 @@ SUBSTITUTE, KEEP, DROP_REPEAT, DROP_GAP, DROP_SYMBOL = -1.0, -4.0, -0.7, -0.2, -
 STEM = 5
 #: A lexicon entry needs so many different words before it and so much more frequency in toxic documents.
 MIN_EVIDENCE, MIN_LIFT = 4, 5.0
-#: Entries of the lexicon, the strongest first, and documents that the regression is fitted on, at most.
-LEXICON, FIT_ROWS = 20_000, 50_000
+#: Entries of the lexicon, the strongest first, and labelled documents to learn from, those of smallest id hash, at most.
+LEXICON, FIT_ROWS = 20_000, 40_000
 
 #: Characters whose trigrams are counted at once, and tokens that a worker remembers.
 _COUNTED, _MEMO = 2_000_000, 400_000
@@ -216,28 +216,13 @@ def regress(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 30)
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Judge:
-    """Learns from the documents that `labels` (id, label) marks; the character model reads all of `docs`."""
+    """Learns from the documents that `labels` (id, label) marks, at most FIT_ROWS; the character model reads all of `docs`."""
     model = CharModel.of(count_characters(docs, text_col))
-
-    @F.pandas_udf("binary")
-    def pack(texts: pd.Series) -> pd.Series:
-        from zstandard import ZstdCompressor
-
-        zip_ = ZstdCompressor(level=1)
-        return texts.map(lambda t: zip_.compress((t or "").encode("utf-8", "surrogatepass")))
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from zstandard import ZstdDecompressor
-
-        unzip = ZstdDecompressor()
-        for b in batches:
-            yield pd.DataFrame({"text": b["packed"].map(lambda p: unzip.decompress(p).decode("utf-8", "surrogatepass")), "toxic": b["toxic"]})
-
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
-    packed = docs.select(F.col(id_col).alias("key"), pack(text_col).alias("packed"))
-    packed = staged(packed.join(marks, "key"))
-    labelled = packed.mapInPandas(unpack, "text string, toxic int")
-    n_toxic, n_clean = packed.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
+    marks = F.broadcast(hash_sample(marks, FIT_ROWS, "key"))  # at most FIT_ROWS pairs of numbers
+    read = docs.select(F.col(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    labelled = staged(read.join(marks, "key").select("text", "toxic"))
+    n_toxic, n_clean = labelled.agg(F.count_if(F.col("toxic") == 1), F.count_if(F.col("toxic") == 0)).first()
     if not n_toxic or not n_clean:
         return Judge(model, {}, None)
     evidence = _evidence(labelled, model)
@@ -247,14 +232,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
              .where((F.col("toxic") >= MIN_EVIDENCE) & (lift >= MIN_LIFT)).select("feature", F.log(lift).alias("w"), "toxic")
              .orderBy(F.desc(F.col("w") * F.sqrt("toxic")), "feature").limit(LEXICON))
     judge = Judge(model, {r["feature"]: float(r["w"]) for r in table.collect()}, None)
-    sample = hash_sample(packed, FIT_ROWS, "key")
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader, known = Restorer(model), {}
-        for b in unpack(batches):
+        for b in batches:
             yield pd.DataFrame({"x": [judge.hits(reader, known, t) for t in b["text"]], "toxic": b["toxic"]})
 
-    rows = sample.select("packed", "toxic").mapInPandas(measure, "x array<double>, toxic int").collect()
+    rows = labelled.mapInPandas(measure, "x array<double>, toxic int").collect()
     judge.beta = regress(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
     return judge
 
