@@ -226,7 +226,9 @@ def contested(docs: DataFrame, regions_: DataFrame, width: int, shard_rows: int)
         return out[["akey", "sub", "did", "at", "strings", "firsts"]]
 
     small = dealt.where(F.col("subs").isNull()).groupBy("shard").applyInPandas(shard, "did long, at long")
-    parts = staged(dealt.where(F.col("subs").isNotNull()).groupBy("akey", "sub").applyInPandas(
+    # one column of both: grouped by the pair, all parts of an anchor would stay in the task that the join has put them in
+    split = dealt.where(F.col("subs").isNotNull()).withColumn("part", F.concat_ws(":", "akey", "sub"))
+    parts = staged(split.groupBy("part").applyInPandas(
         sorted_part, "akey long, sub int, did long, at long, strings binary, firsts binary"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
