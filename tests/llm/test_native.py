@@ -53,6 +53,19 @@ def test_no_two_entities_share_a_surrogate(spark, monkeypatch):
     assert len(out) == 10 == len(set(out.values())) and "7.2.2.2" not in out.values()
 
 
+def test_values_of_few_or_no_letters_end(spark):
+    """Lines of punctuation after the word for a secret are none, and forms whose every value occurs get longer surrogates."""
+    lines = ["Password: ________", "token: --------", "Secret\n==============\nText", "pwd = ....////++++"]
+    few = [f"token: _______{n}" for n in range(10)]
+    short = [f"Mail {a}@{b}.co now" for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    out = swap(spark, lines + few + short)
+    assert out[:4] == lines
+    new = [t.removeprefix("token: ") for t in out[4:14]]
+    assert len(set(new)) == 10 and all(re.fullmatch("_{7}[0-9a-z]{2,}", t) for t in new)
+    mails = {t.split()[1] for t in out[14:]}
+    assert len(mails) == 676 and not mails & {t.split()[1] for t in short} and all(re.fullmatch(r"[a-z]{2,}@[a-z]\.co", m) for m in mails)
+
+
 def test_op9_leaves_nothing_and_changes_nothing_else(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text")
     old = {r["doc_id"]: r["text"] for r in df.collect()}

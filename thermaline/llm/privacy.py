@@ -4,7 +4,8 @@ Detected entities (e-mail addresses, phone, card, social security and bank accou
 and tokens, names after a title) get keyed replacements of their own type: letters, capitals and digits stay what they are, hex
 strings stay hex, card numbers keep their check digit valid, octets stay octets, and names keep gender (from the title), script and
 number of parts. One entity has one surrogate in the whole corpus, however it is written (case of addresses, separators of
-numbers), and two never share one: surrogates that meet each other, or an entity that occurs, are drawn again until none does.
+numbers), and two never share one: surrogates that meet each other, or an entity that occurs, are drawn again until none does. An
+entity that keeps losing, since its form has few values, gets longer surrogates. A secret holds a letter or digit.
 
 Null text stays null and has no entities. Null ids and repeated rows give a row each. An empty table gives no rows; other columns
 are kept where asked for.
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from thermaline.llm.common import let, staged
 
 KEY = "thermaline"
+#: Draws of an entity's own form before each further one is longer by a character, so that no form can run out.
+TRIES = 5
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: Titles and the gender they show.
@@ -28,7 +31,7 @@ _SECRET = "(?:password|passwd|pwd|secret|token|api_key|apikey|api-key)"
 #: Fixed patterns, by type and in order of precedence.
 PATTERNS = {
     "email": "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}",
-    "secret": f"(?<=(?i:{_SECRET})[\"']{{0,1}}\\s{{0,2}}[=:]\\s{{0,2}}[\"']{{0,1}})[A-Za-z0-9_/+.=-]{{8,}}",
+    "secret": f"(?<=(?i:{_SECRET})[\"']{{0,1}}\\s{{0,2}}[=:]\\s{{0,2}}[\"']{{0,1}})(?=[_/+.=-]*[A-Za-z0-9])[A-Za-z0-9_/+.=-]{{8,}}",
     "key": "(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])",
     "iban": "(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?(?![A-Za-z0-9])",
     "card": "(?<![0-9A-Za-z])[0-9]{4}(?:([ -]?)[0-9]{4})(?:[ -]?[0-9]{4}){2}(?![0-9A-Za-z])",
@@ -144,12 +147,18 @@ def _name(value: Column, gender_: Column, stream: Column) -> Column:
 def draw(type_: Column, value: Column, gender_: Column, attempt: Column, key: str = KEY) -> Column:
     """The keyed surrogate of a canonical entity at an attempt; prefixes that show the type stay."""
     stream = _stream(F.lit(key), type_, value, attempt.cast("string"))
+    more = F.greatest(attempt - (TRIES - 1), F.lit(0))
+    again = _stream(F.lit(key), type_, value, attempt.cast("string"), F.lit("more"))
+    digits, letters = _alike(F.repeat(F.lit("0"), more), again), _alike(F.repeat(F.lit("a"), more), again)
+    octets = F.array_join(F.transform(F.array_repeat(F.lit("."), more), lambda c, i: F.concat(c, (F.pmod(_number(again, i), F.lit(254)) + 1).cast("string"))), "")
     octet = lambda i: (F.pmod(_number(stream, F.lit(i)), F.lit(254)) + 1).cast("string")
-    return (F.when(type_ == "email", _email(value, stream)).when(type_ == "card", _card(value, stream))
-            .when(type_ == "ip", F.concat_ws(".", *[octet(i) for i in range(4)])).when(type_ == "name", _name(value, gender_, stream))
-            .when(type_ == "key", F.concat(F.substring(value, 1, 4), _alike(F.substring(value, 5, 99), stream)))
-            .when(type_ == "iban", F.concat(F.substring(value, 1, 2), _alike(F.substring(value, 3, 99), stream)))
-            .when((type_ == "secret") & value.rlike("^[0-9a-f]+$"), _hex(value, stream)).otherwise(_alike(value, stream)))
+    own = (F.when(type_ == "email", F.concat(letters, _email(value, stream))).when(type_ == "card", _card(value, stream))
+           .when(type_ == "ip", F.concat_ws(".", *[octet(i) for i in range(4)])).when(type_ == "name", _name(value, gender_, stream))
+           .when(type_ == "key", F.concat(F.substring(value, 1, 4), _alike(F.substring(value, 5, 99), stream)))
+           .when(type_ == "iban", F.concat(F.substring(value, 1, 2), _alike(F.substring(value, 3, 99), stream)))
+           .when((type_ == "secret") & value.rlike("^[0-9a-f]+$"), _hex(value, stream)).otherwise(_alike(value, stream)))
+    tail = F.when(type_ == "email", "").when(type_ == "ip", octets).when(type_.isin("name", "secret") & ~value.rlike("^[0-9a-f]+$"), letters).otherwise(digits)
+    return F.concat(own, tail)
 
 
 def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
@@ -177,7 +186,8 @@ def surrogates(entities: DataFrame, key: str = KEY) -> DataFrame:
 def render(surface: Column, type_: Column, surrogate: Column) -> Column:
     """The surrogate in the writing of the entity: separators, country code, case and title stay."""
     digits = F.regexp_replace(surface, "[^0-9]", "")
-    lead = F.length(digits) - F.length(surrogate)  # of a country code
+    lead = F.greatest(F.length(digits) - F.length(surrogate), F.lit(0))  # of a country code
+    rest = F.substring(surrogate, F.length(digits) - lead + 1, F.length(surrogate))  # of a surrogate with more digits
 
     def fill(chars: Column) -> Column:
         step = lambda a, c: F.when(c.rlike("[0-9]"), F.struct(
@@ -187,7 +197,7 @@ def render(surface: Column, type_: Column, surrogate: Column) -> Column:
 
     spaced = F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.length(surrogate) / 4).cast("int") - 1), lambda i: F.substring(surrogate, i * 4 + 1, F.lit(4))), " ")
     title = F.regexp_extract(surface, f"^({_TITLE}\\.? )", 1)
-    return (F.when(type_.isin("phone", "card", "ssn"), let(F.split(surface, ""), fill))
+    return (F.when(type_.isin("phone", "card", "ssn"), F.concat(let(F.split(surface, ""), fill), rest))
             .when(type_ == "name", F.concat(title, surrogate)).when((type_ == "iban") & (F.instr(surface, " ") > 0), spaced)
             .when((type_ == "email") & (surface == F.upper(surface)), F.upper(surrogate)).otherwise(surrogate))
 
