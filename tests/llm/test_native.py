@@ -66,6 +66,24 @@ def test_values_of_few_or_no_letters_end(spark):
     assert len(mails) == 676 and not mails & {t.split()[1] for t in short} and all(re.fullmatch(r"[a-z]{2,}@[a-z]\.co", m) for m in mails)
 
 
+def test_names_are_one_however_they_are_titled(spark):
+    out = swap(spark, ["Mr Smith, Mr. Smith, Mr.  SMITH, Herr Smith and Mr John Smith came.", "Mr John Smith left. John Smith, or Smith, or JOHN SMITH, and Smithers stayed.",
+                       "John Smith alone is not found.", "Mrs Alex Miller and Mr Alex Miller"])
+    one, two, three, four, first, five = re.fullmatch(r"Mr (\w+), Mr\. (\w+), Mr\.  (\w+), Herr (\w+) and Mr (\w+) (\w+) came\.", out[0]).groups()
+    assert one == two == three.capitalize() == four == five and three.isupper() and "Smith" not in out[0]
+    assert out[1] == f"Mr {first} {one} left. {first} {one}, or {one}, or {first.upper()} {one.upper()}, and Smithers stayed."
+    assert out[2] == "John Smith alone is not found."
+    her, a, him, b = re.fullmatch(r"Mrs (\w+) (\w+) and Mr (\w+) (\w+)", out[3]).groups()
+    assert a == b and her.endswith("lia") and him.endswith("ron")
+
+
+def test_name_surrogates_are_nobody_that_occurs(spark):
+    """The name that is drawn first for one person is the real name of another."""
+    name = swap(spark, ["Mr Smith"])[0].removeprefix("Mr ")
+    out = swap(spark, ["Mr Smith", f"Mrs {name}", f"Mr {name} Jones"])
+    assert name not in " ".join(out) and len({t.split()[1] for t in out}) == 3
+
+
 def test_op9_leaves_nothing_and_changes_nothing_else(spark, sf):
     df = table(spark, sf, "documents").select("doc_id", "text")
     old = {r["doc_id"]: r["text"] for r in df.collect()}
