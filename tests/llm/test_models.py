@@ -49,6 +49,25 @@ def test_probing_retrieves_every_code_within_the_radius():
         assert near.any() and hit[near].all()
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.01])
+def test_a_cluster_of_small_ids_does_not_hide_neighbours(spark, spread):
+    """The first third are copies or a tight group, and some queries lie far from all rows; each finds its 20 nearest."""
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(1800, 32))
+    x[:600] = draw.normal(size=32) + spread * draw.normal(size=(600, 32))
+    x[1780:] = -x[0] + 0.3 * x[1780:]
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict[int, set] = {}
+    for r in hashing_index.op3(df).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    score = x @ x.T
+    np.fill_diagonal(score, -np.inf)
+    asked = range(600, 1800, 20)
+    assert all(len(got[q]) == 20 for q in range(0, 1800, 20))
+    assert sum(len(got[q] & set(np.argsort(-score[q])[:20].tolist())) for q in asked) >= 0.95 * 20 * len(asked)
+
+
 def test_inner_product_of_unequal_norms(spark):
     draw = np.random.default_rng(5)
     x = draw.normal(size=(1500, 12)) * draw.uniform(0.5, 2.0, (1500, 1))

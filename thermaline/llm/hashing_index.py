@@ -5,7 +5,9 @@ the signs after rotations learned on a bounded sample (iterative quantisation, o
 components). A code is cut into 16-bit substrings, each with its own inverted index. By the pigeonhole principle a code within
 Hamming distance r = m * s + a (m substrings, a < m) is within s in one of the first a + 1 substrings or within s - 1 in one of the
 others, so probing these balls retrieves every code within r. What they retrieve and lies within r is ranked by inner products in
-double precision. The radius is learned on the sample as a high quantile of the distances to true neighbours.
+double precision. The radius is learned on distinct vectors of the sample as a high quantile of the distances to true neighbours.
+Queries that find fewer than k rows, or whose k-th angle is not covered by the radius (the expected distance of codes at that angle
+and two standard deviations), are probed again with a growing radius, at last all rows.
 
 All rows are indexed, in blocks; queries go to every block in blocks, and the best of the blocks are merged. Vectors that are null,
 zero, hold a null or non-finite component or differ in length from the first valid vector take no part. A query's own id is no
@@ -81,14 +83,17 @@ def learn(sample: np.ndarray, norm: float, bits: int = BITS, rounds: int = 25, s
     return codes
 
 
-def set_radius(codes: Codes, sample: np.ndarray, total: int, k: int, cover: float = COVER) -> None:
-    """Learns the radius: the sample's nearest few stand for the k nearest of all rows."""
-    queries = sample[:512]
-    score = queries @ sample.T
-    np.fill_diagonal(score, -np.inf)
-    few = max(1, min(len(sample) - 1, round(k * len(sample) / max(total, 1))))
+def set_radius(codes: Codes, sample: np.ndarray, total: int, k: int, cover: float = COVER, seed: int = 7) -> None:
+    """Learns the radius: the sample's nearest few stand for the k nearest of all rows. Copies count once, as they are near any radius."""
+    known = np.unique(sample, axis=0)
+    asks = np.random.default_rng(seed).permutation(len(known))[:512]
+    queries = known[asks]
+    score = queries @ known.T
+    if len(known) > 1:
+        score[np.arange(len(asks)), asks] = -np.inf
+    few = max(1, min(len(known) - 1, round(k * len(sample) / max(total, 1))))
     near = np.argsort(-score, axis=1)[:, :few]
-    far = np.take_along_axis(distance(codes.code(queries, True), codes.code(sample)), near, axis=1)
+    far = np.take_along_axis(distance(codes.code(queries, True), codes.code(known)), near, axis=1)
     codes.radius = int(np.quantile(far, cover, method="higher"))
 
 
@@ -170,10 +175,11 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id"
     if not asked:
         return rows.sparkSession.createDataFrame([], schema)
     sample = np.array([r["x"] for r in hash_sample(clean, SAMPLE_ROWS, "id").orderBy("id", "x").collect()])
-    codes = learn(sample, norm, -(-bits // 64) * 64)
+    bits = -(-bits // 64) * 64
+    codes = learn(sample, norm, bits)
     set_radius(codes, sample, total, k, cover)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame], radius: int) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for b_ids, b_x, q_ids, q_x in zip(batch["ids"], batch["vectors"], batch["q_ids"], batch["q_vectors"], strict=True):
                 bx = np.frombuffer(b_x).reshape(-1, d)
@@ -182,15 +188,35 @@ def nearest(rows: DataFrame, queries: Column, k: int = K, id_col: str = "vec_id"
                 q_codes = codes.code(q, True)
                 for lo in range(0, len(ids), 128):
                     part = slice(lo, lo + 128)
-                    yield pd.DataFrame(block.search(ids[part], q[part], q_codes[part], codes.radius, k), columns=["query_id", "vec_id", "score"])
+                    yield pd.DataFrame(block.search(ids[part], q[part], q_codes[part], radius, k), columns=["query_id", "vec_id", "score"])
 
     blocks = staged(_blocks(clean.select("id", "x"), BLOCK, total))
     n_blocks = max(1, -(-total // BLOCK))
-    asks = _blocks(clean.where("asks").select("id", "x").distinct(), QUERY_BLOCK, asked)
-    asks = asks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
-    found = blocks.join(asks, "block").mapInPandas(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def probed(queries_: DataFrame, count: int, radius: int) -> DataFrame:
+        asks = _blocks(queries_, QUERY_BLOCK, count)
+        asks = asks.select(F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+        found = blocks.join(asks, "block").mapInPandas(lambda batches: run(batches, radius), "query_id long, vec_id long, score double")
+        return staged(found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"))
+
+    todo, count, radius, out = clean.where("asks").select("id", "x").distinct(), asked, codes.radius, None
+    while True:
+        found = probed(todo, count, radius)
+        if radius >= bits:
+            return found if out is None else out.union(found)
+        last = found.groupBy(F.col("query_id").alias("id")).agg(F.count("*").alias("n"), F.min("score").alias("least"))
+        size = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v))
+        share = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("least") / (size * F.lit(norm))))) / F.lit(np.pi)
+        covered = (F.col("n") >= k) & (bits * share + 2 * F.sqrt(bits * share * (1 - share)) <= radius)
+        lost = staged(todo.join(last, "id", "left").where(~F.coalesce(covered, F.lit(False))).select("id").distinct())
+        done = found.join(lost, found["query_id"] == lost["id"], "left_anti")
+        out = done if out is None else out.union(done)
+        todo = staged(todo.join(lost, "id", "left_semi"))
+        count = todo.count()
+        if not count:
+            return out
+        radius = min(bits, radius + max(bits // 16, radius // 2))
 
 
 def op3(vectors: DataFrame) -> DataFrame:
