@@ -8,6 +8,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from thermaline.llm import simhash, spans, substrings, suffix
 from thermaline.llm.common import table
@@ -72,6 +73,20 @@ def test_shards_that_split_an_anchor(spark):
     check_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 100, 4)
 
 
+def test_many_texts_under_one_id_stay_apart(spark):
+    """Null ids are one id; 900 texts of different lengths under it are told apart, also where 16 bits of their hashes agree."""
+    draw = np.random.default_rng(12)
+    say = lambda n: "".join(draw.choice(list("abcdefgh "), n))
+    shared = [say(130) for _ in range(20)]
+    texts = [say(10 + k % 300) + shared[k % 20] + say(k % 7) for k in range(900)]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(5)
+    order = {r["text"]: r["th"] for r in df.withColumn("th", F.xxhash64("text")).collect()}
+    short = [r["h"] for r in df.select(F.expr("pmod(hash(text), 65536)").alias("h")).collect()]
+    assert len(set(order.values())) == 900 > len(set(short))
+    want = brute_bytes([(order[t], t) for t in texts], 100)
+    assert sorted(tuple(r)[1:] for r in substrings.op1(df).collect()) == sorted(want.values())
+
+
 def test_regions_hold_every_string_once(monkeypatch):
     """Also where a text goes over several blocks; equal strings have equal anchors."""
     monkeypatch.setattr(substrings, "_BLOCK_BITS", 10)

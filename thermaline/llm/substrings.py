@@ -14,7 +14,7 @@ same one. Documents are never compared in pairs:
    each other by binary search.
 
 Null text counts as empty. Null ids come last in the order. Repeated rows are one document; different texts under one id are told
-apart by 16 bits of their hash and ordered by them. An empty table gives no rows; other columns are ignored.
+apart by 64 bits of their hash and ordered by them. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,7 +115,7 @@ def _blocks(texts: list[bytes], width: int) -> Iterator[tuple[list[tuple[int, in
 
 
 def anchored(docs: DataFrame, width: int) -> DataFrame:
-    """(akey, rkey, did, at) of all regions; at = th16 << 40 | start << 8 | strings. rkey is null where an earlier region at hand has
+    """(akey, rkey, did, th, at) of all regions; at = start << 8 | strings. rkey is null where an earlier region at hand has
     the same content: it is decided."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,41 +131,41 @@ def anchored(docs: DataFrame, width: int) -> DataFrame:
         for slices, data, edges in _blocks([_utf8(t) for t in batch["text"]], width):
             akey, rkey, who, start, strings = regions(data, edges, width)
             text, low = np.array(slices, np.int64)[who].T if len(who) else (who, who)
-            out.append((akey, rkey, did[text], (th[text] << 40) | ((start + low) << 8) | strings))
+            out.append((akey, rkey, did[text], th[text], ((start + low) << 8) | strings))
         if out:
-            rows = pd.DataFrame(dict(zip(("akey", "rkey", "did", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-            rows = rows.drop_duplicates(["did", "at"])
+            rows = pd.DataFrame(dict(zip(("akey", "rkey", "did", "th", "at"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+            rows = rows.drop_duplicates(["did", "th", "at"])
             known = rows.duplicated(["akey", "rkey"])
             rows["rkey"] = rows["rkey"].astype("Int64").mask(known)
-            rows["akey"] = rows["akey"].mask(known, rows["did"] * 1_000_003 + rows["at"])  # spreads the decided rows
+            rows["akey"] = rows["akey"].mask(known, rows["did"] * 1_000_003 + rows["th"] + rows["at"])  # spreads the decided rows
             yield rows
 
-    return docs.mapInPandas(run, "akey long, rkey long, did long, at long")
+    return docs.mapInPandas(run, "akey long, rkey long, did long, th long, at long")
 
 
 def judged(docs: DataFrame, width: int) -> DataFrame:
-    """Regions that are repeats (`gone`) or whose anchor gram has other contents too: akey, did, at, gone."""
-    whole = Window.partitionBy("akey").orderBy("rkey", "did", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    copies = Window.partitionBy("akey", "rkey").orderBy("did", "at")
+    """Regions that are repeats (`gone`) or whose anchor gram has other contents too: akey, did, th, at, gone."""
+    whole = Window.partitionBy("akey").orderBy("rkey", "did", "th", "at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    copies = Window.partitionBy("akey", "rkey").orderBy("did", "th", "at")
     found = anchored(docs, width).withColumn("lo", F.min("rkey").over(whole)).withColumn("hi", F.max("rkey").over(whole))
     found = found.withColumn("gone", F.col("rkey").isNull() | (F.dense_rank().over(copies) > 1))
-    return found.where(F.col("gone") | (F.col("lo") != F.col("hi"))).select("akey", "did", "at", "gone")
+    return found.where(F.col("gone") | (F.col("lo") != F.col("hi"))).select("akey", "did", "th", "at", "gone")
 
 
 def _runs(did: np.ndarray, th: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    """(did, at) for the runs of consecutive starts, at most 127 strings each."""
+    """(did, th, at) for the runs of consecutive starts, at most 127 strings each."""
     by = np.lexsort((start, th, did))
     did, th, start = did[by], th[by], start[by]
     new = np.concatenate([[True], (did[1:] != did[:-1]) | (th[1:] != th[:-1]) | (start[1:] != start[:-1] + 1)])[:len(did)]
     nth = np.arange(len(did)) - np.flatnonzero(new)[np.cumsum(new) - 1] if len(did) else did
     head = np.flatnonzero(nth % 127 == 0)
     strings = np.diff(np.concatenate([head, [len(did)]]))
-    return pd.DataFrame({"did": did[head], "at": (th[head] << 40) | (start[head] << 8) | strings})
+    return pd.DataFrame({"did": did[head], "th": th[head], "at": (start[head] << 8) | strings})
 
 
 def contested(docs: DataFrame, regions_: DataFrame, width: int, shard_rows: int) -> DataFrame:
-    """(did, at) of the repeated strings in first regions that share an anchor gram but not their content."""
-    lists = regions_.groupBy("did").agg(F.collect_list(F.struct("akey", "at")).alias("list"))
+    """(did, th, at) of the repeated strings in first regions that share an anchor gram but not their content."""
+    lists = regions_.groupBy("did", "th").agg(F.collect_list(F.struct("akey", "at")).alias("list"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from zstandard import ZstdDecompressor
@@ -176,17 +176,16 @@ def contested(docs: DataFrame, regions_: DataFrame, width: int, shard_rows: int)
             for did, th, packed, rows in zip(batch["did"].tolist(), batch["th"].tolist(), batch["packed"], batch["list"], strict=True):
                 text = unzip.decompress(packed)
                 for r in rows:
-                    if r["at"] >> 40 == th:
-                        start = (r["at"] >> 8) & 0xFFFFFFFF
-                        out.append((r["akey"], did, r["at"], text[start:start + (r["at"] & 0xFF) + width - 1]))
-            yield pd.DataFrame(out, columns=["akey", "did", "at", "bytes"])
+                    start = r["at"] >> 8
+                    out.append((r["akey"], did, th, r["at"], text[start:start + (r["at"] & 0xFF) + width - 1]))
+            yield pd.DataFrame(out, columns=["akey", "did", "th", "at", "bytes"])
 
-    pulled = staged(docs.join(lists, "did").mapInPandas(cut, "akey long, did long, at long, bytes binary").distinct())
+    pulled = staged(docs.join(lists, ["did", "th"]).mapInPandas(cut, "akey long, did long, th long, at long, bytes binary").distinct())
     counts = pulled.groupBy("akey").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     buckets = F.lit(max(1, -(-total // shard_rows)))
     big = counts.where(F.col("n") > shard_rows).select("akey", F.ceil(F.col("n") / shard_rows).alias("subs"))
-    dealt = pulled.join(big, "akey", "left").withColumn("sub", F.pmod(F.xxhash64("did", "at"), F.col("subs")).cast("int"))
+    dealt = pulled.join(big, "akey", "left").withColumn("sub", F.pmod(F.xxhash64("did", "th", "at"), F.col("subs")).cast("int"))
     dealt = dealt.withColumn("shard", F.when(F.col("subs").isNull(), F.pmod(F.xxhash64("akey"), buckets)).otherwise(F.col("akey")))
 
     def one(rows: pd.DataFrame) -> tuple[np.ndarray, ...]:
@@ -199,7 +198,7 @@ def contested(docs: DataFrame, regions_: DataFrame, width: int, shard_rows: int)
         at, label = window_classes(data, where + width <= edge[owner + 1], width)
         who = owner[at]
         packed = rows["at"].to_numpy(np.int64)[who]
-        return label, rows["did"].to_numpy(np.int64)[who], packed >> 40, ((packed >> 8) & 0xFFFFFFFF) + at - edge[who], data, at
+        return label, rows["did"].to_numpy(np.int64)[who], rows["th"].to_numpy(np.int64)[who], (packed >> 8) + at - edge[who], data, at
 
     def later(label, did, th, start) -> np.ndarray:
         by = np.lexsort((start, th, did, label))
@@ -221,15 +220,15 @@ def contested(docs: DataFrame, regions_: DataFrame, width: int, shard_rows: int)
         first = first[np.argsort(label[first], kind="stable")]
         out = _runs(did[gone], th[gone], start[gone]).assign(strings=None, firsts=None)
         firsts = np.stack([did[first], th[first], start[first]])
-        best = pd.DataFrame({"did": [-1], "at": [-1], "strings": [fixed(data, at[first], width).tobytes()], "firsts": [firsts.tobytes()]})
+        best = pd.DataFrame({"did": [-1], "th": [-1], "at": [-1], "strings": [fixed(data, at[first], width).tobytes()], "firsts": [firsts.tobytes()]})
         out = pd.concat([out, best]).assign(akey=rows["akey"].iloc[0], sub=rows["sub"].iloc[0])
-        return out[["akey", "sub", "did", "at", "strings", "firsts"]]
+        return out[["akey", "sub", "did", "th", "at", "strings", "firsts"]]
 
-    small = dealt.where(F.col("subs").isNull()).groupBy("shard").applyInPandas(shard, "did long, at long")
+    small = dealt.where(F.col("subs").isNull()).groupBy("shard").applyInPandas(shard, "did long, th long, at long")
     # one column of both: grouped by the pair, all parts of an anchor would stay in the task that the join has put them in
     split = dealt.where(F.col("subs").isNotNull()).withColumn("part", F.concat_ws(":", "akey", "sub"))
     parts = staged(split.groupBy("part").applyInPandas(
-        sorted_part, "akey long, sub int, did long, at long, strings binary, firsts binary"))
+        sorted_part, "akey long, sub int, did long, th long, at long, strings binary, firsts binary"))
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -243,14 +242,14 @@ def contested(docs: DataFrame, regions_: DataFrame, width: int, shard_rows: int)
 
     best = parts.where("strings is not null").select("akey", "sub", "strings", "firsts")
     others = best.select("akey", F.col("sub").alias("sub2"), F.col("strings").alias("strings2"), F.col("firsts").alias("firsts2"))
-    merged = best.join(others, "akey").where("sub <> sub2").select("strings", "firsts", "strings2", "firsts2").mapInPandas(merge, "did long, at long")
-    return small.union(parts.where("strings is null").select("did", "at")).union(merged)
+    merged = best.join(others, "akey").where("sub <> sub2").select("strings", "firsts", "strings2", "firsts2").mapInPandas(merge, "did long, th long, at long")
+    return small.union(parts.where("strings is null").select("did", "th", "at")).union(merged)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and `kept` (the remaining bytes) of every row of `docs`."""
-    did, th = ident(id_col, text_col)
-    read = docs.select(did, F.pmod(th, F.lit(1 << 16)).cast("int").alias("th"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    did, _ = ident(id_col, text_col)
+    read = docs.select(did, F.xxhash64(F.col(text_col)).alias("th"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     found = staged(judged(read.select("did", "th", "text"), width))
 
     @F.pandas_udf("binary")
@@ -263,7 +262,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     packed = read.select("id", "did", "th", pack("text").alias("packed"))
     small = contested(packed.drop("id"), found.where("not gone").drop("gone"), width, shard_rows)
-    gone = found.where("gone").select("did", "at").union(small).groupBy("did").agg(F.collect_list("at").alias("gone"))
+    gone = found.where("gone").select("did", "th", "at").union(small).groupBy("did", "th").agg(F.collect_list("at").alias("gone"))
 
     def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from zstandard import ZstdDecompressor
@@ -271,12 +270,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         unzip = ZstdDecompressor()
         for batch in batches:
             out, held = [], 0
-            for key, th, data, at in zip(batch["id"], batch["th"].tolist(), batch["packed"], batch["gone"], strict=True):
+            for key, data, at in zip(batch["id"], batch["packed"], batch["gone"], strict=True):
                 text = unzip.decompress(data)
                 edge = np.zeros(len(text) + 1, np.int64)
                 at = np.asarray(at if at is not None else [], np.int64)
-                at = at[(at >> 40) == th]
-                start = (at >> 8) & 0xFFFFFFFF
+                start = at >> 8
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + (at & 0xFF) + width - 1, -1)
                 cover = np.cumsum(edge[:-1]) > 0
@@ -290,7 +288,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pd.DataFrame(out, columns=names)
 
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-    joined = packed.withColumn("id", F.col("id").cast("string")).join(gone, "did", "left")
+    joined = packed.withColumn("id", F.col("id").cast("string")).join(gone, ["did", "th"], "left")
     out = joined.mapInPandas(finish, "id string, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *names[1:])
 
