@@ -171,6 +171,21 @@ def test_obfuscated_words_are_restored(spark):
     assert reader.words("The clean words of 42 days, and stay.") == ["the", "clean", "words", "of", "days", "and", "stay"]
 
 
+def test_words_set_apart_keep_their_bounds_and_ends_are_decoded(spark):
+    model = toxicity.CharModel.of(toxicity.count_characters(table(spark, BIG, "documents")))
+    reader = toxicity.Restorer(model)
+    for written in ("you are a i d i o t", "a  i d i o t", "idi07", "1di0t!"):
+        assert "idiot" in reader.words(f"the {written} and"), written
+    words = CHARS.split()
+    small = toxicity.Restorer(toxicity.CharModel.of(toxicity.count_characters(spark.createDataFrame([(CHARS * 50,)], "text string"))))
+    for written, said in (("i d i o t s c u m", ["idiot", "scum"]), ("a i d i o t", ["a", "idiot"]), ("whor3", ["whore"]), ("losr5 whor3", ["losrs", "whore"])):
+        assert small.words(f"the {written} and") == ["the", *said, "and"], written
+    assert small.words("and the words! (of) days $ 42 scum2 really!") == ["and", "the", "words", "of", "days", "scum", "really"] and "scum" in words
+
+
+CHARS = "you are a idiot and the scum of a whore. the words and days of losers losrs really are scum of the idiot. "
+
+
 @pytest.fixture(scope="module")
 def model():
     return pieces.Model(pieces.model_path())

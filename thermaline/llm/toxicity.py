@@ -1,7 +1,7 @@
 """Toxicity of whole texts through a noisy channel.
 
-Obfuscated stretches (look-alike symbols inside words, letters repeated three times or more, letters set apart) are decoded first:
-a lattice holds what each character may stand for, and the Viterbi path under a character trigram model of the whole corpus
+Obfuscated stretches (look-alike symbols in words or at their ends, letters repeated three times or more, letters set apart) are
+decoded first: a lattice holds what each character may stand for, and the Viterbi path under a character trigram model of the whole corpus
 replaces the stretch. Elsewhere the lattice has one path, the text itself. The restored words and their stems are then looked up in
 a lexicon learned from labelled documents, and a logistic regression turns the hits into a score.
 
@@ -30,6 +30,11 @@ LOOKALIKES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6":
               "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "aeiou"}
 #: Log costs of the channel: a symbol for its letter, a symbol for itself, a repeated letter dropped, a separator or a symbol dropped.
 SUBSTITUTE, KEEP, DROP_REPEAT, DROP_GAP, DROP_SYMBOL = -1.0, -4.0, -0.7, -0.2, -12.0
+#: A separator that ends a word, one of several in a row, and one of these dropped; behind the last letter a symbol is punctuation, or a
+#: digit no part of the word.
+END_GAP, END_WIDE, DROP_WIDE, END_SYMBOL, END_DIGIT = -4.0, -0.5, -3.0, 0.0, -4.0
+#: A letter that so often is a word of its own among the words it starts may be one at the start of letters set apart.
+ALONE = math.log(0.05)
 STEM = 5
 #: A lexicon entry needs so many different words before it and so much more frequency in toxic documents.
 MIN_EVIDENCE, MIN_LIFT = 4, 5.0
@@ -42,9 +47,9 @@ _ALPHABET = "^abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòó
 _SIZE = len(_ALPHABET) + 1  # the last symbol is any other letter
 _SYMBOL = {c: i for i, c in enumerate(_ALPHABET)}
 _MARKS = re.escape("".join(c for c in LOOKALIKES if not c.isdigit()))
-#: Stretches with more than one path: letters set apart, and words with look-alikes inside or tripled letters.
+#: Stretches with more than one path: letters set apart, and words with look-alikes inside or at an end, or tripled letters.
 _SPREAD = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?!\w)")
-_MIXED = re.compile(rf"(?<![\w{_MARKS}])(?=[\w{_MARKS}]*[^\W\d_][\w{_MARKS}]*)(?:[{_MARKS}\d]+[^\W\d_]|[^\W\d_]+[{_MARKS}\d]+[^\W\d_])[\w{_MARKS}]*|\w*([^\W\d_])\1\1\w*")
+_MIXED = re.compile(rf"(?<![\w{_MARKS}])(?=[\w{_MARKS}]*[^\W\d_][\w{_MARKS}]*)(?:[{_MARKS}\d]+[^\W\d_]|[^\W\d_]+[{_MARKS}\d]+)[\w{_MARKS}]*|\w*([^\W\d_])\1\1\w*")
 _WORDS = re.compile(r"[^\W\d_]+")
 _TRIPLE = re.compile(r"(.)\1\1")
 _APART = re.compile(r"(?<!\S)\S[.\-_*]?\s\S[.\-_*]?\s\S[.\-_*]?(?!\S)")
@@ -105,8 +110,17 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
 def decode(stretch: str, model: CharModel) -> str:
     """The best reading of an obfuscated stretch. States are the last two symbols with the reading so far."""
     low, log = stretch.lower(), model.log
+    last = max((i for i, c in enumerate(low) if c.isalpha()), default=-1)
+    repeats = not low[:last + 1].lstrip("".join(LOOKALIKES)).isalpha() or _TRIPLE.search(low) is not None  # a plain word before symbols keeps its double letters
     beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c in low:
+    for i, c in enumerate(low):
+        gap = c in " .-_*" and i < last
+        end, drop = None, DROP_GAP if c in " .-_" else DROP_SYMBOL
+        if gap:  # a word may end at it
+            wide = i > 0 and (low[i - 1] in " .-_" or low[i + 1] in " .-_")
+            end, drop = (END_WIDE, DROP_WIDE) if wide else (END_GAP, drop)
+        elif i > last:
+            end = END_DIGIT if any(map(str.isalnum, low[i:])) else END_SYMBOL
         after: dict[tuple[int, int], tuple[float, str]] = {}
         known = _SYMBOL.get(c, _SIZE - 1 if c.isalpha() else 0)
         if c.isdigit():
@@ -115,15 +129,28 @@ def decode(stretch: str, model: CharModel) -> str:
         options += [(x, _SYMBOL[x], SUBSTITUTE) for x in LOOKALIKES.get(c, "")]
         for (a, b), (score, said) in beam.items():
             ways = [((b, s), score + cost + log[a, b, s], said + x) for x, s, cost in options]
-            if said.endswith(c) and c.isalpha():
+            if repeats and said.endswith(c) and c.isalpha():
                 ways.append(((a, b), score + DROP_REPEAT, said))
             if not c.isalnum():
-                ways.append(((a, b), score + (DROP_GAP if c in " .-_" else DROP_SYMBOL), said))
+                ways.append(((a, b), score + (0.0 if gap and not b else drop), said))
+            if end is not None and b:
+                ways.append(((b, 0), score + end + log[a, b, 0], said + " " if gap else said))
+            elif end is not None and i > last:
+                ways.append(((a, b), score + end, said))
             for state, value, reading in ways:
                 if state not in after or (value, reading) > after[state]:
                     after[state] = (value, reading)
         beam = after
-    return max((score + log[a, b, 0], said) for (a, b), (score, said) in beam.items())[1]
+    return max((score + (log[a, b, 0] if b else 0.0), said) for (a, b), (score, said) in beam.items())[1]
+
+
+def apart(stretch: str, model: CharModel) -> str:
+    """The best reading of letters set apart; where the first may be a word of its own, also that of the letters behind it."""
+    first, tail = _SYMBOL.get(stretch[0].lower(), 0), stretch[1:].lstrip(" .-_*")
+    said = decode(stretch, model)
+    if first and model.log[0, first, 0] > ALONE and said[1:2] != " ":
+        said += " " + decode(tail, model)
+    return said
 
 
 class Restorer(dict):
@@ -134,7 +161,7 @@ class Restorer(dict):
         self.model = model
 
     def restore(self, stretch: str) -> str:
-        stretch = _SPREAD.sub(lambda m: decode(m.group(), self.model), stretch)
+        stretch = _SPREAD.sub(lambda m: apart(m.group(), self.model), stretch)
         return _MIXED.sub(lambda m: decode(m.group(), self.model), stretch)
 
     def __missing__(self, token: str) -> list[str]:
@@ -147,7 +174,7 @@ class Restorer(dict):
         """Tokens of a text; letters that white space sets apart are read together first."""
         text = (text or "").lower()
         if _APART.search(text):
-            text = _SPREAD.sub(lambda m: decode(m.group(), self.model), text)
+            text = _SPREAD.sub(lambda m: apart(m.group(), self.model), text)
         return text.split()
 
     def words(self, text: str | None) -> list[str]:
