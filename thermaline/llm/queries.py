@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from thermaline.llm import hashing_index, language, packing, pieces, privacy, quality, simhash, spans, substrings, toxicity
+from thermaline.llm import (divergence, hashing_index, language, packing, pieces, pivot_clusters, privacy, quality, simhash, spans, substrings, toxicity,
+                            vector_graph)
 from thermaline.llm.common import table
 
 
@@ -21,6 +22,14 @@ QUERIES = {
     "op8_substring_dedup": _documents(spans.op8),
     "op9_pii_surrogates": _documents(privacy.op9),
     "op10_quality_rules": _documents(quality.op10),
+    "op11_vector_graph": lambda spark, sf: vector_graph.op11(table(spark, sf, "embeddings")),
+    "op12_pivot_clusters": lambda spark, sf: pivot_clusters.op12(table(spark, sf, "embeddings")),
+    "op13_source_divergence": _documents(divergence.op13),
 }
 
-ORACLES = {"op10_quality_rules": quality.OP10_SQL}
+ORACLES = {
+    "op10_quality_rules": quality.OP10_SQL,
+    "op11_vector_graph": vector_graph.OP11_SQL,
+    "op12_pivot_clusters": pivot_clusters.OP12_SQL,
+    "op13_source_divergence": divergence.OP13_SQL,
+}
