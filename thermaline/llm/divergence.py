@@ -1,7 +1,7 @@
 """Divergence of the sources of each language, with strings joined back late.
 
-Tasks count the terms of their documents and write, per (language, source, term), one narrow row: a 64-bit digest, the occurrences, the
-documents, and the term in a column of its own. Counting, thresholds, divergences and ranks read and shuffle the digests only. The least and
+Tasks count the terms of their documents and write, per (language, source, term), one narrow row: a 64-bit digest, the occurrences and the
+documents, with the term, once a task, in a column of its own. Counting, thresholds, divergences and ranks read and shuffle the digests only. The least and
 the greatest string of each digest show where two terms share one; such a digest is split by the rank of its terms (column `sub`). The
 strings are joined again only to the terms that are within the wanted ranks.
 
@@ -14,7 +14,7 @@ without kept terms gives no rows, neither does an empty table. Other columns are
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,8 +37,11 @@ def terms(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_BYTES).split()
 
 
-def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """lang, source, digest, n, docs, term: one row per group and term of a task, or more where it holds many."""
+def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", every: bool = False) -> DataFrame:
+    """lang, source, digest, n, docs, term: one row per group and term of a task, or more where it holds many.
+
+    A term that several groups of a task hold is spelt out once and null in the other rows, unless `every` is set.
+    """
     read = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for n, c in (("lang", lang_col), ("source", source_col), ("text", text_col))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,20 +50,25 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
         found: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
         def out() -> Iterator[pd.DataFrame]:
+            spelt: set[bytes] = set()
             for (lang, source), (n, docs_) in found.items():
                 known = list(n)
                 if known:
                     digest = np.fromiter(map(xxh3_64_intdigest, known), np.uint64, len(known)).view(np.int64)
-                    yield pd.DataFrame({"lang": lang, "source": source, "digest": digest, "n": list(n.values()), "docs": [docs_[t] for t in known],
-                                        "term": [t.decode("utf-8", "replace") for t in known]})
+                    text = [None if t in spelt else t.decode("utf-8", "replace") for t in known]
+                    if not every:
+                        spelt.update(known)
+                    size = len(known)
+                    yield pd.DataFrame({"lang": lang, "source": source, "digest": digest, "n": np.fromiter(n.values(), np.int64, size),
+                                        "docs": np.fromiter(map(docs_.__getitem__, known), np.int64, size), "term": text})
             found.clear()
 
         for batch in batches:
             for lang, source, text in zip(batch["lang"], batch["source"], batch["text"], strict=True):
                 n, docs_ = found.setdefault((lang, source), (Counter(), Counter()))
-                words = Counter(terms(text))
+                words = terms(text)
                 n.update(words)
-                docs_.update(words.keys())
+                docs_.update(set(words))
             if sum(len(n) for n, _ in found.values()) > FLUSH:
                 yield from out()
         yield from out()
@@ -68,18 +76,22 @@ def counted(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sou
     return docs.select(*read).mapInPandas(run, "lang string, source string, digest long, n long, docs long, term string")
 
 
-def split_collisions(parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parts with column `sub`, the strings as digest, sub, term): terms that share a digest get different `sub`, all others zero."""
-    ends = staged(parts.groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")))
+def split_collisions(parts: DataFrame, spelt: Callable[[], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """(parts with column `sub`, the strings as digest, sub, term): terms that share a digest get different `sub`, all others zero.
+
+    spelt() gives the parts with every term, counted once more; it is called only where a digest is shared.
+    """
+    ends = staged(parts.where("term IS NOT NULL").groupBy("digest").agg(F.min("term").alias("term"), F.max("term").alias("last")))
     clash = ends.where(F.col("term") != F.col("last")).select("digest")
+    numbers = parts.select("lang", "source", "digest", "n", "docs")
     if clash.isEmpty():
-        return parts.withColumn("sub", F.lit(0)), ends.select("digest", F.lit(0).alias("sub"), "term")
-    known = parts.join(clash, "digest", "left_semi").select("digest", "term").distinct()
+        return numbers.withColumn("sub", F.lit(0)), ends.select("digest", F.lit(0).alias("sub"), "term")
+    shared = staged(spelt().join(clash, "digest", "left_semi"))
+    known = shared.select("digest", "term").distinct()
     ranked = staged(known.withColumn("sub", F.row_number().over(Window.partitionBy("digest").orderBy("term"))))
     strings = ends.where(F.col("term") == F.col("last")).select("digest", F.lit(0).alias("sub"), "term").union(ranked.select("digest", "sub", "term"))
-    mixed = parts.join(clash, "digest", "left_semi").join(ranked, ["digest", "term"])
-    plain = parts.join(clash, "digest", "left_anti").withColumn("sub", F.lit(0))
-    return plain.unionByName(mixed), strings
+    plain = numbers.join(clash, "digest", "left_anti").withColumn("sub", F.lit(0))
+    return plain.unionByName(shared.join(ranked, ["digest", "term"]).drop("term")), strings
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
@@ -143,8 +155,9 @@ def pair_sums(lists: DataFrame, kept: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
     """lang, source, part, item, value, rank; see the module."""
     parts = staged(counted(docs, text_col, lang_col, source_col))
+    spelt = lambda: counted(docs, text_col, lang_col, source_col, every=True)
     listed = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source")).distinct()
-    split, strings = split_collisions(parts)
+    split, strings = split_collisions(parts, spelt)
     by_group = staged(split.groupBy("lang", "source", "digest", "sub").agg(F.sum("n").alias("count"), F.sum("docs").alias("docs")))
     whole = by_group.groupBy("lang", "digest", "sub").agg(F.sum("count").alias("whole"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs).drop("docs")
     kept = staged(by_group.drop("docs").join(whole, ["lang", "digest", "sub"]))
