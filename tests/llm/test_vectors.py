@@ -65,9 +65,9 @@ def test_links_of_all_pairs(spark):
 def test_links_over_many_shards(spark):
     rows = planted()
     true = {i: n for i, n, _ in brute(rows)}
-    got = {i: n for i, n, _ in vector_graph.near_duplicates(frame(spark, rows), shard=96, rounds=2).collect()}
+    got = {i: n for i, n, _ in vector_graph.near_duplicates(frame(spark, rows), shard=48, rounds=1).collect()}  # the group of 120 spans shards
     assert got.keys() == true.keys() and all(got[i] <= true[i] for i in got)
-    assert sum(got.values()) >= 0.99 * sum(true.values())
+    assert sum(got.values()) >= 0.98 * sum(true.values())
 
 
 def test_shards_are_bounded_and_overlap(spark):
@@ -94,11 +94,11 @@ def test_search_reaches_all_in_range():
     near = vector_graph.robust_prune(x)
     assert max(map(len, near)) <= vector_graph.DEGREE
     a = np.repeat(np.arange(400), [len(v) for v in near])
-    graph = vector_graph.Graph(np.arange(400), x, np.zeros(400), a, np.concatenate(near))
-    i, j, score = graph.search(np.arange(400), np.arccos(0.9))
-    want = np.argwhere((x @ x.T >= 0.9) & ~np.eye(400, dtype=bool))
-    assert len(i) >= 0.99 * len(want) and (score >= 0.9 - 1e-6).all()
-    assert set(zip(i.tolist(), j.tolist(), strict=True)) <= {tuple(w) for w in want.tolist()}
+    graph = vector_graph.Graph(x, a, np.concatenate(near))
+    true = x @ x.T >= 0.9
+    for start in (np.full(400, -1), np.arange(400)):
+        found = graph.search(x, start, 0.9)
+        assert not (found & ~true).any() and found.sum() >= 0.99 * true.sum()
 
 
 EDGES = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (5, [1.0, None]), (6, [1.0, 0.0, 0.0]),

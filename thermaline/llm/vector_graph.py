@@ -3,15 +3,15 @@
 1. Equal vectors become one node. Nodes are dealt to overlapping cluster shards: a shard above `SHARD` nodes is split among centroids
    learned on a sample of its own, level by level; a node goes to its nearest centroid, and at each level one further copy of it
    to the second nearest, so shards are bounded and copies grow with the number of levels only.
-2. In its home shard a node joins a cell: nodes within a quarter of the linking angle of a leader. All of a cell link with each
-   other, so a large group of near copies costs as many rows as it has members. The graph is over the leaders.
-3. Every shard builds adjacency lists (nearest candidates, robust pruning, reverse edges); a node's lists are united over its shards.
-4. Every leader searches its home shard, with the out-of-shard neighbours that the united lists add: a greedy search from the shard's
-   medoid, that goes on from every node within range until none is left.
-5. A found pair of cells is settled by the triangle inequality where it can be (all link, or none), else member by member, always by
-   cosines in double precision. So no link below the threshold is ever returned.
-6. The links of a hash sample of nodes are counted by brute force over all nodes. While the share found is under `RECALL`, another graph
-   over other shards is built and its pairs are added, at most `ROUNDS` times; then the shortfall is logged.
+2. Every shard builds adjacency lists (nearest candidates, robust pruning, reverse edges); a node's lists are united over its shards. A
+   shard then holds its nodes, and the out-of-shard neighbours that the united lists add.
+3. Every node searches its home shard: a greedy search from the shard's medoids, that goes on from each node within range until none is
+   left. Where it meets nodes in range whose home is another shard, it visits that shard next, starting from them, and a node that
+   was found by a visitor visits the visitor's home in turn; so a group of near copies may be larger than any shard.
+4. A link counts at the home of the node found, by its cosine in double precision, so none is counted twice and none below the threshold.
+   Tasks return counts, visits to be made and spanning forests: one row per node and shard, never the pairs of a group.
+5. The links of a hash sample of nodes are counted by brute force over all nodes. While the share found is under `RECALL`, all is done again
+   with other shards and twice the beam, at most `ROUNDS` times; then the shortfall is logged.
 
 Vectors that are null, zero or hold a null or non-finite component link with nothing; neither do vectors of different lengths with
 each other. A row with a null id takes no part and has no component. Repeated rows are vectors each: equal rows link as copies. An
@@ -21,7 +21,6 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import logging
-import math
 
 import numpy as np
 import pandas as pd
@@ -38,14 +37,12 @@ COSINE = 0.95
 SHARD = 4_096
 #: Centroids of one split, and rows on which they are learned per centroid.
 FAN, SAMPLE = 256, 16
-#: Nodes that one task assigns to centroids.
+#: Nodes that one task assigns to centroids, and queries that one task searches.
 ROWS = 16_384
-#: Candidates and out-degree of a node, factor of the robust pruning, width of the greedy search.
-CANDIDATES, DEGREE, ALPHA, BEAM = 48, 16, 1.2, 8
+#: Candidates and out-degree of a node, factor of the robust pruning, width of the greedy search, medoids of a shard.
+CANDIDATES, DEGREE, ALPHA, BEAM, MEDOIDS = 48, 16, 1.2, 8, 8
 #: Queries of the audit, the share of links to be found, and the graphs built for it at most.
 AUDIT, RECALL, ROUNDS = 1_024, 0.99, 3
-#: More than the rounding error of an angle computed from a cosine.
-SLACK = 1e-7
 
 
 def matrix(packed: pd.Series) -> np.ndarray:
@@ -53,10 +50,6 @@ def matrix(packed: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(packed)).reshape(len(packed), -1)
 
 
-def _angle(cosine):
-    return np.arccos(np.clip(cosine, -1.0, 1.0))
-
-
 def points(clean: DataFrame) -> DataFrame:
     """node, d, x (the unit vector, packed), k1, k2, first (smallest id) and n (rows) of each distinct vector of `clean`."""
     groups = clean.groupBy("k1", "k2").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.first("x").alias("x"))
@@ -129,23 +122,6 @@ def shards(nodes: DataFrame, size: int = SHARD, seed: int = 0) -> DataFrame:
         rows, level = staged(split), level + 1
 
 
-def cells(x: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray]:
-    """(leader, angle to it) of each row: rows within `angle` of an earlier row that leads join it."""
-    n, least = len(x), math.cos(angle)
-    leader, far = np.arange(n), np.zeros(n)
-    near = np.zeros((n, n), dtype=bool)
-    for lo in range(0, n, 1024):
-        near[lo:lo + 1024] = x[lo:lo + 1024] @ x.T >= least
-    free = np.ones(n, dtype=bool)
-    for i in np.flatnonzero(near.sum(axis=1) > 1):
-        if free[i]:
-            mine = np.flatnonzero(near[i] & free)
-            leader[mine], far[mine] = i, _angle(x[mine] @ x[i]) + SLACK
-            far[i] = 0.0
-            free[mine] = False
-    return leader, far
-
-
 def robust_prune(x: np.ndarray, alpha: float = ALPHA, degree: int = DEGREE, candidates: int = CANDIDATES) -> list[np.ndarray]:
     """Neighbours of each row: the nearest candidate stays and drops those that are `alpha` times nearer to it than to the row; so on."""
     n, some = len(x), min(candidates, len(x) - 1)
@@ -171,122 +147,152 @@ def robust_prune(x: np.ndarray, alpha: float = ALPHA, degree: int = DEGREE, cand
 class Graph:
     """Vectors and adjacency of one shard, and the range search on them."""
 
-    def __init__(self, nodes: np.ndarray, x: np.ndarray, reach: np.ndarray, source: np.ndarray, target: np.ndarray):
-        """reach: radius of each node's cell; source, target: edges as row numbers, used both ways."""
-        self.nodes, self.x, self.reach = nodes, x, reach
-        edges = np.unique(np.concatenate([source * len(nodes) + target, target * len(nodes) + source]))
-        self.target = edges % len(nodes)
-        self.start = np.searchsorted(edges, np.arange(len(nodes) + 1) * len(nodes))
-        self.medoid = int((x @ x.mean(axis=0)).argmax())
-
-    def search(self, asks: np.ndarray, angle: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(row of asks, row found, cosine) with an angle of at most `angle` and both radii."""
-        out = []
-        for lo in range(0, len(asks), 256):
-            q = asks[lo:lo + 256]
-            score = np.full((len(q), len(self.x)), -np.inf)
-            score[:, self.medoid] = self.x[q] @ self.x[self.medoid]
-            done = np.zeros(score.shape, dtype=bool)
-            range_ = np.cos(np.minimum(angle + self.reach[q][:, None] + self.reach[None, :] + SLACK, math.pi))
-            while True:
-                wide = min(beam, score.shape[1])
-                last = np.partition(score, score.shape[1] - wide, axis=1)[:, score.shape[1] - wide]
-                row, node = np.nonzero(~done & (score > -np.inf) & ((score >= last[:, None]) | (score >= range_)))
-                if not len(row):
-                    break
-                done[row, node] = True
-                n = self.start[node + 1] - self.start[node]
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                r, t = np.repeat(row, n), self.target[np.repeat(self.start[node], n) + offset]
-                new = score[r, t] == -np.inf
-                pair = np.unique(r[new] * score.shape[1] + t[new])
-                for at in range(0, len(pair), 1 << 16):
-                    r, t = np.divmod(pair[at:at + (1 << 16)], score.shape[1])
-                    score[r, t] = np.einsum("ij,ij->i", self.x[q[r]], self.x[t])
-            row, node = np.nonzero(score >= range_)
-            other = q[row] != node
-            out.append((q[row[other]], node[other], score[row[other], node[other]]))
-        return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-
-
-def graph_pairs(copies: DataFrame, leaders: DataFrame, cosine: float) -> DataFrame:
-    """a, b, cosine of leaders (a < b) that the search over the shards `copies` found in range of each other's cells."""
-    angle = math.acos(cosine)
-    members = staged(copies.join(leaders.select("node", "radius"), "node"))
+    def __init__(self, x: np.ndarray, source: np.ndarray, target: np.ndarray, medoids: int = MEDOIDS):
+        """source, target: edges as row numbers, used both ways."""
+        self.x = x
+        edges = np.unique(np.concatenate([source * len(x) + target, target * len(x) + source]))
+        self.target = edges % max(1, len(x))
+        self.start = np.searchsorted(edges, np.arange(len(x) + 1) * len(x))
+        self.medoids = np.unique((learn(x, medoids, 0) @ x.T).argmax(axis=1))
+
+    def _near(self, row: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, neighbour) of all neighbours of each node."""
+        n = self.start[node + 1] - self.start[node]
+        offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.repeat(row, n), self.target[np.repeat(self.start[node], n) + offset]
+
+    def search(self, q: np.ndarray, start: np.ndarray, cosine: float, beam: int = BEAM) -> np.ndarray:
+        """found[i, j]: row j was found with a cosine of at least `cosine` to query i. start: a row per query, or -1 for the medoids."""
+        size = len(self.x)
+        found, seen = np.zeros((len(q), size), dtype=bool), np.zeros(len(q) * size, dtype=bool)
+        top = np.full((len(q), beam), -np.inf)  # the best of each query, and where they are; -1 once expanded
+        where = np.full((len(q), beam), -1)
+        free = np.flatnonzero(start < 0)
+        pair = np.concatenate([np.flatnonzero(start >= 0) * size + start[start >= 0], (free[:, None] * size + self.medoids[None, :]).ravel()])
+        while len(pair):
+            seen[pair] = True
+            row, node = np.divmod(np.sort(pair), size)
+            score = np.concatenate([np.einsum("ij,ij->i", q[row[at:at + 65536]], self.x[node[at:at + 65536]]) for at in range(0, len(row), 65536)])
+            hit = score >= cosine
+            found[row[hit], node[hit]] = True
+            order = np.lexsort((-score, row))
+            nth = np.arange(len(row)) - np.searchsorted(row, row)  # rows are sorted, so this holds in either order
+            best = order[nth < beam]
+            new, at = np.full((len(q), beam), -np.inf), np.full((len(q), beam), -1)
+            new[row[best], nth[nth < beam]], at[row[best], nth[nth < beam]] = score[best], node[best]
+            new, at = np.concatenate([top, new], axis=1), np.concatenate([where, at], axis=1)
+            keep = np.argsort(-new, axis=1, kind="stable")[:, :beam]
+            top, where = np.take_along_axis(new, keep, axis=1), np.take_along_axis(at, keep, axis=1)
+            r, slot = np.nonzero(where >= 0)
+            ask = np.unique(np.concatenate([r * size + where[r, slot], row[hit] * size + node[hit]]))  # in range: always expanded
+            where[:] = -1
+            row, node = self._near(*np.divmod(ask, size))
+            pair = row * size + node
+            pair = np.unique(pair[~seen[pair]])
+        return found
+
+
+def graph(copies: DataFrame, nodes: DataFrame) -> DataFrame:
+    """shard, node, home (the node's home shard), n, x, near: what each shard holds; near is null for neighbours from outside."""
 
     def build(part: pd.DataFrame) -> pd.DataFrame:
-        nodes = part["node"].to_numpy()
+        ids = part["node"].to_numpy()
         near = robust_prune(matrix(part["x"]))
-        a, b = np.repeat(np.arange(len(nodes)), [len(v) for v in near]), np.concatenate([*near, np.zeros(0, dtype=int)]).astype(int)
+        a, b = np.repeat(np.arange(len(ids)), [len(v) for v in near]), np.concatenate([*near, np.zeros(0, dtype=int)]).astype(int)
         a, b = np.concatenate([a, b]), np.concatenate([b, a])
         order = np.argsort(a, kind="stable")
-        lists = np.split(nodes[b[order]], np.searchsorted(a[order], np.arange(1, len(nodes))))
-        return pd.DataFrame({"node": nodes, "near": lists})
+        return pd.DataFrame({"node": ids, "near": np.split(ids[b[order]], np.searchsorted(a[order], np.arange(1, len(ids))))})
 
-    lists = members.groupBy("shard").applyInPandas(build, "node long, near array<long>")
+    lists = copies.groupBy("shard").applyInPandas(build, "node long, near array<long>")
     united = staged(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
-    inside = members.join(united, "node")
-    halo = inside.where("home").select("shard", F.explode("near").alias("node")).distinct().join(members.select("shard", "node"), ["shard", "node"], "left_anti")
-    halo = halo.join(leaders.select("node", "radius", "x"), "node").select("shard", "node", F.lit(False).alias("home"), "x", "radius", F.lit(None).cast("array<long>").alias("near"))
+    homes = copies.where("home").select("node", F.col("shard").alias("at"))
+    known = staged(nodes.select("node", "n", "x").join(homes, "node").join(united, "node"))
+    members = copies.select("shard", "node").join(known, "node")
+    inside = members.select("shard", "node", F.col("at").alias("home"), "n", "x", "near")
+    outside = known.select(F.col("at").alias("shard"), F.explode("near").alias("node")).distinct().join(copies.select("shard", "node"), ["shard", "node"], "left_anti")
+    outside = outside.join(known, "node").select("shard", "node", F.col("at").alias("home"), "n", "x", F.lit(None).cast("array<long>").alias("near"))
+    return staged(inside.union(outside))
+
+
+_FOUND = "kind string, node long, links long, shard string, at long"
+
 
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("node", kind="stable")
-        nodes = part["node"].to_numpy()
+def visit(held: DataFrame, asks: DataFrame, cosine: float, beam: int) -> DataFrame:
+    """Rows of kind `links` (node, links), `visit` (node, shard, at: where to start there) and `edge` (node, at).
+
+    asks: shard, node, x, home, at of the queries, whose number per shard is not bounded: they go to tasks of at most about `ROWS`.
+    """
+    chunks = asks.groupBy("shard").agg(F.ceil(F.count("*") / ROWS).cast("long").alias("chunks"))
+    left = held.join(chunks, "shard").withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    right = asks.join(chunks, "shard").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+
+    def run(key: tuple, part: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        part, queries = part.sort_values("node", kind="stable"), queries.sort_values("node", kind="stable")
+        nodes, home, weight = part["node"].to_numpy(), part["home"].to_numpy(), part["n"].to_numpy()
+        here = home == key[0]
         lists = [np.asarray(v if v is not None else (), dtype=np.int64) for v in part["near"]]
         source, target = np.repeat(np.arange(len(nodes)), [len(v) for v in lists]), np.concatenate([*lists, np.zeros(0, np.int64)])
-        at = np.minimum(np.searchsorted(nodes, target), len(nodes) - 1)
-        known = nodes[at] == target
-        graph = Graph(nodes, matrix(part["x"]), part["radius"].to_numpy(), source[known], at[known])
-        a, b, score = graph.search(np.flatnonzero(part["home"].to_numpy(bool)), angle)
-        return pd.DataFrame({"a": nodes[np.minimum(a, b)], "b": nodes[np.maximum(a, b)], "cosine": score})
-
-    every = inside.select("shard", "node", "home", "x", "radius", "near").union(halo)
-    found = every.groupBy("shard").applyInPandas(search, "a long, b long, cosine double")
-    return staged(found.groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-
-
-def settle(pairs: DataFrame, leaders: DataFrame, members: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
-    """((node, links) to add per member, (a, b) edges that join what links) of found pairs of cells."""
-    angle = math.acos(cosine)
-    side = lambda k: leaders.select(F.col("node").alias(k), F.col("radius").alias(f"r{k}"), F.col("size").alias(f"s{k}"), F.col("rows").alias(f"n{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    wide = F.col("ra") + F.col("rb")
-    apart = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("cosine"))))
-    single = (F.col("sa") == 1) & (F.col("sb") == 1)
-    kind = (F.when(single, F.when(F.col("cosine") >= cosine, "all").otherwise("none")).when(apart + wide <= angle - SLACK, "all")
-             .when(apart - wide > angle + SLACK, "none").otherwise("some"))
-    both = staged(both.withColumn("kind", kind).where("kind <> 'none'"))
-    whole, some = both.where("kind = 'all'"), both.where("kind = 'some'").select("a", "b")
-    by_cell = whole.select(F.explode(F.array(F.struct(F.col("a").alias("leader"), F.col("nb").alias("links")),
-                                             F.struct(F.col("b").alias("leader"), F.col("na").alias("links")))).alias("e")).select("e.*")
-    by_cell = by_cell.groupBy("leader").agg(F.sum("links").alias("links"))
-    asked = some.select(F.explode(F.array("a", "b")).alias("leader")).distinct()
-    blob = members.join(asked, "leader").groupBy("leader").agg(F.collect_list(F.struct("node", "n", "x")).alias("rows"))
-    blob = staged(blob)
-    held = some.join(blob.select(F.col("leader").alias("a"), F.col("rows").alias("ra")), "a").join(blob.select(F.col("leader").alias("b"), F.col("rows").alias("rb")), "b")
-
-    def check(batches):
-        for batch in batches:
-            for ra, rb in zip(batch["ra"], batch["rb"], strict=True):
-                (na, wa, xa), (nb, wb, xb) = (map(np.array, ([r["node"] for r in s], [r["n"] for r in s], [np.frombuffer(r["x"]) for r in s])) for s in (ra, rb))
-                add_a, add_b, edges = np.zeros(len(na), np.int64), np.zeros(len(nb), np.int64), []
-                for lo in range(0, len(na), 512):
-                    link = xa[lo:lo + 512] @ xb.T >= cosine
-                    add_a[lo:lo + 512] = link @ wb
-                    add_b += wa[lo:lo + 512] @ link
-                    i, j = np.nonzero(link)
-                    edges.append(forest(len(na) + len(nb), i + lo, j + len(na)))
-                nodes = np.concatenate([na, nb])
-                child, root = (np.concatenate(e) for e in zip(*edges, strict=True))
-                if len(child):
-                    child, root = forest(len(nodes), child, root)
-                yield pd.DataFrame({"node": nodes, "links": np.concatenate([add_a, add_b]), "to": pd.array([None] * len(nodes), "Int64")})
-                yield pd.DataFrame({"node": nodes[child], "links": 0, "to": pd.array(nodes[root], "Int64")})
-
-    checked = staged(held.mapInPandas(check, "node long, links long, to long"))
-    adds = members.select("node", "leader").join(by_cell, "leader").select("node", "links").union(checked.select("node", "links"))
-    edges = whole.select("a", "b").union(checked.where("to IS NOT NULL").select(F.col("node").alias("a"), F.col("to").alias("b")))
-    return adds, edges
+        row = np.minimum(np.searchsorted(nodes, target), len(nodes) - 1)
+        known = nodes[row] == target
+        shard = Graph(matrix(part["x"]), source[known], row[known])
+        ids, q, begin = queries["node"].to_numpy(), matrix(queries["x"]), queries["at"].to_numpy()
+        own = queries["home"].to_numpy() == key[0]
+        first = np.minimum(np.searchsorted(nodes, begin), len(nodes) - 1)
+        first = np.where(nodes[first] == begin, first, -1)
+        foreign = pd.Series(home).where(~here)
+        out, edges, links = [], [], np.zeros(len(ids), np.int64)
+        both = np.zeros((len(ids), int(here.sum())), dtype=bool) if own.all() else None  # at home: at most a shard by a shard
+        for lo in range(0, len(ids), 256):
+            block = slice(lo, lo + 256)
+            found = shard.search(q[block], first[block], cosine, beam)
+            found &= nodes[None, :] != ids[block, None]
+            links[block] = found[:, here] @ weight[here]
+            if both is not None:
+                both[block] = found[:, here]
+            i, j = np.nonzero(found)
+            if len(i):
+                all_ids = np.concatenate([ids[block], nodes])
+                child, root = forest(len(all_ids), i, j + len(ids[block]))
+                edges.append(pd.DataFrame({"node": all_ids[child], "at": all_ids[root]}))
+            abroad = ~here[j]
+            to = pd.DataFrame({"node": ids[block][i[abroad]], "shard": foreign.to_numpy()[j[abroad]], "at": nodes[j[abroad]]})
+            out.append(to.drop_duplicates(["node", "shard"]))
+            guest = here[j] & ~own[block][i]
+            back = pd.DataFrame({"node": nodes[j[guest]], "shard": queries["home"].to_numpy()[block][i[guest]], "at": ids[block][i[guest]]})
+            out.append(back.drop_duplicates(["node", "shard"]))
+        if both is not None and len(ids) == both.shape[1]:  # all nodes of this home are asked at once: a link found one way counts both ways
+            links = (both | both.T) @ weight[here]
+        frames = [pd.DataFrame({"kind": "links", "node": ids, "links": links})]
+        if out:
+            frames.append(pd.concat(out).drop_duplicates(["node", "shard"]).assign(kind="visit"))
+        if edges:
+            frames.append(pd.concat(edges).drop_duplicates().assign(kind="edge"))
+        done = pd.concat(frames)
+        return pd.DataFrame({c: pd.array(done[c], dtype="Int64") if c in ("links", "at") else done[c] for c in ("kind", "node", "links", "shard", "at")})
+
+    return left.drop("chunks").groupBy("shard", "chunk").cogroup(right.drop("chunks").groupBy("shard", "chunk")).applyInPandas(run, _FOUND)
+
+
+def searched(held: DataFrame, copies: DataFrame, nodes: DataFrame, cosine: float, beam: int) -> tuple[DataFrame, DataFrame]:
+    """((node, n_links), (a, b) edges that join what links) of all nodes; see the module."""
+    homes = copies.where("home").select("node", "x", F.col("shard").alias("home"))
+    asks = homes.select(F.col("home").alias("shard"), "node", "x", "home", F.lit(-1).cast("long").alias("at"))
+    done, rounds = None, []
+    while True:
+        rounds.append(staged(visit(held, asks, cosine, beam)))
+        visited = asks.select("node", "shard")
+        done = visited if done is None else done.union(visited)
+        todo = rounds[-1].where("kind = 'visit'").groupBy("node", "shard").agg(F.min("at").alias("at"))
+        todo = staged(todo.join(done, ["node", "shard"], "left_anti"))
+        if todo.isEmpty():
+            break
+        asks = staged(todo.join(homes, "node").select("shard", "node", "x", "home", "at"))
+    found = rounds[0]
+    for more in rounds[1:]:
+        found = found.union(more)
+    links = found.where("kind = 'links'").groupBy("node").agg(F.sum("links").alias("links"))
+    links = staged(links.join(nodes.select("node", "n"), "node").select("node", (F.col("links") + F.col("n") - 1).alias("n_links")))
+    return links, found.where("kind = 'edge'").select(F.col("node").alias("a"), F.col("at").alias("b"))
 
 
 def audited(nodes: DataFrame, links: DataFrame, cosine: float, rows: int = AUDIT) -> float:
@@ -318,32 +324,16 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     ok = F.col("id").isNotNull() & F.coalesce(_valid(F.col("x")), F.lit(False))
     clean = read.where(ok).withColumns({"k1": F.xxhash64("x"), "k2": F.xxhash64(F.lit(1), "x")})
     nodes = points(clean)
-    pairs, seed = None, 0
-    while True:
-        copies = staged(shards(nodes, shard, seed))
-        if pairs is None:
-            def group(part: pd.DataFrame) -> pd.DataFrame:
-                part = part.sort_values("node", kind="stable")
-                ids = part["node"].to_numpy()
-                leader, far = cells(matrix(part["x"]), math.acos(cosine) / 4)
-                return pd.DataFrame({"node": ids, "leader": ids[leader], "angle": far})
-
-            of = copies.where("home").groupBy("shard").applyInPandas(group, "node long, leader long, angle double")
-            members = staged(of.join(nodes.select("node", "n", "x"), "node"))
-            cell = members.groupBy(F.col("leader").alias("node")).agg(F.max("angle").alias("radius"), F.count("*").alias("size"), F.sum("n").alias("rows"))
-            leaders = staged(cell.join(nodes.select("node", "x"), "node"))
-        new = graph_pairs(copies, leaders, cosine)
-        pairs = new if pairs is None else staged(pairs.union(new).groupBy("a", "b").agg(F.max("cosine").alias("cosine")))
-        adds, edges = settle(pairs, leaders, members, cosine)
-        own = members.join(leaders.select(F.col("node").alias("leader"), (F.col("rows") - 1).alias("links")), "leader").select("node", "links")
-        links = staged(own.union(adds).groupBy("node").agg(F.sum("links").alias("n_links")))
-        share, seed = audited(nodes, links, cosine), seed + 1
-        if share >= recall or seed >= rounds:
+    for attempt in range(rounds):
+        copies = staged(shards(nodes, shard, attempt))
+        links, edges = searched(graph(copies, nodes), copies, nodes, cosine, BEAM << attempt)
+        found = audited(nodes, links, cosine)
+        if found >= recall:
             break
-    if share < recall:
-        logging.getLogger(__name__).warning("the audit found a share of %.4f of the links", share)
-    tops = staged(components(edges.union(members.select(F.col("node").alias("a"), F.col("leader").alias("b")))))
-    placed = nodes.select("node", "k1", "k2", "first").join(tops.select(F.col("a").alias("node"), F.col("b").alias("top")), "node", "left")
+    if found < recall:
+        logging.getLogger(__name__).warning("the audit found a share of %.4f of the links", found)
+    tops = staged(components(edges)).select(F.col("a").alias("node"), F.col("b").alias("top"))
+    placed = nodes.select("node", "k1", "k2", "first").join(tops, "node", "left")
     placed = staged(placed.withColumn("top", F.coalesce("top", "node")).join(links, "node"))
     least = placed.groupBy("top").agg(F.min("first").alias("component"))
     result = placed.join(least, "top").select("k1", "k2", "n_links", "component")
