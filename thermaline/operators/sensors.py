@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from thermaline.functions.roles import ID, TS
 from thermaline.functions.logic import any_of, energized, epoch, frac, holds, num, percent
 from thermaline.functions.roles import ensure_roles
 from thermaline.operators import rules as R
-from thermaline.operators.confirm import confirm_elapsed, runs, streak
+from thermaline.operators.carry import MINUTE, Days, Reach, by_day, nearest, rolling_median
+from thermaline.operators.confirm import runs, streak
 from thermaline.operators.runner import role_presence
 from thermaline.operators.series import BLOCK, core_rows, split_series, with_series_columns
 
@@ -62,38 +65,46 @@ def readings(df: DataFrame, roles, *keep) -> DataFrame:
               .unpivot([*ID, TS, *keep], list(roles), "role", "value"))
 
 
-def compute_rates(long: DataFrame, *, sample_seconds: float = 300.0, max_gap_hours: float = 2.0,
-                  windows=(5, 15, 60), **kw) -> DataFrame:
+WINDOWS = (5, 15, 60)
+
+
+def median_rows(sample_seconds: float) -> int:
+    return max(3, round(15 * 60 / max(sample_seconds, 60.0)))
+
+
+def _rates(t: np.ndarray, value: np.ndarray, n: int, max_gap_hours: float, windows) -> dict[str, np.ndarray]:
+    """The columns of `compute_rates` of one series in order."""
+    gap = np.r_[np.nan, np.diff(t) / 3.6e9]
+    gap[~((gap > 0) & (gap <= max_gap_hours))] = np.nan
+    step = np.abs(np.r_[np.nan, np.diff(value)]) / gap
+    out = {"dt_hours": gap, "instantaneous_rate": step}
+    for m in windows:
+        out[f"rate_{m}min"] = np.abs(value - nearest(t, value, t - m * MINUTE, max(2, m // 2) * MINUTE)) / (m / 60.0)
+    out["robust_slope_15min"] = rolling_median(step, n, 3)
+    return out
+
+
+def _reach(n: int, windows, held: float = 0.0) -> Reach:
+    """Looking back n + 1 rows, to the edge of the widest window (and over the rows that colour an operating state)."""
+    return Reach(n + 2, (max(windows) + max(2, max(windows) // 2)) * 60.0, held)
+
+
+def compute_rates(long: DataFrame, *, sample_seconds: float = 300.0, max_gap_hours: float = 2.0, windows=WINDOWS) -> DataFrame:
     """V-2: absolute rate per hour between samples, against the sample nearest to 5, 15 and 60
     minutes earlier, and the rolling median of the former."""
-    n = max(3, round(15 * 60 / max(sample_seconds, 60.0)))
-    long = long.withColumn("_t", F.unix_micros(TS))
-    us = 60 * 1_000_000
+    n = median_rows(sample_seconds)
+    made = ["dt_hours", "instantaneous_rate", *[f"rate_{m}min" for m in windows], "robust_slope_15min"]
+    kept = [c for c in long.columns if c != TS]
+    schema = ", ".join([*[f"`{c}` {'double' if c == 'value' else long.schema[c].dataType.simpleString()}" for c in kept], "_t long", *[f"{c} double" for c in made]])
 
-    def make(w):
-        dt = (epoch(TS) - epoch(F.lag(TS).over(w))) / num(3600)
-        dt = F.when((dt > num(0)) & (dt <= num(max_gap_hours)), dt)
-        cols = {"dt_hours": dt, "instantaneous_rate": F.try_divide(F.abs(C("value") - F.lag("value").over(w)), dt)}
-        for m in windows:
-            tol = max(2, m // 2)
-            near = Window.partitionBy(*RATE_KEYS, BLOCK).orderBy("_t").rangeBetween(-(m + tol) * us, -(m - tol) * us)
-            cols[f"_near{m}"] = F.collect_list(F.struct(C("_t").alias("t"), F.coalesce(C("value"), F.lit(float("nan"))).alias("v"))).over(near)
-        roll = w.rowsBetween(1 - n, 0)
-        return [cols, {"_n": F.count("instantaneous_rate").over(roll),
-                       "_med": F.percentile("instantaneous_rate", F.lit(0.5)).over(roll)}]
-
-    s = with_series_columns(long, make, RATE_KEYS, TS, before=n + 1,
-                            before_seconds=(max(windows) + max(2, max(windows) // 2)) * 60.0, **kw)
-
-    def window_rate(m):
-        target = C("_t") - F.lit(m * us)
-        best = F.array_min(F.transform(f"_near{m}", lambda x: F.struct(
-            F.abs(x["t"] - target).alias("d"), (-x["t"]).alias("o"), x["v"].alias("v"))))["v"]
-        return F.abs(C("value") - F.when(~F.isnan(best), best)) / num(m / 60.0)
-
-    return (s.withColumns({f"rate_{m}min": window_rate(m) for m in windows})
-             .withColumn("robust_slope_15min", F.when(C("_n") >= 3, C("_med")))
-             .drop("_t", "_n", "_med", *[f"_near{m}" for m in windows]))
+    def run(part: pd.DataFrame, days: Days) -> pd.DataFrame:
+        rates = _rates(days.t, days.x["value"], n, max_gap_hours, windows)
+        return part[[*kept, "_t"]].assign(**{c: v[days.own:] for c, v in rates.items()})
+
+    out = by_day(long, ["value"], _reach(n, windows), run, schema, keys=RATE_KEYS, ts=TS)
+    none = lambda c: F.when(~F.isnan(c), C(c)).alias(c)
+    return out.select(*[F.timestamp_micros("_t").cast(long.schema[TS].dataType).alias(TS) if c == TS else none(c) if c == "value" else C(c) for c in long.columns],
+                      *[none(c) for c in made])
 
 
 # Per role the steady warning and fault, transient warning and fault rate per hour,
@@ -126,38 +137,131 @@ def _profile(i: int) -> Column:
     return out
 
 
-def evaluate_points(df: DataFrame, roles=None, *, poll: float = 300.0, **kw) -> DataFrame:
+def _states(days: Days, transition_minutes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(running up or down, known) of every row, as `detect_operating_state` has it; bit i of the marks: role i of STATE_ROLES has readings."""
+    has = {r: bool(days.marks >> i & 1) for i, r in enumerate(STATE_ROLES)}
+    share = {r: np.where(days.x[r] > 1, days.x[r] / 100, days.x[r]) for r in STATE_ROLES}
+    proof = lambda r: days.x[r] > 0.5
+    command = lambda r: share[r] > 0.05
+    on = proof("fan_status") if has["fan_status"] else command("fan_cmd") if has["fan_cmd"] else np.zeros(len(days.t), dtype=bool)
+    for r in ("pump_status", "chw_pump_status", "chiller_status", "compressor_status"):
+        on = on | proof(r)
+    on = on | command("chw_pump_cmd")
+    was = np.r_[False, on[:-1]]
+    moved = np.zeros(len(on), dtype=bool)
+    for r in ("clg_valve_pct", "htg_valve_pct", "oa_damper_pct", "reheat_valve_pct"):
+        moved[1:] |= np.abs(np.diff(np.nan_to_num(share[r]))) > 0.05
+    since = days.t - max(1, int(transition_minutes)) * MINUTE
+    first, last = np.searchsorted(days.t, since), np.searchsorted(days.t, days.t, side="right")
+
+    def recent(flag: np.ndarray) -> np.ndarray:
+        total = np.r_[0, np.cumsum(flag)]
+        return total[last] > total[first]
+
+    stop, start = recent(~on & was), recent(on & ~was)
+    known = any(has[r] for r in STATE_ROLES[:7])
+    return (stop | start | (on & recent(moved))) & known, np.full(len(on), known)
+
+
+def _held(over: np.ndarray, t: np.ndarray, nxt: int | None, seconds: float) -> tuple[np.ndarray, np.ndarray]:
+    """(confirmed, start of the run) by elapsed time up to the next sample; the last sample of a series is left open."""
+    begin = over & ~np.r_[False, over[:-1]]
+    start = np.maximum.accumulate(np.where(begin, t, np.iinfo(np.int64).min))
+    ahead = np.r_[t[1:], t[-1] if nxt is None else nxt]
+    done = over & (ahead - np.where(over, start, ahead) >= int(seconds * 1e6))
+    if nxt is None:
+        done[-1] = False
+    return done, start
+
+
+_PART = ("role string, maximum_rate double, maximum_15_min_rate double, maximum_60_min_rate double, faults long, extreme boolean, violations long, "
+         "hours double, first long, last long, samples long, rows long, open_from long, open_at long, open_hours double, gaps array<long>, gap_rows array<long>")
+
+
+def evaluate_points(df: DataFrame, roles=None, *, poll: float = 300.0, transition_minutes: int = 20, max_gap_hours: float = 2.0,
+                    persistence: float = 600.0) -> DataFrame:
     """V-3: per (equipment, role) violations of the rate limits for the operating state.
 
     A fault is a rate at or above the limit that persists, or one extreme jump. A single
-    fault sample without an extreme counts as nothing.
+    fault sample without an extreme counts as nothing. State, rates and persistence of all roles
+    come from one pass per equipment and day; its summaries are added up per equipment.
     """
     roles = [r for r in (roles or RATE_PROFILES) if r in df.columns]
-    st = detect_operating_state(df, **kw)
-    long = readings(st, roles, "op_state").withColumn("value", C("value") * _profile(6))
-    rates = compute_rates(long, sample_seconds=poll, **kw)
-    primary = F.coalesce("robust_slope_15min", "rate_15min", "instantaneous_rate")
-    moving = C("op_state").isin("STARTUP_TRANSIENT", "SHUTDOWN_TRANSIENT")
-    limit = F.when(moving, _profile(3)).otherwise(_profile(1))
-    rates = rates.withColumns({
-        "primary_rate": primary, "_over": holds(primary >= limit),
-        "_extreme": holds(C("rate_5min") * num(5 / 60.0) >= _profile(5))})
-    c = confirm_elapsed(rates, C("_over"), 600.0, poll_seconds=poll, out="_held", keys=RATE_KEYS, **kw)
-    c = c.withColumn("violation", C("_held") | C("_extreme"))
-    v = C("violation")
-    out = c.groupBy(*RATE_KEYS).agg(
-        F.max("primary_rate").alias("maximum_rate"), F.max("rate_15min").alias("maximum_15_min_rate"),
-        F.max("rate_60min").alias("maximum_60_min_rate"), F.sum(C("_over").cast("int")).alias("_faults"),
-        F.max("_extreme").alias("_any_extreme"), F.count(F.when(v, 1)).alias("violation_count"),
-        (F.sum(F.when(v, F.coalesce("dt_hours", num(0))).otherwise(num(0))) * num(60)).alias("violation_minutes"),
-        F.min(F.when(v, C(TS))).alias("first_violation"), F.max(F.when(v, C(TS))).alias("last_violation"),
-        F.count("value").alias("sample_count"), (F.count("value") / F.count(F.lit(1))).alias("data_coverage"))
-    keep = (C("_faults") >= 2) | C("_any_extreme")
-    out = out.withColumns({
-        "violation_count": F.when(keep, C("violation_count")).otherwise(F.lit(0).cast("long")),
-        "violation_minutes": F.when(keep, C("violation_minutes")).otherwise(num(0)),
-        "first_violation": F.when(keep, C("first_violation")), "last_violation": F.when(keep, C("last_violation"))})
-    return out.drop("_faults", "_any_extreme")
+    n = median_rows(poll)
+    d = ensure_roles(df, [*STATE_ROLES, *roles])
+    cols = list(dict.fromkeys([*STATE_ROLES, *roles]))
+    d = d.select(*ID, TS, *cols)
+    bits = [F.when(C(r).isNotNull(), F.lit(1 << i)).otherwise(0) for i, r in enumerate(STATE_ROLES)]
+    marks = bits[0]
+    for b in bits[1:]:
+        marks = marks.bitwiseOR(b)
+    types = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in ID)
+
+    def most(v: np.ndarray) -> float:
+        return float(np.nanmax(v)) if len(v) and not np.isnan(v).all() else float("nan")
+
+    def run(part: pd.DataFrame, days: Days) -> pd.DataFrame:
+        own, out = slice(days.own, None), []
+        moving, _ = _states(days, transition_minutes)
+        gaps, gap_rows = np.unique(np.diff(days.t[max(days.own - 1, 0):]), return_counts=True)
+        for i, role in enumerate(roles):
+            p = RATE_PROFILES[role]
+            value = days.x[role] * p[6]
+            r = _rates(days.t, value, n, max_gap_hours, WINDOWS)
+            primary = np.where(np.isnan(r["robust_slope_15min"]), np.where(np.isnan(r["rate_15min"]), r["instantaneous_rate"], r["rate_15min"]), r["robust_slope_15min"])
+            over = primary >= np.where(moving, p[3], p[1])
+            extreme = r["rate_5min"] * (5 / 60.0) >= p[5] if p[5] is not None else np.zeros(len(over), dtype=bool)
+            held, start = _held(over, days.t, days.next, persistence)
+            hit, t, hours = (held | extreme)[own], days.t[own], np.nan_to_num(r["dt_hours"][own])
+            undecided = days.next is None and bool(over[-1]) and not extreme[-1]
+            out.append((role, most(primary[own]), most(r["rate_15min"][own]), most(r["rate_60min"][own]), int(over[own].sum()), bool(extreme[own].any()), int(hit.sum()),
+                        float(hours[hit].sum()), int(t[hit][0]) if hit.any() else None, int(t[hit][-1]) if hit.any() else None, int((~np.isnan(value[own])).sum()), len(t),
+                        int(start[-1]) if undecided else None, int(t[-1]) if undecided else None, float(hours[-1]), gaps if i == 0 else [], gap_rows if i == 0 else []))
+        names = [c.split()[0] for c in _PART.split(", ")]
+        out = pd.DataFrame(out, columns=names).astype({c: "Int64" for c in ("first", "last", "open_from", "open_at")})
+        for k in ID:
+            out[k] = part[k].iloc[0]
+        return out[[*ID, *names]]
+
+    parts = by_day(d, cols, _reach(n, WINDOWS, persistence), run, f"{types}, {_PART}", keys=ID, ts=TS, marks=marks)
+    merged = parts.groupBy(*ID).applyInPandas(lambda rows: _merged(rows, poll, persistence), f"{types}, {_TOTAL}")
+    stamp = lambda c: F.timestamp_micros(c).cast(df.schema[TS].dataType).alias(c)
+    rate = lambda c: F.when(~F.isnan(c), C(c)).alias(c)
+    shown = {"maximum_rate": rate, "maximum_15_min_rate": rate, "maximum_60_min_rate": rate, "first_violation": stamp, "last_violation": stamp}
+    return merged.select(*[shown.get(c, C)(c) for c in merged.columns])
+
+
+_TOTAL = ("role string, maximum_rate double, maximum_15_min_rate double, maximum_60_min_rate double, violation_count long, violation_minutes double, "
+          "first_violation long, last_violation long, sample_count long, data_coverage double")
+
+
+def _spacing(rows: pd.DataFrame) -> float | None:
+    """Median of the gaps that the days have counted, in microseconds."""
+    gaps, n = (np.concatenate(rows[c].to_list()) for c in ("gaps", "gap_rows"))
+    if not len(gaps):
+        return None
+    order = np.argsort(gaps, kind="stable")
+    upto = np.cumsum(n[order])
+    low, high = (gaps[order][np.searchsorted(upto, k, side="right")] for k in ((upto[-1] - 1) // 2, upto[-1] // 2))
+    return (low + high) / 2
+
+
+def _merged(rows: pd.DataFrame, poll: float, persistence: float) -> pd.DataFrame:
+    """Totals per role of one equipment from its days; the last sample of the series counts the median spacing."""
+    spacing, out = _spacing(rows), []
+    spacing = poll * 1e6 if spacing is None else spacing
+    for role, r in rows.groupby("role", sort=False):
+        count, hours, first, last = int(r["violations"].sum()), float(r["hours"].sum()), r["first"].min(), r["last"].max()
+        end = r[r["open_at"].notna()]
+        if len(end) and int(end["open_at"].iloc[0]) + spacing - int(end["open_from"].iloc[0]) >= persistence * 1e6:
+            count, hours, last = count + 1, hours + float(end["open_hours"].iloc[0]), end["open_at"].iloc[0]
+            first = last if pd.isna(first) else first
+        if int(r["faults"].sum()) < 2 and not r["extreme"].any():
+            count, hours, first, last = 0, 0.0, None, None
+        out.append((*(rows[k].iloc[0] for k in ID), role, r["maximum_rate"].max(), r["maximum_15_min_rate"].max(), r["maximum_60_min_rate"].max(), count, hours * 60,
+                    None if pd.isna(first) else int(first), None if pd.isna(last) else int(last), int(r["samples"].sum()), int(r["samples"].sum()) / int(r["rows"].sum())))
+    names = [*ID, *[c.split()[0] for c in _TOTAL.split(", ")]]
+    return pd.DataFrame(out, columns=names).astype({"first_violation": "Int64", "last_violation": "Int64"})
 
 
 def longest_violations(flags: DataFrame, flag: str = "violation", **kw) -> DataFrame:
