@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import uuid
 from functools import reduce
@@ -23,7 +24,7 @@ def read_history(spark: SparkSession, root: str, *, building: str | None = None,
                  start: str | None = None, end: str | None = None) -> DataFrame:
     """S-1/S-2: `<root>/history/building_id=/equipment_id=/year=/month=`. The explicit schema
     makes absent roles NULL and keeps partition keys as text; scope filters prune directories."""
-    df = spark.read.schema(history_schema(roles)).parquet(f"{root}/history")
+    df = live_files(spark.read.schema(history_schema(roles)).parquet(f"{root}/history"), spark, root)
     return scope(df, building=building, start=start, end=end)
 
 
@@ -88,8 +89,8 @@ def write_history(df: DataFrame, root: str, *, mode: str = "append", max_rows_pe
 def historian_stats(spark: SparkSession, root: str, *, small_bytes: int = 16 << 20) -> DataFrame:
     """S-21: files, bytes, rows and small files per partition, from file metadata."""
     df = spark.read.schema(history_schema([])).parquet(f"{root}/history")
-    files = df.groupBy(*PARTITIONS, C("_metadata.file_path").alias("file"), C("_metadata.file_size").alias("bytes")).agg(
-        F.count(F.lit(1)).alias("rows"))
+    df = live_files(df.select(*PARTITIONS, C("_metadata.file_path").alias("file"), C("_metadata.file_size").alias("bytes"), "_metadata"), spark, root)
+    files = df.groupBy(*PARTITIONS, "file", "bytes").agg(F.count(F.lit(1)).alias("rows"))
     return files.groupBy(*PARTITIONS).agg(
         F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"),
         F.count(F.when(C("bytes") < small_bytes, 1)).alias("small_files"))
@@ -107,15 +108,29 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def _publish(spark: SparkSession, staged: str, root: str, prefix: str) -> None:
     """Move the staged files into the tree under names that start with `prefix`."""
-    fs, top = _fs(spark, staged)
+    fs, _ = _fs(spark, staged)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    files = fs.listFiles(top, True)
+    for f in _staged_files(spark, staged):
+        source, target = path(f"{staged}/{f}"), path(f"{root}/history/{_named(f, prefix)}")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(source, target):
+            raise OSError(f"cannot move {source} to {target}")
+
+
+def _staged_files(spark: SparkSession, staged: str) -> list[str]:
+    """The data files under a folder, relative to it."""
+    fs, top = _fs(spark, staged)
+    files, found = fs.listFiles(top, True), []
     while files.hasNext():
         f = files.next().getPath()
         if f.getName().startswith("part-"):
-            folder = f"{root}/history" + f.getParent().toUri().getPath()[len(top.toUri().getPath()):]
-            fs.mkdirs(path(folder))
-            fs.rename(f, path(f"{folder}/{prefix}-{f.getName()}"))
+            found.append(f.toUri().getPath()[len(top.toUri().getPath()):].lstrip("/"))
+    return found
+
+
+def _named(file: str, prefix: str) -> str:
+    folder, _, name = file.rpartition("/")
+    return f"{folder}/{prefix}-{name}"
 
 
 def _stage(df: DataFrame, root: str, name: str) -> str:
@@ -125,34 +140,152 @@ def _stage(df: DataFrame, root: str, name: str) -> str:
     return path
 
 
+# --- small files that are committed by one rename ------------------------------------------------
+def _read_json(spark: SparkSession, path: str):
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def _commit_json(spark: SparkSession, value, path: str, *, replace: bool = False) -> bool:
+    """Write the value beside `path` and rename it there; False if the path is taken already."""
+    temp = f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+    fs, t = _fs(spark, temp)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs.mkdirs(t.getParent())
+    out = fs.create(t, True)
+    try:
+        out.write(bytearray(json.dumps(value).encode()))
+    finally:
+        out.close()
+    if replace:
+        fs.delete(p, False)
+    done = not fs.exists(p) and fs.rename(t, p)
+    if not done:
+        fs.delete(t, False)
+    return done
+
+
+# --- versions (S-19, S-22) -----------------------------------------------------------------------
+class Conflict(RuntimeError):
+    """Another rewrite has replaced a file that this one has read."""
+
+
+def _versions(spark: SparkSession, root: str) -> tuple[int, list[str], list[str]]:
+    """(last version, ids of the committed rewrites, ids of those whose replaced files are still there).
+
+    `<root>/_versions/<n>.json` holds all of it as of version n, so one small file is read.
+    """
+    fs, p = _fs(spark, f"{root}/_versions")
+    if not fs.exists(p):
+        return 0, [], []
+    last = max((int(m.group(1)) for f in fs.listStatus(p) if (m := re.fullmatch(r"(\d+)\.json", f.getPath().getName()))), default=0)
+    now = _read_json(spark, f"{root}/_versions/{last}.json") if last else None
+    return (last, now["committed"], now["pending"]) if now else (0, [], [])
+
+
+_REWRITTEN = r"^v([0-9a-f]{32})-"
+
+
+def _place() -> Column:
+    """A file's path inside the tree, as the file metadata spell it."""
+    return F.regexp_extract("_metadata.file_path", r"/history/(.*)$", 1)
+
+
+def live_files(df: DataFrame, spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the files that belong to the newest version: those of a rewrite from its commit on, and those it replaces until then.
+
+    The first condition only looks at file names, so files are left out before they are opened.
+    """
+    _, committed, pending = _versions(spark, root)
+    by = F.regexp_extract("_metadata.file_name", _REWRITTEN, 1)
+    df = df.where((by == "") | by.isin(committed) if committed else by == "")
+    if not pending:
+        return df
+    gone = spark.read.schema("file string").parquet(*[f"{root}/_versions/replaced-{i}" for i in pending])
+    columns = df.columns
+    return df.withColumn("_place", _place()).join(gone.select(C("file").alias("_place")), "_place", "left_anti").select(*columns)
+
+
+def _rewrite(spark: SparkSession, df: DataFrame, files: DataFrame, root: str) -> None:
+    """Replace exactly the files that were read by `df`; rows appended meanwhile are in other files and stay. `files`: one column
+    `file`, places inside the tree.
+
+    New files carry the rewrite's id and are not read before its commit, a single rename of a small file that names the rewrite and the list of
+    what it replaces. A reader sees all of the old files or all of the new ones, and a crash at any point leaves no row twice.
+    """
+    name = uuid.uuid4().hex
+    listed = f"{root}/_versions/replaced-{name}"
+    files.select("file").write.parquet(listed)
+    staged = _stage(df, root, name)
+    _publish(spark, staged, root, f"v{name}")
+    mine = spark.read.schema("file string").parquet(listed)
+    while True:
+        last, committed, pending = _versions(spark, root)
+        since = spark.read.schema("file string").parquet(*[f"{root}/_versions/replaced-{i}" for i in pending]) if pending else None
+        if since is not None and not mine.join(since, "file", "left_semi").isEmpty():
+            raise Conflict("files were replaced by another rewrite meanwhile; nothing was changed")
+        if _commit_json(spark, {"committed": [*committed, name], "pending": [*pending, name]}, f"{root}/_versions/{last + 1}.json"):
+            break
+    _delete(spark, staged)
+
+
+def vacuum(spark: SparkSession, root: str) -> int:
+    """Delete the files that committed rewrites have replaced, and what unfinished rewrites have left. Returns the number of files.
+
+    To be run when no reader of an older version and no rewrite is at work.
+    """
+    last, committed, pending = _versions(spark, root)
+    jvm, n = spark._jvm, 0
+    if pending:
+        gone = spark.read.schema("file string").parquet(*[f"{root}/_versions/replaced-{i}" for i in pending]).distinct()
+        for row in gone.toLocalIterator():
+            fs, p = _fs(spark, f"{root}/history/{jvm.java.net.URI(row['file']).getPath()}")
+            n += bool(fs.delete(p, False))
+    names = spark.read.schema(history_schema([])).parquet(f"{root}/history").select("_metadata.file_path", "_metadata.file_name").distinct()
+    by = F.regexp_extract("file_name", _REWRITTEN, 1)
+    dead = names.where((by != "") & ~(by.isin(committed) if committed else F.lit(False)))
+    for row in dead.toLocalIterator():
+        p = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["file_path"]))
+        n += bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False))
+    if pending:
+        _commit_json(spark, {"committed": committed, "pending": []}, f"{root}/_versions/{last + 1}.json")
+        for i in pending:
+            _delete(spark, f"{root}/_versions/replaced-{i}")
+        for k in range(1, last + 1):
+            _delete(spark, f"{root}/_versions/{k}.json")
+    _delete(spark, f"{root}/_staging")
+    return n
+
+
+# --- batches of a stream (X-2) -------------------------------------------------------------------
 def replace_batch(df: DataFrame, root: str, batch: str) -> None:
-    """Put a batch's rows into the tree; files of an earlier try of the same batch go first."""
+    """Put a batch's rows into the tree; what an earlier try of the same batch has put there goes first.
+
+    `<root>/_ledger/<batch>.json` names the files before the first of them is moved, so a replay deletes by name and never lists the tree.
+    """
     spark = df.sparkSession
+    ledger = f"{root}/_ledger/{batch}.json"
+    for f in _read_json(spark, ledger) or []:
+        _delete(spark, f"{root}/history/{f}")
     staged = _stage(with_partition_keys(df), root, batch)
-    fs, top = _fs(spark, f"{root}/history")
-    old = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/history/*/*/*/*/{batch}-part-*"))
-    for f in old or []:
-        fs.delete(f.getPath(), False)
+    _commit_json(spark, [_named(f, batch) for f in _staged_files(spark, staged)], ledger, replace=True)
     _publish(spark, staged, root, batch)
     _delete(spark, staged)
 
 
-def _rewrite(spark: SparkSession, df: DataFrame, files: DataFrame, root: str) -> None:
-    """Replace exactly the files that were read by `df`; rows appended meanwhile are in other files and
-    stay. `files`: one column `file`, which is walked, not collected."""
-    name = uuid.uuid4().hex
-    listed = f"{root}/_staging/{name}-files"
-    files.write.parquet(listed)
-    staged = _stage(df, root, name)
-    _publish(spark, staged, root, name)
-    for row in spark.read.parquet(listed).toLocalIterator():
-        _delete(spark, row["file"])
-    _delete(spark, staged)
-    _delete(spark, listed)
+def forget_batch(spark: SparkSession, root: str, batch: str) -> None:
+    """Drop the ledger of a batch that can't be replayed any more."""
+    _delete(spark, f"{root}/_ledger/{batch}.json")
 
 
 def _with_file(spark: SparkSession, root: str, roles) -> DataFrame:
-    return spark.read.schema(history_schema(roles)).parquet(f"{root}/history").withColumn("_file", C("_metadata.file_path"))
+    return live_files(spark.read.schema(history_schema(roles)).parquet(f"{root}/history").withColumn("_file", _place()), spark, root)
 
 
 def compact(spark: SparkSession, root: str, *, min_files: int = 8, building: str | None = None, roles=None) -> DataFrame:
@@ -198,7 +331,7 @@ def purge_filter(*, building=None, equipment=None, before=None, after=None) -> C
 
 def purge_preview(spark: SparkSession, root: str, **flt) -> DataFrame:
     """S-22: rows that would go, per partition, and whether the partition would be empty."""
-    df = spark.read.schema(history_schema([])).parquet(f"{root}/history")
+    df = live_files(spark.read.schema(history_schema([])).parquet(f"{root}/history"), spark, root)
     hit = F.count(F.when(purge_filter(**flt), 1))
     return (df.groupBy(*PARTITIONS).agg(hit.alias("rows_purged"), (F.count(F.lit(1)) - hit).alias("rows_kept"))
               .where(C("rows_purged") > 0))

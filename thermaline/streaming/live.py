@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.roles import STRING_COLUMNS
-from thermaline.sources.history import replace_batch
+from thermaline.sources.history import forget_batch, live_files, replace_batch
 
 C = F.col
 
@@ -93,6 +93,7 @@ def persist(rows: DataFrame, root: str, checkpoint: str, *, every: str = "60 sec
         bad = C("duplicate_role") | C(TS).isNull()
         batch.where(bad).write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
         replace_batch(batch.where(~bad).drop("message_id", "edge_id", "duplicate_role"), root, f"stream{batch_id}")
+        forget_batch(batch.sparkSession, root, f"stream{batch_id - 1}")  # the checkpoint is past it
 
     w = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
@@ -136,7 +137,7 @@ def rolling_afdd(rows: DataFrame, history_path: str, results_path: str, rule_ids
         first = newest.agg(F.min("_newest")).first()[0]
         if first is None:
             return
-        h = spark.read.schema(schema).parquet(history_path)
+        h = live_files(spark.read.schema(schema).parquet(history_path), spark, history_path.rpartition("/")[0])
         since = F.lit(first) - F.expr(f"INTERVAL {int(reach)} SECONDS")
         h = h.where((C(TS) > since) & (F.concat("year", "month") >= F.date_format(since, "yyyyMM")))
         h = h.join(newest.select(SITE), SITE, "left_semi")
