@@ -6,7 +6,7 @@ buildings, each scoped to its own rows, so that nothing an operator mixes betwee
 
 from oracle.analytics_sql import O as ANALYTICS
 from oracle.core_sql import O as CORE
-from oracle.rules_sql import all_rules_sql, rule_sql
+from oracle.rules_sql import all_rules_sql, rule_sql, without_weather_sql
 from thermaline.sources.driver_tables import RAW_HISTORY_SQL, history_sql
 
 BUILDINGS = ("B1", "B2")
@@ -50,6 +50,7 @@ def _by_building(name: str, sql: str) -> str:
 
 ORACLES: dict[str, str] = {"rule_" + k.lower().replace("-", "_"): v for k, v in rule_sql().items()}
 ORACLES["rules_all"] = all_rules_sql()
+ORACLES["rules_without_weather"] = without_weather_sql()
 ORACLES.update(CORE)
 ORACLES.update(ANALYTICS)
 ORACLES = {name: _by_building(name, sql) for name, sql in ORACLES.items()}

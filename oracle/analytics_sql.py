@@ -199,6 +199,16 @@ O["readings_window"] = (
     f"SELECT equipment_id, {ts('timestamp_utc')}, ROUND(sat, 6) AS sat, ROUND(av, 6) AS sat_avg FROM a WHERE {THIN.format(40)}")
 O["evidence_availability"] = (f"WITH {B} SELECT equipment_id, CASE WHEN COUNT(oa_t) + COUNT(web_oa_t) > 0 THEN 1 ELSE 0 END AS has_oat, "
                               "CASE WHEN COUNT(chiller_status) + COUNT(compressor_status) + COUNT(chiller_cmd) + COUNT(chiller_amps) + COUNT(chiller_power) > 0 THEN 1 ELSE 0 END AS has_cooling_proof, COUNT(*) AS rows FROM history GROUP BY 1")
+_signals = {"chiller_status": "0.05", "compressor_status": "0.05", "chiller_cmd": "0.05", "chiller_amps": "5", "chiller_power": "1"}
+_idle = ", ".join(f"CASE WHEN starts_with(equipment_id, 'AHU') AND {c} IS NOT NULL THEN 0 ELSE {c} END AS {c}" for c in list(_signals)[:3])
+_counts = ", ".join(f"COUNT(*) FILTER (WHERE {c} > {v}) AS on_{c}, COUNT({c}) AS n_{c}" for c, v in _signals.items())
+_first = " ".join([*[f"WHEN on_{c} > 0 THEN '{c}'" for c in _signals], *[f"WHEN n_{c} > 0 THEN '{c}'" for c in _signals]])
+_chosen = " ".join(f"WHEN '{c}' THEN on_{c}" for c in _signals)
+O["cooling_run_proof"] = (
+    f"WITH {B}, h AS (SELECT equipment_id, {_idle}, CASE WHEN NOT starts_with(equipment_id, 'HEATPUMP') THEN chiller_amps END AS chiller_amps, chiller_power FROM history), "
+    f"c AS (SELECT equipment_id, COUNT(*) AS samples, {_counts} FROM h GROUP BY 1), p AS (SELECT *, CASE {_first} END AS proof_role FROM c) "
+    "SELECT equipment_id, proof_role, CASE WHEN proof_role IN ('chiller_amps', 'chiller_power') THEN 'analog' WHEN proof_role IS NOT NULL THEN 'direct' END AS proof_quality, "
+    f"CASE proof_role {_chosen} ELSE 0 END AS on_samples, samples FROM p")
 O["cooling_eligibility"] = (
     "WITH p AS (SELECT 'B' || (p_partkey % 2 + 1) AS building_id, p_brand || '_' || (p_size % 7) AS equipment_id, MAX(CASE WHEN p_type = 'ECONOMY' THEN 1 ELSE 0 END) AS pr, MAX(CASE WHEN p_type IN ('SMALL','MEDIUM') THEN 1 ELSE 0 END) AS su FROM part GROUP BY 1, 2) "
     "SELECT building_id, equipment_id, CASE WHEN pr = 1 AND su = 1 THEN 'high' WHEN pr = 1 OR su = 1 THEN 'medium' ELSE 'none' END AS confidence, GREATEST(pr, su) AS eligible FROM p")

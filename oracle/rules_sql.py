@@ -250,3 +250,17 @@ def all_rules_sql() -> str:
         parts.append(f"SELECT equipment_id, '{i}' AS rule_id, CASE WHEN fault_hours > 0 THEN 'FAULT' ELSE 'PASS' END AS status, "
                      f"fault_hours FROM ({q})")
     return " UNION ALL ".join(parts)
+
+
+def without_weather_sql() -> str:
+    """The rules that read the weather table, where there is none and some air handlers have no readings of their own."""
+    mine = lambda c: f"CASE WHEN starts_with(equipment_id, 'AHU_1') THEN NULL ELSE {c} END"
+    bare = (f"hist AS (SELECT * REPLACE ({mine('web_oa_t')} AS web_oa_t, {mine('web_oa_dp')} AS web_oa_dp), CAST(NULL AS DOUBLE) AS wx_oa_t, "
+            "CAST(NULL AS DOUBLE) AS wx_web_oa_t, CAST(NULL AS DOUBLE) AS wx_web_oa_dp FROM history)")
+    parts = []
+    for i in sorted(WEATHER_RULES):
+        least = f"COUNT({mine('web_oa_t')})" if i in ("OAT-METEO", "ECON-6") else f"LEAST(COUNT({mine('web_oa_t')}), COUNT({mine('web_oa_dp')}))"
+        parts.append(f"SELECT f.equipment_id, '{i}' AS rule_id, CASE WHEN n = 0 THEN 'SKIPPED_MISSING_ROLES' WHEN fault_hours > 0 THEN 'FAULT' ELSE 'PASS' END AS status, "
+                     f"CASE WHEN n > 0 THEN fault_hours END AS fault_hours FROM ({rule_sql()[i].replace(WX, bare)}) f "
+                     f"JOIN (WITH {base_ctes()} SELECT equipment_id, {least} AS n FROM history GROUP BY 1) c ON c.equipment_id = f.equipment_id")
+    return " UNION ALL ".join(parts)

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thermaline.functions.roles import EQ, ID, SITE, TS
-from thermaline.functions.logic import frac, holds, num
+from thermaline.functions.logic import any_of, frac, holds, num
 from thermaline.functions.roles import ensure_roles
 from thermaline.functions.scalars import with_scalars
 from thermaline.operators.confirm import streak
@@ -102,9 +102,21 @@ def attach_weather(history: DataFrame, weather: DataFrame | None) -> DataFrame:
 
 
 # --- annotation ------------------------------------------------------------------------------
-def missing_roles(rule: Rule, columns: Iterable[str]) -> list[str]:
+def missing_roles(rule: Rule, columns: Iterable[str], weather: DataFrame | None = None) -> list[str]:
+    """Required roles without a column. A rule that reads the weather table also needs the readings as its own columns where there is no table."""
     have = {c.lower() for c in columns}
-    return [r for r in rule.required if r not in have]
+    return [r for r in (*rule.required, *(own_weather(rule) if weather is None else ())) if r not in have]
+
+
+def own_weather(rule: Rule) -> list[str]:
+    """The columns in which a rule that reads the weather table finds the readings of equipment that has its own."""
+    return [r for r in rule.optional if r in WX] if rule.weather else []
+
+
+def _no_weather(rule: Rule, weather: DataFrame | None) -> Column | None:
+    """Aggregate: without a weather table, the equipment has no reading of its own either. None where that can't be."""
+    own = own_weather(rule) if weather is None else []
+    return F.least(*[F.count(r) for r in own], F.lit(2**62)) == 0 if own else None
 
 
 def _needed(rules) -> list[str]:
@@ -190,7 +202,7 @@ def run_rule(history: DataFrame, rule_id: str, *, weather: DataFrame | None = No
     """One rule's own result columns per equipment (A-5). A missing required role gives one
     SKIPPED_MISSING_ROLES row per equipment instead of an error."""
     j = _job(rule_id, poll, params)
-    lacking = missing_roles(j.rule, history.columns)
+    lacking = missing_roles(j.rule, history.columns, weather)
     if lacking:
         return (history.select(*ID).distinct()
                 .select(*ID, F.lit(MISSING).alias("status"), F.lit(", ".join(lacking)).alias("missing")))
@@ -201,9 +213,13 @@ def run_rule(history: DataFrame, rule_id: str, *, weather: DataFrame | None = No
         return df.groupBy(*ID).agg(*[c.alias(n) for n, c in j.rule.aggs(j.p).items()])
     a = annotate(df, [j], weather, tiebreak=tiebreak, **kw)
     n = F.sum(C(j.done).cast("int"))
+    if (none := _no_weather(j.rule, weather)) is not None:
+        n = F.when(~none, n)
     out = [fault_hours(n, j.p, j.rule).alias("fault_hours")]
     if j.rule.pct:
         out.append((num(100) * n / F.count(F.lit(1))).alias("fault_pct"))
+    if none is not None:
+        out.append(F.when(none, MISSING).when(n > 0, FAULT).otherwise(PASS).alias("status"))
     if rule_id == "CHW-NOLOAD-1":
         seen = F.max(C("building_zone_load_satisfied").isNotNull() | C("building_ahu_load_satisfied").isNotNull())
         out.append(F.when(~seen, MISSING).when(n > 0, FAULT).otherwise(PASS).alias("status"))
@@ -254,8 +270,8 @@ def run_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
         history, tuned = attach_tuning(history, tuning)
         for j in jobs:
             j.tuned = tuned.get(j.rule.id)
-    ready = [j for j in jobs if not missing_roles(j.rule, history.columns)]
-    skipped = [j for j in jobs if missing_roles(j.rule, history.columns)]
+    ready = [j for j in jobs if not missing_roles(j.rule, history.columns, weather)]
+    skipped = [j for j in jobs if missing_roles(j.rule, history.columns, weather)]
     passes = [[j for j in ready if not j.rule.drops_rows]] + [[j] for j in ready if j.rule.drops_rows]
     parts = []
     for group in filter(None, passes):
@@ -289,16 +305,18 @@ def _run_pass(df, jobs, weather, tiebreak, poll, counted=None, **kw) -> DataFram
         n = F.sum(C(j.done).cast("long"))
         if j.rule.keep is not None:
             n = F.when(holds(j.rule.keep(j.p)), n).otherwise(F.lit(0).cast("long"))
+        if (none := _no_weather(j.rule, weather)) is not None:
+            n = F.when(none, F.lit(-1).cast("long")).otherwise(n)
         if j.rule.where is not None and not j.rule.drops_rows:
             n = F.when(F.max(holds(j.rule.where())), n)
         aggs.append(n.alias(j.rule.id))
+    known = F.when(C("fault_samples") >= 0, C("fault_samples"))
     wide = a.groupBy(*ID).agg(F.count(F.lit(1)).alias("samples"), *aggs)
     return (wide.unpivot([*ID, "samples"], [f"`{j.rule.id}`" for j in jobs], "rule_id", "fault_samples")
                 .where(C("fault_samples").isNotNull())
                 .select(*ID, C("rule_id"),
-                        F.when(C("fault_samples") > 0, FAULT).otherwise(PASS).alias("status"),
-                        (C("fault_samples") * num(poll) / num(3600)).alias("fault_hours"),
-                        C("fault_samples"), C("samples")))
+                        F.when(C("fault_samples") < 0, MISSING).when(C("fault_samples") > 0, FAULT).otherwise(PASS).alias("status"),
+                        (known * num(poll) / num(3600)).alias("fault_hours"), known.alias("fault_samples"), F.when(known.isNotNull(), C("samples")).alias("samples")))
 
 
 # --- operational gates (A-10, A-11) ----------------------------------------------------------
@@ -439,6 +457,8 @@ def run_batch(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
         out = F.when((C("kind") != "unknown") & ~C("kind").isin(list(r.kinds)), NOT_APPLICABLE)
         if cov:
             out = out.when(F.least(*cov, num(1)) <= num(0), MISSING)
+        if own := (own_weather(r) if weather is None else []):
+            out = out.when(any_of(~_has(x) for x in own), MISSING)
         if GATES.get(r.id, ("", 0))[0] == "hydronic_flow" and gates:
             proof = [_has(x) for x in PUMP_PROOF + PUMP_COMMAND]
             out = out.when(~F.greatest(*proof), MISSING)

@@ -37,6 +37,36 @@ def cooling_on(columns) -> Column:
     return F.lit(False)
 
 
+# Cooling signals in order, what each proves by, and whether its limit is that of amps, of power or of a status.
+PROOF_SIGNALS = (("chiller_status", "direct", "status"), ("compressor_status", "direct", "status"), ("chiller_cmd", "direct", "status"),
+                   ("chiller_amps", "analog", "amps"), ("chiller_power", "analog", "power"))
+
+
+def with_cooling_proof(df: DataFrame, *, amps_min: float = 5.0, power_min: float = 1.0, status_min: float = 0.05) -> DataFrame:
+    """B-15: per equipment, the first cooling signal that has an on-sample; where none has, the first that has readings.
+
+    Adds proof_role, proof_quality and cooling_on (false without a proof). The samples of every signal are counted per equipment, with
+    map-side combining, and the choice joins back: one row per equipment.
+    """
+    d = ensure_roles(df, [r for r, _, _ in PROOF_SIGNALS])
+    limit = {"status": status_min, "amps": amps_min, "power": power_min}
+    on = {r: C(r) > num(limit[k]) for r, _, k in PROOF_SIGNALS}
+    picks = d.groupBy(*ID).agg(*[F.count(F.when(on[r], 1)).alias(f"on_{r}") for r in on], *[F.count(r).alias(f"n_{r}") for r in on])
+    quality = {r: q for r, q, _ in PROOF_SIGNALS}
+    first = F.coalesce(*[F.when(C(f"on_{r}") > 0, F.lit(r)) for r in on], *[F.when(C(f"n_{r}") > 0, F.lit(r)) for r in on])
+    picks = picks.select(*ID, first.alias("proof_role"))
+    picks = picks.withColumn("proof_quality", F.coalesce(*[F.when(C("proof_role") == r, F.lit(q)) for r, q in quality.items()]))
+    run = any_of((C("proof_role") == r) & on[r] for r in on)
+    return d.join(picks, list(ID)).withColumn("cooling_on", run).select(*df.columns, "proof_role", "proof_quality", "cooling_on")
+
+
+def cooling_run(df: DataFrame, **kw) -> DataFrame:
+    """B-15: per equipment the chosen proof and the samples it shows cooling in."""
+    return with_cooling_proof(df, **kw).groupBy(*ID).agg(
+        F.max("proof_role").alias("proof_role"), F.max("proof_quality").alias("proof_quality"),
+        F.count(F.when(C("cooling_on"), 1)).alias("on_samples"), F.count(F.lit(1)).alias("samples"))
+
+
 def plant_on(columns) -> Column:
     """Fan, cooling or pump proof, whichever is mapped."""
     have = set(columns)

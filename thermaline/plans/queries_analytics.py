@@ -243,6 +243,14 @@ def evidence_availability(spark, d):
     return e.select(*ID, C("has_oat").cast("int").alias("has_oat"), C("has_cooling_proof").cast("int").alias("has_cooling_proof"), "rows")
 
 
+@query("cooling_run_proof")
+def cooling_run_proof(spark, d):
+    """Air handlers with idle status signals are proven by amps, the others by the first signal that they have."""
+    idle = lambda r: F.when(C(EQ).startswith("AHU") & C(r).isNotNull(), num(0)).otherwise(C(r))
+    h = history(spark, d).withColumns({r: idle(r) for r in ("chiller_status", "compressor_status", "chiller_cmd")})
+    return A.cooling_run(h.withColumn("chiller_amps", F.when(~C(EQ).startswith("HEATPUMP"), C("chiller_amps"))))
+
+
 @query("cooling_eligibility")
 def cooling_eligibility(spark, d):
     kind = (F.when(C("p_type") == "ECONOMY", "status").when(C("p_type") == "SMALL", "amps").when(C("p_type") == "MEDIUM", "power")

@@ -347,6 +347,14 @@ def sql_over_views(spark, d):
     return H.run_sql(spark, q, {"history": history(spark, d)}, {"lim": 80.0})
 
 
+@query("rules_without_weather")
+def rules_without_weather(spark, d):
+    """Rules that read the weather table, without one: equipment that has no readings of its own is skipped, not passed."""
+    own = {r: F.when(~C(EQ).startswith("AHU_1"), C(r)) for r in ("web_oa_t", "web_oa_dp")}
+    r = runner.run_rules(history(spark, d).withColumns(own), ["OAT-METEO", "ECON-3", "ECON-6", "ECON-7"])
+    return rounded(r.select(*ID, "rule_id", "status", "fault_hours"))
+
+
 # --- sensors ---------------------------------------------------------------------------------
 @query("operating_state")
 def operating_state(spark, d):

@@ -125,9 +125,10 @@ def rolling_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | Non
 
 
 def rolling_afdd(rows: DataFrame, history_path: str, results_path: str, rule_ids, checkpoint: str, *, schema: T.StructType,
-                 hours: float = 24.0, poll: float = 300.0, params=None, once: bool = True):
+                 weather: DataFrame | None = None, hours: float = 24.0, poll: float = 300.0, params=None, once: bool = True):
     """X-5/X-7: after each micro-batch re-evaluate the window of the buildings that received data, late
-    rows included, and replace their results. Only the months that a window can reach are read."""
+    rows included, and replace their results. Only the months that a window can reach are read, and of each building the rows
+    that its own window can reach. Without `weather`, rules that need it are skipped."""
     from thermaline.operators.runner import lead_in_rows
     reach = hours * 3600 + lead_in_rows(rule_ids, poll=poll, params=params) * poll
 
@@ -140,8 +141,9 @@ def rolling_afdd(rows: DataFrame, history_path: str, results_path: str, rule_ids
         h = live_files(spark.read.schema(schema).parquet(history_path), spark, history_path.rpartition("/")[0])
         since = F.lit(first) - F.expr(f"INTERVAL {int(reach)} SECONDS")
         h = h.where((C(TS) > since) & (F.concat("year", "month") >= F.date_format(since, "yyyyMM")))
-        h = h.join(newest.select(SITE), SITE, "left_semi")
-        res = rolling_rules(h, rule_ids, hours=hours, poll=poll, params=params)
+        # a building's persisted rows may be newer than those of the batch, so this only bounds what is read
+        h = h.join(newest, SITE).where(C(TS) > C("_newest") - F.expr(f"INTERVAL {int(reach)} SECONDS")).drop("_newest")
+        res = rolling_rules(h, rule_ids, weather=weather, hours=hours, poll=poll, params=params)
         (res.write.mode("overwrite").partitionBy(SITE).option("partitionOverwriteMode", "dynamic").parquet(results_path))
 
     w = rows.writeStream.foreachBatch(evaluate).option("checkpointLocation", checkpoint)
