@@ -210,3 +210,20 @@ def test_span_without_punctuation_is_cut_alike():
     cut = [p.strip() for p in spans.split(" ".join(["lead", "in", *run]))]
     other = [p.strip() for p in spans.split(" ".join(["something", "else", "before", *run, "after"]))]
     assert len(set(cut[1:-1]) & set(other)) >= len(cut) - 2 > 3
+
+
+def test_equal_hashes_under_null_ids_neither_mix_nor_lose_documents(spark, monkeypatch):
+    """Two unlike texts without an id whose hashes are the same (forced): nothing foreign is removed, and both stay."""
+    from thermaline.llm import common
+
+    same = lambda i, t: [common.ident(i, t)[0], F.lit(7).cast("long").alias("th")]
+    monkeypatch.setattr(spans, "ident", same)
+    monkeypatch.setattr(simhash, "ident", same)
+    a = "The harbour was quiet that morning, and nobody had expected the ferry to come in before noon. "
+    b = "A tall clerk wrote the numbers down, then closed the ledger and put it away for the winter months. "
+    c = "Seven children ran across the bridge to see the kites, which the wind had carried over the river. "
+    rows = [(1, a + b), (None, a + b + c + "And more."), (None, "Nothing at all here is said twice, so all of these words have to stay where they are, every one.")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["text"] for r in spans.op8(docs).where("doc_id is null").collect()}
+    assert rows[2][1] in out and any(t.startswith(c.strip()[:20]) for t in out)
+    assert {r["text"] for r in simhash.representatives(docs).collect()} >= {rows[1][1], rows[2][1]}

@@ -52,8 +52,8 @@ def words(text: Column) -> Column:
 
 
 def ident(id_col: str, text_col: str) -> list[Column]:
-    """The inner key of a document: `did` (null ids last) and `th`, which keeps different texts under one id apart."""
-    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.hash(F.col(text_col)).alias("th")]
+    """The inner key of a document: `did` (null ids last) and `th`, 64 bits that keep different texts under one id apart."""
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(F.col(text_col)).alias("th")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -76,7 +76,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if out:
                 yield pd.DataFrame({"did": batch["did"], "th": batch["th"], "fp": np.concatenate(out).view(np.int64)})
 
-    return docs.select(*ident(id_col, text_col), F.col(text_col).alias("text")).mapInPandas(run, "did long, th int, fp long")
+    return docs.select(*ident(id_col, text_col), F.col(text_col).alias("text")).mapInPandas(run, "did long, th long, fp long")
 
 
 def forest(n: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,8 +157,9 @@ def op2(docs: DataFrame) -> DataFrame:
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without all but the first document of each component; repeated rows stay once."""
+    """The rows of `docs` without all but the first document of each component; repeated rows stay once. Texts are compared whole
+    before one of two rows of one id goes as a repetition, so documents of equal hashes stay."""
     kept = near_duplicates(docs, id_col, text_col).where((F.col("root.did") == F.col("did")) & (F.col("root.th") == F.col("th"))).select("did", "th").distinct()
     did, th = ident(id_col, text_col)
-    inner = docs.select(did.alias("did"), th.alias("th"), F.struct(*docs.columns).alias("row"))
-    return inner.join(kept, ["did", "th"], "left_semi").dropDuplicates(["did", "th"]).select("row.*")
+    inner = docs.select(did.alias("did"), th.alias("th"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
+    return inner.join(kept, ["did", "th"], "left_semi").dropDuplicates(["did", "th", "text"]).select("row.*")

@@ -7,7 +7,7 @@ normalised, and compared over the whole corpus. Each piece covered by a span tha
 document) is removed.
 
 Null text counts as empty and stays null. Null ids come last in the order. Repeated rows are one document; different texts under
-one id are told apart by their hash. An empty table gives no rows; other columns of the input are ignored.
+one id are told apart by a 64-bit hash and their length. An empty table gives no rows; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -80,7 +80,7 @@ def without(text: str, starts: np.ndarray, min_pieces: int = MIN_PIECES, min_wor
 
 
 def span_hashes(docs: DataFrame, min_pieces: int, min_words: int) -> DataFrame:
-    """(h1, h2, did, at) of each span; at = th << 32 | piece. Spans that repeat an earlier one of the same batch get null hashes: they
+    """(h1, h2, did, th, n, at) of each span; n: characters of the document's text, at: piece. Spans that repeat an earlier one of the same batch get null hashes: they
     are decided, and a span that many documents share leaves each batch once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,41 +88,43 @@ def span_hashes(docs: DataFrame, min_pieces: int, min_words: int) -> DataFrame:
 
         low = 2**64 - 1
         for batch in batches:
-            batch = batch.sort_values(["did", "th"], kind="stable")
-            high, rest, did, at = [], [], [], []
-            for d, th, text in zip(batch["did"].tolist(), batch["th"].tolist(), batch["text"], strict=True):
+            batch = batch.sort_values(["did", "th", "n"], kind="stable")
+            high, rest, did, ths, sizes, at = [], [], [], [], [], []
+            for d, th, n, text in zip(batch["did"].tolist(), batch["th"].tolist(), batch["n"].tolist(), batch["text"], strict=True):
                 norm, first, end = runs(split(text or ""), min_pieces, min_words)
                 found = [xxh3_128_intdigest("\n".join(norm[a:b]).encode("utf-8", "surrogatepass")) for a, b in zip(first.tolist(), end.tolist(), strict=True)]
                 high += [x >> 64 for x in found]
                 rest += [x & low for x in found]
                 did.append(np.full(len(found), d))
-                at.append((th << 32) + first)
+                ths.append(np.full(len(found), th))
+                sizes.append(np.full(len(found), n, np.int32))
+                at.append(first.astype(np.int32))
             if not high:
                 continue
             out = pd.DataFrame({"h1": np.array(high, np.uint64).view(np.int64), "h2": np.array(rest, np.uint64).view(np.int64),
-                                "did": np.concatenate(did), "at": np.concatenate(at)}).drop_duplicates()
+                                "did": np.concatenate(did), "th": np.concatenate(ths), "n": np.concatenate(sizes), "at": np.concatenate(at)}).drop_duplicates()
             known = out.duplicated(["h1", "h2"])
             out["h2"] = out["h2"].astype("Int64").mask(known)
-            out["h1"] = out["h1"].mask(known, out["did"] * 1_000_003 + out["at"])  # spreads the decided rows
+            out["h1"] = out["h1"].mask(known, out["did"] * 1_000_003 + out["th"] + out["at"])  # spreads the decided rows
             yield out
 
-    return docs.mapInPandas(run, "h1 long, h2 long, did long, at long")
+    return docs.mapInPandas(run, "h1 long, h2 long, did long, th long, n int, at int")
 
 
 def repeated(docs: DataFrame, min_pieces: int, min_words: int) -> DataFrame:
-    """(did, th, starts) of the spans that occur earlier; one row per document that has any."""
+    """(did, th, n, starts) of the spans that occur earlier; one row per document that has any."""
     spans = span_hashes(docs, min_pieces, min_words)
-    nth = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("did", "at"))
+    nth = F.dense_rank().over(Window.partitionBy("h1", "h2").orderBy("did", "th", "n", "at"))
     later = spans.withColumn("nth", nth).where((F.col("nth") > 1) | F.col("h2").isNull())
-    at = F.col("at")
-    return later.groupBy("did", F.shiftright(at, 32).cast("int").alias("th")).agg(F.collect_list(at.bitwiseAND(0xFFFFFFFF).cast("int")).alias("starts"))
+    return later.groupBy("did", "th", "n").agg(F.collect_list("at").alias("starts"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_pieces: int = MIN_PIECES,
                    min_words: int = MIN_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """id, text without repeated spans, n_pieces and n_removed of each row of `docs`, and its columns `keep` in a struct `kept`."""
-    read = docs.select(*ident(id_col, text_col), F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
-    spans = repeated(read.select("did", "th", "text"), min_pieces, min_words)
+    size = F.coalesce(F.char_length(text_col), F.lit(0)).alias("n")
+    read = docs.select(*ident(id_col, text_col), size, F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept"))
+    spans = repeated(read.select("did", "th", "n", "text"), min_pieces, min_words)
 
     @F.pandas_udf("text string, n_pieces long, n_removed long")
     def cut(text: pd.Series, starts: pd.Series) -> pd.DataFrame:
@@ -131,7 +133,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         out["text"] = out["text"].where(text.notna().to_numpy(), None)
         return out
 
-    found = read.join(spans, ["did", "th"], "left").withColumn("cut", cut("text", "starts"))
+    found = read.join(spans, ["did", "th", "n"], "left").withColumn("cut", cut("text", "starts"))
     return found.select(F.col("id").alias(id_col), F.col("cut.text").alias(text_col), "cut.n_pieces", "cut.n_removed", "kept")
 
 
