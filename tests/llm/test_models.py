@@ -239,19 +239,19 @@ def test_chunks_equal_one_pass(model):
         best, back = model.forward(text, [0], len(text))
         want = model.ids(text, pieces.trace(back, len(text)))
         for size in (16, 23, 64):
-            cut = pieces.chunks(model, text, size)
-            matrices = [pieces.transfer(model, t, n) for t, n in cut]
+            cut = [pieces.part(model, t, n) for t, n in pieces.chunks(model, text, size)]
+            matrices = [pieces.transfer(model, p) for p in cut]
             rows = [r.tolist() for r in pieces.entries(matrices)]
             total = matrices[0]
             for m in matrices[1:]:
                 total = pieces.product(total, m)
             assert total[0, 0] == best[len(text)]
             exits, at = [], 0
-            for (t, n), row in zip(reversed(cut), reversed(rows), strict=True):
+            for p, row in zip(reversed(cut), reversed(rows), strict=True):
                 exits.append(at)
-                at = pieces.entry_of(model, t, n, row)[at]
+                at = pieces.entry_of(model, p, row)[at]
             assert at == 0
-            got = b"".join(pieces.chunk_ids(model, t, n, row, e) for (t, n), row, e in zip(cut, rows, reversed(exits), strict=True))
+            got = b"".join(pieces.chunk_ids(model, p, row, e) for p, row, e in zip(cut, rows, reversed(exits), strict=True))
             assert np.frombuffer(got, "<u4").tolist() == want, (trial, size)
 
 
