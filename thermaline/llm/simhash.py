@@ -156,10 +156,15 @@ def op2(docs: DataFrame) -> DataFrame:
                                         no_id(F.col("root.did")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` without all but the first document of each component; repeated rows stay once. Texts are compared whole
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of `docs` that `found` (did, th, root) names as roots; repeated rows stay once. Texts are compared whole
     before one of two rows of one id goes as a repetition, so documents of equal hashes stay."""
-    kept = near_duplicates(docs, id_col, text_col).where((F.col("root.did") == F.col("did")) & (F.col("root.th") == F.col("th"))).select("did", "th").distinct()
+    kept = found.where((F.col("root.did") == F.col("did")) & (F.col("root.th") == F.col("th"))).select("did", "th").distinct()
     did, th = ident(id_col, text_col)
     inner = docs.select(did.alias("did"), th.alias("th"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("row"))
     return inner.join(kept, ["did", "th"], "left_semi").dropDuplicates(["did", "th", "text"]).select("row.*")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without all but the first document of each component."""
+    return first_of_each(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
