@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermaline.llm import packing, privacy, simhash, spans, toxicity
+from thermaline.llm import near_copies, packing, privacy, spans, toxicity
 from thermaline.llm.common import staged
 
 
@@ -30,8 +30,8 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of SimHash links."""
-    return simhash.representatives(docs)
+    """The document of smallest id of each group of near copies (five-word shingles, similarity 0.8, candidates by SimHash)."""
+    return near_copies.representatives(docs)
 
 
 def remove_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
