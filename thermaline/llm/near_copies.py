@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from itertools import pairwise, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -45,6 +45,7 @@ GROUP = 1 << 18
 #: Size bands between a size and its `SIMILARITY`-th part.
 BANDS = 4
 _BLOCK = 1 << 16
+_RUNS = 64
 _LOOSE = np.uint64([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9])
 
 
@@ -65,19 +66,20 @@ def _mixed(h: np.ndarray, salt: np.uint64) -> np.ndarray:
 
 
 def wide(sets: list[np.ndarray]) -> np.ndarray:
-    """(documents, 4) words of 64 bits: the majorities over each set; an empty one gives zeros."""
+    """(documents, 4) words of 64 bits: the majorities over each set; an empty one gives zeros.
+
+    Bits are spread over bytes and added eight bytes at a time, in runs of at most 255 hashes, so no byte overflows.
+    """
     size = np.array([len(s) for s in sets], dtype=np.int64)
-    edge = np.concatenate([[0], np.cumsum(size)])
-    hashes = np.concatenate([*sets, np.empty(0, np.uint64)])
     counts = np.zeros((len(sets), 256), dtype=np.int64)
-    for lo, hi in pairwise([*range(0, len(hashes), _BLOCK), len(hashes)]):
-        a, b = np.searchsorted(edge, lo, side="right") - 1, np.searchsorted(edge, hi, side="left")
-        owners = np.arange(a, b)[size[a:b] > 0]
-        starts = np.maximum(edge[owners], lo) - lo
-        block = hashes[lo:hi]
+    runs = [(at, s[lo:lo + 255]) for at, s in enumerate(sets) for lo in range(0, len(s), 255)]
+    for lo in range(0, len(runs), _RUNS):
+        part = runs[lo:lo + _RUNS]
+        block = np.concatenate([s for _, s in part])
         words = np.stack([block, *[_mixed(block, salt) for salt in _LOOSE]], axis=1)
-        bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(len(block), 32), axis=1)
-        counts[owners] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+        lanes = np.unpackbits(words.view(np.uint8), axis=1).view(np.uint64)
+        starts = np.concatenate([[0], np.cumsum([len(s) for _, s in part])[:-1]])
+        np.add.at(counts, [at for at, _ in part], np.add.reduceat(lanes, starts, axis=0).view(np.uint8))
     return np.packbits(2 * counts > size[:, None], axis=1).view(np.uint64).reshape(len(sets), 4)
 
 
