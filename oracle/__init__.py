@@ -12,7 +12,7 @@ from thermaline.sources.driver_tables import RAW_HISTORY_SQL, history_sql
 BUILDINGS = ("B1", "B2")
 #: Results without a building column: rows of single events, or keys that name the building.
 UNLABELLED = {"join_exact_hour", "join_asof_previous", "join_floor_hour", "join_weather_15m", "fill_forward", "fill_backward", "fill_linear",
-              "fill_constant", "fault_records_cleared", "finding_candidates", "finding_scores", "finding_scope"}
+              "fill_constant", "fault_lifecycle", "fault_records_cleared", "finding_candidates", "finding_scores", "finding_scope"}
 #: Counts over all buildings, where the series of a building stay apart by their key only.
 FLEET = {"append_report", "compare_results", "analyze_quality", "ingest_quality_gate", "preset_coverage", "tuning_delta", "tuning_hints",
          "results_listing", "top_fault_rules"}

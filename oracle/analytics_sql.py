@@ -353,6 +353,15 @@ RES = results(FR)
 SEV = "CASE WHEN rule_id LIKE 'CHW%' THEN 'critical' WHEN rule_id LIKE 'VAV%' THEN 'info' ELSE 'warning' END"
 REC = f"{RES}, rec AS (SELECT *, '@SITE@|' || equipment_id || '|' || rule_id AS fault_id, 'confirmed' AS st, {SEV} AS sev FROM res WHERE fault_hours > 0)"
 O["fault_summary"] = f"WITH {REC} SELECT 0::BIGINT AS raw_count, COUNT(*) AS confirmed_count, 0::BIGINT AS cleared_count, COUNT(*) AS active_count, COUNT(*) AS total_count FROM rec"
+_SNOOZED = "(equipment_id LIKE 'VAV%' AND rule_id = 'VAV-5')"
+LIFE = (f"{REC}, life AS (SELECT fault_id, 1 AS episode, CASE WHEN {_SNOOZED} THEN 'cleared' ELSE st END AS status, sev AS severity, '2024-01-10' AS opened_at, "
+        f"CASE WHEN {_SNOOZED} THEN '2024-01-10' ELSE '2024-02-01' END AS last_seen_at, CASE WHEN {_SNOOZED} THEN '2024-01-12' END AS cleared_at, "
+        f"CASE WHEN {_SNOOZED} THEN 'user' END AS cleared_by FROM rec "
+        f"UNION ALL SELECT fault_id, 2, st, sev, '2024-02-01', '2024-02-01', NULL, NULL FROM rec WHERE {_SNOOZED} AND equipment_id LIKE '%1')")
+O["fault_lifecycle"] = f"WITH {LIFE} SELECT * FROM life"
+O["fault_lifecycle_summary"] = (
+    f"WITH {LIFE} SELECT COUNT(*) FILTER (status = 'raw') AS raw_count, COUNT(*) FILTER (status = 'confirmed') AS confirmed_count, "
+    "COUNT(*) FILTER (status = 'cleared') AS cleared_count, COUNT(*) FILTER (status <> 'cleared') AS active_count, COUNT(*) AS total_count FROM life")
 O["fault_records_cleared"] = f"WITH {REC} SELECT fault_id, st AS status, sev AS severity FROM rec WHERE NOT (equipment_id LIKE 'VAV%' AND rule_id = 'VAV-5' AND equipment_id NOT LIKE '%1')"
 SF = f"{B}, fb AS (SELECT *, CASE WHEN {PREDICATES['AHU-SATDEV'][1]} THEN 1 ELSE 0 END AS f FROM history), fi AS ({islands('fb', 'f')}), fl AS (SELECT *, CASE WHEN f = 1 AND len >= 2 THEN 1 ELSE 0 END AS cf FROM fi)"
 O["fault_trend"] = f"WITH {SF} SELECT strftime(timestamp_utc, '%Y-%m-%d') AS day, COUNT(*) AS raw_fault_samples FROM fl WHERE f = 1 GROUP BY 1"

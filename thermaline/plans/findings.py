@@ -28,6 +28,45 @@ def fault_records(results: DataFrame, clears: DataFrame | None = None, *, now: C
     return r.join(hidden, "fault_id", "left_anti")
 
 
+#: A fault's intervals: one row per (fault, episode); `cleared_at` is null while it is open.
+LIFECYCLE = ("fault_id STRING, building_id STRING, equipment_id STRING, rule_id STRING, episode INT, status STRING, severity STRING, "
+             "opened_at TIMESTAMP, last_seen_at TIMESTAMP, cleared_at TIMESTAMP, cleared_by STRING")
+
+
+def update_lifecycle(state: DataFrame, results: DataFrame, *, now: Column, clears: DataFrame | None = None) -> DataFrame:
+    """H-1/H-13: the interval table after an evaluation at `now`. A fault in the results opens an interval or keeps its open one; a
+    fault that was evaluated without samples in fault is cleared (`recovered`), one whose snooze lasts is cleared (`user`) and stays
+    closed until the snooze ends. A fault that comes back opens the next episode. Faults that weren't evaluated keep their state, and
+    the same evaluation applied twice changes nothing.
+
+    `state`: LIFECYCLE; `results`: as for `fault_records`, one row per evaluated (equipment, rule), those without faults included;
+    `clears`: fault_id, snooze_until.
+    """
+    seen = results.select(F.concat_ws("|", *ID, "rule_id").alias("fault_id"), *[C(c).alias("_" + c) for c in (*ID, "rule_id", "severity")],
+                          (F.coalesce("raw_samples", F.lit(0)) > 0).alias("_raw"), (F.coalesce("fault_samples", F.lit(0)) > 0).alias("_sure"))
+    if clears is None:
+        seen = seen.withColumn("_snoozed", F.lit(False))
+    else:
+        hidden = clears.where(C("snooze_until") > now).select("fault_id").distinct().withColumn("_hidden", F.lit(True))
+        seen = seen.join(hidden, "fault_id", "left").withColumn("_snoozed", C("_hidden").isNotNull()).drop("_hidden")
+    past = state.groupBy("fault_id").agg(F.max("episode").alias("_episodes"), F.max(C("cleared_at").isNull()).alias("_open"))
+    seen = seen.withColumns({"_active": C("_raw") | C("_sure"), "_status": F.when(C("_sure"), "confirmed").otherwise("raw")})
+    kept = state.join(seen, "fault_id", "left")
+    live = C("cleared_at").isNull() & C("_active").isNotNull()
+    stays, ends = live & C("_active") & ~C("_snoozed"), live & (~C("_active") | C("_snoozed"))
+    kept = kept.select("fault_id", *ID, "rule_id", "episode",
+                       F.when(stays, C("_status")).when(ends, "cleared").otherwise(C("status")).alias("status"),
+                       F.when(stays, C("_severity")).otherwise(C("severity")).alias("severity"), "opened_at",
+                       F.when(stays, now).otherwise(C("last_seen_at")).alias("last_seen_at"),
+                       F.when(ends, now).otherwise(C("cleared_at")).alias("cleared_at"),
+                       F.when(ends & C("_snoozed"), "user").when(ends, "recovered").otherwise(C("cleared_by")).alias("cleared_by"))
+    fresh = seen.where(C("_active") & ~C("_snoozed")).join(past, "fault_id", "left").where(~F.coalesce("_open", F.lit(False)))
+    fresh = fresh.select("fault_id", *[C("_" + c).alias(c) for c in (*ID, "rule_id")], (F.coalesce("_episodes", F.lit(0)) + 1).cast("int").alias("episode"),
+                         C("_status").alias("status"), C("_severity").alias("severity"), now.alias("opened_at"), now.alias("last_seen_at"),
+                         F.lit(None).cast("timestamp").alias("cleared_at"), F.lit(None).cast("string").alias("cleared_by"))
+    return kept.unionByName(fresh)
+
+
 def fault_summary(records: DataFrame) -> DataFrame:
     n = lambda *s: F.count(F.when(C("status").isin(*s), 1))
     return records.groupBy(SITE).agg(n("raw").alias("raw_count"), n("confirmed").alias("confirmed_count"), n("cleared").alias("cleared_count"),

@@ -465,6 +465,32 @@ def fault_summary(spark, d):
     return X.fault_summary(_records(spark, d))
 
 
+def _lifecycle(spark, d):
+    """Three evaluations: all faults open, VAV-5 snoozed everywhere, and snoozes ended at every tenth box."""
+    r = _results(spark, d, F_RULES)
+    sev = F.when(C("rule_id").startswith("CHW"), "critical").when(C("rule_id").startswith("VAV"), "info").otherwise("warning")
+    r = r.withColumns({"raw_samples": C("fault_samples"), "severity": sev})
+    eq = history(spark, d).where(runner.equipment_kind() == "vav").select(*ID).distinct()
+    clears = eq.select(F.concat_ws("|", *ID, F.lit("VAV-5")).alias("fault_id"), F.when(C(EQ).endswith("1"), F.lit("2024-01-15 00:00:00"))
+                       .otherwise("2024-03-01 00:00:00").cast("timestamp").alias("snooze_until"))
+    at = lambda day: F.lit(f"2024-{day} 00:00:00").cast("timestamp")
+    r = materialize(r)
+    state = X.update_lifecycle(spark.createDataFrame([], X.LIFECYCLE), r, now=at("01-10"))
+    state = X.update_lifecycle(materialize(state), r, now=at("01-12"), clears=clears)
+    return X.update_lifecycle(materialize(state), r, now=at("02-01"), clears=clears)
+
+
+@query("fault_lifecycle")
+def fault_lifecycle(spark, d):
+    day = lambda c: F.date_format(c, "yyyy-MM-dd").alias(c)
+    return _lifecycle(spark, d).select("fault_id", "episode", "status", "severity", day("opened_at"), day("last_seen_at"), day("cleared_at"), "cleared_by")
+
+
+@query("fault_lifecycle_summary")
+def fault_lifecycle_summary(spark, d):
+    return X.fault_summary(_lifecycle(spark, d))
+
+
 @query("fault_records_cleared")
 def fault_records_cleared(spark, d):
     eq = history(spark, d).where(runner.equipment_kind() == "vav").select(*ID).distinct()

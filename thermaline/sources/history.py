@@ -106,6 +106,23 @@ def _delete(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
+def delete_tree(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
+
+
+def folders(spark: SparkSession, path: str) -> list[str]:
+    """The names of the folders in a folder; none if it doesn't exist."""
+    fs, p = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isDirectory()) if fs.exists(p) else []
+
+
+def snapshots(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the completely written snapshots in a folder, in order."""
+    fs, _ = _fs(spark, path)
+    done = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return sorted(int(n) for n in folders(spark, path) if n.isdigit() and done(n))
+
+
 def _publish(spark: SparkSession, staged: str, root: str, prefix: str) -> None:
     """Move the staged files into the tree under names that start with `prefix`."""
     fs, _ = _fs(spark, staged)

@@ -3,6 +3,7 @@ confirmation (X-1 to X-9)."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from thermaline.functions.roles import EQ, ID, SITE, TS
 from thermaline.functions.roles import STRING_COLUMNS
-from thermaline.sources.history import forget_batch, live_files, replace_batch
+from thermaline.sources.history import delete_tree, folders, forget_batch, live_files, replace_batch, snapshots
 
 C = F.col
 
@@ -85,14 +86,59 @@ def drop_repeats(env: DataFrame, *, delay: str = "24 hours") -> DataFrame:
     return env.dropDuplicates(["edge_id", "message_id"])
 
 
+def stream_name(checkpoint: str) -> str:
+    """A folder name for the stream that owns a checkpoint."""
+    return f"{zlib.crc32(checkpoint.rstrip('/').encode()):08x}"
+
+
+def fold_progress(counts: DataFrame, folder: str, batch_id: int, keys: list[str], merge: dict) -> None:
+    """Snapshot `batch_id` of a stream's totals: the newest earlier snapshot merged with a batch's `counts`, one row per key. A
+    replayed batch starts from the same earlier snapshot and writes the same rows, so nothing counts twice; maxima never fall."""
+    spark = counts.sparkSession
+    known = snapshots(spark, folder)
+    before = [n for n in known if n < batch_id]
+    if before:
+        counts = spark.read.parquet(f"{folder}/{before[-1]}").select(counts.columns).union(counts)
+    total = counts.groupBy(*keys).agg(*[f(c).alias(c) for c, f in merge.items()])
+    total.coalesce(1).write.mode("overwrite").parquet(f"{folder}/{batch_id}")
+    for n in before[:-1]:
+        delete_tree(spark, f"{folder}/{n}")
+
+
+def progress(spark: SparkSession, root: str, kind: str = "rows") -> DataFrame | None:
+    """X-3/X-4: what the streams into a tree have stored, from the last snapshot of each. `rows`: building_id, watermark (its newest
+    stamp), rows, rejects. `repeats`: edge_id, messages, repeats (see `count_repeats`). None before the first batch."""
+    last = [f"{root}/_progress/{kind}/{s}/{n[-1]}" for s in folders(spark, f"{root}/_progress/{kind}") if (n := snapshots(spark, f"{root}/_progress/{kind}/{s}"))]
+    if not last:
+        return None
+    df = spark.read.parquet(*last)
+    key = df.columns[0]
+    return df.groupBy(key).agg(*[(F.max if c == "watermark" else F.sum)(c).alias(c) for c in df.columns[1:]])
+
+
+def count_repeats(env: DataFrame, root: str, checkpoint: str, *, delay: str = "24 hours", every: str = "60 seconds", once: bool = False):
+    """X-4: stored counts of distinct and repeated messages per edge, from the undropped stream of envelopes. A message is counted when
+    the watermark has passed its hour by `delay`, the time for which `drop_repeats` knows it; the state is one counter per message."""
+    n = (env.withWatermark("observed_at", delay).groupBy(F.window("observed_at", "1 hour"), "edge_id", "message_id").agg(F.count(F.lit(1)).alias("n")))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        counts = batch.groupBy("edge_id").agg(F.count(F.lit(1)).alias("messages"), F.sum(C("n") - 1).alias("repeats"))
+        fold_progress(counts, f"{root}/_progress/repeats/{stream_name(checkpoint)}", batch_id, ["edge_id"], {"messages": F.sum, "repeats": F.sum})
+
+    w = n.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w.trigger(processingTime=every)).start()
+
+
 def persist(rows: DataFrame, root: str, checkpoint: str, *, every: str = "60 seconds", once: bool = False):
     """X-2/X-3: append to the monthly tree that the batch writers use. The checkpoint is the progress
     marker; a replayed micro-batch replaces the files it wrote before. Rows of envelopes that name a
-    role twice go to `<root>/rejects`, by batch."""
+    role twice go to `<root>/rejects`, by batch. Marks and counts are kept by `fold_progress`, see `progress`."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        bad = C("duplicate_role") | C(TS).isNull()
+        bad = F.coalesce(C("duplicate_role"), F.lit(False)) | C(TS).isNull()
         batch.where(bad).write.mode("overwrite").parquet(f"{root}/rejects/batch={batch_id}")
         replace_batch(batch.where(~bad).drop("message_id", "edge_id", "duplicate_role"), root, f"stream{batch_id}")
+        counts = batch.groupBy(SITE).agg(F.max(F.when(~bad, C(TS))).alias("watermark"), F.count(F.when(~bad, 1)).alias("rows"), F.count(F.when(bad, 1)).alias("rejects"))
+        fold_progress(counts, f"{root}/_progress/rows/{stream_name(checkpoint)}", batch_id, [SITE], {"watermark": F.max, "rows": F.sum, "rejects": F.sum})
         forget_batch(batch.sparkSession, root, f"stream{batch_id - 1}")  # the checkpoint is past it
 
     w = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
