@@ -20,12 +20,12 @@ def edited(rng, text, share):
 
 def similarity(a, b):
     both = len(np.intersect1d(a, b))
-    return both / (len(a) + len(b) - both)
+    return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
 def grouped(rows):
     """Smallest id of each id's group, by all pairs."""
-    sets = {i: nc.shingle_set(t) for i, t in rows}
+    sets = {i: nc.shingle_set(t or "") for i, t in rows}
     low = {i: i for i in sets}
     ids = sorted(sets)
     changed = True
