@@ -276,6 +276,10 @@ O["column_profile"] = (
     f"WITH {B}, v AS (SELECT 'occ_mode' AS \"column\", TRIM(occ_mode) AS v FROM history UNION ALL SELECT 'equipment_id', TRIM(equipment_id) FROM history) "
     "SELECT \"column\", 'text' AS kind, COUNT(*) AS rows, COUNT(*) FILTER (WHERE v IS NULL OR v = '') AS blank, COUNT(*) FILTER (WHERE TRY_CAST(v AS DOUBLE) IS NOT NULL AND v <> '') AS numeric, "
     "MIN(v) AS example FROM v GROUP BY 1")
+O["csv_quarantine"] = (
+    "SELECT 'U' || (user_id % 8)::VARCHAR AS unit, CASE WHEN event_type = 'signup' THEN 'open_quote' WHEN event_id % 10 = 0 THEN 'blank_stamp' "
+    "WHEN event_type = 'error' THEN 'bad_stamp' ELSE 'ok' END AS parse_status, COUNT(*) AS n, ROUND(SUM(value), 4) AS total, COUNT(event_type) AS modes, "
+    "TRUE AS numbered FROM events GROUP BY 1, 2")
 O["analyze_quality"] = (
     f"WITH {RAW}, h AS (SELECT {HR.format('timestamp_utc')} AS t, CASE WHEN event_type = 'view' THEN event_type END AS note FROM raw) "
     "SELECT 'duplicate_timestamp' AS issue, 'timestamp_utc' AS \"column\", COUNT(*) - COUNT(DISTINCT t) AS n FROM h UNION ALL "

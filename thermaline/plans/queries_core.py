@@ -9,7 +9,8 @@ from thermaline.functions import roles as roles_mod
 from thermaline.functions.logic import num
 from thermaline.operators import align, confirm, quality, runner, sensors, topology
 from thermaline.plans.base import history, query, raw_history, rounded, stamp, weather
-from thermaline.sources import driver_tables as D
+from thermaline.plans.store import shared_path
+from thermaline.sources import csv_ingest, driver_tables as D
 from thermaline.sources import history as H
 
 C = F.col
@@ -295,6 +296,25 @@ def column_profile(spark, d):
     return quality.column_profile(h, ["occ_mode", EQ]).select("column", "kind", "rows", "blank", "numeric", "example")
 
 
+@query("csv_quarantine")
+def csv_quarantine(spark, d):
+    """All events as CSV packages with damaged lines, read back: records by status, and whether each file is numbered without gaps."""
+    e = D.table(spark, d, "events").withColumn("unit", F.concat(F.lit("U"), C("user_id") % 8))
+    wall = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    zone = F.when(C("event_type") == "error", F.lit("")).otherwise(F.lit("Z"))
+    root = shared_path(spark, "csv")
+    (e.select("unit", F.when(C("event_id") % 10 > 0, F.concat(wall, zone)).alias(TS), C("value").alias("sat"),
+              F.when(C("event_type") == "signup", F.lit('5" duct')).otherwise(C("event_type")).alias("mode"))
+      .write.partitionBy("unit").option("header", True).csv(root))
+    unit = F.concat(F.lit("unit="), C("unit"))
+    roles = e.select(unit.alias(EQ)).distinct().select(EQ, F.explode(F.array(F.lit("sat"), F.lit("mode"))).alias("column")).withColumn("role", C("column"))
+    rows = csv_ingest.read_wide_rows(spark, root, ["sat", "mode"], name="*.csv", role_map=roles)
+    at = C("source_row_number")
+    files = rows.groupBy("source_file").agg(((F.max(at) == F.count(at)) & (F.sum(at) * 2 == F.count(at) * (F.count(at) + 1))).alias("whole"))
+    by = rows.join(files, "source_file").groupBy(F.substring(EQ, 6, 9).alias("unit"), "parse_status")
+    return rounded(by.agg(F.count(at).alias("n"), F.sum("sat").alias("total"), F.count("mode").alias("modes"), F.every("whole").alias("numbered")), 4)
+
+
 @query("analyze_quality")
 def analyze_quality(spark, d):
     h = raw_history(spark, d).withColumns({TS: F.date_trunc("hour", TS), "note": F.when(C("event_type") == "view", C("event_type"))})

@@ -1,16 +1,17 @@
 """Wide and long CSV packages into role-named history (S-4, S-5, S-9).
 
 A package holds `<equipment>/history_wide.csv` and `<equipment>/columns.csv` (col, point_role).
-All files are read as one text source: each line is matched to its file's header by a join,
-so a package with many equipment folders is still a single job.
+All files are read as one text source: each record is matched to its file's header, the first record, by a join,
+so a package with many equipment folders is still a single job, and nothing runs while planning.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from thermaline.functions.roles import STRING_COLUMNS, role_type
 from thermaline.operators.topology import canonical_role, column_score
+from thermaline.sources.lines import reason, records
 
 C = F.col
 EQ, TS = "equipment_id", "timestamp_utc"
@@ -46,30 +47,38 @@ def read_role_map(spark: SparkSession, root: str, *, name: str = "columns.csv")
     return m.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def read_wide_csv(spark: SparkSession, root: str, roles, *, name: str = "history_wide.csv", role_map: DataFrame | None = None,
-                  stamp: str = TS) -> DataFrame:
-    """S-4: equipment_id, timestamp_utc and one column per role; rows whose stamp is not
-    acceptable are left out."""
+def read_wide_rows(spark: SparkSession, root: str, roles, *, name: str = "history_wide.csv", role_map: DataFrame | None = None,
+                   stamp: str = TS) -> DataFrame:
+    """S-15/S-32: every record of a package with equipment_id, timestamp_utc, one column per role, and its lineage: source_file,
+    source_row_number, raw_timestamp, parse_status (ok, or the reason it is set aside), the line itself and fill_created."""
     role_map = read_role_map(spark, root) if role_map is None else role_map
-    lines = (spark.read.option("pathGlobFilter", name).option("recursiveFileLookup", True).text(root)
-             .select("value", equipment_of(C("_metadata.file_path")).alias(EQ)).where(F.trim("value") != ""))
-    is_head = F.lower("value").contains(stamp)
-    heads = lines.where(is_head)
-    width = heads.agg(F.max(F.size(F.split("value", ",")))).first()[0] or 1  # one number
-    schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    cells = F.from_csv("value", schema.simpleString().replace("struct<", "").rstrip(">").replace(":", " "))
-    arr = lambda c: F.array(*[F.trim(c[f"c{i}"]) for i in range(width)])
-    head = heads.select(EQ, F.posexplode(arr(cells)).alias("pos", "column")).where(C("column").isNotNull())
-    named = head.join(role_map.select(EQ, "column", "role"), [EQ, "column"], "left").withColumn(
-        "role", F.when(C("column") == stamp, F.lit(stamp)).otherwise(C("role"))).where(C("role").isNotNull())
-    index = named.groupBy(EQ).agg(F.map_from_entries(F.collect_list(F.struct("role", "pos"))).alias("_at"))  # one header
-    body = lines.where(~is_head).select(EQ, arr(cells).alias("_v")).join(index, EQ)
-    at = lambda r: F.get("_v", F.try_element_at("_at", F.lit(r)))
+    rows = records(spark, root, name=name).withColumn(EQ, equipment_of(C("source_file")))
+    heads = rows.select("source_file", EQ, "names").distinct()  # one row per file
+    named = heads.select("source_file", EQ, F.posexplode("names").alias("pos", "column")).join(
+        role_map.select(EQ, "column", "role"), [EQ, "column"], "left")
+    named = named.withColumn("role", F.when(F.lower("column") == stamp, F.lit(stamp)).otherwise(C("role"))).where(C("role").isNotNull())
+    first = named.groupBy("source_file", "role").agg(F.min("pos").alias("pos"))
+    index = first.groupBy("source_file").agg(F.map_from_entries(F.collect_list(F.struct("role", "pos"))).alias("_at"))  # one header
+    body = rows.join(index, "source_file", "left")
+    at = lambda r: F.get("cells", F.try_element_at("_at", F.lit(r)))
     out = [rfc3339(at(stamp)).alias(TS)]
     for r in roles:
         v = at(r)
         out.append((F.when(v != "", v) if r in STRING_COLUMNS else cell_number(v)).cast(role_type(r)).alias(r))
-    return body.select(EQ, *out).where(C(TS).isNotNull())
+    return body.select(EQ, *out, "source_file", "source_row_number", at(stamp).alias("raw_timestamp"),
+                       reason(at(stamp), rfc3339(at(stamp))).alias("parse_status"), "line", F.lit(False).alias("fill_created"))
+
+
+def read_wide_csv(spark: SparkSession, root: str, roles, *, name: str = "history_wide.csv", role_map: DataFrame | None = None,
+                  stamp: str = TS) -> DataFrame:
+    """S-4: equipment_id, timestamp_utc and one column per role of the records whose status is ok."""
+    rows = read_wide_rows(spark, root, roles, name=name, role_map=role_map, stamp=stamp)
+    return rows.where("parse_status = 'ok'").select(EQ, TS, *roles)
+
+
+def quarantine(rows: DataFrame) -> DataFrame:
+    """S-15: the records of `read_wide_rows` that are set aside, with their place, line and reason."""
+    return rows.where("parse_status <> 'ok'").select("source_file", "source_row_number", EQ, "raw_timestamp", "line", C("parse_status").alias("reason"))
 
 
 def ingest_wide_csv(spark: SparkSession, root: str, out: str, roles, *, building: str, metric: bool = False) -> DataFrame:

@@ -323,10 +323,11 @@ def compact(spark: SparkSession, root: str, *, min_files: int = 8, building: str
 
 
 def migrate_legacy(spark: SparkSession, legacy_root: str, root: str, *, dry_run: bool = True, roles=None) -> DataFrame:
-    """S-20: the older layout into the canonical one. Only path identity is trusted; rows
-    without it are reported and left alone."""
-    df = read_legacy(spark, legacy_root, roles=roles)
-    ok = (C("building_id") != "") & (C(EQ) != "") & C(TS).isNotNull()
+    """S-20: older Parquet, JSON lines and Arrow files into the canonical layout. Only path identity is trusted (`legacy.discover`
+    names the files without it); rows without a stamp are reported and left alone."""
+    from thermaline.sources.legacy import read_mixed
+    df = read_mixed(spark, legacy_root, roles=roles)
+    ok = C(TS).isNotNull()
     report = df.groupBy("building_id", EQ).agg(F.count(F.lit(1)).alias("rows"), F.count(F.when(ok, 1)).alias("migrated"))
     if not dry_run:
         write_history(df.where(ok), root)
