@@ -46,6 +46,8 @@ GROUP = 1 << 18
 BANDS = 4
 _BLOCK = 1 << 16
 _RUNS = 64
+_ROWS = 256
+_STEP = 512
 _LOOSE = np.uint64([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9])
 
 
@@ -83,19 +85,23 @@ def wide(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(2 * counts > size[:, None], axis=1).view(np.uint64).reshape(len(sets), 4)
 
 
-def close(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, ...]:
-    """(i, j, distance) of the pairs within the radii whose sizes allow the similarity."""
-    out = []
-    first = np.where(ny < FEW, FIRST_FEW, FIRST).astype(np.uint8)
-    for at in range(0, len(x), 256):
-        near = np.bitwise_count(x[at:at + 256, None, 0] ^ y[None, :, 0]) <= np.maximum(first[None, :], np.where(nx[at:at + 256] < FEW, FIRST_FEW, FIRST).astype(np.uint8)[:, None])
-        i, j = np.nonzero(near)
+def near(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, similarity: float = SIMILARITY) -> Iterator[tuple[np.ndarray, ...]]:
+    """(i, j, distance) of the pairs within the radii whose sizes allow the similarity, for `_ROWS` rows of x at a time."""
+    wide_x, wide_y = (np.where(n < FEW, FIRST_FEW, FIRST).astype(np.uint8) for n in (nx, ny))
+    for at in range(0, len(x), _ROWS):
+        rows = slice(at, at + _ROWS)
+        i, j = np.nonzero(np.bitwise_count(x[rows, None, 0] ^ y[None, :, 0]) <= np.maximum(wide_y[None, :], wide_x[rows, None]))
         i += at
         fits = np.minimum(nx[i], ny[j]) >= similarity * np.maximum(nx[i], ny[j]) - 1e-9
         i, j = i[fits], j[fits]
         d = np.bitwise_count(x[i] ^ y[j]).sum(axis=1, dtype=np.int64)
         hit = d <= RADIUS
-        out.append((i[hit], j[hit], d[hit]))
+        yield i[hit], j[hit], d[hit]
+
+
+def close(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, similarity: float = SIMILARITY) -> tuple[np.ndarray, ...]:
+    """All pairs of `near` at once."""
+    out = list(near(x, nx, y, ny, similarity))
     return tuple(np.concatenate(part) for part in zip(*out, strict=True)) if out else (np.empty(0, np.int64),) * 3
 
 
@@ -143,17 +149,18 @@ def candidates(nodes: DataFrame, similarity: float = SIMILARITY, tile: int = TIL
                 (a, na, x, px), (b, nb, y, py) = _columns(xs), _columns(ys)
                 if min(na.max(), nb.max()) < similarity * max(na.min(), nb.min()) - 1e-9 or max(px.min(), py.min()) - min(px.max(), py.max()) > RADIUS:
                     continue
-                i, j, _ = close(x, na, y, nb, similarity)
-                if own:
-                    i, j = i[i < j], j[i < j]
-                    names = a
-                else:
-                    j = j + len(a)
-                    names = np.concatenate([a, b])
-                if len(i) > len(names):
-                    i, j = forest(len(names), i, j)
-                if len(i):
-                    yield pd.DataFrame({"a": names[i], "b": names[j]})
+                names = a if own else np.concatenate([a, b])
+                shift = 0 if own else len(a)
+                label = np.arange(len(names))
+                for i, j, _ in near(x, na, y, nb, similarity):  # a tile pair of copies never holds its pairs at once
+                    u, v = label[i], label[j + shift]
+                    node, root = forest(len(names), u[u != v], v[u != v])
+                    onto = np.arange(len(names))
+                    onto[node] = root
+                    label = onto[label]
+                node = np.flatnonzero(label != np.arange(len(names)))
+                if len(node):
+                    yield pd.DataFrame({"a": names[node], "b": names[label[node]]})
 
     return both.mapInPandas(run, "a long, b long")
 
@@ -168,29 +175,26 @@ def verified(xs, ys, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest, as pairs of nodes, of the links of the similarity among xs (ys None) or between xs and ys."""
     a, na, x, _ = _columns(xs)
     b, nb, y, _ = (a, na, x, None) if ys is None else _columns(ys)
-    i, j, d = close(x, na, y, nb, similarity)
-    if ys is None:
-        i, j, d = i[i < j], j[i < j], d[i < j]
-    order = np.argsort(d, kind="stable")
-    sets = [[np.frombuffer(r["hashes"], np.uint64) for r in rows] for rows in ((xs, xs) if ys is None else (xs, ys))]
+    sets = [np.frombuffer(r["hashes"], np.uint64) for rows in ((xs,) if ys is None else (xs, ys)) for r in rows]
+    names = a if ys is None else np.concatenate([a, b])
     shift = 0 if ys is None else len(a)
-    up = list(range(len(a) + len(b)))
-
-    def top(v: int) -> int:
-        while up[v] != v:
-            up[v] = v = up[up[v]]
-        return v
-
+    label = np.arange(len(sets))
     out = []
-    for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
-        u, v = top(p), top(q + shift)
-        if u == v:
-            continue
-        s, t = sets[0][p], sets[1][q]
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        if both >= similarity * (len(s) + len(t) - both) - 1e-9:
-            up[u] = v
-            out.append((int(a[p]), int(b[q])))
+    for i, j, d in near(x, na, y, nb, similarity):
+        order = np.argsort(d, kind="stable")
+        i, j = i[order], j[order] + shift
+        while len(i):
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            for p, q in zip(i[:_STEP].tolist(), j[:_STEP].tolist(), strict=True):
+                if label[p] == label[q]:
+                    continue
+                s, t = sets[p], sets[q]
+                both = len(np.intersect1d(s, t, assume_unique=True))
+                if both >= similarity * (len(s) + len(t) - both) - 1e-9:
+                    label[label == label[q]] = label[p]
+                    out.append((int(names[p]), int(names[q])))
+            i, j = i[_STEP:], j[_STEP:]
     return out
 
 
