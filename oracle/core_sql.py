@@ -448,6 +448,14 @@ def _gap() -> str:
 O["role_map_gap"] = _gap()
 O["suggest_roles"] = ("SELECT CASE WHEN p_name LIKE '%ring%' THEN 'sat' WHEN p_name LIKE '%gear%' THEN 'fan_cmd' WHEN p_name LIKE '%widget%' OR p_name LIKE '%gizmo%' THEN 'zone_t' "
                       "WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN 'mat' END AS role, COUNT(*) AS n, MIN(p_partkey) AS first_key FROM part GROUP BY 1")
+_PARTS = ("p AS (SELECT p_type, p_brand, CASE p_size % 3 WHEN 0 THEN 'DAT_Y ' WHEN 1 THEN 'dat_x ' ELSE '' END || p_name AS \"column\", "
+          "CASE WHEN p_name LIKE '%ring%' THEN 'sat' WHEN p_name LIKE '%gear%' THEN 'fan_cmd' WHEN p_name LIKE '%widget%' OR p_name LIKE '%gizmo%' THEN 'zone_t' "
+          "WHEN p_name LIKE '%red%' OR p_name LIKE '%blue%' THEN 'mat' END AS role, p_size % 3 AS k FROM part)")
+O["suggest_columns"] = (
+    f"WITH {_PARTS}, s AS (SELECT *, CASE WHEN role = 'sat' AND k = 0 THEN 60 WHEN role = 'sat' AND k = 1 THEN 10 ELSE 0 END AS score FROM p WHERE role IS NOT NULL), "
+    "r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY p_type, p_brand, role ORDER BY score DESC, \"column\") AS rn FROM s) "
+    "SELECT p_type, p_brand, role, \"column\", score FROM r WHERE rn = 1")
+O["suggest_unmapped"] = f"WITH {_PARTS} SELECT DISTINCT p_type, p_brand, \"column\" FROM p WHERE role IS NULL"
 O["resolve_roles"] = ("SELECT CASE p_partkey % 7 WHEN 0 THEN 'sat' WHEN 1 THEN 'fan_cmd' WHEN 2 THEN 'oa_t' WHEN 3 THEN 'zone_t' WHEN 4 THEN 'chw_supply_t' WHEN 5 THEN 'steam_flow' ELSE 'sat' END AS role, "
                       "COUNT(*) AS n FROM part GROUP BY 1")
 O["pick_best_column"] = (

@@ -16,7 +16,7 @@ import __spark_entry__ as entry  # noqa: E402
 SAMPLE = ["rule_fc1", "rule_vav_1", "rule_chw_noload_1", "confirm_elapsed", "confirm_episodes", "join_asof_previous", "join_floor_hour",
           "fill_linear", "append_merge", "localize_dst", "operating_state", "hunting_by_output", "infer_parent", "runtime_hours",
           "sensor_health", "oat_bins", "zone_comfort_rank", "timeseries_thinned", "psychrometrics", "fuel_annual_gas_share", "fuel_quality",
-          "measure_savings", "fault_intervals", "fault_lifecycle", "fault_lifecycle_summary", "csv_quarantine"]
+          "measure_savings", "fault_intervals", "fault_lifecycle", "fault_lifecycle_summary", "csv_quarantine", "suggest_columns", "suggest_unmapped"]
 
 
 @pytest.fixture(scope="module")

@@ -258,6 +258,21 @@ def suggest_roles(names: DataFrame, patterns, *, key: str, column: str) -> DataF
     return names.select(key, column, out.alias("role"))
 
 
+def suggest_columns(names: DataFrame, patterns, *, keys, column: str) -> DataFrame:
+    """S-8: per key and suggested role the column that suits best (equal scores: the first by name); columns that never suit are out.
+    One aggregation with partial minima, so an equipment with very many columns is no large group."""
+    found = suggest_roles(names.select(F.struct(*keys).alias("_key"), column), patterns, key="_key", column=column).where(C("role").isNotNull())
+    ranked = found.withColumn("_score", column_score(C("role"), C(column))).where("_score >= 0")
+    best = ranked.groupBy("_key", "role").agg(F.min(F.struct((-C("_score")).alias("s"), C(column).alias("c"))).alias("_best"))
+    return best.select("_key.*", "role", C("_best.c").alias(column), (-C("_best.s")).alias("score"))
+
+
+def suggest_unmapped(names: DataFrame, patterns, *, keys, column: str) -> DataFrame:
+    """S-8: the columns of each key that no pattern hits."""
+    found = suggest_roles(names.select(F.struct(*keys).alias("_key"), column), patterns, key="_key", column=column)
+    return found.where("role IS NULL").select("_key.*", column).distinct()
+
+
 def _contains_any(c: Column, subs) -> Column:
     out = c.contains(subs[0])
     for s in subs[1:]:

@@ -522,6 +522,21 @@ def suggest_roles(spark, d):
     return s.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first_key"))
 
 
+def _named_parts(spark, d):
+    prefix = F.when(C("p_size") % 3 == 0, F.lit("DAT_Y ")).when(C("p_size") % 3 == 1, F.lit("dat_x ")).otherwise(F.lit(""))
+    return D.table(spark, d, "part").withColumn("column", F.concat(prefix, "p_name"))
+
+
+@query("suggest_columns")
+def suggest_columns(spark, d):
+    return topology.suggest_columns(_named_parts(spark, d), PART_PATTERNS, keys=["p_type", "p_brand"], column="column")
+
+
+@query("suggest_unmapped")
+def suggest_unmapped(spark, d):
+    return topology.suggest_unmapped(_named_parts(spark, d), PART_PATTERNS, keys=["p_type", "p_brand"], column="column")
+
+
 @query("resolve_roles")
 def resolve_roles(spark, d):
     names = ["Discharge-Air-Temp", "fan speed", "OAT", "zn_t", "ChWS_T", "steam_flow", "sat"]
