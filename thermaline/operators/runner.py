@@ -158,13 +158,14 @@ class Job:
 
 def annotate(history: DataFrame, jobs: list[Job], weather: DataFrame | None = None, *,
              tiebreak=(), gates: Mapping[str, Column] | None = None,
-             before_extra: int = 0, gate_steps=None, **kw) -> DataFrame:
-    """Core rows with a raw and a confirmed flag per rule."""
+             before_extra: int = 0, gate_steps=None, rows: int | None = None, **kw) -> DataFrame:
+    """Core rows with a raw and a confirmed flag per rule. `rows`: the number of rows of `history`, counted here if not given."""
+    rows = history.count() if rows is None else rows
     df = ensure_roles(history, _needed([j.rule for j in jobs]))
     if any(j.rule.weather for j in jobs):
         df = attach_weather(df, weather)
     back = max([j.look_back for j in jobs], default=1)
-    s = split_series(df, ID, TS, before=back + before_extra + 2, **kw)
+    s = split_series(df, ID, TS, before=back + before_extra + 2, rows=rows, **kw)
     # Equal stamps are ordered by their readings, so the answer doesn't depend on how rows arrive.
     w = block_window(ID, TS, tiebreak or _needed([j.rule for j in jobs]))
     levels: list[dict] = [{"_rn": F.row_number().over(w)}]
@@ -264,7 +265,7 @@ def run_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
     fault_samples, samples). Only rows for which `counted` holds count; the others lead in.
     `tuning`: parameters by building and equipment, see `attach_tuning`; those that size a window keep one value. Rules whose required roles are absent yield skip rows. A rule
     that drops rows inside a series needs its own ordering and gets its own pass."""
-    params = params or {}
+    params, rows = params or {}, history.count()
     jobs = [_job(i, poll, params.get(i)) for i in confirmable(rule_ids)]
     if tuning is not None:
         history, tuned = attach_tuning(history, tuning)
@@ -278,7 +279,7 @@ def run_rules(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
         df = history
         if group[0].rule.drops_rows:
             df = df.where(group[0].rule.where())
-        parts.append(_run_pass(df, group, weather, tiebreak, poll, counted, **kw))
+        parts.append(_run_pass(df, group, weather, tiebreak, poll, counted, rows=rows, **kw))
     if skipped:
         ids = F.array(*[F.lit(j.rule.id) for j in skipped])
         parts.append(history.select(*ID).distinct().select(
@@ -437,7 +438,7 @@ def run_batch(history: DataFrame, rule_ids=None, *, weather: DataFrame | None =
                  for i in masks}]
 
     a = annotate(df, jobs, weather, tiebreak=tiebreak, gates=active, gate_steps=gate_steps,
-                 before_extra=max(delays.values(), default=0), **kw)
+                 before_extra=max(delays.values(), default=0), rows=history.count(), **kw)
     seen = [f"_{x}_{r}" for r in roles for x in ("has", "cov")]
     aggs = [F.first(c).alias(c) for c in seen]
     for j in jobs:

@@ -4,7 +4,10 @@
 than `target_rows` rows is cut into blocks made of whole time buckets. Each block also gets
 the few neighbouring buckets its windows have to look at; rows of those neighbours are
 marked `_core = False` and are dropped once the window columns exist. Series below the
-limit stay in a single block and pay only for the count.
+limit stay in a single block and pay only for the count. The wider the rows, the fewer a
+block holds. Where the number of rows is known, they are dealt to so many tasks that each
+gets a few blocks; left alone, Spark packs as many into a task as compress to its advisory
+size, and sorts them all at once.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from thermaline.functions.roles import ID
 
 BUCKET_SECONDS = 86_400
 TARGET_ROWS = 500_000
+#: Bytes of rows, as they are sorted, of a block at most and of a task on average.
+BLOCK_BYTES, TASK_BYTES = 16 << 20, 32 << 20
 BLOCK, CORE, BUCKET = "_block", "_core", "_bucket"
 
 
@@ -88,27 +93,42 @@ def block_map(df: DataFrame, keys, ts: str, *, before: int, after: int, before_s
 def split_series(df: DataFrame, keys=ID, ts: str = "timestamp_utc", *,
                  before: int = 0, after: int = 0, before_seconds: float = 0.0,
                  bucket_seconds: int = BUCKET_SECONDS,
-                 target_rows: int | None = None) -> DataFrame:
+                 target_rows: int | None = None, rows: int | None = None, dealt: bool = True) -> DataFrame:
     """Add `_block` and `_core`; see the module docstring.
 
     `before`/`after` are the rows a window may look back or ahead, `before_seconds` a time
-    look-back. The join is a plain equi-join on (keys, bucket): Spark broadcasts the map
+    look-back, `rows` the number of rows of `df` if known; not `dealt`, the caller deals out the
+    blocks. The join is a plain equi-join on (keys, bucket): Spark broadcasts the map
     when it is below the size threshold and shuffles both sides on a fine key otherwise.
     """
     keys = list(keys)
-    target = int(target_rows or _target_rows(df))
+    target = int(target_rows or default_rows(df))
     if before or after or before_seconds:
         before = max(before, 1)
     m = block_map(df, keys, ts, before=before, after=after, before_seconds=before_seconds,
                   bucket_seconds=bucket_seconds, target_rows=target)
-    out = df.withColumn(BUCKET, time_bucket(ts, reach(bucket_seconds, before_seconds))).join(m, [*keys, BUCKET], "left")
-    return (out.withColumns({BLOCK: F.coalesce(F.col(BLOCK), F.lit(0).cast("long")),
-                             CORE: F.coalesce(F.col(CORE), F.lit(True))})
-               .drop(BUCKET))
+    out = df.withColumn(BUCKET, time_bucket(ts, reach(bucket_seconds, before_seconds)))
+    out = deal(out, [*keys, BUCKET], rows, target).join(m, [*keys, BUCKET], "left")
+    out = (out.withColumns({BLOCK: F.coalesce(F.col(BLOCK), F.lit(0).cast("long")),
+                            CORE: F.coalesce(F.col(CORE), F.lit(True))})
+              .drop(BUCKET))
+    return deal(out, [*keys, BLOCK], rows, target) if dealt else out
 
 
-def _target_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("thermaline.series.targetRows", str(TARGET_ROWS)))
+def deal(df: DataFrame, keys, rows: int | None, target_rows: int) -> DataFrame:
+    """`df` dealt by `keys` to tasks of a few blocks of `target_rows` rows; a number of rows that is small or not known is left to Spark."""
+    parts = math.ceil((rows or 0) / (target_rows * (TASK_BYTES // BLOCK_BYTES)))
+    return df if parts < 2 else df.repartition(max(parts, df.sparkSession.sparkContext.defaultParallelism), *keys)
+
+
+def row_bytes(df: DataFrame) -> int:
+    """About the bytes of a row while it is sorted: 8 a column, more for strings, and its place in the sort."""
+    return 48 + sum(40 if kind == "string" else 8 for _, kind in df.dtypes)
+
+
+def default_rows(df: DataFrame) -> int:
+    by_width = min(TARGET_ROWS, max(1, BLOCK_BYTES // row_bytes(df)))
+    return int(df.sparkSession.conf.get("thermaline.series.targetRows", str(by_width)))
 
 
 def block_window(keys=ID, ts: str = "timestamp_utc", tiebreak=()) -> WindowSpec:
