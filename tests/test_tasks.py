@@ -29,6 +29,19 @@ def test_rules_are_dealt_by_rows(history, monkeypatch):
     assert most(flags) < ROWS * SERIES / 4  # one task had all
 
 
+def test_sweep_is_dealt_by_rows_and_equals_one_block(history, monkeypatch):
+    kw = {"target_rows": ROWS * SERIES * len(sensors.SWEEP_ROLES)}  # one block and one task
+    key = lambda r: (r["equipment_id"], r["role"], r["rule_id"])
+    whole = sorted(sensors.sweep_evidence(history, **kw).collect(), key=key)
+    monkeypatch.setattr(series, "BLOCK_BYTES", series.BLOCK_BYTES // 64)
+    monkeypatch.setattr(series, "TASK_BYTES", series.TASK_BYTES // 64)
+    flags = sensors.sweep_flags(history)
+    assert most(flags) < ROWS * SERIES * len(sensors.SWEEP_ROLES) / 16
+    cut = sorted(sensors.sweep_evidence(history).collect(), key=key)
+    assert whole and [r.asDict() | {"fault_mean": None} for r in cut] == [r.asDict() | {"fault_mean": None} for r in whole]
+    assert [r["fault_mean"] for r in cut] == pytest.approx([r["fault_mean"] for r in whole])
+
+
 def test_wide_rows_make_smaller_blocks(spark):
     narrow, wide = spark.range(1), spark.range(1).select(*[F.lit(1.0).alias(f"c{i}") for i in range(100)])
     assert series.default_rows(wide) * series.row_bytes(wide) <= series.BLOCK_BYTES

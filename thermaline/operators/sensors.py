@@ -13,7 +13,7 @@ from thermaline.operators import rules as R
 from thermaline.operators.carry import MINUTE, Days, Reach, by_day, nearest, rolling_median
 from thermaline.operators.confirm import runs, streak
 from thermaline.operators.runner import role_presence
-from thermaline.operators.series import BLOCK, core_rows, split_series, with_series_columns
+from thermaline.operators.series import BLOCK, CORE, block_window, core_rows, deal, default_rows, split_series, with_series_columns
 
 C = F.col
 
@@ -48,7 +48,7 @@ def detect_operating_state(df: DataFrame, *, transition_minutes: int = 20, **kw)
                  "_move": any_of(F.abs(z(r) - F.lag(z(r)).over(w)) > num(0.05) for r in moves)},
                 {f"_r{e}": F.max(e).over(recent) for e in ("_start", "_stop", "_move")}]
 
-    s = with_series_columns(d, make, ID, TS, before=1, before_seconds=win / 1e6, **kw)
+    s = with_series_columns(d, make, ID, TS, before=1, before_seconds=win / 1e6, rows=df.count(), **kw)
     state = (F.when(~C("_known"), "UNKNOWN_STATE").when(C("_r_stop"), "SHUTDOWN_TRANSIENT")
               .when(C("_r_start"), "STARTUP_TRANSIENT").when(~C("_on"), "OFF")
               .when(C("_r_move"), "STARTUP_TRANSIENT").otherwise("RUNNING_STEADY"))
@@ -65,6 +65,15 @@ def readings(df: DataFrame, roles, *keep) -> DataFrame:
               .unpivot([*ID, TS, *keep], list(roles), "role", "value"))
 
 
+def split_readings(df: DataFrame, roles, *keep, before: int, **kw) -> DataFrame:
+    """`readings` with blocks, see `split_series`. All roles of an equipment have the same stamps, so its rows get their blocks before
+    they become one per role: neither they nor the map of the blocks are joined once per role."""
+    n = df.count()
+    wide = split_series(df.select(*ID, TS, *keep, *roles), ID, TS, before=before, rows=n, dealt=False, **kw)
+    long = readings(wide, roles, *keep, BLOCK, CORE)
+    return deal(long, [*RATE_KEYS, BLOCK], n * len(roles), kw.get("target_rows") or default_rows(long))
+
+
 WINDOWS = (5, 15, 60)
 
 
@@ -278,7 +287,6 @@ def sweep_flags(df: DataFrame, *, params: dict | None = None, poll: float = 300.
     """V-4, per sample and role: a raw and a confirmed flag per sensor-validation rule."""
     p = {r: R.RULES[r].settings(poll, **(params or {}).get(r, {})) for r in SWEEP_RULES}
     d = ensure_roles(df, [*SWEEP_ROLES, "fan_status", "fan_cmd", "pump_status", "chw_pump_cmd", "chiller_status"])
-    long = readings(d.withColumn("_live", energized()), SWEEP_ROLES, "_live")
     scale = p["SV-RANGE"]["range_scale_temperature"]
     bounds = {r: R.RANGE_FIXED.get(r) or tuple(scale * v for v in R.RANGE_LIMITS[r]) for r in SWEEP_ROLES}
 
@@ -311,8 +319,10 @@ def sweep_flags(df: DataFrame, *, params: dict | None = None, poll: float = 300.
         return [{**make(w), "_rn": F.row_number().over(w)}, {k: holds(v) for k, v in flags.items()},
                 {f"confirmed {k}": streak(C(f"`{k}`"), C("_rn"), w) >= F.lit(n) for k in flags}]
 
-    s = with_series_columns(long, steps, RATE_KEYS, TS, before=max(flat_n, stale_n) + n + 1, **kw)
-    return s.select(*ID, TS, "role", "value", *[f"`{k}`" for k in flags], *[f"`confirmed {k}`" for k in flags])
+    s = split_readings(d.withColumn("_live", energized()), SWEEP_ROLES, "_live", before=max(flat_n, stale_n) + n + 1, **kw)
+    for step in steps(block_window(RATE_KEYS, TS)):
+        s = s.withColumns(step)
+    return core_rows(s).select(*ID, TS, "role", "value", *[f"`{k}`" for k in flags], *[f"`confirmed {k}`" for k in flags])
 
 
 def sweep_evidence(df: DataFrame, *, params: dict | None = None, poll: float = 300.0, **kw) -> DataFrame:
@@ -342,9 +352,8 @@ def hunting_by_output(df: DataFrame, *, params: dict | None = None, poll: float
     """V-5: the hunting test on every control output, not only the first mapped one."""
     p = R.RULES["PID-HUNT-1"].settings(poll, **(params or {}))
     d = ensure_roles(df, [*R.OUTPUT_ROLES, "loop_enabled", "fan_status", "fan_cmd"])
-    long = readings(d.withColumn("_live", R.loop_active()), R.OUTPUT_ROLES, "_live")
-    s = split_series(long, RATE_KEYS, TS, before=R.RULES["PID-HUNT-1"].lookback(p) + 1, **kw)
-    w = Window.partitionBy(*RATE_KEYS, BLOCK).orderBy(TS)
+    s = split_readings(d.withColumn("_live", R.loop_active()), R.OUTPUT_ROLES, "_live", before=R.RULES["PID-HUNT-1"].lookback(p) + 1, **kw)
+    w = block_window(RATE_KEYS, TS)
     for step in R.hunting_steps(p, w, percent("value"), "_h"):
         s = s.withColumns(step)
     s = core_rows(s).withColumn("_bad", holds(C("_live") & R.hunting(p, "_h")))
