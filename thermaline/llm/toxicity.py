@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -51,6 +52,8 @@ _MARKS = re.escape("".join(c for c in LOOKALIKES if not c.isdigit()))
 _SPREAD = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*]{1,2}[^\W_]){2,}(?!\w)")
 _MIXED = re.compile(rf"(?<![\w{_MARKS}])(?=[\w{_MARKS}]*[^\W\d_][\w{_MARKS}]*)(?:[{_MARKS}\d]+[^\W\d_]|[^\W\d_]+[{_MARKS}\d]+)[\w{_MARKS}]*|\w*([^\W\d_])\1\1\w*")
 _WORDS = re.compile(r"[^\W\d_]+")
+#: What may end a word and stands for no letter, separates no letters and belongs to none.
+_PLAIN_END = ".,;:?&"
 _TRIPLE = re.compile(r"(.)\1\1")
 _APART = re.compile(r"(?<!\S)\S[.\-_*]?\s\S[.\-_*]?\s\S[.\-_*]?(?!\S)")
 
@@ -72,6 +75,16 @@ class CharModel:
         p2 = (two + 5 * p1) / (two.sum(axis=1, keepdims=True) + 5)
         return CharModel(np.log((three + 5 * p2) / (three.sum(axis=2, keepdims=True) + 5)))
 
+    @cached_property
+    def rows(self) -> list[list[list[float]]]:
+        """`log` as lists, whose single numbers are read faster."""
+        return self.log.tolist()
+
+    @cached_property
+    def tails(self) -> dict[tuple[int, int, str], str]:
+        """The best readings of symbols and digits behind a word, by the word's last two symbols."""
+        return {}
+
 
 def symbols(text: str) -> np.ndarray:
     """Symbol of each character of a lower-cased text; what isn't a letter or digit is a word boundary."""
@@ -109,11 +122,22 @@ def count_characters(docs: DataFrame, text_col: str = "text") -> dict[int, int]:
 
 def decode(stretch: str, model: CharModel) -> str:
     """The best reading of an obfuscated stretch. States are the last two symbols with the reading so far."""
-    low, log = stretch.lower(), model.log
+    low, log = stretch.lower(), model.rows
     last = max((i for i, c in enumerate(low) if c.isalpha()), default=-1)
     repeats = not low[:last + 1].lstrip("".join(LOOKALIKES)).isalpha() or _TRIPLE.search(low) is not None  # a plain word before symbols keeps its double letters
-    beam: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for i, c in enumerate(low):
+    a = b = plain = 0
+    total = 0.0
+    for c in low:  # up to the first symbol, digit or letter that may be a repeat there is one path
+        if not c.isalpha() or repeats and low[:plain].endswith(c):
+            break
+        s = _SYMBOL.get(c, _SIZE - 1)
+        total += log[a][b][s]
+        a, b, plain = b, s, plain + 1
+    tail = (a, b, low[plain:]) if plain > last else None  # without a letter behind it the word's reading is settled
+    if tail in model.tails:
+        return low[:plain] + model.tails[tail]
+    beam: dict[tuple[int, int], tuple[float, str]] = {(a, b): (0.0, "") if tail else (total, low[:plain])}
+    for i, c in enumerate(low[plain:], plain):
         gap = c in " .-_*" and i < last
         end, drop = None, DROP_GAP if c in " .-_" else DROP_SYMBOL
         if gap:  # a word may end at it
@@ -128,27 +152,33 @@ def decode(stretch: str, model: CharModel) -> str:
         options = [(c, known, 0.0 if c.isalpha() else KEEP)] if c.isalnum() else []
         options += [(x, _SYMBOL[x], SUBSTITUTE) for x in LOOKALIKES.get(c, "")]
         for (a, b), (score, said) in beam.items():
-            ways = [((b, s), score + cost + log[a, b, s], said + x) for x, s, cost in options]
+            ways = [((b, s), score + cost + log[a][b][s], said + x) for x, s, cost in options]
             if repeats and said.endswith(c) and c.isalpha():
                 ways.append(((a, b), score + DROP_REPEAT, said))
             if not c.isalnum():
                 ways.append(((a, b), score + (0.0 if gap and not b else drop), said))
             if end is not None and b:
-                ways.append(((b, 0), score + end + log[a, b, 0], said + " " if gap else said))
+                ways.append(((b, 0), score + end + log[a][b][0], said + " " if gap else said))
             elif end is not None and i > last:
                 ways.append(((a, b), score + end, said))
             for state, value, reading in ways:
                 if state not in after or (value, reading) > after[state]:
                     after[state] = (value, reading)
         beam = after
-    return max((score + (log[a, b, 0] if b else 0.0), said) for (a, b), (score, said) in beam.items())[1]
+    best = max((score + (log[a][b][0] if b else 0.0), said) for (a, b), (score, said) in beam.items())[1]
+    if tail is None:
+        return best
+    if len(model.tails) >= _MEMO:
+        model.tails.clear()
+    model.tails[tail] = best
+    return low[:plain] + best
 
 
 def apart(stretch: str, model: CharModel) -> str:
     """The best reading of letters set apart; where the first may be a word of its own, also that of the letters behind it."""
     first, tail = _SYMBOL.get(stretch[0].lower(), 0), stretch[1:].lstrip(" .-_*")
     said = decode(stretch, model)
-    if first and model.log[0, first, 0] > ALONE and said[1:2] != " ":
+    if first and model.rows[0][first][0] > ALONE and said[1:2] != " ":
         said += " " + decode(tail, model)
     return said
 
@@ -164,10 +194,14 @@ class Restorer(dict):
         stretch = _SPREAD.sub(lambda m: apart(m.group(), self.model), stretch)
         return _MIXED.sub(lambda m: decode(m.group(), self.model), stretch)
 
+    def read(self, token: str) -> list[str]:
+        core = token.rstrip(_PLAIN_END)
+        return [core] if core.isalpha() and not _TRIPLE.search(core) else _WORDS.findall(self.restore(token))
+
     def __missing__(self, token: str) -> list[str]:
         if len(self) >= _MEMO:
             self.clear()
-        found = self[token] = _WORDS.findall(token if token.isalpha() and not _TRIPLE.search(token) else self.restore(token))
+        found = self[token] = self.read(token)
         return found
 
     def tokens(self, text: str | None) -> list[str]:
@@ -203,6 +237,22 @@ def _evidence(labelled: DataFrame, model: CharModel) -> DataFrame:
     return labelled.mapInPandas(run, "feature string, before string, clean long")
 
 
+_NOTHING: dict[str, float] = {}
+
+
+class Entries(dict):
+    """Remembers the lexicon entries of tokens."""
+
+    def __init__(self, weights: dict[str, float], reader: Restorer):
+        self.weights, self.reader = weights, reader
+
+    def __missing__(self, token: str) -> dict[str, float]:
+        if len(self) >= _MEMO:
+            self.clear()
+        found = self[token] = {f: self.weights[f] for w in self.reader.read(token) for f in _features(w) if f in self.weights} or _NOTHING
+        return found
+
+
 @dataclass
 class Judge:
     """Lexicon weights and the regression over (sum of weights, largest weight, different hits, hits per square root of words)."""
@@ -211,19 +261,16 @@ class Judge:
     weights: dict[str, float]
     beta: np.ndarray | None
 
-    def hits(self, reader: Restorer, known: dict[str, dict[str, float]], text: str | None) -> list[float]:
-        """The regression's inputs for a text. `known` remembers the entries of tokens."""
-        tokens, seen, n = reader.tokens(text), {}, 0
-        for token in tokens:
-            found = known.get(token)
-            if found is None:
-                if len(known) >= _MEMO:
-                    known.clear()
-                found = known[token] = {f: self.weights[f] for w in reader[token] for f in _features(w) if f in self.weights}
-            if found:
-                seen |= found
-                n += 1
-        return [sum(seen.values()), max(seen.values(), default=0.0), float(len(seen)), n / math.sqrt(len(tokens) + 1)]
+    def reader(self) -> Entries:
+        return Entries(self.weights, Restorer(self.model))
+
+    def hits(self, known: Entries, text: str | None) -> list[float]:
+        """The regression's inputs for a text."""
+        tokens, seen = known.reader.tokens(text), {}
+        found = list(filter(None, map(known.__getitem__, tokens)))
+        for entries in found:
+            seen |= entries
+        return [sum(seen.values()), max(seen.values(), default=0.0), float(len(seen)), len(found) / math.sqrt(len(tokens) + 1)]
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.beta is None:
@@ -261,9 +308,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     judge = Judge(model, {r["feature"]: float(r["w"]) for r in table.collect()}, None)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader, known = Restorer(model), {}
+        known = judge.reader()
         for b in batches:
-            yield pd.DataFrame({"x": [judge.hits(reader, known, t) for t in b["text"]], "toxic": b["toxic"]})
+            yield pd.DataFrame({"x": [judge.hits(known, t) for t in b["text"]], "toxic": b["toxic"]})
 
     rows = labelled.mapInPandas(measure, "x array<double>, toxic int").collect()
     judge.beta = regress(np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows], float))
@@ -275,9 +322,9 @@ def score(judge: Judge, text_col: str = "text"):
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        reader, known = Restorer(judge.model), {}
+        known = judge.reader()
         for texts in batches:
-            yield pd.Series(judge.score(np.array([judge.hits(reader, known, t) for t in texts]).reshape(len(texts), 4)))
+            yield pd.Series(judge.score(np.array([judge.hits(known, t) for t in texts]).reshape(len(texts), 4)))
 
     return run(text_col)
 
