@@ -57,6 +57,14 @@ class Model:
         #: Score of each piece, and None for what only begins a longer one.
         self.table: dict[str, int | None] = {p[:k]: None for p in self.known for k in range(1, len(p))} | {p: s for p, (s, _) in self.known.items()}
         self.longest = max(map(len, self.known))
+        #: The pieces as a tree: by character the score of the piece that ends there (None: none) and what goes on (None: nothing).
+        self.tree: dict[str, list] = {}
+        for p, (s, _) in self.known.items():
+            at = self.tree
+            for c in p[:-1]:
+                node = at.setdefault(c, [None, None])
+                at = node[1] = node[1] or {}
+            at.setdefault(p[-1], [None, None])[0] = s
         if any(SPACE in p.lstrip(SPACE) for p in self.known):
             raise ValueError("pieces that go beyond a word are not supported")
         self.scores = np.zeros(size, np.int64)
@@ -99,8 +107,20 @@ class Model:
 
     def word(self, text: str) -> tuple[bytes, int]:
         """Ids (little-endian, 32 bits) and score of a word that starts with spaces or follows none."""
-        best, back = self.forward(text, [0], len(text))
-        return array("I", self.ids(text, trace(back, len(text)))).tobytes(), best[len(text)]
+        size, tree, unknown = len(text), self.tree, self.unknown
+        best, back = [0] + [_NONE] * size, [-1] * (size + 1)
+        for at in range(size):  # as `forward` does; each place is reached
+            own, node = best[at], tree.get(text[at])
+            value = own + (unknown if node is None or node[0] is None else node[0])
+            if value > best[at + 1]:
+                best[at + 1], back[at + 1] = value, at
+            end = at + 1
+            while node and node[1] and end < size:
+                node = node[1].get(text[end])
+                end += 1
+                if node and node[0] is not None and (value := own + node[0]) > best[end]:
+                    best[end], back[end] = value, at
+        return array("I", self.ids(text, trace(back, size))).tobytes(), best[size]
 
     def words(self, text: str) -> bytes:
         """Ids of a text that starts at a word."""
